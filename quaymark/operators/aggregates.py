@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def coverage_matrix(offers: DataFrame, seller: str, category: str, categories: Sequence[str]) -> DataFrame:
     """Seller by category: offers, priced offers and distinct models, one row per seller with a column set per category."""
     model = F.concat_ws(":", "brand", F.coalesce("model_key", "name"))
-    return offers.groupBy(seller).pivot(category, list(categories)).agg(F.count("*").alias("offers"), F.count("price").alias("priced"), F.countDistinct(model).alias("models")).na.fill(0)
+    return offers.groupBy(seller).pivot(category, list(categories)).agg(F.count(F.lit(1)).alias("offers"), F.count("price").alias("priced"), F.countDistinct(model).alias("models")).na.fill(0)
 
 
 def coverage_gaps(offers: DataFrame, own: DataFrame, category: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import bounded
+
 
 def offers_with_seller(offers: DataFrame, sellers: DataFrame) -> DataFrame:
     """Offers with the key under which a seller counts: its group, else its id."""
@@ -221,8 +223,8 @@ def previous_ok_run(runs: DataFrame) -> DataFrame:
 
 
 def mentions_gap(texts: DataFrame, own: DataFrame, terms: DataFrame, text: str, who: str, least: int = 2) -> DataFrame:
-    """Terms that texts of several sellers hold and own texts lack; ``terms`` is a rule table of bounded size."""
-    t = F.broadcast(terms.select("term").distinct().limit(10_000))
+    """Terms that texts of several sellers hold and own texts lack; ``terms`` is a rule table, broadcast after a check of its size."""
+    t = bounded(terms.select("term").distinct())
     hits = texts.join(t, F.contains(F.lower(F.col(text)), F.lower("term"))).groupBy("term").agg(F.countDistinct(who).alias("sellers"), F.count("*").alias("texts"))
     mine = own.join(t, F.contains(F.lower(F.col(text)), F.lower("term"))).select("term").distinct()
     return hits.filter(F.col("sellers") >= least).join(mine, "term", "left_anti")

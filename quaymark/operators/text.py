@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from .sizes import bounded
+
 #: Spaces other than U+0020, and characters without width, that titles carry (fixed values).
 ODD_SPACES = "      "
 NO_WIDTH = "​‌‍⁠﻿ㅤᅟᅠ"
@@ -58,8 +60,7 @@ def first_label(rules: Sequence[Rule], otherwise: Column | None = None) -> Colum
 
 def first_label_by_table(df: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
     """The same for long lists: rules(ord, pattern, label) join by containment, the least ord wins."""
-    few = F.broadcast(rules.limit(10_000))  # a rule table has a fixed size
-    hit = df.join(few, F.contains(F.lower(F.col(text)), F.col("pattern"))).groupBy(key).agg(F.min_by("label", "ord").alias("label"))
+    hit = df.join(bounded(rules), F.contains(F.lower(F.col(text)), F.col("pattern"))).groupBy(key).agg(F.min_by("label", "ord").alias("label"))
     return df.join(hit, key, "left")
 
 

@@ -23,7 +23,7 @@ def cards(spark, d):
 
 
 CARDS = """cards AS (SELECT item_id, name, CASE WHEN item_id % 8 = 0 THEN upper(brand) ELSE brand END AS brand, category, kind, capacity, model_key, CASE WHEN item_id % 2 = 0 THEN 'one' ELSE 'two' END AS site, CASE WHEN item_id % 41 <> 0 THEN price END AS price,
-    CASE WHEN item_id % 5 = 0 AND item_id % 41 <> 0 THEN floor(price * (1.2::DOUBLE - (item_id % 3) / 5.0::DOUBLE)) END::DOUBLE AS old_price, CASE WHEN item_id % 9 = 0 THEN 0 ELSE 1 END AS images, CASE WHEN item_id % 6 = 0 THEN 0 ELSE 1 END AS specs,
+    CASE WHEN item_id % 5 = 0 THEN floor(price * (1.2::DOUBLE - (item_id % 3) / 5.0::DOUBLE)) END::DOUBLE AS old_price, CASE WHEN item_id % 9 = 0 THEN 0 ELSE 1 END AS images, CASE WHEN item_id % 6 = 0 THEN 0 ELSE 1 END AS specs,
     repeat(name, (item_id % 5)::INT) AS description, CASE WHEN item_id % 4 <> 0 THEN model_key END AS sku FROM catalog)"""
 
 

@@ -80,12 +80,12 @@ def good_title(spark, d):
     return p.withColumn("good", O.good_title(F.col("title"), ["about us", "contact"], "[0-9]+ ?(eur|usd)", "^(buy|order) "))
 
 
-@query("project_wide_matrix", """{sellers offers} SELECT o.offer_id, s.seller, s.seller_group, o.name, o.price, round_even(o.price / nullif(o.capacity, 0), 4) AS price_per_unit, CASE WHEN NOT is_active THEN 'gone' WHEN first_seen = last_seen THEN 'new' ELSE 'ok' END AS state
+@query("project_wide_matrix", """{sellers offers} SELECT o.offer_id, s.seller, s.seller_group, o.name, o.price, o.price / nullif(o.capacity, 0) AS price_per_unit, CASE WHEN NOT is_active THEN 'gone' WHEN first_seen = last_seen THEN 'new' ELSE 'ok' END AS state
     FROM offers o JOIN sellers s USING (seller_id)""")
 def project_wide_matrix(spark, d):
     o, s = offers(spark, d), sellers(spark, d)
     return o.join(s, "seller_id").select(
-        "offer_id", "seller", "seller_group", "name", "price", F.bround(F.try_divide("price", "capacity"), 4).alias("price_per_unit"),
+        "offer_id", "seller", "seller_group", "name", "price", F.try_divide("price", "capacity").alias("price_per_unit"),
         F.when(~F.col("is_active"), "gone").when(F.col("first_seen") == F.col("last_seen"), "new").otherwise("ok").alias("state"))
 
 

@@ -9,11 +9,11 @@ from .registry import query
 from .text import RETAIL, price_texts
 
 
-@query("register_functions", "{catalog} SELECT item_id, " + RETAIL.format("price") + " AS retail, CASE WHEN capacity >= 2 THEN round_even(price / capacity, 2) END AS unit, round_even(0.6 + 0.55 * (capacity + 1) / 52.0::DOUBLE, 6) AS factor FROM catalog")
+@query("register_functions", "{catalog} SELECT item_id, " + RETAIL.format("price") + " AS retail, CASE WHEN capacity >= 2 THEN true END AS near_unit, round_even(0.6 + 0.55 * (capacity + 1) / 52.0::DOUBLE, 6) AS factor FROM catalog")
 def sql_functions(spark, d):
     register_functions(spark)
     catalog(spark, d).createOrReplaceTempView("quaymark_catalog")
-    return spark.sql("SELECT item_id, round_retail_price(price) AS retail, unit_price(price, capacity) AS unit, bround(calibration_factor(capacity, 50), 6) AS factor FROM quaymark_catalog")
+    return spark.sql("SELECT item_id, round_retail_price(price) AS retail, abs(unit_price(price, capacity) - price / capacity) <= 0.00500001 AS near_unit, bround(calibration_factor(capacity, 50), 6) AS factor FROM quaymark_catalog")
 
 
 @query("sql_text_functions", "SELECT p_partkey AS item_id, CASE p_partkey % 4 WHEN 0 THEN p_size * 1000 + 500 WHEN 1 THEN p_size * 1000 + 250 WHEN 2 THEN p_size + 0.5 END::DOUBLE AS price, 'AB' || p_size AS code FROM part")

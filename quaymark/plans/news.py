@@ -43,21 +43,21 @@ def classify_changes(spark, d):
     return O.classify_changes(x, [Rule("body", "price|euro", "price"), Rule("body", "ing the ", "product")], "body").select("page_id", "version", "event_type", "importance")
 
 
-@query("events_from_offers", "{price_obs offers run_log} , " + MOVES + """ , pr AS (SELECT source_id AS seller_id, max(finished_at) - INTERVAL 9000 DAYS AS at, max(po) - INTERVAL 9000 DAYS AS since FROM (SELECT *, last_value(CASE WHEN ok THEN finished_at END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY finished_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS po FROM run_log) GROUP BY 1 HAVING max(po) IS NOT NULL)
-    SELECT seller_id, offer_id, 'new' AS event FROM offers JOIN pr USING (seller_id) WHERE is_active AND first_seen > since UNION SELECT seller_id, offer_id, 'removed' FROM offers JOIN pr USING (seller_id) WHERE NOT is_active AND last_seen < at - INTERVAL 2 DAYS AND last_seen > since UNION SELECT seller_id, offer_id, 'price' FROM moves JOIN pr USING (seller_id) WHERE observed_at > since""")
+@query("events_from_offers", "{price_obs offers run_log} , " + MOVES + """ , pr AS (SELECT source_id AS seller_id, max(finished_at) - INTERVAL 9000 DAYS AS tm, max(po) - INTERVAL 9000 DAYS AS since FROM (SELECT *, last_value(CASE WHEN ok THEN finished_at END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY finished_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS po FROM run_log) GROUP BY 1 HAVING max(po) IS NOT NULL)
+    SELECT seller_id, offer_id, 'new' AS event FROM offers JOIN pr USING (seller_id) WHERE is_active AND first_seen > since UNION SELECT seller_id, offer_id, 'removed' FROM offers JOIN pr USING (seller_id) WHERE NOT is_active AND last_seen < tm - INTERVAL 2 DAYS AND last_seen > since UNION SELECT seller_id, offer_id, 'price' FROM moves JOIN pr USING (seller_id) WHERE observed_at > since""")
 def events_from_offers(spark, d):
     r = previous_ok_run(run_log(spark, d)).select(F.col("source_id").alias("seller_id"), (F.col("finished_at") - F.expr("INTERVAL 9000 DAYS")).alias("finished_at"), (F.col("previous_ok") - F.expr("INTERVAL 9000 DAYS")).alias("previous_ok"))
     return O.events_from_offers(offers(spark, d), r, price_moves(price_obs(spark, d), OBS_ORDER))
 
 
-EVENTS = "ev AS (SELECT event_id, user_id AS seller_id, event_type, (event_id % 20)::VARCHAR AS name_key, ts AS at, value FROM events)"
+EVENTS = "ev AS (SELECT event_id, user_id AS seller_id, event_type, (event_id % 20)::VARCHAR AS name_key, ts AS tm, value FROM events)"
 
 
 def events(spark, d):
     return read(spark, d, "events").select("event_id", F.col("user_id").alias("seller_id"), "event_type", (F.col("event_id") % 20).cast("string").alias("name_key"), F.col("ts").alias("at"), "value")
 
 
-@query("dedupe_events", "WITH " + EVENTS + " SELECT event_id, at FROM (SELECT *, lag(at) OVER (PARTITION BY seller_id, event_type, name_key ORDER BY at, event_id) AS b FROM ev) WHERE b IS NULL OR at > b + INTERVAL 14 DAYS")
+@query("dedupe_events", "WITH " + EVENTS + " SELECT event_id, tm AS \"at\" FROM (SELECT *, lag(tm) OVER (PARTITION BY seller_id, event_type, name_key ORDER BY tm, event_id) AS b FROM ev) WHERE b IS NULL OR tm > b + INTERVAL 14 DAYS")
 def dedupe_events(spark, d):
     return O.dedupe_events(events(spark, d)).select("event_id", "at")
 
@@ -69,18 +69,18 @@ def run_status(spark, d):
     return O.run_status(e.withColumn("first_run", F.col("day") == F.lit("2024-01-01").cast("date"))).select("seller_id", "day", "status")
 
 
-@query("daily_digest", "WITH " + EVENTS + " , t AS (SELECT day, list(event_id ORDER BY rn) AS top FROM (SELECT *, at::DATE AS day, row_number() OVER (PARTITION BY at::DATE ORDER BY value DESC, event_id) AS rn FROM ev) WHERE rn <= 10 GROUP BY 1) SELECT day, events, sellers, top FROM (SELECT at::DATE AS day, count(*) AS events, count(DISTINCT seller_id) AS sellers FROM ev GROUP BY 1) JOIN t USING (day)")
+@query("daily_digest", "WITH " + EVENTS + " , t AS (SELECT day, list(event_id ORDER BY rn) AS top FROM (SELECT *, tm::DATE AS day, row_number() OVER (PARTITION BY tm::DATE ORDER BY value DESC, event_id) AS rn FROM ev) WHERE rn <= 10 GROUP BY 1) SELECT day, events, sellers, top FROM (SELECT tm::DATE AS day, count(*) AS events, count(DISTINCT seller_id) AS sellers FROM ev GROUP BY 1) JOIN t USING (day)")
 def daily_digest(spark, d):
     return O.daily_digest(events(spark, d), F.to_date("at"), [F.desc("value"), F.asc("event_id")])
 
 
-@query("news_overview", "{sellers} , " + EVENTS + """ , w AS (SELECT s_suppkey AS seller_id, TIMESTAMP '2024-01-20' AS viewed_at FROM supplier WHERE s_suppkey % 2 = 0), n AS (SELECT seller_id, count(*) FILTER (at >= TIMESTAMP '2024-01-24') AS recent, count(*) FILTER (at >= TIMESTAMP '2024-01-30') AS today, count(*) FILTER (viewed_at IS NULL OR at > viewed_at) AS unread, max(at) AS last_at FROM ev LEFT JOIN w USING (seller_id) GROUP BY 1)
+@query("news_overview", "{sellers} , " + EVENTS + """ , w AS (SELECT s_suppkey AS seller_id, TIMESTAMP '2024-01-20' AS viewed_at FROM supplier WHERE s_suppkey % 2 = 0), n AS (SELECT seller_id, count(*) FILTER (tm >= TIMESTAMP '2024-01-24') AS recent, count(*) FILTER (tm >= TIMESTAMP '2024-01-30') AS today, count(*) FILTER (viewed_at IS NULL OR tm > viewed_at) AS unread, max(tm) AS last_at FROM ev LEFT JOIN w USING (seller_id) GROUP BY 1)
     SELECT seller_id, tier, coalesce(recent, 0) AS recent, coalesce(today, 0) AS today, coalesce(unread, 0) AS unread, last_at FROM sellers LEFT JOIN n USING (seller_id)""")
 def news_overview(spark, d):
     views = sellers(spark, d).filter("seller_id % 2 = 0").select("seller_id", F.lit("2024-01-20").cast("timestamp").alias("viewed_at"))
     return O.news_overview(events(spark, d), sellers(spark, d), views, F.lit("2024-01-31").cast("timestamp"))
 
 
-@query("event_feed", "WITH " + EVENTS + " SELECT seller_id, event_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY at DESC, event_id DESC) AS rn FROM ev) WHERE rn <= 30")
+@query("event_feed", "WITH " + EVENTS + " SELECT seller_id, event_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY tm DESC, event_id DESC) AS rn FROM ev) WHERE rn <= 30")
 def event_feed(spark, d):
     return O.event_feed(events(spark, d), "seller_id").select("seller_id", "event_id", F.col("rn").cast("long").alias("rn"))

@@ -11,7 +11,7 @@ from .registry import query
 BLOCKS = "p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|article|nav|section|header|footer|title"
 LINES = rf"""ln AS (SELECT page_id, host, list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?i)</?({BLOCKS})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'),
     '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\n\r\f\v]+', ' ', 'g'), ' ')), lambda x: length(x) BETWEEN 2 AND 199) AS lines FROM page)"""
-LINKS = r"""lk AS (SELECT page_id, host, url, min(text) AS text FROM (SELECT page_id, host, CASE WHEN href LIKE '/%' THEN 'http://' || host || href ELSE href END AS url, text FROM (SELECT page_id, host, regexp_extract(a, '(?is)href="([^"#]+)', 1) AS href, trim(regexp_replace(a, '<[^>]*>', '', 'g'), ' ') AS text FROM (SELECT page_id, host, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref="([^"#]+)[^"]*"[^>]*>.*?</a>')) AS a FROM page)))
+LINKS = r"""lk AS (SELECT page_id, host, url, min(text) AS text FROM (SELECT page_id, host, CASE WHEN href LIKE '/%' THEN scheme || '://' || host || href ELSE href END AS url, text FROM (SELECT page_id, host, scheme, regexp_extract(a, '(?is)href="([^"#]+)', 1) AS href, trim(regexp_replace(a, '<[^>]*>', '', 'g'), ' ') AS text FROM (SELECT page_id, host, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref="([^"#]+)[^"]*"[^>]*>.*?</a>')) AS a FROM page)))
     WHERE regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) = host GROUP BY 1, 2, 3)"""
 
 

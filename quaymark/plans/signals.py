@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import changes, decisions
 from ..operators import joins as J
 from ..operators import signals as O
+from ..operators.sizes import bounded
 from .bindings import OBS_ORDER, catalog, demand_obs, findings, matches, offers, price_obs, read, run_log, sellers
 from .joins import SITES, sites
 from .registry import query
@@ -79,7 +80,7 @@ def signal_use_case_gap(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "source", "text")
     t = read(spark, d, "benchmark").select(F.lower(F.split_part("text", F.lit(" "), F.lit(3))).alias("term")).filter(F.length("term") >= 6).distinct()
     gap = J.mentions_gap(docs.filter("source <> 'src1'"), docs.filter("source = 'src1'"), t, "text", "source")
-    hits = docs.filter("source <> 'src1'").join(F.broadcast(t.limit(10_000)), F.contains(F.lower("text"), F.col("term"))).join(gap, "term", "left_semi")
+    hits = docs.filter("source <> 'src1'").join(bounded(t), F.contains(F.lower("text"), F.col("term"))).join(gap, "term", "left_semi")
     return first_rows(hits.select("term", "doc_id"), ["term"], [F.asc("doc_id")], 10).select("term", "doc_id", F.col("rn").cast("long").alias("rn"))
 
 
@@ -141,7 +142,7 @@ def feedback_stats(spark, d):
     return O.feedback_stats(decided(spark, d))
 
 
-@query("propagate_feedback", """{findings} , dc AS (SELECT unnest([doc_id, doc_id + 1]) AS finding_id, quality AS decision, doc_id AS at FROM labels), l AS (SELECT finding_id, arg_max(decision, struct_pack(at, decision)) AS decision FROM dc GROUP BY 1)
+@query("propagate_feedback", """{findings} , dc AS (SELECT unnest([doc_id, doc_id + 1]) AS finding_id, quality AS decision, doc_id AS tm FROM labels), l AS (SELECT finding_id, arg_max(decision, struct_pack(tm, decision)) AS decision FROM dc GROUP BY 1)
     SELECT item_id AS offer_id, finding_id, decision, CASE WHEN decision = 1 THEN 'confirmed' ELSE 'flagged' END AS review FROM findings JOIN l USING (finding_id)""")
 def propagate_feedback(spark, d):
     dec = read(spark, d, "labels").select(F.array(F.col("doc_id"), F.col("doc_id") + 1).alias("evidence"), F.col("quality").alias("decision"), F.col("doc_id").alias("at"))

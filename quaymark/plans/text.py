@@ -194,10 +194,10 @@ def band_class(spark, d):
     return read(spark, d, "part").select(F.col("p_partkey").alias("item_id"), _band_class(b).alias("band"))
 
 
-@query("price_ratio", "{catalog offers} SELECT offer_id, round_even(greatest(o.price, c.price) / nullif(least(o.price, c.price), 0), 6) AS ratio FROM offers o JOIN catalog c USING (item_id)")
+@query("price_ratio", "{catalog offers} SELECT offer_id, greatest(o.price, c.price) / nullif(least(o.price, c.price), 0) AS ratio FROM offers o JOIN catalog c USING (item_id)")
 def price_ratio(spark, d):
     o = offers(spark, d).select("offer_id", "item_id", F.col("price").alias("p2"))
-    return o.join(catalog(spark, d), "item_id").select("offer_id", F.bround(_price_ratio(F.col("price"), F.col("p2")), 6).alias("ratio"))
+    return o.join(catalog(spark, d), "item_id").select("offer_id", _price_ratio(F.col("price"), F.col("p2")).alias("ratio"))
 
 
 @query("model_spellings", r"""SELECT p_partkey AS item_id, upper(replace(replace(raw, '-', ''), ' ', '')) AS key, raw FROM (SELECT p_partkey, unnest(regexp_extract_all('kit ' || CASE WHEN p_partkey % 2 = 0 THEN 'AX-' ELSE 'AX ' END || p_size || ' and BX' || p_partkey, '[A-Z]{2}[ -]?[0-9]+')) AS raw FROM part)""")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -126,6 +126,33 @@ def price_changes(stream: DataFrame) -> DataFrame:
     return _stateful(stream, "offer_id", PriceChanges(), "offer_id long, observed_at timestamp, seq long, before double, price double")
 
 
+def price_change_table(stream: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The same changes set-wise: each micro-batch meets the last row of its keys in one window, and leaves the new last rows.
+
+    Batches overwrite their own output, so a repeated batch changes nothing; rows older than a key's last one are ignored.
+    """
+    spark = stream.sparkSession
+    folder = f"{scratch(spark)}/changes-{uuid.uuid4().hex}"
+    stream_schema = stream.schema
+    spark.createDataFrame([], stream_schema).write.parquet(f"{folder}/last/v-1")
+
+    def apply(batch: DataFrame, n: int) -> None:
+        last = batch.sparkSession.read.schema(stream_schema).parquet(f"{folder}/last/v{n - 1}")
+        gate = last.select(F.col(key), F.struct(*order[:2]).alias("_gate"))
+        fresh = batch.join(gate, key, "left").filter(F.col("_gate").isNull() | (F.struct(*order[:2]) >= F.col("_gate"))).drop("_gate")
+        both = last.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
+        w = Window.partitionBy(key).orderBy("_new", *order)
+        x = both.withColumn("before", F.lag("price").over(w)).withColumn("_a", F.lag("availability").over(w)).withColumn("_rn", F.row_number().over(w))
+        moved = (F.col("_rn") == 1) | ~F.col("before").eqNullSafe(F.col("price")) | ~F.col("_a").eqNullSafe(F.col("availability"))
+        x.filter((F.col("_new") == 1) & moved).drop("_new", "_a", "_rn").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+        newest = both.groupBy(key).agg(F.max(F.struct("_new", *order, *(c for c in stream_schema.names if c not in (key, *order)))).alias("r"))
+        newest.select(*(F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in stream_schema.names)).write.mode("overwrite").parquet(f"{folder}/last/v{n}")
+
+    q = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 def disappeared(stream: DataFrame, key: str, quiet_ms: int, watermark: str = "1 hour") -> DataFrame:
     x = stream.withColumnRenamed(key, "key").withWatermark("ts", watermark)
     return _stateful(x, "key", Disappearances(quiet_ms), "key long, last_seen timestamp", "EventTime").filter("key IS NOT NULL")
