@@ -6,10 +6,11 @@ parts merge by maximum.  Equal sets collapse first.  Bands of five registers pro
 sketches (how many registers are larger, equal, smaller, given both set sizes)
 estimates the similarity and rejects clear misses; the full sets confirm every link.
 
-In a bucket every member meets only a few leaders.  Components of the confirmed links then show which
+In a bucket every member meets two leaders: the smallest id and the member that shares bands with most others.  Components of the confirmed links then show which
 buckets are settled: only members of different components in one bucket meet once more, and
-those of the bucket's largest component do not meet each other.  A last pass
-over the components gives each document the smallest id that it can reach.
+those of the bucket's largest component do not meet each other.  In larger buckets, shingles that
+no other open document has bound how similar a member can be to any other, so most of
+these pairs are never made.  A last pass over the components gives each document the smallest id that it can reach.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import small_batches
@@ -32,6 +33,10 @@ REGISTERS = BANDS * ROWS
 #: A pair is dropped when its estimate is over five standard errors below the threshold.
 ERRORS = 5.0
 CHUNK = 1_000_000
+#: Open buckets up to this size compare all members of different components.
+FEW = 8
+#: In how many open documents a shingle counts as common.
+OFTEN = 64
 _random = np.random.default_rng(15485863)
 FACTORS = (_random.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 OFFSETS = _random.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -154,6 +159,30 @@ def confirmed(pairs: DataFrame, df: DataFrame, k: int, percent: int, id_col: str
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
+def shared_sizes(members: DataFrame, sketches: DataFrame, df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, common, rare, mask) of the given ids.
+
+    n is the set's size, common how many of its shingles at least OFTEN of these sets hold, rare how many others
+    at least one more of them holds, and mask a 64-bit filter of the rare ones.
+    """
+    ids = members.select("id").distinct()
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in small_batches(iter([b]), "text", 1_000_000):
+                sets = list(shingle_sets(part.column(part.schema.get_field_index("text")).to_pylist(), k))
+                owner = np.repeat(np.array(part.column(part.schema.get_field_index("id")).to_pylist(), np.int64), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)), pa.array(owner)], names=["item", "id"])
+
+    found = texts.mapInArrow(items, "item long, id long").withColumn("c", F.count("*").over(Window.partitionBy("item"))).filter("c > 1")
+    often = F.col("c") >= OFTEN
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("item"), F.lit(64)).cast("int"))
+    told = found.groupBy("id").agg(F.count_if(often).alias("common"), F.count_if(~often).alias("rare"), F.bit_or(F.when(~often, bit).otherwise(F.lit(0).cast("long"))).alias("mask"))
+    sizes = ids.join(sketches.select("id", F.col("n_shingles").alias("n")), "id")
+    return sizes.join(told, "id", "left").na.fill(0, ["common", "rare", "mask"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label) for every linked id: the smallest id of its component.
 
@@ -192,9 +221,13 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("sketch"), i * 2 * ROWS + 1, F.lit(2 * ROWS)))).alias("band", "part")
     keyed = sketches.select("id", band).select("id", F.xxhash64("band", "part").alias("key"))
-    salted = F.xxhash64("id", "key")
-    leaders = keyed.groupBy("key").agg(F.min("id").alias("l1"), F.max("id").alias("l2"), F.min_by("id", salted).alias("l3")).filter("l1 < l2")
-    members = materialise(keyed.join(leaders, "key"))
+    met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("l1"), F.max("id").alias("l2")).filter("l1 < l2").drop("l2")
+    shared = materialise(keyed.join(met, "key"))
+    # whoever shares bands with most others is nearest to the middle of its group, so it leads its buckets
+    fame = shared.groupBy("id").agg(F.sum("n").alias("fame"))
+    placed_by_fame = shared.join(fame, "id")
+    chief = placed_by_fame.groupBy("key").agg(F.max_by("id", F.struct(F.col("fame"), -F.col("id"))).alias("l3"))
+    members = materialise(shared.drop("n").join(chief, "key"))
 
     def ordered(x: DataFrame) -> DataFrame:
         return x.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -206,10 +239,25 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     placed = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     per_label = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
     main = per_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("size")).filter("labels > 1 and size > 2")
-    open_ = placed.join(main.select("key", "main"), "key")
-    outside = open_.filter("label <> main").select("key", F.col("id").alias("x"), F.col("label").alias("lx"))
-    inside = open_.select("key", F.col("id").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("big"))
-    crossing = outside.join(inside, "key").filter("lx <> ly and (big or x < y)")
+    open_ = materialise(placed.join(main.select("key", "main", "size"), "key").withColumn("big", F.col("label") == F.col("main")))
+    sized = open_.join(shared_sizes(open_.filter(F.col("size") > FEW), sketches, df, k, id_col, text_col), "id")
+    # |x ∩ y| is at most what of each is not its own alone, so similarity t needs t / (1 + t) * (n_x + n_y) <= common + rare of both
+    step, need = float(np.log(1.02)), threshold / (1 + threshold)
+    low = F.ceil(threshold * F.col("n"))
+    high = F.floor(F.least(F.col("n") / threshold, (F.col("common") + F.col("rare")) / need - F.col("n")) + 1e-6)
+    rank = lambda c: F.floor(F.log(c.cast("double")) / step)
+    wide = sized.withColumn("low", low).withColumn("high", high).filter("high >= low")
+    facts = ("id", "label", "n", "common", "rare", "mask", "low", "high")
+    outside = wide.filter(~F.col("big")).select("key", F.explode(F.sequence(rank(F.col("low")), rank(F.col("high")))).alias("class"), *(F.col(c).alias(f"x_{c}") for c in facts))
+    inside = wide.select("key", rank(F.col("n")).alias("class"), "big", *(F.col(c).alias(f"y_{c}") for c in facts))
+    # without a common rare shingle only the common ones can meet
+    meet = F.least("x_common", "y_common") + F.when(F.col("x_mask").bitwiseAND(F.col("y_mask")) != 0, F.least("x_rare", "y_rare")).otherwise(F.lit(0))
+    close = (F.col("y_n") >= F.col("x_low")) & (F.col("y_n") <= F.col("x_high")) & (F.col("x_n") >= F.col("y_low")) & (F.col("x_n") <= F.col("y_high")) & (meet + 1e-6 >= need * (F.col("x_n") + F.col("y_n")))
+    apart = (F.col("x_label") != F.col("y_label")) & (F.col("big") | (F.col("x_id") < F.col("y_id")))
+    crossing = outside.join(inside, (outside["key"] == inside["key"]) & (outside["class"] == inside["class"]) & apart & close).select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))
+    few = open_.filter(F.col("size") <= FEW)
+    other = few.select("key", F.col("id").alias("y"), F.col("label").alias("ly"))
+    crossing = crossing.union(few.select("key", F.col("id").alias("x"), F.col("label").alias("lx")).join(other, "key").filter("x < y and lx <> ly").select("x", "y"))
     more = ordered(crossing).join(stars, ["a", "b"], "left_anti")
     extra = materialise(confirmed(likely(materialise(more), sketches, threshold), df, k, percent, id_col, text_col))
     if extra.limit(1).count():
