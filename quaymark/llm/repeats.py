@@ -116,18 +116,11 @@ def _cut(key: tuple[pa.Scalar, ...], docs: pa.Table, repeats: pa.Table) -> pa.Ta
         flat[t.word_end] = 32
         upto = np.cumsum(keep)
         out = flat[keep].tobytes()
-        edges = np.flatnonzero(np.diff(gone.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
         for d in range(len(rows)):
             a, b = int(t.first[d]), int(t.first[d] + t.counts[d])
             n_words.append(b - a)
             n_removed.append(int(gone[a:b].sum()))
-            i, j = np.searchsorted(edges, (a, b), "left")
-            runs = edges[i:j].tolist()
-            if b > a and gone[a] and (not runs or runs[0] != a):
-                runs.insert(0, a)
-            if len(runs) % 2:
-                runs.append(b)
-            spans.append([x - a for x in runs])
+            spans.append(np.flatnonzero(np.diff(gone[a:b].view(np.int8), prepend=np.int8(0), append=np.int8(0))).tolist() if n_removed[-1] else [])
             lo, hi = (int(upto[t.starts[d] - 1]) if t.starts[d] else 0), int(upto[t.ends[d] - 1])
             kept.append(out[lo : max(lo, hi - 1)].decode())
     return pa.table({"id": docs["id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept_text": pa.array(kept, pa.string())})
