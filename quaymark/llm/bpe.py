@@ -17,6 +17,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialise
+
 #: Words whose forms go into the lexicon; it bounds the file (a few MB) and changes no result.
 LEXICON_WORDS = 32_768
 LONGEST_WORD = 64
 #: Entries of a task's memory of merged words.
-MEMO = 300_000
+MEMO = 600_000
+#: Words that occur less often never get into the lexicon.
+LEAST_COUNT = 4
+NEVER = np.int32(2**31 - 1)
 #: The pre-tokenising pattern of the vocabulary (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -61,6 +67,15 @@ class Vocabulary:
         self.added = {a["content"]: a["id"] for a in data["added_tokens"]}
         for token, i in self.added.items():
             self.bytes_of[i] = token.encode()
+        self.byte_lens = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.byte_starts = np.cumsum(self.byte_lens) - self.byte_lens
+        self.byte_pool = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        pairs = sorted(((a << 20) | b, r) for (a, b), (r, _) in self.merges.items())
+        self.pair_keys, self.pair_ranks = np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int32)
+        self.by_rank = np.zeros(max((r for r, _ in self.merges.values()), default=0) + 1, np.int64)
+        for r, new in self.merges.values():
+            self.by_rank[r] = new
+        self.first_ids = np.array(self.byte_ids, np.int64)
         self.split = regex.compile(SPLIT)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
@@ -85,6 +100,63 @@ class Vocabulary:
             if at < len(found):
                 found[at] = get((ids[at], ids[at + 1]))
 
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, NEVER if it does not merge."""
+        key = (a << 20) | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NEVER)
+
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many words: their ids one after another, and how many each has.
+
+        Words of similar length form a matrix; each round merges the lowest-ranked pair of every row.
+        """
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        out: list = [None] * len(words)
+        low = 0
+        for width in (1, 4, 8, 12, 16, 24, 40, LONGEST_WORD):
+            rows = np.flatnonzero((n > low) & (n <= width))
+            low = width
+            if len(rows) and len(self.pair_keys):
+                self._merge_rows([words[i] for i in rows], n[rows], rows, width, out)
+        for i, x in enumerate(out):
+            if x is None:
+                out[i] = self.merge(words[i])
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        return (np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)), sizes
+
+    def _merge_rows(self, words: list[bytes], n: np.ndarray, rows: np.ndarray, width: int, out: list) -> None:
+        cols = np.arange(width)
+        ids = np.zeros((len(words), width), np.int64)
+        ids[cols < n[:, None]] = self.first_ids[np.frombuffer(b"".join(words), np.uint8)]
+        rank = np.full((len(words), width), NEVER, np.int32)
+        if width > 1:
+            rank[:, :-1] = self.ranks_of(ids[:, :-1], ids[:, 1:])
+            rank[cols >= n[:, None] - 1] = NEVER
+        n = n.copy()
+        while True:
+            at = rank.argmin(1)
+            best = rank[np.arange(len(ids)), at]
+            done = best == NEVER
+            if done.any():
+                for r, x, k in zip(rows[done].tolist(), ids[done], n[done].tolist()):
+                    out[r] = x[:k]
+                go = ~done
+                ids, rank, n, rows, at, best = ids[go], rank[go], n[go], rows[go], at[go], best[go]
+            if not len(ids):
+                return
+            line = np.arange(len(ids))
+            after = cols > at[:, None]
+            ids[:, :-1] = np.where(after[:, :-1], ids[:, 1:], ids[:, :-1])
+            rank[:, :-1] = np.where(after[:, :-1], rank[:, 1:], rank[:, :-1])
+            rank[:, -1] = NEVER
+            ids[line, at] = self.by_rank[best]
+            n -= 1
+            right = np.minimum(at + 1, width - 1)
+            rank[line, at] = np.where(at < n - 1, self.ranks_of(ids[line, at], ids[line, right]), NEVER)
+            left = np.maximum(at - 1, 0)
+            rank[line, left] = np.where(at > 0, self.ranks_of(ids[line, left], ids[line, at]), rank[line, left])
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap and links, for words of many bytes."""
         import heapq
@@ -207,10 +279,21 @@ class Lexicon:
 
 
 def frequent_words(df: DataFrame, text_col: str = "text", limit: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent runs of letters over all texts, at most ``limit`` of them."""
+    """The most frequent runs of letters over all texts, at most ``limit`` of them.
+
+    The counts of counts give the least count that fits the limit, so no partition sends more than its share.
+    """
     words = df.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(limit)
-    return [r["w"] for r in top.collect() if len(r["w"]) < LONGEST_WORD]
+    counts = materialise(words.groupBy("w").agg(F.count("*").alias("n")).filter((F.col("n") >= LEAST_COUNT) & (F.length("w") < LONGEST_WORD)))
+    size = F.floor(F.log2("n") * 16)  # a sixteenth of an octave a step: a few hundred rows
+    steps = sorted(((r["s"], r["k"]) for r in counts.groupBy(size.alias("s")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    total, least = 0, None
+    for s, k in steps:
+        total += k
+        if total > limit:
+            break
+        least = s
+    return [] if least is None else [r["w"] for r in counts.filter(size >= least).select("w").collect()]
 
 
 @lru_cache(maxsize=2)
@@ -223,9 +306,22 @@ def _lexicon(name: str) -> Lexicon:
     return Lexicon(SparkFiles.get(name))
 
 
+def ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The given ranges of an array, one after another."""
+    ends = np.cumsum(lens)
+    return flat[np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class Encoder:
+    """Ids of texts; words met before are kept as slots of a growing table, up to MEMO of them."""
+
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
-        self.vocabulary, self.lexicon, self.memo = vocabulary, lexicon, {}
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.flat, self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def words(self, text: str) -> list[str]:
         v = self.vocabulary
@@ -234,26 +330,54 @@ class Encoder:
         out: list[str] = []
         for part in v.specials.split(text):
             if part in v.added:
-                out.append("\0" + part)  # no pre-token of a text starts like this and goes on with a special token
+                out.append("\0" + part)  # no pre-token holds a special token's text
             elif part:
                 out += v.split.findall(part)
         return out
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def learn(self, new: list[str]) -> None:
+        """Give the words slots: from the lexicon in one walk, the others by merging."""
+        raw, v = [w.encode() for w in new], self.vocabulary
+        rank = self.lexicon.ranks(raw) if self.lexicon else np.full(len(raw), -1, np.int64)
+        special = [i for i, w in enumerate(new) if w[0] == "\0" and w[1:] in v.added]
+        rank[special] = -1
+        known, rest = np.flatnonzero(rank >= 0), np.flatnonzero(rank < 0)
+        parts, lens = [], np.zeros(len(raw), np.int64)
+        if len(known):
+            first = self.lexicon.parts[4].astype(np.int64)
+            lens[known] = first[rank[known] + 1] - first[rank[known]]
+            parts.append(ragged(self.lexicon.parts[5], first[rank[known]], lens[known]))
+        ids, n = v.merge_many([raw[i] for i in rest])
+        for k in special:
+            at = int(np.searchsorted(rest, k))
+            lo = int(n[:at].sum())
+            ids = np.concatenate([ids[:lo], [v.added[new[k][1:]]], ids[lo + int(n[at]) :]]).astype(np.int32)
+            n[at] = 1
+        lens[rest] = n
+        parts.append(ids)
+        order = np.concatenate([known, rest])
+        size, base = len(self.starts), len(self.flat)
+        starts = np.empty(len(raw), np.int64)
+        starts[order] = base + np.cumsum(lens[order]) - lens[order]
+        self.flat = np.concatenate([self.flat, *parts]).astype(np.int32)
+        self.starts, self.lens = np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
+        self.slots.update(zip(new, range(size, size + len(new))))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, and where each text's ids end (with a leading 0)."""
         split = [self.words(t or "") for t in texts]
-        memo, v = self.memo, self.vocabulary
-        new = [w for w in {w for ws in split for w in ws} if w not in memo]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list({w for ws in split for w in ws})
-        raw = [w.encode() for w in new]
-        ranks = self.lexicon.ranks(raw).tolist() if self.lexicon else [-1] * len(raw)
-        for w, b, r in zip(new, raw, ranks):
-            if w[0] == "\0" and w[1:] in v.added:
-                memo[w] = [v.added[w[1:]]]
-            else:
-                memo[w] = self.lexicon.ids(r) if r >= 0 else v.merge(b)
-        return [[i for w in ws for i in memo[w]] for ws in split]
+        every = list(chain.from_iterable(split))
+        distinct = set(every)
+        new = distinct - self.slots.keys()
+        if len(self.slots) + len(new) > MEMO:
+            self.clear()
+            new = distinct
+        if new:
+            self.learn(list(new))
+        slot = np.fromiter(map(self.slots.__getitem__, every), np.int64, len(every))
+        lens = self.lens[slot]
+        upto = np.concatenate(([0], np.cumsum(lens)))
+        return ragged(self.flat, self.starts[slot], lens), upto[np.cumsum([0, *map(len, split)])]
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -292,9 +416,7 @@ def encode(df: DataFrame, vocabulary_file: str, text_col: str = "text", to: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(_vocabulary(shared.value), _lexicon(name))
         for b in small_batches(batches, text_col):
-            ids = coder.encode(b.column(b.schema.get_field_index(text_col)).to_pylist())
-            sizes = np.cumsum([0, *map(len, ids)])
-            flat = np.fromiter((x for i in ids for x in i), np.int32, int(sizes[-1]))
+            flat, sizes = coder.encode(b.column(b.schema.get_field_index(text_col)).to_pylist())
             names = [n for n in b.schema.names if n != to]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(b.schema.get_field_index(n)) for n in names), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], names=[*names, to])
@@ -309,10 +431,15 @@ def decode(df: DataFrame, vocabulary_file: str, ids_col: str = "ids", to: str =
     shared = df.sparkSession.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _vocabulary(shared.value).bytes_of
-        for b in small_batches(batches, ids_col, 8_000_000):
-            column = b.column(b.schema.get_field_index(ids_col))
-            texts = [b"".join([table[i] for i in ids]).decode("utf-8", "replace") if ids else "" for ids in column.to_pylist()]
+        v = _vocabulary(shared.value)
+        for b in small_batches(batches, ids_col, 4_000_000):
+            column = b.column(b.schema.get_field_index(ids_col)).fill_null([])
+            ends, ids = np.asarray(column.offsets), np.asarray(column.values)
+            ids = ids[ends[0] : ends[-1]]
+            lens = v.byte_lens[ids]
+            raw = ragged(v.byte_pool, v.byte_starts[ids], lens).tobytes()
+            cuts = np.concatenate(([0], np.cumsum(lens)))[ends - ends[0]].tolist()
+            texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(cuts, cuts[1:])]
             names = [n for n in b.schema.names if n != to]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(texts, pa.string())], names=[*names, to])
 
