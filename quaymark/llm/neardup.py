@@ -35,6 +35,8 @@ ERRORS = 5.0
 CHUNK = 1_000_000
 #: Open buckets up to this size compare all members of different components.
 FEW = 8
+#: Ids up to which a table of them is broadcast (about 16 MB).
+BROADCAST_IDS = 1_000_000
 #: In how many open documents a shingle counts as common.
 OFTEN = 64
 _random = np.random.default_rng(15485863)
@@ -42,6 +44,12 @@ FACTORS = (_random.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(
 OFFSETS = _random.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 
 
+def bounded(ids: DataFrame) -> DataFrame:
+    """A table of ids, broadcast if it is small enough, so that texts need not be shuffled; a larger one is joined by shuffles."""
+    ids = materialise(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; ASCII letters are lower-cased.
 
@@ -133,7 +141,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame
 def confirmed(pairs: DataFrame, df: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(bounded(wanted), "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
@@ -159,14 +167,16 @@ def confirmed(pairs: DataFrame, df: DataFrame, k: int, percent: int, id_col: str
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
-def shared_sizes(members: DataFrame, sketches: DataFrame, df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+def shared_sizes(members: DataFrame, sketches: DataFrame, df: DataFrame, k: int, id_col: str, text_col: str, repeated: bool = True) -> DataFrame:
     """(id, n, common, rare, mask) of the given ids.
 
     n is the set's size, common how many of its shingles at least OFTEN of these sets hold, rare how many others
     at least one more of them holds, and mask a 64-bit filter of the rare ones.
     """
     ids = members.select("id").distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(bounded(ids), "id", "left_semi")
+    if repeated:
+        texts = texts.dropDuplicates(["id"])
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,6 +224,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     every = materialise(sketch(df, k, id_col, text_col))
     full = every.filter("n_shingles > 0 and id is not null")
     classes = full.groupBy("n_shingles", "f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+    repeated = full.groupBy("id").count().filter("count > 1").limit(1).count() > 0
     copies = materialise(classes.filter("rep < last").drop("last"))
     same = ["n_shingles", "f1", "f2"]
     follows = full.join(copies, same).filter("id <> rep").select("id", "rep").distinct()
@@ -240,7 +251,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     per_label = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
     main = per_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("size")).filter("labels > 1 and size > 2")
     open_ = materialise(placed.join(main.select("key", "main", "size"), "key").withColumn("big", F.col("label") == F.col("main")))
-    sized = open_.join(shared_sizes(open_.filter(F.col("size") > FEW), sketches, df, k, id_col, text_col), "id")
+    sized = open_.join(shared_sizes(open_.filter(F.col("size") > FEW), sketches, df, k, id_col, text_col, repeated), "id")
     # |x ∩ y| is at most what of each is not its own alone, so similarity t needs t / (1 + t) * (n_x + n_y) <= common + rare of both
     step, need = float(np.log(1.02)), threshold / (1 + threshold)
     low = F.ceil(threshold * F.col("n"))
@@ -275,4 +286,4 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The documents without all but one of each component of near copies (five-word shingles, 80 percent); same columns."""
     gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
