@@ -1,14 +1,16 @@
 """Mixing sources to target weights by hash-threshold histograms (DataFrame functions only).
 
 Sizes are summed by source and hash bucket.  The bucket in which a source's running sum
-crosses its budget is the only one refined, 15 bits of a 60-bit hash at a time; after
-four levels the threshold is a full hash value and a plain filter makes the mix.
+crosses its budget is the only one refined, 10 bits of a 60-bit hash at a time; after
+six levels the threshold is a full hash value and a plain filter makes the mix.
 No document table is ever sorted.  A budget over the source's size takes every document once
 and thresholds the rest, so budgets are nested: a larger one only adds documents.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from .common import WORD, materialise
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2
-LEVELS, BITS = 4, 15
+LEVELS, BITS = 6, 10
 #: Rows up to which a table of one row per source is broadcast; beyond it a shuffled join is planned.
 BROADCAST_ROWS = 100_000
 
@@ -109,6 +111,7 @@ def mix_rows(docs: DataFrame) -> DataFrame:
     rows = materialise(docs.select(source.alias("source"), words().alias("size"), place.alias("h")))
     plan, small = thresholds(rows)
     joined = docs.join(F.broadcast(plan) if small else plan, source.eqNullSafe(plan["s"]))
-    times = F.sequence(F.lit(1), F.col("base") + (place < F.col("below")).cast("int"))
-    wanted = joined.filter((F.col("base") == 1) | (place < F.col("below")))
-    return wanted.select(*(docs[c] for c in docs.columns), F.explode(times).alias("_again")).select(*docs.columns)
+    times = F.sequence(F.lit(1), plan["base"] + (place < plan["below"]).cast("int"))
+    wanted = joined.filter((plan["base"] == 1) | (place < plan["below"]))
+    again = f"_again_{uuid.uuid4().hex}"
+    return wanted.select(*(docs[c] for c in docs.columns), F.explode(times).alias(again)).drop(again)
