@@ -228,17 +228,17 @@ def _cut(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table) -> pa.Tabl
     own = np.unique(np.array([k for k, c, m in zip(mk.tolist(), mc.tolist(), mask) if m is not None and k == c], np.int64))
     known = {(k, c): m for k, c, m in zip(mk.tolist(), mc.tolist(), mask) if m is not None}
     anchors = np.unique(mk)
-    runs_of, windows_of = [], []
-    for _, ids, texts in chunks(docs):
+    runs_of, windows_of, read = [], [], []
+    for rows, ids, texts in chunks(docs):
         r = Runs(texts)
-        runs_of.append((r.contexts() ^ r.anchor, ids[r.owner], r.at - r.starts[r.owner]))
+        read.append((rows, r, r.contexts()))
+        runs_of.append((read[-1][2] ^ r.anchor, ids[r.owner], r.at - r.starts[r.owner]))
         starts, h = r.windows(np.flatnonzero(member(hot, r.anchor)))
         o = np.searchsorted(r.ends, starts, "right")
         windows_of.append((h, ids[o], starts - r.starts[o]))
     is_head, is_first = first_places(runs_of), first_places(windows_of)
     n_bytes, n_removed, spans, kept, base, base_w = [], [], [], [], 0, 0
-    for rows, ids, texts in chunks(docs):
-        r = Runs(texts)
+    for rows, r, c in read:
         n = len(r.at)
         first_here = is_head[base : base + n]
         base += n
@@ -246,7 +246,6 @@ def _cut(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table) -> pa.Tabl
         whole = ~first_here  # a context that occurs before in this group: all of its windows repeat
         np.add.at(cover, r.at[whole], 1)
         np.add.at(cover, r.at[whole] + r.size[whole] + LENGTH - 1, -1)
-        c = r.contexts()
         for x in np.flatnonzero(first_here & member(anchors, r.anchor)).tolist():
             m = known.get((int(r.anchor[x]), int(c[x])))
             if m is not None:
