@@ -33,7 +33,7 @@ from .common import materialise
 LEXICON_WORDS = 32_768
 LONGEST_WORD = 64
 #: Entries of a task's memory of merged words.
-MEMO = 600_000
+MEMO = 250_000
 #: Words that occur less often never get into the lexicon.
 LEAST_COUNT = 4
 NEVER = np.int32(2**31 - 1)
@@ -380,7 +380,7 @@ class Encoder:
         return ragged(self.flat, self.starts[slot], lens), upto[np.cumsum([0, *map(len, split)])]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a column's buffers stay within about ``most`` bytes (a row is never cut)."""
     for b in batches:
         i = b.schema.get_field_index(column)
@@ -432,7 +432,7 @@ def decode(df: DataFrame, vocabulary_file: str, ids_col: str = "ids", to: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared.value)
-        for b in small_batches(batches, ids_col, 4_000_000):
+        for b in small_batches(batches, ids_col, 2_000_000):
             column = b.column(b.schema.get_field_index(ids_col)).fill_null([])
             ends, ids = np.asarray(column.offsets), np.asarray(column.values)
             ids = ids[ends[0] : ends[-1]]

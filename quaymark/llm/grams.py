@@ -16,7 +16,7 @@ _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to the powers 0 to n - 1 and their inverses, modulo 2^64; what is longer than 2 MB of text is not kept."""
+    """BASE to the powers 0 to n - 1 and their inverses, modulo 2^64; what is longer than 1 MB of text is not kept."""
     if len(_powers["up"]) >= n:
         return _powers["up"][:n], _powers["down"][:n]
     size = max(n, 1 << 16)
@@ -25,7 +25,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         x = np.full(size, b, np.uint64)
         x[0] = U(1)
         made.append(np.cumprod(x))
-    if size <= 1 << 21:
+    if size <= 1 << 20:
         _powers["up"], _powers["down"] = made
     return made[0][:n], made[1][:n]
 

@@ -195,6 +195,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 scores.append(float((second - row[order[0]]) / second) if second else 0.0)
             names = [n for n in b.schema.names if n not in ("lang_pred", "score")]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+        _parsers.clear()  # the worker may serve other operators next
 
     return df.mapInArrow(run, schema)
 

@@ -32,7 +32,7 @@ BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 #: A pair is dropped when its estimate is over five standard errors below the threshold.
 ERRORS = 5.0
-CHUNK = 1_000_000
+CHUNK = 300_000
 #: Open buckets up to this size compare all members of different components.
 FEW = 8
 #: Ids up to which a table of them is broadcast (about 16 MB).
@@ -154,7 +154,7 @@ def confirmed(pairs: DataFrame, df: DataFrame, k: int, percent: int, id_col: str
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in small_batches(iter([batch]), "i_a"):
+            for x in small_batches(iter([batch]), "i_a", 1_000_000):
                 left = x.column(x.schema.get_field_index("i_a")).to_pylist()
                 right = x.column(x.schema.get_field_index("i_b")).to_pylist()
                 ok = []

@@ -23,7 +23,7 @@ from .grams import Texts, parts, sliding_min
 
 WINDOW, SEED = 13, 5
 GROUPS_PER_PARTITION = 8
-CHUNK = 1_000_000
+CHUNK = 800_000
 LAST = np.iinfo(np.int64).max
 
 
