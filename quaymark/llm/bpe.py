@@ -33,7 +33,7 @@ from .common import materialise
 LEXICON_WORDS = 32_768
 LONGEST_WORD = 64
 #: Entries of a task's memory of merged words.
-MEMO = 250_000
+MEMO = 100_000
 #: Words that occur less often never get into the lexicon.
 LEAST_COUNT = 4
 NEVER = np.int32(2**31 - 1)
@@ -380,6 +380,16 @@ class Encoder:
         return ragged(self.flat, self.starts[slot], lens), upto[np.cumsum([0, *map(len, split)])]
 
 
+def release() -> None:
+    """Give freed memory back to the system at a task's end, as Spark keeps the worker for later tasks (glibc only)."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a column's buffers stay within about ``most`` bytes (a row is never cut)."""
     for b in batches:
@@ -387,6 +397,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_
         rows = max(1, int(b.num_rows * most / max(1, b.column(i).nbytes)))
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    release()
 
 
 def with_column(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
