@@ -1,12 +1,12 @@
 """Personal data by patterns, and information-theoretic sanitisation (DataFrame functions only).
 
-Patterns find the base spans.  Every entity (kind and normalised value) then has a
-context: the words within 64 code points on either side.  Corpus statistics over all documents
+Patterns find the base spans.  The context of an entity (kind and normalised value) is every
+word outside base spans of each document that holds it.  Corpus statistics over all documents
 estimate how strongly a context word t reveals an entity e: with document counts
 n(t, e), n(t), n(e) and N documents, P(e | t) = n(t, e) / n(t) and
 I(t; e) = log2(n(t, e) N / (n(t) n(e))).  A word over both thresholds, with enough
-support, becomes a span of kind ``term`` wherever it stands in a context of that entity.
-Documents without base spans are never changed.
+support, becomes a span of kind ``term`` wherever it stands in a document of that entity.
+n(t) and n(t, e) both count words outside base spans.  Documents without base spans are never changed.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-CONTEXT = 64
 LEAST_WORD = 3
 LEAST_SUPPORT = 2
 LEAST_SHARE = 0.5
@@ -49,7 +48,18 @@ def located(text: Column, pattern: str) -> Column:
         end = begin + F.length(x["hit"])
         return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("found"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+    def append(acc, part):
+        moved = F.transform(part["found"], lambda x: F.struct((acc["at"] + x["start"]).alias("start"), (acc["at"] + x["end"]).alias("end"), x["hit"].alias("hit")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["found"], moved).alias("found"))
+
+    def by_parts(every) -> Column:
+        # every step copies what is found so far: parts of about the root of the number keep that short
+        n = F.size(every)
+        part = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), part), lambda i: F.aggregate(F.slice(every, i + 1, part), start, step))
+        return F.aggregate(parts, start, append, lambda acc: acc["found"])
+
+    return F.element_at(F.transform(F.array(pairs), by_parts), 1)
 
 
 def luhn(digits: Column) -> Column:
@@ -83,24 +93,37 @@ def base_spans(text: Column) -> Column:
     ))
 
 
-def context_terms(text: Column, spans: Column) -> Column:
-    """array<struct<entity, term, start, end>>: whole words near each base span, outside all base spans."""
+def outside(text: Column, spans: Column) -> Column:
+    """array<struct<start, piece>>: the stretches of a text between its base spans."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,size:int>>").alias("out"))
+
+    def piece(begin: Column, end: Column) -> Column:
+        return F.array(F.struct(begin.alias("start"), F.greatest(end - begin, F.lit(0)).alias("size")))
+
+    def step(acc, s):
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], s["start"])).alias("out"))
+
+    cuts = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(text))))
+    return F.transform(cuts, lambda c: F.struct(c["start"].alias("start"), F.substring(text, c["start"] + 1, c["size"]).alias("piece")))
+
 
-    def near(s, begin: Column, piece: Column, cut_left: Column, cut_right: Column) -> Column:
-        size = F.length(piece)
-        found = F.filter(located(piece, TOKEN), lambda w: (F.length(w["hit"]) >= LEAST_WORD) & ~(cut_left & (w["start"] == 0)) & ~(cut_right & (w["end"] == size)))
-        return F.transform(found, lambda w: F.struct(
-            F.concat(s["kind"].cast("string"), F.lit(":"), s["value"]).alias("entity"), F.lower(w["hit"]).alias("term"),
-            (begin + w["start"]).alias("start"), (begin + w["end"]).alias("end")))
+def words(text: Column) -> Column:
+    long_enough = F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda w: F.length(w) >= LEAST_WORD)
+    return F.transform(long_enough, F.lower)
 
-    def both(s) -> Column:
-        left = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        before = F.substring(text, left + 1, s["start"] - left)
-        after = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
-        return F.concat(near(s, left, before, left > 0, F.lit(False)), near(s, s["end"], after, F.lit(False), F.length(after) == CONTEXT))
 
-    every = F.flatten(F.transform(spans, both))
-    return F.filter(every, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+def words_outside(text: Column, spans: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(outside(text, spans), lambda p: words(p["piece"]))))
+
+
+def placed_words(text: Column, spans: Column) -> Column:
+    """array<struct<term, start, end>>: every word outside the base spans and its place."""
+
+    def of(p) -> Column:
+        found = F.filter(located(p["piece"], TOKEN), lambda w: F.length(w["hit"]) >= LEAST_WORD)
+        return F.transform(found, lambda w: F.struct(F.lower(w["hit"]).alias("term"), (p["start"] + w["start"]).alias("start"), (p["start"] + w["end"]).alias("end")))
+
+    return F.flatten(F.transform(outside(text, spans), of))
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,30 +135,44 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = df.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_th"))
+    n_docs = df.count()
     spotted = materialise(
         read.withColumn("_base", base_spans(F.col("_text")))
-        .select("_id", "_th", "_base", F.when(F.size("_base") > 0, context_terms(F.col("_text"), F.col("_base"))).alias("_terms"))
+        .select("_id", "_th", "_base", F.when(F.size("_base") > 0, F.col("_text")).alias("_text"))
     )
-    uses = spotted.filter(F.size("_base") > 0).select("_id", "_th", F.explode("_terms").alias("t")).select("_id", "_th", "t.*")
+    holding = spotted.filter(F.size("_base") > 0)
+    # a repeated row is one document for the support and counts as often as it stands for the shares
+    docs = materialise(holding.groupBy("_id", "_th").agg(F.count("*").alias("_rows"), F.first("_base").alias("_base"), F.first("_text").alias("_text")))
+    names = F.array_distinct(F.transform("_base", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), s["value"])))
+    named = docs.select("_id", "_th", "_rows", F.explode(names).alias("entity"))
+    # n(t, e) <= n(t) bounds the bits by log2(N / n(e)): other entities, and those of one document, have no telling word
     entity_docs = (
-        spotted.filter(F.size("_base") > 0).select("_id", "_th", F.explode(F.array_distinct(F.transform("_base", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), s["value"])))).alias("entity"))
-        .groupBy("entity").agg(F.count("*").alias("n_e"))
+        named.groupBy("entity").agg(F.sum("_rows").alias("n_e"), F.count("*").alias("_support"))
+        .filter((F.col("_support") >= LEAST_SUPPORT) & (F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_e")) >= LEAST_BITS)).select("entity", "n_e")
     )
-    pairs = uses.select("_id", "_th", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= LEAST_SUPPORT)
-    vocabulary = read.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TOKEN), F.lit(0)))).alias("term")).filter(F.length("term") >= LEAST_WORD)
-    # P(e | t) >= LEAST_SHARE needs n(t) <= n(t, e) / LEAST_SHARE; a word's count is summed per task before it is sent
-    n_t = vocabulary.groupBy("term").agg(F.count("*").alias("n_t"))
-    n_docs = df.count()
+    held = named.join(entity_docs, "entity").groupBy("_id", "_th").agg(F.collect_list("entity").alias("_entities")).select(F.col("_id").alias("_hid"), F.col("_th").alias("_hth"), "_entities")
+    read_again = docs.join(held, F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_th") == F.col("_hth")))
+    uses = (
+        read_again.select("_id", "_th", "_rows", "_entities", F.explode(words_outside(F.col("_text"), F.col("_base"))).alias("term"))
+        .select("_id", "_th", "_rows", "term", F.explode("_entities").alias("entity"))
+    )
+    pairs = uses.groupBy("entity", "term").agg(F.sum("_rows").alias("n_te"), F.count("*").alias("_support")).filter(F.col("_support") >= LEAST_SUPPORT)
+    # words of all texts, less those that stand in base spans only; a word's count is summed per task before it is sent
+    whole, apart = F.array_distinct(words(F.col("_text"))), words_outside(F.col("_text"), F.col("_base"))
+    counted = [(read, whole, 1), (holding, F.array_except(whole, apart), -1), (holding, F.array_except(apart, whole), 1)]
+    vocabulary = [x.select(F.explode(w).alias("term"), F.lit(k).alias("k")) for x, w, k in counted]
+    n_t = vocabulary[0].unionAll(vocabulary[1]).unionAll(vocabulary[2]).groupBy("term").agg(F.sum("k").alias("n_t"))
     telling = (
         pairs.join(n_t, "term").filter(F.col("n_te") >= LEAST_SHARE * F.col("n_t"))
         .join(entity_docs, "entity")
         .withColumn("bits", F.log2(F.col("n_te") * F.lit(float(max(n_docs, 1))) / (F.col("n_t") * F.col("n_e"))))
         .filter(F.col("bits") >= LEAST_BITS).select("entity", "term", "bits")
     )
+    told = uses.join(telling, ["entity", "term"]).groupBy("_id", "_th", "term").agg(F.max("bits").alias("bits"))
+    places = read_again.select("_id", "_th", F.explode(placed_words(F.col("_text"), F.col("_base"))).alias("w")).select("_id", "_th", "w.*")
     added = (
-        uses.join(telling, ["entity", "term"])
-        .groupBy("_id", "_th", "start", "end").agg(F.max("bits").alias("bits"))
-        .groupBy("_id", "_th").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "bits")).alias("_added"))
+        places.alias("p").join(told.alias("t"), F.col("p._id").eqNullSafe(F.col("t._id")) & (F.col("p._th") == F.col("t._th")) & (F.col("p.term") == F.col("t.term")))
+        .groupBy("p._id", "p._th").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "bits")).alias("_added"))
     )
     joined = spotted.alias("a").join(added.alias("b"), F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._th") == F.col("b._th")), "left")
     flat = F.transform(F.col("a._base"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(0.0).alias("bits")))

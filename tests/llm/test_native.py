@@ -124,3 +124,40 @@ def test_pii_terms(spark):
     assert f"term:{text.index('goods')}" not in found[0].d
     out = {x.doc_id: x.sanitised for x in pii.sanitise(frame(spark, rows)).collect()}
     assert "[EMAIL]" in out[0] and "Zebulon" not in out[0] and "goods" in out[0] and out[10] == rows[4][1]
+
+
+def brute_terms(rows):
+    """Places of telling words by counting every word of every document outside its base spans."""
+    docs = []
+    for i, text, _ in rows:
+        base = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(KINDS[0][1], text)]
+        at, found = 0, []
+        for b, e, _ in base + [(len(text), len(text), "")]:
+            found += [(m.start() + at, m.end() + at, m[0].lower()) for m in re.finditer(r"[^\W_]+", text[at:b]) if len(m[0]) >= 3]
+            at = e
+        docs.append((i, {v for *_, v in base}, found))
+    n_t, n_e, n_te = defaultdict(int), defaultdict(int), defaultdict(int)
+    for _, entities, found in docs:
+        for t in {w for *_, w in found}:
+            n_t[t] += 1
+            for e in entities:
+                n_te[t, e] += 1
+        for e in entities:
+            n_e[e] += 1
+    telling = {(t, e) for (t, e), n in n_te.items() if n >= 2 and n >= n_t[t] / 2 and n * len(rows) >= 8 * n_t[t] * n_e[e]}
+    return {i: {(b, e) for b, e, w in found if any((w, x) in telling for x in entities)} for i, entities, found in docs}
+
+
+def test_pii_terms_far_away(spark):
+    """A telling word counts at any distance, and at a distance that varies between documents."""
+    r = random.Random(5)
+    some = lambda n: " ".join(r.choice(["goods", "market", "price", "order", "late"]) for _ in range(n))
+    rows = [(i, f"Zebulon Quirk writes. {some(40 * i)} yours zeb@quirk.org, {some(30)} zebulon", "s") for i in range(4)]
+    rows += [(10 + i, f"{some(200)} Ottilie{i % 3} {some(r.randint(0, 60))} \U0001f600 o{i % 3}@host.org {some(r.randint(0, 60))} zeb@host.org", "s") for i in range(12)]
+    rows += [(100 + i, f"{some(30)} quirk@else.org {i}" if i % 9 == 0 else some(30), "s") for i in range(150)]
+    found = {x.doc_id: x.spans for x in pii.find(frame(spark, rows)).select("doc_id", "spans").collect()}
+    want = brute_terms(rows)
+    assert {i: {(s.start, s.end) for s in v if s.kind == 4} for i, v in found.items()} == want
+    assert (0, 7) in want[3] and sum(map(len, want.values())) >= 20
+    out = {x.doc_id: x.sanitised for x in pii.sanitise(frame(spark, rows)).collect()}
+    assert not any("zebulon" in out[i].lower() or "Quirk" in out[i] for i in range(4)) and not any("Ottilie" in out[10 + i] for i in range(12))
