@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,11 +59,38 @@ def events_from_offers(offers: DataFrame, runs: DataFrame, moves: DataFrame, day
     return new.unionByName(gone).unionByName(price).distinct()
 
 
-def dedupe_events(events: DataFrame, days: int = 14) -> DataFrame:
-    """Events without later ones of the same seller, type and name key within some days of the one before."""
-    w = Window.partitionBy("seller_id", "event_type", "name_key").orderBy("at", "event_id")
-    before = F.lag("at").over(w)
-    return events.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col("at") > F.col("_b") + F.expr(f"INTERVAL {days} DAYS"))).drop("_b")
+def dedupe_events(events: DataFrame, days: int = 14, least: int = 8) -> DataFrame:
+    """Events without those that repeat a kept one of the same seller and type within some days.
+
+    An event repeats a kept one with an equal name key, or, where its own key has ``least`` characters, with a key that
+    holds or is held by its own.  Each (seller, type) is read once in time order; only kept events of the last days are
+    remembered.  Events without a seller, type, name key or time are kept and not compared.
+    """
+    who, span = ["seller_id", "event_type"], days * 86_400_000_000
+    columns = events.columns
+    x = events.withColumn("_us", F.unix_micros(F.col("at").cast("timestamp"))).repartition(*who).sortWithinPartitions(*who, "_us", "event_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from collections import OrderedDict
+
+        group, kept = None, OrderedDict()  # name keys by the time of their kept event, the oldest first
+        for b in batches:
+            keep = []
+            for seller, kind, key, at in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (*who, "name_key", "_us"))):
+                if (seller, kind) != group:
+                    group, kept = (seller, kind), OrderedDict()
+                if seller is None or kind is None or not key or at is None:
+                    keep.append(True)
+                    continue
+                while kept and at - next(iter(kept.values())) > span:
+                    kept.popitem(last=False)
+                again = key in kept or (len(key) >= least and any(key in k or k in key for k in kept))
+                keep.append(not again)
+                if not again:
+                    kept[key] = at
+            yield b.filter(pa.array(keep, pa.bool_())).select(columns)
+
+    return x.mapInArrow(run, events.schema)
 
 
 def run_status(runs: DataFrame) -> DataFrame:

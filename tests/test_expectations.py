@@ -128,3 +128,27 @@ def test_streams_over_two_file_drops(spark, tmp_path):
 @pytest.mark.parametrize("field, a, b, want", [("price", 5, 7, 1), ("range_m", 5, 7, -1), ("price", 5, 5, 0)])
 def test_better_value(spark, field, a, b, want):
     assert column(spark, [a], text.better_value(field, F.col("v"), F.lit(b)), "int") == [want]
+
+
+def test_dedupe_events_compares_with_kept_events(spark):
+    import datetime as dt
+    import random
+
+    from quaymark.operators import news
+
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    schema = "event_id long, seller_id long, event_type string, name_key string, at timestamp, note string"
+    run = lambda rows: {r.event_id for r in news.dedupe_events(spark.createDataFrame(rows, schema)).collect()}
+    assert run([(n, 1, "new", "k", day(n), "x") for n in (0, 10, 20, 30)]) == {0, 20}
+    held = [(0, 1, "new", "mic", day(0), None), (1, 1, "new", "micsystem20", day(1), None), (2, 1, "new", "alphaprime", day(1), None), (3, 1, "new", "alphaprimeblack", day(2), None),
+            (4, 1, "new", "alpha", day(3), None), (5, 2, "new", "alphaprime", day(3), None), (6, 1, "gone", "alphaprime", day(3), None), (7, 1, "new", None, day(3), None), (8, 1, "new", None, day(3), None)]
+    assert run(held) == {0, 2, 4, 5, 6, 7, 8}  # a short new key is not looked for inside others
+    r = random.Random(1)
+    names = ["a", "ab", "abcdefgh", "abcdefghij", "zzabcdefgh", "other", "otherword", "longotherword", "", None]
+    rows = [(i, r.randint(1, 3), r.choice(["new", "gone"]), r.choice(names), day(r.randint(0, 90)), "x") for i in range(400)]
+    saved = []
+    for e in sorted(rows, key=lambda e: (e[4], e[0])):
+        near = [k[3] for k in saved if k[1:3] == e[1:3] and k[3] and e[4] - k[4] <= dt.timedelta(days=14)]
+        if not (e[3] and any(e[3] == k or (len(e[3]) >= 8 and (e[3] in k or k in e[3])) for k in near)):
+            saved.append(e)
+    assert run(rows) == {e[0] for e in saved}
