@@ -72,14 +72,19 @@ def signal_category_growth(spark, d):
     return O.category_growth(demand_obs(spark, d), "day", own, change=-0.5).withColumn("change", F.bround("change", 6))
 
 
+def use_cases(spark, d):
+    """Texts, terms, and the terms that texts of several sources hold and own texts lack."""
+    docs = read(spark, d, "documents").select("doc_id", "source", "text")
+    t = read(spark, d, "benchmark").select(F.lower(F.split_part("text", F.lit(" "), F.lit(3))).alias("term")).filter(F.length("term") >= 6).distinct()
+    return docs, t, J.mentions_gap(docs.filter("source <> 'src1'"), docs.filter("source = 'src1'"), t, "text", "source")
+
+
 @query("signal_use_case_gap", """WITH t AS (SELECT DISTINCT lower(split_part(text, ' ', 3)) AS term FROM benchmark WHERE length(split_part(text, ' ', 3)) >= 6), h AS (SELECT term, doc_id, source FROM documents JOIN t ON contains(lower(text), term) WHERE source <> 'src1'), g AS (SELECT term, count(DISTINCT source) AS sellers FROM h GROUP BY 1 HAVING count(DISTINCT source) >= 2)
     SELECT term, doc_id, rn FROM (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS rn FROM h JOIN g USING (term) WHERE term NOT IN (SELECT term FROM documents JOIN t ON contains(lower(text), term) WHERE source = 'src1')) WHERE rn <= 10""")
 def signal_use_case_gap(spark, d):
     from ..operators.series import first_rows
 
-    docs = read(spark, d, "documents").select("doc_id", "source", "text")
-    t = read(spark, d, "benchmark").select(F.lower(F.split_part("text", F.lit(" "), F.lit(3))).alias("term")).filter(F.length("term") >= 6).distinct()
-    gap = J.mentions_gap(docs.filter("source <> 'src1'"), docs.filter("source = 'src1'"), t, "text", "source")
+    docs, t, gap = use_cases(spark, d)
     hits = docs.filter("source <> 'src1'").join(bounded(t), F.contains(F.lower("text"), F.col("term"))).join(gap, "term", "left_semi")
     return first_rows(hits.select("term", "doc_id"), ["term"], [F.asc("doc_id")], 10).select("term", "doc_id", F.col("rn").cast("long").alias("rn"))
 
@@ -118,7 +123,10 @@ def run_signals(spark, d):
     price = signal_price_change(spark, d).select(F.concat(F.lit("price:"), F.col("offer_id").cast("string")).alias("dedupe_key"), F.lit("price_change").alias("finding_type"))
     cat = signal_new_category(spark, d).select(F.concat_ws(":", F.lit("cat"), "category", F.col("seller_id").cast("string")).alias("dedupe_key"), "finding_type")
     dem = signal_demand_change(spark, d).select(F.concat(F.lit("demand:"), F.col("term")).alias("dedupe_key"), "finding_type")
-    every = price.unionByName(cat).unionByName(dem).distinct()
+    odd = signal_demand_anomaly(spark, d).select(F.concat(F.lit("anom:"), F.col("term")).alias("dedupe_key"), "finding_type")
+    multi = signal_multi_seller_model(spark, d).select(F.concat_ws(":", F.lit("multi"), "brand", "model_key").alias("dedupe_key"), F.lit("multi_seller_model").alias("finding_type"))
+    use = use_cases(spark, d)[2].select(F.concat(F.lit("usecase:"), F.col("term")).alias("dedupe_key"), F.lit("use_case_gap").alias("finding_type"))
+    every = price.unionByName(cat).unionByName(multi).unionByName(dem).unionByName(odd).unionByName(use).distinct()
     stored = cat.filter("dedupe_key LIKE 'cat:E%'").withColumn("status", F.lit("seen"))
     return changes.emit_findings(stored, every)
 

@@ -152,3 +152,18 @@ def test_dedupe_events_compares_with_kept_events(spark):
         if not (e[3] and any(e[3] == k or (len(e[3]) >= 8 and (e[3] in k or k in e[3])) for k in near)):
             saved.append(e)
     assert run(rows) == {e[0] for e in saved}
+
+
+def test_run_signals_holds_the_findings_of_all_five_detectors(spark, sf):
+    from quaymark import plans
+
+    rows = lambda name: plans.QUERIES[name](spark, sf).collect()
+    got = rows("run_signals")
+    of = lambda *kinds: {r.dedupe_key for r in got if r.finding_type in kinds}
+    assert len({r.dedupe_key for r in got}) == len(got)
+    assert of("multi_seller_model") == {f"multi:{r.brand}:{r.model_key}" for r in rows("signal_multi_seller_model")} != set()
+    assert of("use_case_gap") == {f"usecase:{r.term}" for r in rows("signal_use_case_gap")}
+    assert of("anomaly") == {f"anom:{r.term}" for r in rows("signal_demand_anomaly")} != set()
+    assert of("growth", "decline") == {f"demand:{r.term}" for r in rows("signal_demand_change")}
+    assert of("price_change") == {f"price:{r.offer_id}" for r in rows("signal_price_change")}
+    assert of("new_category") == {f"cat:{r.category}:{r.seller_id}" for r in rows("signal_new_category")}
