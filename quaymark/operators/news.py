@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,17 +29,29 @@ def near_equal(a: Column, b: Column, share: float = 0.1, most: int = 30) -> Colu
     return (F.abs(F.length(a) - F.length(b)) < most) & (F.levenshtein(a, b) <= n * share)
 
 
-def diff_versions(df: DataFrame, page: str, version: str, lines: str) -> DataFrame:
-    """Lines that a version adds and removes against the one before, without near-equal ones; small changes are noise."""
+def diff_versions(df: DataFrame, page: str, version: str, lines: str, items: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Lines that a version adds and removes against the one before, without near-equal ones; small changes are noise.
+
+    ``items`` names the links, array<struct<t, u>> as ``normalise_page`` gives them: those whose url is new or gone come
+    out as items_added and items_removed, and one new link or three gone ones make a change real whatever its text.
+    """
     w = Window.partitionBy(page).orderBy(version)
-    x = df.withColumn("old", F.lag(lines).over(w)).filter("old IS NOT NULL")
+    was = {} if items is None else {"_was": F.lag(items).over(w)}
+    x = df.withColumns({"old": F.lag(lines).over(w)} | was).filter("old IS NOT NULL")
     plus, minus = F.array_except(lines, "old"), F.array_except("old", lines)
     x = x.withColumn("plus", plus).withColumn("minus", minus)
     added = F.filter("plus", lambda a: ~F.exists("minus", lambda b: near_equal(a, b)))
     removed = F.filter("minus", lambda b: ~F.exists("plus", lambda a: near_equal(a, b)))
     x = x.withColumn("added", added).withColumn("removed", removed)
     chars = F.aggregate("added", F.lit(0), lambda s, a: s + F.length(a))
-    return x.withColumn("noise", ~((chars >= 60) | (F.size("removed") >= 3))).select(page, version, "added", "removed", "noise")
+    real, links = (chars >= 60) | (F.size("removed") >= 3), []
+    if items is not None:
+        none = F.array().cast("array<struct<t:string,u:string>>")
+        x = x.withColumn("_new", F.coalesce(items, none)).withColumn("_old", F.coalesce("_was", none))
+        without = lambda a, b: F.array_distinct(F.filter(a, lambda i: ~F.exists(b, lambda k: k["u"].eqNullSafe(i["u"]))))
+        x = x.withColumn("items_added", without("_new", F.col("_old"))).withColumn("items_removed", without("_old", F.col("_new")))
+        real, links = real | (F.size("items_added") >= 1) | (F.size("items_removed") >= 3), ["items_added", "items_removed"]
+    return x.withColumn("noise", ~real).select(page, version, *keep, "added", "removed", *links, "noise")
 
 
 def classify_changes(diffs: DataFrame, rules: Sequence[Rule], text: str, most: int = 8) -> DataFrame:
@@ -49,6 +61,38 @@ def classify_changes(diffs: DataFrame, rules: Sequence[Rule], text: str, most: i
     return x.withColumn("event_type", first_label(rules, F.lit("content"))).withColumn("importance", F.least(F.lit(5), 1 + n)).withColumn("examples", F.slice("added", 1, most))
 
 
+def classify_links(
+    diffs: DataFrame, kind: str, url: str, product: Callable[[Column], Column], category: Callable[[Column], Column], event_type: Column,
+    listings: Sequence[str] = ("catalog", "home", "category"), least: int = 60,
+) -> DataFrame:
+    """Events of each real change by page kind, added links and added text, one row each.
+
+    On listing pages a new link is a product (at most 8) or, if not, a category (at most 4); with neither, twice ``least``
+    characters of new text are a change of the site.  On other pages new links with a title of 12 characters (at most 5)
+    are publications of ``event_type``, a column over the page kind and ``body``, the added text in lower case; without
+    such links ``least`` characters of new text are one event.
+    """
+    x = diffs.filter("NOT noise").withColumn("body", F.lower(F.array_join("added", " "))).withColumn("_type", F.coalesce(event_type, F.lit("SITE_CHANGE")))
+    chars = F.aggregate("added", F.lit(0), lambda s, a: s + F.length(a))
+    nothing = F.lit(None).cast("string")
+
+    def event(label: Column, title: Column, link: Column, name: Column, importance: Column) -> Column:
+        return F.struct(label.alias("event_type"), title.alias("title"), link.alias("link"), name.alias("product_name"), importance.alias("importance"))
+
+    flag = lambda test: lambda i: F.coalesce(test(i["t"]), F.lit(False))
+    is_product, is_category = flag(product), flag(category)
+    goods = F.transform(F.slice(F.filter("items_added", is_product), 1, 8), lambda i: event(F.lit("NEW_PRODUCT"), i["t"], i["u"], i["t"], F.lit(3)))
+    groups = F.transform(F.slice(F.filter("items_added", lambda i: is_category(i) & ~is_product(i)), 1, 4), lambda i: event(F.lit("NEW_CATEGORY"), i["t"], i["u"], nothing, F.lit(3)))
+    weight = F.when(F.col("_type") == "SITE_CHANGE", 1).otherwise(2)
+    posts = F.transform(F.slice(F.filter("items_added", lambda i: F.length(i["t"]) >= 12), 1, 5), lambda i: event(F.col("_type"), F.substring(i["t"], 1, 90), i["u"], nothing, weight))
+    first = F.substring(F.get("added", F.lit(0)), 1, 90)
+    by_text = lambda label, n, enough: F.when(enough, F.array(event(label, first, F.col(url), nothing, n)))
+    listed = F.concat(goods, groups)
+    found = F.when(F.col(kind).isin(*listings), F.when(F.size(listed) > 0, listed).otherwise(by_text(F.lit("SITE_CHANGE"), F.lit(1), chars >= 2 * least))).otherwise(
+        F.when(F.size(posts) > 0, posts).otherwise(by_text(F.col("_type"), weight, chars >= least)))
+    return x.withColumn("_e", F.explode(found)).select(*diffs.columns, "_e.*")
+
+
 def events_from_offers(offers: DataFrame, runs: DataFrame, moves: DataFrame, days: int = 2) -> DataFrame:
     """New, removed and price events since each seller's previous successful run; nothing at its first."""
     last = runs.groupBy("seller_id").agg(F.max("finished_at").alias("at"), F.max("previous_ok").alias("since")).filter("since IS NOT NULL")

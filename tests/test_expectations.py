@@ -167,3 +167,26 @@ def test_run_signals_holds_the_findings_of_all_five_detectors(spark, sf):
     assert of("growth", "decline") == {f"demand:{r.term}" for r in rows("signal_demand_change")}
     assert of("price_change") == {f"price:{r.offer_id}" for r in rows("signal_price_change")}
     assert of("new_category") == {f"cat:{r.category}:{r.seller_id}" for r in rows("signal_new_category")}
+
+
+def test_new_links_make_a_change_real_and_become_events(spark):
+    from quaymark.operators import news
+
+    schema = "page_id long, version long, kind string, url string, lines array<string>, items array<struct<t:string,u:string>>"
+    item = lambda *names: [(n, f"/{n}") for n in names]
+    many = [f"system X{i}" for i in range(10)]
+    rows = [
+        (1, 1, "catalog", "/c", ["a line"], item("Home")), (1, 2, "catalog", "/c", ["a line", "short"], item("Home", "system Y20", "Radios")),
+        (1, 3, "catalog", "/c", ["a line", "short"], [("Start", "/Home"), ("system Y20", "/system Y20"), ("Radios", "/Radios")]),
+        (2, 1, "catalog", "/d", ["a line"], None), (2, 2, "catalog", "/d", ["a line"], item(*many)), (2, 3, "catalog", "/d", ["a line"], item(*many[:7])),
+        (3, 1, "news", "/n", ["a line"], item("Home")), (3, 2, "news", "/n", ["a line", "big sale"], item("Home", "a publication title", "more")),
+        (4, 1, "blog", "/b", ["a line"], []), (4, 2, "blog", "/b", ["a line", "words " * 12], []),
+    ]
+    d = news.diff_versions(spark.createDataFrame(rows, schema), "page_id", "version", "lines", "items", ["kind", "url"])
+    seen = {(r.page_id, r.version): (len(r.items_added), len(r.items_removed), r.noise) for r in d.collect()}
+    assert seen == {(1, 2): (2, 0, False), (1, 3): (0, 0, True), (2, 2): (10, 0, False), (2, 3): (0, 3, False), (3, 2): (2, 0, False), (4, 2): (0, 0, False)}
+    kind = F.when(F.col("body").contains("sale"), "PROMOTION").when(F.col("kind") == "blog", "COMPANY_NEWS")
+    e = news.classify_links(d, "kind", "url", lambda t: t.rlike("[A-Z][0-9]"), lambda t: t.rlike("^Radios$|system"), kind).collect()
+    got = sorted((r.page_id, r.version, r.event_type, r.link, r.product_name, r.importance) for r in e if r.page_id != 2)
+    assert got == [(1, 2, "NEW_CATEGORY", "/Radios", None, 3), (1, 2, "NEW_PRODUCT", "/system Y20", "system Y20", 3), (3, 2, "PROMOTION", "/a publication title", None, 2), (4, 2, "COMPANY_NEWS", "/b", None, 2)]
+    assert [(r.version, r.event_type) for r in e if r.page_id == 2] == [(2, "NEW_PRODUCT")] * 8
