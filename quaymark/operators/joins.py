@@ -154,23 +154,38 @@ def step_signature(vector: Column, bits: int = 63) -> Column:
     return sign_signature(F.zip_with(F.slice(vector, 2, bits), F.slice(vector, 1, bits), lambda a, b: a - b), bits)
 
 
-def hamming_pairs(left: DataFrame, right: DataFrame, most: int, bands: int = 16, sig: str = "sig", id_col: str = "vec_id") -> DataFrame:
+def hamming_pairs(left: DataFrame, right: DataFrame, most: int, bands: int = 16, sig: str = "sig", id_col: str = "vec_id", second: str | None = None) -> DataFrame:
     """Pairs within ``most`` differing bits by pigeonhole banding.
 
     64 bits fall into ``bands`` bands; a pair within ``most`` bits agrees in at least bands - most of them, so with
     most < bands every such pair shares a band.  For larger distances use more bands.
+    A ``second`` signature goes along and gives distance2.
     """
     if most >= bands or 64 % bands:
         raise ValueError("bands must divide 64 and be more than the distance")
     width = 64 // bands
     mask = (1 << width) - 1
-    band = lambda df: df.select(F.col(id_col).alias("id"), F.col(sig).alias("sig"), F.posexplode(F.array(*(F.shiftrightunsigned(F.col(sig), b * width).bitwiseAND(F.lit(mask)) for b in range(bands)))).alias("band", "value"))
+    band = lambda df: df.select(F.col(id_col).alias("id"), F.col(sig).alias("sig"), *([F.col(second).alias("second")] if second else []), F.posexplode(F.array(*(F.shiftrightunsigned(F.col(sig), b * width).bitwiseAND(F.lit(mask)) for b in range(bands)))).alias("band", "value"))
     a, b = band(left), band(right)
-    pairs = a.join(b.select(F.col("id").alias("id2"), F.col("sig").alias("sig2"), "band", "value"), ["band", "value"]).filter("id <> id2")
+    pairs = a.join(b.select(F.col("id").alias("id2"), F.col("sig").alias("sig2"), *([F.col("second").alias("second2")] if second else []), "band", "value"), ["band", "value"]).filter("id <> id2")
     near = pairs.withColumn("distance", F.bit_count(F.col("sig").bitwiseXOR(F.col("sig2")))).filter(F.col("distance") <= most)
     # the first band that a pair shares speaks for it
     first = F.array_min(F.filter(F.array(*(F.when(F.shiftrightunsigned(F.col("sig").bitwiseXOR(F.col("sig2")), b_ * width).bitwiseAND(F.lit(mask)) == 0, F.lit(b_)) for b_ in range(bands))), lambda x: x.isNotNull()))
-    return near.filter(F.col("band") == first).select("id", "id2", "distance")
+    apart = [F.bit_count(F.col("second").bitwiseXOR(F.col("second2"))).alias("distance2")] if second else []
+    return near.filter(F.col("band") == first).select("id", "id2", "distance", *apart)
+
+
+def signature_levels(
+    left: DataFrame, right: DataFrame, sig: str = "sig", step: str = "step", id_col: str = "vec_id", same: tuple[int, int] = (6, 10), similar: tuple[int, int] = (12, 16), bands: int = 16,
+) -> DataFrame:
+    """Pairs near in both signatures, with a level: ``same`` or ``similar`` by the most bits that the first and the second may differ in.
+
+    Banding on the first signature finds the candidates; a pair that is far in the second one is no match.
+    """
+    x = hamming_pairs(left, right, max(same[0], similar[0]), bands, sig, id_col, step)
+    within = lambda most: (F.col("distance") <= most[0]) & (F.col("distance2") <= most[1])
+    level = F.when(within(same), "same").when(within(similar), "similar")
+    return x.withColumn("level", level).filter("level IS NOT NULL").select("id", "id2", "distance", "distance2", "level")
 
 
 def reuse_by_url(wanted: DataFrame, done: DataFrame, url: str, value: str) -> DataFrame:

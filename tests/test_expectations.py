@@ -190,3 +190,25 @@ def test_new_links_make_a_change_real_and_become_events(spark):
     got = sorted((r.page_id, r.version, r.event_type, r.link, r.product_name, r.importance) for r in e if r.page_id != 2)
     assert got == [(1, 2, "NEW_CATEGORY", "/Radios", None, 3), (1, 2, "NEW_PRODUCT", "/system Y20", "system Y20", 3), (3, 2, "PROMOTION", "/a publication title", None, 2), (4, 2, "COMPANY_NEWS", "/b", None, 2)]
     assert [(r.version, r.event_type) for r in e if r.page_id == 2] == [(2, "NEW_PRODUCT")] * 8
+
+
+def test_signature_levels_need_both_signatures(spark):
+    import random
+
+    r = random.Random(2)
+    flip = lambda v, n: sum(1 << b for b in r.sample(range(62), n)) ^ v
+    own = [(i, r.getrandbits(62), r.getrandbits(62)) for i in range(20)]
+    found = [(100 + 20 * k + i, flip(a, n), flip(b, m)) for k, (n, m) in enumerate([(0, 0), (6, 10), (7, 10), (6, 11), (12, 16), (12, 17), (13, 0), (3, 40)]) for i, a, b in own]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, sig long, step long")
+    pairs = joins.signature_levels(frame(own), frame(found))
+    want = set()
+    for i, a, b in own:
+        for j, c, d in found:
+            n, m = (a ^ c).bit_count(), (b ^ d).bit_count()
+            if n <= 12 and m <= 16:
+                want.add((i, j, n, m, "same" if n <= 6 and m <= 10 else "similar"))
+    assert {tuple(x) for x in pairs.collect()} == want and len(want) >= 100
+    matches = spark.createDataFrame([(100, 0, 0.5, "functional", None, None)], "offer_id long, item_id long, confidence double, match_type string, reasons array<string>, review string")
+    done = joins.apply_signature_matches(matches, pairs.select(F.col("id2").alias("offer_id"), F.col("id").alias("item_id"), "level")).collect()
+    assert {x.offer_id for x in done} == {j for _, j, _, _, level in want if level == "same"}
+    assert next(x for x in done if x.offer_id == 100)[2:5] == (0.9, "identical", ["signature same"])
