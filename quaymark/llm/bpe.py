@@ -10,13 +10,13 @@ walk; words that the lexicon lacks are merged exactly, lowest rank first.
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import struct
-import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -48,57 +48,58 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+def split_pattern(data: dict) -> str:
+    """The pre-tokenising pattern that the file states, or the one that its byte-level form stands for."""
+    first = data.get("pre_tokenizer") or {}
+    for step in [first, *(first.get("pretokenizers") or [])]:
+        if step.get("type") == "Split" and "Regex" in step.get("pattern", {}):
+            return step["pattern"]["Regex"]
+    return SPLIT
+
+
 class Vocabulary:
-    """The merges and byte strings of a byte-level BPE file in the json form of ``tokenizers``."""
+    """The merges and byte strings of a byte-level BPE file in the json form of ``tokenizers``, as a few arrays.
+
+    The driver reads the file; workers get the arrays alone (about 2 MB).
+    """
 
     def __init__(self, content: str):
         data = json.loads(content)
         chars = byte_chars()
         of_char = {c: b for b, c in enumerate(chars)}
         vocab = data["model"]["vocab"]
-        self.bytes_of: list[bytes] = [b""] * (max([*vocab.values(), *(a["id"] for a in data["added_tokens"])]) + 1)
+        bytes_of = [b""] * (max([*vocab.values(), *(a["id"] for a in data["added_tokens"])]) + 1)
         for token, i in vocab.items():
-            self.bytes_of[i] = bytes(of_char[c] for c in token)
-        self.byte_ids = [vocab[c] for c in chars]
-        self.merges = {}
-        for rank, pair in enumerate(data["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            bytes_of[i] = bytes(of_char[c] for c in token)
         self.added = {a["content"]: a["id"] for a in data["added_tokens"]}
         for token, i in self.added.items():
-            self.bytes_of[i] = token.encode()
-        self.byte_lens = np.array([len(x) for x in self.bytes_of], np.int64)
+            bytes_of[i] = token.encode()
+        self.byte_lens = np.array([len(x) for x in bytes_of], np.int64)
         self.byte_starts = np.cumsum(self.byte_lens) - self.byte_lens
-        self.byte_pool = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        pairs = sorted(((a << 20) | b, r) for (a, b), (r, _) in self.merges.items())
-        self.pair_keys, self.pair_ranks = np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int32)
-        self.by_rank = np.zeros(max((r for r, _ in self.merges.values()), default=0) + 1, np.int64)
-        for r, new in self.merges.values():
-            self.by_rank[r] = new
-        self.first_ids = np.array(self.byte_ids, np.int64)
-        self.split = regex.compile(SPLIT)
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-
-    def merge(self, word: bytes) -> list[int]:
-        """Exact BPE of one pre-token: the lowest-ranked pair is merged first, leftmost on ties."""
-        ids = [self.byte_ids[b] for b in word]
-        if len(ids) > 256:
-            return self._merge_long(ids)
-        get = self.merges.get
-        found = [get(p) for p in zip(ids, ids[1:])]
-        while True:
-            best = None
-            for i, m in enumerate(found):
-                if m is not None and (best is None or m[0] < best[0]):
-                    best, at = m, i
-            if best is None:
-                return ids
-            ids[at : at + 2] = [best[1]]
-            del found[at]
-            if at:
-                found[at - 1] = get((ids[at - 1], ids[at]))
-            if at < len(found):
-                found[at] = get((ids[at], ids[at + 1]))
+        self.byte_pool = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.first_ids = np.array([vocab[c] for c in chars], np.int64)
+        merges = [(p.split(" ") if isinstance(p, str) else p) for p in data["model"]["merges"]]
+        self.by_rank = np.array([vocab[a + b] for a, b in merges], np.int64)
+        keys = np.array([(vocab[a] << 20) | vocab[b] for a, b in merges], np.int64)
+        self.pair_keys, self.pair_ranks = np.unique(keys, return_index=True)  # the first of equal pairs counts
+        self.pair_ranks = self.pair_ranks.astype(np.int32)
+        self.pattern = split_pattern(data)
+
+    @cached_property
+    def split(self):
+        return regex.compile(self.pattern)
+
+    @cached_property
+    def specials(self):
+        return regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+
+    @cached_property
+    def ranks(self) -> dict[int, int]:
+        """Rank by pair, made only where a word is too long for the row-wise merge."""
+        return dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist()))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "specials", "ranks")}
 
     def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, NEVER if it does not merge."""
@@ -121,7 +122,7 @@ class Vocabulary:
                 self._merge_rows([words[i] for i in rows], n[rows], rows, width, out)
         for i, x in enumerate(out):
             if x is None:
-                out[i] = self.merge(words[i])
+                out[i] = self.merge_long(words[i])
         sizes = np.fromiter(map(len, out), np.int64, len(out))
         return (np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)), sizes
 
@@ -157,25 +158,24 @@ class Vocabulary:
             left = np.maximum(at - 1, 0)
             rank[line, left] = np.where(at > 0, self.ranks_of(ids[line, left], ids[line, at]), rank[line, left])
 
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap and links, for words of many bytes."""
-        import heapq
-
-        n, get = len(ids), self.merges.get
+    def merge_long(self, word: bytes) -> list[int]:
+        """The same for one word of any length, with a heap and links."""
+        ids = self.first_ids[np.frombuffer(word, np.uint8)].tolist()
+        n, get, new = len(ids), self.ranks.get, self.by_rank
         after, before, alive = [*range(1, n), -1], list(range(-1, n - 1)), [True] * n
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get((ids[i] << 20) | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i] if alive[i] else -1
             if j < 0 or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], alive[j], after[i] = new, False, after[j]
+            ids[i], alive[j], after[i] = int(new[r]), False, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (m := get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
+                if x >= 0 and y >= 0 and (r := get((ids[x] << 20) | ids[y])) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [x for x, ok in zip(ids, alive) if ok]
 
 
@@ -296,16 +296,16 @@ def frequent_words(df: DataFrame, text_col: str = "text", limit: int = LEXICON_W
     return [] if least is None else [r["w"] for r in counts.filter(size >= least).select("w").collect()]
 
 
-@lru_cache(maxsize=2)
-def _vocabulary(content: str) -> Vocabulary:
-    return Vocabulary(content)
-
-
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _lexicon(name: str) -> Lexicon:
     return Lexicon(SparkFiles.get(name))
 
 
+def read_vocabulary(file: str) -> Vocabulary:
+    with open(file, encoding="utf-8") as f:
+        return Vocabulary(f.read())
+
+
 def ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The given ranges of an array, one after another."""
     ends = np.cumsum(lens)
@@ -404,54 +404,78 @@ def with_column(schema: T.StructType, name: str, kind: T.DataType) -> T.StructTy
     return T.StructType([*(f for f in schema.fields if f.name != name), T.StructField(name, kind)])
 
 
-def encode(df: DataFrame, vocabulary_file: str, text_col: str = "text", to: str = "ids", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """The input with an array<int> column of ids.
+def as_lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
-    Null and empty texts give an empty array.  Strings of special tokens in a text become their ids, as
-    the tokenizers library does by default.  Repeated rows are encoded alike; an
-    empty table gives an empty result; a column that has the name ``to`` is replaced.
-    """
-    with open(vocabulary_file, encoding="utf-8") as f:
-        content = f.read()
-    sc = df.sparkSession.sparkContext
-    v = _vocabulary(content)
-    forms = {form.encode() for w in frequent_words(df, text_col, lexicon_words) for form in (w, " " + w)}
+
+def decoded_texts(v: Vocabulary, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    lens = v.byte_lens[flat]
+    raw = ragged(v.byte_pool, v.byte_starts[flat], lens).tobytes()
+    cuts = np.concatenate(([0], np.cumsum(lens)))[ends].tolist()
+    return pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(cuts, cuts[1:])], pa.string())
+
+
+def replaced(b: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch with new columns at its end, in place of any with their names."""
+    names = [n for n in b.schema.names if n not in new]
+    return pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), *new.values()], names=[*names, *new])
+
+
+def lexicon_file(df: DataFrame, v: Vocabulary, text_col: str, words: int) -> str:
+    """Compile the corpus' frequent words and send the file to all executors; its name there."""
+    forms = list({form.encode() for w in frequent_words(df, text_col, words) for form in (w, " " + w)})
+    ids, sizes = v.merge_many(forms)
+    entries = dict(zip(forms, (x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])))) if forms else {}
+    # the driver serves the file to executors, also to those that join later, from the folder that Spark keeps for the session
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    # the driver serves this file to executors, also to those that join later, so it stays for the session
-    file = os.path.join(tempfile.mkdtemp(prefix="quaymark-"), name)
-    with open(file, "wb") as f:
-        f.write(compile_lexicon({w: v.merge(w) for w in forms}))
-    sc.addFile(file)
-    shared = sc.broadcast(content)  # one vocabulary file, 1.5 MB
+    folder = os.path.join(SparkFiles.getRootDirectory(), "made")
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "wb") as f:
+        f.write(compile_lexicon(entries))
+    df.sparkSession.sparkContext.addFile(os.path.join(folder, name))
+    return name
+
+
+def round_trip(df: DataFrame, vocabulary_file: str, text_col: str = "text", ids_to: str | None = "ids", text_to: str | None = "decoded", lexicon_words: int = LEXICON_WORDS, keep_text: bool = True) -> DataFrame:
+    """The input (without its text unless ``keep_text``) with an array<int> column of ids and a column of the text that they decode to, from one pass in one worker.
+
+    Null and empty texts give an empty array and an empty text; a text of any length is encoded whole.  Strings of special
+    tokens in a text become their ids, as the tokenizers library does by default; bytes that are not UTF-8 decode to U+FFFD.
+    Repeated rows are encoded alike and all stay; there are no ties, as merges have distinct ranks and the leftmost of equal
+    pairs goes first.  An empty table gives an empty result; columns that have the new names are replaced.
+    """
+    v = read_vocabulary(vocabulary_file)
+    name = lexicon_file(df, v, text_col, lexicon_words)
+    shared = df.sparkSession.sparkContext.broadcast(v)  # arrays of one vocabulary, about 2 MB
+    schema = df.schema
+    for column, kind in ((ids_to, T.ArrayType(T.IntegerType())), (text_to, T.StringType())):
+        schema = with_column(schema, column, kind) if column else schema
+    schema = schema if keep_text else T.StructType([f for f in schema.fields if f.name != text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(_vocabulary(shared.value), _lexicon(name))
+        coder = Encoder(shared.value, _lexicon(name))
         for b in small_batches(batches, text_col):
-            flat, sizes = coder.encode(b.column(b.schema.get_field_index(text_col)).to_pylist())
-            names = [n for n in b.schema.names if n != to]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(b.schema.get_field_index(n)) for n in names), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], names=[*names, to])
+            flat, ends = coder.encode(b.column(b.schema.get_field_index(text_col)).to_pylist())
+            new = {ids_to: as_lists(flat, ends)} if ids_to else {}
+            b = b if keep_text else b.drop_columns([text_col])
+            yield replaced(b, new | ({text_to: decoded_texts(coder.vocabulary, flat, ends)} if text_to else {}))
 
-    return df.mapInArrow(run, with_column(df.schema, to, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(run, schema)
+
+
+def encode(df: DataFrame, vocabulary_file: str, text_col: str = "text", to: str = "ids", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+    """The input with an array<int> column of ids; see ``round_trip`` for odd input."""
+    return round_trip(df, vocabulary_file, text_col, to, None, lexicon_words)
 
 
 def decode(df: DataFrame, vocabulary_file: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """The input with the text that the ids stand for; bytes that are not UTF-8 become U+FFFD, null gives empty text."""
-    with open(vocabulary_file, encoding="utf-8") as f:
-        content = f.read()
-    shared = df.sparkSession.sparkContext.broadcast(content)
+    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(shared.value)
         for b in small_batches(batches, ids_col, 2_000_000):
             column = b.column(b.schema.get_field_index(ids_col)).fill_null([])
             ends, ids = np.asarray(column.offsets), np.asarray(column.values)
-            ids = ids[ends[0] : ends[-1]]
-            lens = v.byte_lens[ids]
-            raw = ragged(v.byte_pool, v.byte_starts[ids], lens).tobytes()
-            cuts = np.concatenate(([0], np.cumsum(lens)))[ends - ends[0]].tolist()
-            texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(cuts, cuts[1:])]
-            names = [n for n in b.schema.names if n != to]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(texts, pa.string())], names=[*names, to])
+            yield replaced(b, {to: decoded_texts(shared.value, ids[ends[0] : ends[-1]], ends - ends[0])})
 
     return df.mapInArrow(run, with_column(df.schema, to, T.StringType()))

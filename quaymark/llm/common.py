@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space as the contracts define it: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
@@ -21,10 +23,13 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only a session without it (tests in local mode) gets one of its own."""
+    """The folder that ``spark.checkpoint.dir`` names; only a local session without it (tests) gets one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quaymark-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quaymark-"))
     return sc.getCheckpointDir()
 
 
@@ -34,6 +39,41 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A key is frequent from this many rows on, and from this share of all rows on (so at most SHARES - 1 keys are).
+HOT_ROWS, SHARES = 100_000, 65_536
+
+
+def frequent(counted: DataFrame, keys: list[str], count: str = "count", least: int = HOT_ROWS) -> DataFrame | None:
+    """The keys of counted(keys, count) that hold so many rows that one task should not get them all; None if there is none.
+
+    They are fewer than SHARES, so the table may be broadcast.
+    """
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    hot = materialise(counted.filter(F.col(count) > max(least, total / SHARES)).select(*keys, F.lit(True).alias("_hot")))
+    return hot if hot.limit(1).count() else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """An equi join in which the left rows of frequent keys are dealt over all partitions by a hash of ``by``.
+
+    The right rows of those keys go to each of them; there should be few for each key.
+    """
+    if hot is None:
+        return left.join(right, keys, how)
+    n = partitions(left.sparkSession)
+    tag = F.broadcast(hot)
+    deal = left.join(tag, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(n)).cast("int")).otherwise(F.lit(0))).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
+    again = right.join(tag, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return deal.join(again, [*keys, "_salt"], how).drop("_salt")
+
+
+def integral(df: DataFrame, column: str) -> None:
+    """Refuse ids of another type: the smaller of two ids decides."""
+    if not isinstance(df.schema[column].dataType, T.IntegralType):
+        raise TypeError(f"{column} must be an integer column")
+
+
 def fold_remainder(doc_id: Column | str, k: int) -> Column:
     """crc32 of the id written as text, modulo k (a null id counts as empty text)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
