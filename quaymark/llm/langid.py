@@ -1,9 +1,14 @@
 """Language identification by cross-parsing entropy.
 
-Labelled text of each language becomes a suffix automaton.  A text is parsed greedily into the longest
-phrases that the automaton knows; the language that needs the fewest phrases per symbol wins.
-Texts are parsed in blocks of a fixed length (a phrase ends with its block), so that one numpy step moves
-every block of a batch in every language at once.
+Labelled text of each language becomes a suffix automaton.  A text is parsed greedily, from its first symbol
+to its last, into the longest phrases that the automaton knows.  A phrase costs log2 of the number of places in the
+training text (and of single symbols), m, so c phrases for n symbols estimate the cross entropy
+c log2(m) / n; the language with the least wins, also where languages have different amounts of training text.
+
+The parse is sequential by nature.  To move many places in one numpy step, every block of a text is
+parsed as if a phrase began at its first symbol; then each block is entered where the one before really ends
+its last phrase, and followed only until the two parses agree on a phrase's start, from
+where they are the same.  Entries are corrected until none changes, so the result is that of one sequential parse.
 """
 
 from __future__ import annotations
@@ -17,33 +22,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import small_batches, with_column
+from .bpe import replaced, small_batches, with_column
 from .common import fold_remainder
 
-#: Bounds of the training sample: documents and symbols for each language.
+#: Bounds of the training sample for each language: documents, and symbols that whole documents may sum to.
 TRAIN_DOCS, TRAIN_SYMBOLS = 64, 32_768
-#: Letters with a symbol of their own; the others share one that no automaton knows.
-LETTERS = 62
 BLOCK = 256
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def to_symbols(text: str, table: np.ndarray) -> np.ndarray:
     """Lower-case letters as learned symbols; every run of other characters is the separator 0 once."""
-    units = np.frombuffer(text.lower().encode("utf-16-le", "surrogatepass"), np.uint16)
-    s = table[units]
+    s = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
     return s[keep]
 
 
 def letter_table(known: str) -> np.ndarray:
-    """Symbol by UTF-16 unit: 0 no letter, 1 unknown letter, from 2 on the known letters."""
-    table = np.zeros(65536, np.uint8)
-    for i in range(65536):
-        if chr(i).isalpha() or 0xD800 <= i < 0xE000:
-            table[i] = 1
-    for k, c in enumerate(known):
-        table[ord(c)] = k + 2
+    """Symbol by code point: 0 no letter, 1 a letter that no training text has, from 2 on the letters of the training texts."""
+    table = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.int32, 0x110000)
+    table[[ord(c) for c in known]] = np.arange(len(known)) + 2
     return table
 
 
@@ -78,87 +77,181 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """Languages in order, the letter table and all automata as one list of arcs."""
+    """Languages in order, all letters of their training texts, and every automaton as a list of arcs."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(texts)
-        counts: dict[str, int] = {}
-        for ts in texts.values():
-            for t in ts:
-                for c in t.lower():
-                    if c.isalpha() and ord(c) < 65536:
-                        counts[c] = counts.get(c, 0) + 1
-        self.letters = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]))
-        table, self.automata = letter_table(self.letters), []
+        self.letters = "".join(sorted({c for ts in texts.values() for t in ts for c in t.lower() if c.isalpha()}))
+        table = letter_table(self.letters)
+        self.automata, self.trained = [], []
         for lang in self.languages:
             parts, n = [], 0
-            for t in texts[lang]:
-                s = to_symbols(t, table)[: max(0, TRAIN_SYMBOLS - n)]
-                parts.append(s)
-                n += len(s)
-            arcs = suffix_automaton([int(x) for x in (np.concatenate(parts) if parts else [])])
-            flat = [(s, c, t) for s, a in enumerate(arcs) for c, t in a.items() if c != 1]
-            self.automata.append((len(arcs), np.array(flat, np.int32).reshape(-1, 3)))
+            for s in (to_symbols(t, table) for t in texts[lang]):
+                if not n or n + len(s) <= TRAIN_SYMBOLS:  # whole documents only, at least one
+                    parts.append(s)
+                    n += len(s)
+            arcs = suffix_automaton(np.concatenate(parts).tolist() if parts else [])
+            self.automata.append((len(arcs), np.array([(s, c, t) for s, a in enumerate(arcs) for c, t in a.items()], np.int32).reshape(-1, 3)))
+            self.trained.append(n)
 
 
 class Parser:
+    """All automata in one table of arcs, found by hashing (state, symbol); state 0 stands for no arc."""
+
     def __init__(self, model: Model):
         self.model, self.table = model, letter_table(model.letters)
-        self.width = len(model.letters) + 3  # the last symbol fills up blocks
-        self.roots, at = [], 1
-        for n, _ in model.automata:
-            self.roots.append(at)
-            at += n
-        self.next = np.zeros((at, self.width), np.int32)
-        for root, (_, arcs) in zip(self.roots, model.automata):
-            self.next[arcs[:, 0] + root, arcs[:, 1]] = arcs[:, 2] + root
-        self.next = self.next.reshape(-1)
+        self.stop = len(model.letters) + 2  # ends every text; no automaton has it
+        self.width = self.stop + 1
+        sizes = [n for n, _ in model.automata]
+        self.roots = np.cumsum([1, *sizes])[:-1]
+        arcs = [a + np.array([[root, 0, root]]) for root, (_, a) in zip(self.roots, model.automata)]
+        s, c, t = np.concatenate(arcs).T if arcs else np.zeros((3, 0), np.int64)
+        keys = s.astype(np.int64) * self.width + c
+        bits = max(4, int(len(keys) * 2).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.targets = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        at, open_ = self.slots(keys), np.arange(len(keys))
+        while len(open_):
+            _, one = np.unique(at[open_], return_index=True)
+            one = open_[one]
+            one = one[self.keys[at[one]] == -1]
+            self.keys[at[one]], self.targets[at[one]] = keys[one], t[one]
+            open_ = open_[self.keys[at[open_]] != keys[open_]]
+            at[open_] = (at[open_] + 1) & self.mask
+        # a phrase is one of the places of the training text, or one of the symbols
+        self.bits = np.log2(np.array(model.trained, float) + self.width)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * MULTIPLIER >> self.shift).astype(np.int64)
+
+    def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = state * np.int64(self.width) + symbol
+        at = self.slots(key)
+        there = self.keys[at]
+        to = np.where(there == key, self.targets[at], 0)
+        open_ = np.flatnonzero((there != key) & (there != -1))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            there = self.keys[at[open_]]
+            hit = there == key[open_]
+            to[open_[hit]] = self.targets[at[open_[hit]]]
+            open_ = open_[~hit & (there != -1)]
+        return to
+
+    def run(self, flat: np.ndarray, place: np.ndarray, limit: np.ndarray, root: np.ndarray, row: np.ndarray, order: np.ndarray, mark: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Parse from each place, where a phrase begins, until one begins at the limit or later: (phrases, where that is).
+
+        With ``mark``, ``order`` (by language and place) gets each phrase's number; without, a parse also ends where
+        ``order`` has one.
+        """
+        n, out, exit_ = len(place), np.zeros(len(place), np.int64), place.copy()
+        if mark:
+            order[row, place] = 0
+        lane = np.arange(n)
+        place, state, count = place.copy(), root.copy(), np.zeros(n, np.int64)
+        while len(lane):
+            c = flat[place]
+            to = self.follow(state, c)
+            over = np.zeros(len(lane), bool)
+            stuck = np.flatnonzero(to == 0)
+            if len(stuck):
+                fresh = state[stuck] != root[stuck]
+                count[stuck] += fresh
+                begun = stuck[fresh]
+                over[begun] = self._begin(place, begun, limit, row, order, count, mark)
+                again = stuck[~over[stuck]]
+                to[again] = self.follow(root[again], c[again])
+                alone = again[to[again] == 0]  # a symbol that even the root lacks is a phrase of its own
+                count[alone] += 1
+                to[alone] = root[alone]
+                place[alone] += 1
+                over[alone] = self._begin(place, alone, limit, row, order, count, mark)
+                place[alone] -= ~over[alone]
+                done = np.flatnonzero(over)
+                if len(done):
+                    out[lane[done]], exit_[lane[done]] = count[done], place[done]
+                    go = ~over
+                    lane, place, to, count, limit, root, row = lane[go], place[go], to[go], count[go], limit[go], root[go], row[go]
+            state = to
+            place = place + 1
+        return out, exit_
+
+    @staticmethod
+    def _begin(place, which, limit, row, order, count, mark) -> np.ndarray:
+        """Which of these lanes end, as a phrase begins at their place."""
+        over = place[which] >= limit[which]
+        if mark:
+            on = which[~over]
+            order[row[on], place[on]] = count[on]
+            return over
+        return over | (order[row[which], place[which]] >= 0)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases for each text and language, and symbols for each text."""
-        fill, width = self.width - 1, self.width
         symbols = [to_symbols(t, self.table) for t in texts]
         sizes = np.array([len(s) for s in symbols], np.int64)
         blocks = -(-sizes // BLOCK)
+        n_lang, n_blocks = len(self.roots), int(blocks.sum())
+        if not n_blocks or not n_lang:
+            return np.zeros((len(texts), n_lang), np.int64), sizes
+        flat = np.concatenate([x for s in symbols for x in (s, [self.stop])]).astype(np.int64)
+        first = np.cumsum(sizes + 1) - (sizes + 1)
         owner = np.repeat(np.arange(len(texts)), blocks)
-        total = np.zeros((len(self.roots), len(texts)), np.int64)
-        if not len(owner):
-            return total.T, sizes
-        grid = np.full((len(owner), BLOCK), fill, np.uint8)
-        flat, at = grid.reshape(-1), 0
-        for s, b in zip(symbols, blocks):
-            flat[at * BLOCK : at * BLOCK + len(s)] = s
-            at += int(b)
-        grid = np.ascontiguousarray(grid.T)
-        for k, root in enumerate(self.roots):
-            state = np.full(len(owner), root, np.int32)
-            cut = np.zeros(len(owner), np.int32)
-            for row in grid:
-                to = self.next[state * width + row]
-                stuck = np.flatnonzero(to == 0)
-                if len(stuck):
-                    c = row[stuck].astype(np.int32)
-                    cut[stuck] += (state[stuck] != root) & (c != fill)
-                    again = self.next[root * width + c]
-                    # a symbol that even the root lacks is a phrase of its own
-                    cut[stuck] += (again == 0) & (c != fill)
-                    to[stuck] = np.where(again == 0, np.where(c == fill, state[stuck], root), again)
-                state = to
-            total[k] = np.bincount(owner, weights=cut + (state != root), minlength=len(texts))
+        nth = np.arange(n_blocks) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        start = first[owner] + nth * BLOCK
+        limit = np.minimum(start + BLOCK, first[owner] + sizes[owner])
+        every = lambda x: np.tile(x, n_lang)
+        start, limit, lead = every(start), every(limit), every(nth == 0)
+        row = np.repeat(np.arange(n_lang), n_blocks)
+        root = self.roots[row]
+        order = np.full((n_lang, len(flat)), -1, np.int16)
+        guess, guess_exit = self.run(flat, start, limit, root, row, order, True)
+        count, exit_, entered = guess.copy(), guess_exit.copy(), start.copy()
+        while True:
+            entry = np.where(lead, start, np.append(start[0], exit_[:-1]))
+            new = np.flatnonzero(entry != entered)
+            if not len(new):
+                break
+            entered = entry
+            past = entry[new] >= limit[new]
+            count[new[past]], exit_[new[past]] = 0, entry[new[past]]
+            new = new[~past]
+            met = order[row[new], entry[new]] >= 0
+            k, at = np.zeros(len(new), np.int64), entry[new].copy()
+            walk = new[~met]
+            k[~met], at[~met] = self.run(flat, entry[walk], limit[walk], root[walk], row[walk], order, False)
+            joined = at < limit[new]  # from here on the block's own parse is the true one
+            on = new[joined]
+            count[new], exit_[new] = k, at
+            count[on] += guess[on] - order[row[on], at[joined]]
+            exit_[on] = guess_exit[on]
+        total = np.zeros((n_lang, len(texts)), np.int64)
+        np.add.at(total, (row, every(owner)), count)
         return total.T, sizes
 
+    def entropies(self, texts: list[str]) -> np.ndarray:
+        """Bits a symbol for each text and language."""
+        counts, sizes = self.phrases(texts)
+        return counts * self.bits / np.maximum(sizes, 1)[:, None]
+
 
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from a bounded sample: up to TRAIN_DOCS documents a language, in the order of a hash of their ids."""
+    """A model from a bounded sample: up to TRAIN_DOCS documents a language, in the order of a hash of their ids.
+
+    Of these, whole documents are taken while their symbols sum to at most TRAIN_SYMBOLS; documents longer than that come last, and only
+    one of them if there is no other.  Of rows that share id and language the smallest text counts.  Null ids, texts and
+    languages are not learned from; without rows there are no languages.
+    """
     named = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = named.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    rank = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = ids.withColumn("_rn", F.row_number().over(rank)).filter(F.col("_rn") <= TRAIN_DOCS).select("_id", "_rn").distinct()
-    rows = named.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_rn", F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    found = rows.toArrow().to_pylist()  # at most TRAIN_DOCS texts a language
+    ids = named.groupBy(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).agg((F.max(F.length(text_col)) > TRAIN_SYMBOLS).alias("_long"))
+    rank = Window.partitionBy("_lang").orderBy("_long", F.xxhash64("_id"), "_id")
+    chosen = ids.withColumn("_rn", F.row_number().over(rank)).filter((F.col("_rn") <= TRAIN_DOCS) & (~F.col("_long") | (F.col("_rn") == 1))).drop("_long")
+    wanted = F.broadcast(chosen.withColumnRenamed("_lang", "_of"))  # at most TRAIN_DOCS ids a language
+    rows = named.join(wanted, (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_of"))).groupBy("_of", "_rn").agg(F.min(text_col).alias("_text"))
+    found = rows.toArrow().to_pylist()  # at most TRAIN_DOCS texts of TRAIN_SYMBOLS characters, or one longer text, a language
     texts: dict[str, list[str]] = {}
-    for r in sorted(found, key=lambda r: (r["_lang"], r["_rn"], r["_text"])):
-        texts.setdefault(r["_lang"], []).append(r["_text"])
+    for r in sorted(found, key=lambda r: (r["_of"], r["_rn"])):
+        texts.setdefault(r["_of"], []).append(r["_text"])
     return Model(texts)
 
 
@@ -166,10 +259,11 @@ _parsers: dict[int, Parser] = {}
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The input with ``lang_pred`` and ``score`` (0 to 1: how much fewer phrases the winner needs than the runner-up).
+    """The input with ``lang_pred`` and ``score`` (0 to 1: how much less entropy the winner has than the runner-up).
 
-    A text that is null or has no letter gets ``und`` and 0; ties go to the first language in
-    alphabetical order.  Other columns are kept; ones with these two names are replaced.
+    A text that is null, empty or has no letter gets ``und`` and 0, and so does every text if no language was learned; ties go to
+    the first language in alphabetical order, with 0.  A text of any length is parsed whole.  Repeated rows get equal
+    values; an empty table gives an empty result.  Other columns are kept; ones with these two names are replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     schema = with_column(with_column(df.schema, "lang_pred", T.StringType()), "score", T.DoubleType())
@@ -182,23 +276,21 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         parser = _parsers[key]
         for b in small_batches(batches, text_col, 2_000_000):
             texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            counts, sizes = parser.phrases(texts)
-            langs, scores = [], []
-            for t, row in zip(texts, counts):
-                if not len(row) or not any(map(str.isalpha, t)):
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                order = np.argsort(row, kind="stable")
-                second = row[order[1]] if len(row) > 1 else 2 * max(row[0], 1)
-                langs.append(parser.model.languages[order[0]])
-                scores.append(float((second - row[order[0]]) / second) if second else 0.0)
-            names = [n for n in b.schema.names if n not in ("lang_pred", "score")]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            distinct = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+            made = [best(row, parser.model.languages) if len(row) and any(map(str.isalpha, t)) else ("und", 0.0) for t, row in zip(distinct, parser.entropies(list(distinct)))]
+            found = [made[distinct[t]] for t in texts]
+            yield replaced(b, {"lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([x for _, x in found], pa.float64())})
         _parsers.clear()  # the worker may serve other operators next
 
     return df.mapInArrow(run, schema)
 
 
+def best(entropy: np.ndarray, languages: list[str]) -> tuple[str, float]:
+    order = np.argsort(entropy, kind="stable")
+    least = entropy[order[0]]
+    second = entropy[order[1]] if len(order) > 1 else 2 * max(least, 1e-9)
+    return languages[order[0]], float(np.clip((second - least) / second, 0, 1)) if second > 0 else 0.0
+
+
 def held_out(id_col: str = "doc_id"):
     return fold_remainder(id_col, 5) == 0
