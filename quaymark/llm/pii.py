@@ -1,12 +1,12 @@
 """Personal data by patterns, and information-theoretic sanitisation (DataFrame functions only).
 
-Patterns find the base spans.  The context of an entity (kind and normalised value) is every
-word outside base spans of each document that holds it.  Corpus statistics over all documents
-estimate how strongly a context word t reveals an entity e: with document counts
-n(t, e), n(t), n(e) and N documents, P(e | t) = n(t, e) / n(t) and
+Patterns find the base spans; long strings of letters and digits in disorder are secrets.  Both are protected entities.
+The context of an entity (kind and normalised value) is every word of each text that holds it.  Corpus statistics over all
+different texts estimate how strongly a word t reveals an entity e: with counts of texts
+n(t, e), n(t), n(e) and N in all, P(e | t) = n(t, e) / n(t) and
 I(t; e) = log2(n(t, e) N / (n(t) n(e))).  A word over both thresholds, with enough
-support, becomes a span of kind ``term`` wherever it stands in a document of that entity.
-n(t) and n(t, e) both count words outside base spans.  Documents without base spans are never changed.
+support, becomes a span of kind ``term`` wherever it stands in a text of that entity.
+A word is a run of letters and digits that begins outside of strings that look like an entity.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import frequent, materialise, spread_join
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+SECRET_KIND, TERM_KIND = 4, 5
+SPAN = "struct<start:int,kind:int,end:int,bits:double>"
 #: The four base patterns; a \G or a look-behind at their start only skips places where an
 #: earlier start would match too, so that long runs are read once.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -33,33 +35,58 @@ LEAST_SHARE = 0.5
 LEAST_BITS = 3.0
 #: From this many bits on a revealing word is removed, below it is generalised.
 REMOVE_BITS = 12.0
-TOKEN = r"[\p{L}\p{N}]+"
+#: Letters and digits without a gap, at least six of them digits and one a letter.
+SECRET = r"(?<![\p{L}\p{N}])(?=[0-9]*[A-Za-z])(?=(?:[A-Za-z]*[0-9]){6})[A-Za-z0-9]{24,}+(?![\p{L}\p{N}])"
+#: What looks like an entity, valid or not, or else a word as group 1.
+TOKENS = (
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+    rf"|[0-9](?:[\x20-]?[0-9]){{13,}}+|{PHONE}|{SECRET}|([\p{{L}}\p{{N}}]{{{LEAST_WORD},}}+)"
+)
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def in_parts(items: Column) -> Column:
+    """An array as an array of parts, each about as long as there are parts."""
+    def cut(x: Column) -> Column:
+        n = F.size(x)
+        part = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), part), lambda i: F.slice(x, i + 1, part))
+
+    return bound(items, cut)
+
+
+def scan(items: Column, start: Column, step, kind: str) -> Column:
+    """All outputs of step(state, item) -> (next state, array of outputs) in turn, as an array of the given type.
+
+    Every step copies what it appends to; working in parts keeps these copies short.
+    """
+    zero = lambda at: F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
+
+    def one(acc, x):
+        at, out = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], out).alias("out"))
+
+    def part(acc, xs):
+        return bound(F.aggregate(xs, zero(acc["at"]), one), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], r["out"]).alias("out")))
+
+    return F.aggregate(in_parts(items), zero(start), part, lambda acc: acc["out"])
 
 
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit>> of the leftmost non-overlapping matches, in code points."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))), lambda x: x["hit"].isNotNull())
-    empty = F.lit(None).cast("array<struct<start:int,end:int,hit:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<start:int,end:int,hit:string>>")).alias("found"))
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
+    def step(at, x):
+        begin = at + x["gap"]
         end = begin + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("found"))
+        return end, F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit")))
 
-    def append(acc, part):
-        moved = F.transform(part["found"], lambda x: F.struct((acc["at"] + x["start"]).alias("start"), (acc["at"] + x["end"]).alias("end"), x["hit"].alias("hit")))
-        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["found"], moved).alias("found"))
-
-    def by_parts(every) -> Column:
-        # every step copies what is found so far: parts of about the root of the number keep that short
-        n = F.size(every)
-        part = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
-        parts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), part), lambda i: F.aggregate(F.slice(every, i + 1, part), start, step))
-        return F.aggregate(parts, start, append, lambda acc: acc["found"])
-
-    return F.element_at(F.transform(F.array(pairs), by_parts), 1)
+    return scan(pairs, F.lit(0), step, "array<struct<start:int,end:int,hit:string>>")
 
 
 def luhn(digits: Column) -> Column:
@@ -93,114 +120,110 @@ def base_spans(text: Column) -> Column:
     ))
 
 
-def outside(text: Column, spans: Column) -> Column:
-    """array<struct<start, piece>>: the stretches of a text between its base spans."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,size:int>>").alias("out"))
-
-    def piece(begin: Column, end: Column) -> Column:
-        return F.array(F.struct(begin.alias("start"), F.greatest(end - begin, F.lit(0)).alias("size")))
-
-    def step(acc, s):
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], s["start"])).alias("out"))
-
-    cuts = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(text))))
-    return F.transform(cuts, lambda c: F.struct(c["start"].alias("start"), F.substring(text, c["start"] + 1, c["size"]).alias("piece")))
+def protected_spans(text: Column) -> Column:
+    """Base spans and secrets: long strings of letters and digits in disorder (kind ``secret``, the method's own)."""
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    secret = F.transform(
+        F.when(text.rlike(SECRET), located(text, SECRET)).otherwise(none),
+        lambda x: F.struct(x["start"].alias("start"), F.lit(SECRET_KIND).alias("kind"), x["end"].alias("end"), x["hit"].alias("value")))
+    return F.array_sort(F.concat(base_spans(text), secret))
 
 
 def words(text: Column) -> Column:
-    long_enough = F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda w: F.length(w) >= LEAST_WORD)
-    return F.transform(long_enough, F.lower)
-
-
-def words_outside(text: Column, spans: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(outside(text, spans), lambda p: words(p["piece"]))))
-
-
-def placed_words(text: Column, spans: Column) -> Column:
-    """array<struct<term, start, end>>: every word outside the base spans and its place."""
+    """The distinct words of a text, in lower case; what looks like an entity is none."""
+    return F.array_distinct(F.transform(F.filter(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(1)), lambda w: w != ""), F.lower))
 
-    def of(p) -> Column:
-        found = F.filter(located(p["piece"], TOKEN), lambda w: F.length(w["hit"]) >= LEAST_WORD)
-        return F.transform(found, lambda w: F.struct(F.lower(w["hit"]).alias("term"), (p["start"] + w["start"]).alias("start"), (p["start"] + w["end"]).alias("end")))
 
-    return F.flatten(F.transform(outside(text, spans), of))
+def placed_words(text: Column) -> Column:
+    """array<struct<start, end, hit>>: every word and its place."""
+    found = F.zip_with(located(text, TOKENS), F.regexp_extract_all(text, F.lit(TOKENS), F.lit(1)), lambda x, w: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lower(w).alias("term")))
+    return F.filter(found, lambda w: w["term"] != "")
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, _th, base, spans) per row; base and spans are array<struct<start, kind, end>>.
+    """(id, base, spans, sanitised) per row; base and spans are array<struct<start, kind, end, bits>>.
 
-    A null text counts as empty; rows without spans have empty arrays.  Rows equal in id
-    and text get equal spans; a null id is an id like any other.  An empty table
-    gives an empty result; other columns are ignored.
+    ``sanitised`` is the text with base spans and secrets as [KIND] and telling words as [TERM], or, from REMOVE_BITS on,
+    removed; it is null where nothing changes.  Statistics count different texts, so that copies and
+    repeated rows are no evidence, and rows with equal texts get equal spans whatever their ids (null ones too).
+    A null text counts as empty; rows without spans have empty arrays; work in a text grows little faster than its length.
+    Spans with one start are in the order of KINDS.  An empty table gives an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    read = df.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_th"))
-    n_docs = df.count()
+    same = ["_th", "_tk"]  # two 64-bit hashes stand for a text
+    read = df.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_th"), F.xxhash64(F.lit(1), text).alias("_tk"))
     spotted = materialise(
-        read.withColumn("_base", base_spans(F.col("_text")))
-        .select("_id", "_th", "_base", F.when(F.size("_base") > 0, F.col("_text")).alias("_text"))
+        read.withColumn("_found", protected_spans(F.col("_text")))
+        .select("_id", *same, "_found", F.when(F.size("_found") > 0, F.col("_text")).alias("_text"))
     )
-    holding = spotted.filter(F.size("_base") > 0)
-    # a repeated row is one document for the support and counts as often as it stands for the shares
-    docs = materialise(holding.groupBy("_id", "_th").agg(F.count("*").alias("_rows"), F.first("_base").alias("_base"), F.first("_text").alias("_text")))
-    names = F.array_distinct(F.transform("_base", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), s["value"])))
-    named = docs.select("_id", "_th", "_rows", F.explode(names).alias("entity"))
-    # n(t, e) <= n(t) bounds the bits by log2(N / n(e)): other entities, and those of one document, have no telling word
-    entity_docs = (
-        named.groupBy("entity").agg(F.sum("_rows").alias("n_e"), F.count("*").alias("_support"))
-        .filter((F.col("_support") >= LEAST_SUPPORT) & (F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_e")) >= LEAST_BITS)).select("entity", "n_e")
-    )
-    held = named.join(entity_docs, "entity").groupBy("_id", "_th").agg(F.collect_list("entity").alias("_entities")).select(F.col("_id").alias("_hid"), F.col("_th").alias("_hth"), "_entities")
-    read_again = docs.join(held, F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_th") == F.col("_hth")))
+    n_docs = float(max(spotted.select(*same).distinct().count(), 1))
+    holding = spotted.filter(F.size("_found") > 0)
+    docs = materialise(holding.groupBy(*same).agg(F.first("_found").alias("_found"), F.first("_text").alias("_text")))
+    names = F.array_distinct(F.transform("_found", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), s["value"])))
+    named = docs.select(*same, F.explode(names).alias("entity"))
+    counted = named.groupBy("entity").agg(F.count("*").alias("n_e"))
+    # n(t, e) <= n(t) bounds the bits by log2(N / n(e)): other entities, and those of one text, have no telling word
+    entity_docs = materialise(counted.filter((F.col("n_e") >= LEAST_SUPPORT) & (F.log2(F.lit(n_docs) / F.col("n_e")) >= LEAST_BITS)))
+    held = spread_join(named, entity_docs, ["entity"], "_th", frequent(entity_docs, ["entity"], "n_e")).groupBy(*same).agg(F.collect_list("entity").alias("_entities"))
+    read_again = docs.join(held, same)
     uses = (
-        read_again.select("_id", "_th", "_rows", "_entities", F.explode(words_outside(F.col("_text"), F.col("_base"))).alias("term"))
-        .select("_id", "_th", "_rows", "term", F.explode("_entities").alias("entity"))
-    )
-    pairs = uses.groupBy("entity", "term").agg(F.sum("_rows").alias("n_te"), F.count("*").alias("_support")).filter(F.col("_support") >= LEAST_SUPPORT)
-    # words of all texts, less those that stand in base spans only; a word's count is summed per task before it is sent
-    whole, apart = F.array_distinct(words(F.col("_text"))), words_outside(F.col("_text"), F.col("_base"))
-    counted = [(read, whole, 1), (holding, F.array_except(whole, apart), -1), (holding, F.array_except(apart, whole), 1)]
-    vocabulary = [x.select(F.explode(w).alias("term"), F.lit(k).alias("k")) for x, w, k in counted]
-    n_t = vocabulary[0].unionAll(vocabulary[1]).unionAll(vocabulary[2]).groupBy("term").agg(F.sum("k").alias("n_t"))
-    telling = (
-        pairs.join(n_t, "term").filter(F.col("n_te") >= LEAST_SHARE * F.col("n_t"))
-        .join(entity_docs, "entity")
-        .withColumn("bits", F.log2(F.col("n_te") * F.lit(float(max(n_docs, 1))) / (F.col("n_t") * F.col("n_e"))))
-        .filter(F.col("bits") >= LEAST_BITS).select("entity", "term", "bits")
+        read_again.select(*same, "_entities", F.explode(words(F.col("_text"))).alias("term"))
+        .select(*same, "term", F.explode("_entities").alias("entity"))
     )
-    told = uses.join(telling, ["entity", "term"]).groupBy("_id", "_th", "term").agg(F.max("bits").alias("bits"))
-    places = read_again.select("_id", "_th", F.explode(placed_words(F.col("_text"), F.col("_base"))).alias("w")).select("_id", "_th", "w.*")
-    added = (
-        places.alias("p").join(told.alias("t"), F.col("p._id").eqNullSafe(F.col("t._id")) & (F.col("p._th") == F.col("t._th")) & (F.col("p.term") == F.col("t.term")))
-        .groupBy("p._id", "p._th").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "bits")).alias("_added"))
+    pairs = materialise(uses.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= LEAST_SUPPORT))
+    # a word counts once for each different text; the sum over texts is made per task before it is sent
+    n_t = read.select("_th", F.explode(words(F.col("_text"))).alias("term")).groupBy("term", "_th").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= LEAST_SUPPORT)
+    shares = spread_join(pairs, n_t, ["term"], "entity", frequent(pairs.groupBy("term").count(), ["term"])).filter(F.col("n_te") >= LEAST_SHARE * F.col("n_t"))
+    telling = materialise(
+        shares.join(entity_docs, "entity")
+        .withColumn("bits", F.log2(F.col("n_te") * F.lit(n_docs) / (F.col("n_t") * F.col("n_e"))))
+        .filter(F.col("bits") >= LEAST_BITS).select("entity", "term", "bits", "n_te")
     )
-    joined = spotted.alias("a").join(added.alias("b"), F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._th") == F.col("b._th")), "left")
-    flat = F.transform(F.col("a._base"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(0.0).alias("bits")))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,bits:double>>")
-    return joined.select(
-        F.col("a._id").alias(id_col), F.col("a._th").alias("_th"), flat.alias("base"),
-        F.array_sort(F.concat(flat, F.coalesce(F.col("b._added"), none))).alias("spans"),
+    told = spread_join(uses, telling.drop("n_te"), ["entity", "term"], "_th", frequent(telling, ["entity", "term"], "n_te")).groupBy(*same, "term").agg(F.max("bits").alias("bits"))
+    places = read_again.select(*same, F.explode(placed_words(F.col("_text"))).alias("w")).select(*same, "w.*")
+    added = places.join(told, [*same, "term"]).groupBy(*same).agg(F.collect_list(F.struct("start", F.lit(TERM_KIND).alias("kind"), "end", "bits")).alias("_added"))
+    joined = spread_join(spotted, added, same, "_id", frequent(holding.groupBy(*same).count(), same), "left")
+    flat = F.transform("_found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(0.0).alias("bits")))
+    none = F.array().cast(f"array<{SPAN}>")
+    every = joined.select("_id", "_text", flat.alias("_flat"), F.array_sort(F.concat(flat, F.coalesce("_added", none))).alias("spans"))
+    return every.select(
+        F.col("_id").alias(id_col), F.filter("_flat", lambda s: s["kind"] < SECRET_KIND).alias("base"), "spans",
+        F.when(F.size("spans") > 0, covered(F.col("_text"), F.col("spans"))).alias("sanitised"),
     )
 
 
+def covered(text: Column, spans: Column) -> Column:
+    """The text with its spans replaced; of overlapping spans the first one's mark stands for both."""
+    marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+
+    def step(at, s):
+        put = F.when((s["start"] < at) | ((s["kind"] == TERM_KIND) & (s["bits"] >= REMOVE_BITS)), F.lit("")).otherwise(F.element_at(marks, s["kind"] + 1))
+        end = F.greatest(at, s["end"])
+        return end, F.array(F.struct(at.alias("from"), F.greatest(at, s["start"]).alias("start"), end.alias("end"), put.alias("put")))
+
+    def joined(cuts: Column) -> Column:
+        def of(part: Column) -> Column:
+            # a substring costs its distance from the start, so cuts are made in a part's own stretch of the text
+            first = F.element_at(part, 1)["from"]
+            stretch = F.substring(text, first + 1, F.element_at(part, -1)["end"] - first)
+            pieces = lambda block: F.transform(part, lambda x: F.concat(F.substring(block, x["from"] - first + 1, x["start"] - x["from"]), x["put"]))
+            return F.array_join(bound(stretch, pieces), "")
+
+        return F.concat(F.array_join(F.transform(in_parts(cuts), of), ""), F.substring(text, F.element_at(cuts, -1)["end"] + 1, F.length(text)))
+
+    return bound(scan(spans, F.lit(0), step, "array<struct<from:int,start:int,end:int,put:string>>"), joined)
+
+
 def digest(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input with a column ``sanitised``: base spans become [KIND], telling words [TERM] or, from REMOVE_BITS on, nothing."""
-    own = [f"{n}_{uuid.uuid4().hex}" for n in ("id", "th", "spans")]
-    found = find(df, id_col, text_col).select(F.col(id_col).alias(own[0]), F.col("_th").alias(own[1]), F.col("spans").alias(own[2])).distinct()
-    text = F.coalesce(df[text_col], F.lit(""))
-    marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        put = F.when((s["kind"] == 4) & (s["bits"] >= REMOVE_BITS), F.lit("")).otherwise(F.element_at(marks, s["kind"] + 1))
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), put)).alias("out")))
-
-    joined = df.join(found, df[id_col].eqNullSafe(F.col(own[0])) & (F.xxhash64(text) == F.col(own[1])), "left")
-    made = F.aggregate(F.col(own[2]), zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return joined.select(*(df[c] for c in df.columns), made.alias("sanitised"))
+    """The input with a column ``sanitised``; unchanged texts are repeated there, null as empty.  A column with that name is replaced."""
+    own = [f"{n}_{uuid.uuid4().hex}" for n in ("text", "out")]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    known = df.drop("sanitised").withColumn(own[0], text)
+    found = find(known.select(F.col(own[0]).alias("text")).distinct().select(F.col("text").alias("id"), "text"), "id").filter(F.col("sanitised").isNotNull())
+    joined = known.join(found.select(F.col("id").alias(own[0]), F.col("sanitised").alias(own[1])), own[0], "left")
+    return joined.select(*(c for c in df.columns if c != "sanitised"), F.coalesce(own[1], own[0]).alias("sanitised"))
