@@ -53,8 +53,8 @@ def substring_hashes(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, end
 class Texts:
     """Texts as one byte array, each followed by a space: words with their places and hashes."""
 
-    def __init__(self, texts: list[str | None], lower: bool = False):
-        raw = [(t or "").encode() for t in texts]
+    def __init__(self, texts: list[str | bytes | None], lower: bool = False):
+        raw = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
         self.flat = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
         sizes = np.array([len(r) + 1 for r in raw], np.int64)
         self.ends = np.cumsum(sizes)
