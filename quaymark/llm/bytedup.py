@@ -3,13 +3,13 @@
 A byte is removed when a 100-byte string that covers it also starts earlier (in a document with a
 smaller id, or before it in the same document).  Equal strings have the same anchor: the 32-byte substring
 with the smallest hash, leftmost on ties.  Consecutive windows with one anchor form a context (at most
-168 bytes).  Contexts whose anchor occurs once cannot repeat.  The others meet in shards: equal
-contexts collapse to their first place, and where an anchor has different contexts the
+168 bytes).  Contexts whose anchor occurs once cannot repeat.  The others meet in shards: contexts with equal
+bytes collapse to their first place, and where an anchor has different contexts the
 shard's suffix array (induced sorting) and permuted common prefixes tell which windows repeat which.
 
 Groups of documents send every anchor and every context at most once, so a key never has more rows than there are
-groups times its different contexts; the windows of an anchor with very many contexts travel alone,
-keyed by their own hash, so that no anchor gathers an unbounded group in one task.  The text is shuffled once; all passes read that exchange.
+groups times its different contexts; the windows of an anchor with very many contexts travel alone, with
+their bytes, keyed by their own hash, so that no anchor gathers an unbounded group in one task.  The text is shuffled once; all passes read that exchange.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions
-from .grams import U, parts, prefix_sums, sliding_min, substring_hashes
-from .repeats import LAST, dealt, member
+from .grams import parts, prefix_sums, substring_hashes
+from .repeats import COUNTS, anchor_counts, column, dealt, grouped, ids_of, is_first, looked_up, member, places_of_least, shared_anchors, split_seeds
 from .suffix import common_prefixes, suffix_array
 
 LENGTH, SEED = 100, 32
@@ -34,9 +34,8 @@ HOT = 5_000
 SHARD = 1_000_000
 
 
-def chunks(table: pa.Table):
-    texts = [t.encode() for t in table["text"].to_pylist()]
-    ids = np.array([LAST if i is None else i for i in table["id"].to_pylist()], np.int64)
+def chunks(table: pa.Table) -> Iterator[tuple[range, np.ndarray, list[bytes]]]:
+    texts, ids = [t.encode() for t in table["text"].to_pylist()], ids_of(table)
     for a, b in parts([len(t) for t in texts], CHUNK):
         yield range(a, b), ids[a:b], texts[a:b]
 
@@ -56,9 +55,7 @@ class Runs:
             return
         at = np.arange(len(self.flat) - SEED + 1)
         seeds = substring_hashes(self.sums, self.down, at, at + SEED)
-        # places fit in 28 bits (a longer text is cut to fewer hash bits), so the smallest key is the leftmost smallest hash
-        bits = U(max(20, int(len(seeds)).bit_length()))
-        pos = (sliding_min((seeds >> bits << bits) | at.astype(np.uint64), LENGTH - SEED + 1) & ((U(1) << bits) - U(1))).astype(np.int64)
+        pos = places_of_least(seeds, LENGTH - SEED + 1)
         valid = np.zeros(n + 1, bool)
         edge = np.zeros(n + 1, np.int32)
         whole = sizes >= LENGTH
@@ -77,25 +74,17 @@ class Runs:
     def contexts(self) -> np.ndarray:
         return substring_hashes(self.sums, self.down, self.at, self.at + self.size + LENGTH - 1).view(np.int64)
 
-    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the single windows of some runs."""
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, hashes, anchors and owners of the single windows of some runs."""
         size = self.size[runs]
         starts = np.repeat(self.at[runs] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return starts, substring_hashes(self.sums, self.down, starts, starts + LENGTH).view(np.int64)
+        return starts, substring_hashes(self.sums, self.down, starts, starts + LENGTH).view(np.int64), np.repeat(self.anchor[runs], size), np.repeat(self.owner[runs], size)
 
 
 def _anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Every anchor of a group with the number of its different contexts and whether it occurs again."""
-    runs = [Runs(texts) for _, _, texts in chunks(table)]
-    anchor = np.concatenate([r.anchor for r in runs]) if runs else np.zeros(0, np.int64)
-    context = np.concatenate([r.contexts() for r in runs]) if runs else anchor
-    order = np.lexsort((context, anchor))
-    a, c = anchor[order], context[order]
-    cuts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
-    other = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])) if len(a) else np.zeros(0, bool)
-    n = np.add.reduceat(other.astype(np.int32), cuts) if len(a) else np.zeros(0, np.int32)
-    again = np.diff(np.append(cuts, len(a))) > 1
-    return pa.table({"seed": pa.array(a[cuts]), "group": pa.array(np.full(len(cuts), key[0].as_py(), np.int32)), "n": pa.array(n.astype(np.int32)), "again": pa.array(again)})
+    found = [(r.anchor, r.contexts()) for r in (Runs(texts) for _, _, texts in chunks(table))]
+    return anchor_counts(key[0].as_py(), column(found, 0), column(found, 1))
 
 
 CONTEXTS = "key long, context long, group int, id long, at long, size int, body binary"
@@ -103,33 +92,31 @@ CONTEXTS = "key long, context long, group int, id long, at long, size int, body
 
 def _contexts(key: tuple[pa.Scalar, ...], docs: pa.Table, seeds: pa.Table) -> pa.Table:
     """Every context of a repeated anchor once, with its first place in this group."""
-    seeds = seeds.sort_by("seed")
-    shared, hot = seeds["seed"].to_numpy(), seeds["hot"].to_numpy(zero_copy_only=False).astype(bool)
-    hot = shared[hot]
-    got = []
-    for rows, ids, texts in chunks(docs):
+    shared, hot = split_seeds(seeds)
+    found, body = [], []
+    for _, ids, texts in chunks(docs):
         r = Runs(texts)
         on = member(shared, r.anchor)
-        single = on & member(hot, r.anchor)
-        on = np.flatnonzero(on & ~single)
-        c = r.contexts()[on]
-        raw = r.flat.tobytes()
-        a, s, o = r.at[on], r.size[on], r.owner[on]
-        got.append((r.anchor[on], c, ids[o], a - r.starts[o], s, [raw[x : x + n + LENGTH - 1] for x, n in zip(a.tolist(), s.tolist())]))
-        starts, h = r.windows(np.flatnonzero(single))
-        if len(h):
-            o = np.searchsorted(r.ends, starts, "right")
-            got.append((h, h, ids[o], starts - r.starts[o], np.ones(len(h), np.int64), [b""] * len(h)))
-    cols = [np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in range(5)]
-    body = [x for g in got for x in g[5]]
-    order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
-    k, c = cols[0][order], cols[1][order]
-    new = np.ones(len(order), bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    order = order[new]
+        alone = on & member(hot, r.anchor)
+        on = np.flatnonzero(on & ~alone)
+        raw, c, o = r.flat.tobytes(), r.contexts()[on], r.owner[on]
+        a, n = r.at[on], r.size[on]
+        at = a - r.starts[o]
+        first = np.flatnonzero(is_first(r.anchor[on], c, ids[o], at, np.arange(len(on))))
+        found.append((r.anchor[on][first], c[first], ids[o][first], at[first], n[first]))
+        body += [raw[x : x + m + LENGTH - 1] for x, m in zip(a[first].tolist(), n[first].tolist())]
+        if alone.any():
+            starts, h, k, o = r.windows(np.flatnonzero(alone))
+            at = starts - r.starts[o]
+            first = np.flatnonzero(is_first(h, k, ids[o], at, np.arange(len(h))))
+            found.append((h[first], k[first], ids[o][first], at[first], np.ones(len(first), np.int64)))
+            body += [raw[x : x + LENGTH] for x in starts[first].tolist()]
+    k, c, i, at, n = (column(found, j) for j in range(5))
+    order = np.lexsort((at, i, c, k))
+    order = order[grouped(k, c)[1]]
     return pa.table({
-        "key": pa.array(cols[0][order]), "context": pa.array(cols[1][order]), "group": pa.array(np.full(len(order), key[0].as_py(), np.int32)),
-        "id": pa.array(cols[2][order]), "at": pa.array(cols[3][order]), "size": pa.array(cols[4][order].astype(np.int32)), "body": pa.array([body[i] for i in order.tolist()], pa.binary())})
+        "key": pa.array(k[order]), "context": pa.array(c[order]), "group": pa.array(np.full(len(order), key[0].as_py(), np.int32)),
+        "id": pa.array(i[order]), "at": pa.array(at[order]), "size": pa.array(n[order].astype(np.int32)), "body": pa.array([body[x] for x in order.tolist()], pa.binary())})
 
 
 def repeated_windows(bodies: list[bytes], ids: np.ndarray, ats: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -180,11 +167,11 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows:
             distinct, heads = {}, []
             for r in rows:
-                if r[1] not in distinct:
-                    distinct[r[1]] = len(heads)
+                if r[6] not in distinct:  # whole bytes are compared
+                    distinct[r[6]] = len(heads)
                     heads.append(r)
             for r in rows:
-                if r[3:5] != heads[distinct[r[1]]][3:5]:
+                if r[3:5] != heads[distinct[r[6]]][3:5]:
                     out.append((r[2], r[0], r[1], np.packbits(np.ones(r[5], bool)).tobytes()))
             if len(heads) > 1:
                 pending.extend(heads)
@@ -224,81 +211,63 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table) -> pa.Table:
     """The texts of a group without the bytes of repeated windows."""
     mk, mc, mask = marks["key"].to_numpy(), marks["context"].to_numpy(), marks["mask"].to_pylist()
-    hot = np.unique(np.array([k for k, m in zip(mk.tolist(), mask) if m is None], np.int64))
-    own = np.unique(np.array([k for k, c, m in zip(mk.tolist(), mc.tolist(), mask) if m is not None and k == c], np.int64))
-    known = {(k, c): m for k, c, m in zip(mk.tolist(), mc.tolist(), mask) if m is not None}
-    anchors = np.unique(mk)
-    runs_of, windows_of, read = [], [], []
+    is_hot = np.array([m is None for m in mask], bool)
+    hot = np.unique(mk[is_hot])
+    at = np.flatnonzero(~is_hot)
+    mk, mc, mask = mk[at], mc[at], [mask[x] for x in at.tolist()]
+    runs, single, held = [], [], []
     for rows, ids, texts in chunks(docs):
         r = Runs(texts)
-        read.append((rows, r, r.contexts()))
-        runs_of.append((read[-1][2] ^ r.anchor, ids[r.owner], r.at - r.starts[r.owner]))
-        starts, h = r.windows(np.flatnonzero(member(hot, r.anchor)))
-        o = np.searchsorted(r.ends, starts, "right")
-        windows_of.append((h, ids[o], starts - r.starts[o]))
-    is_head, is_first = first_places(runs_of), first_places(windows_of)
+        runs.append((r.anchor, r.contexts(), ids[r.owner], r.at - r.starts[r.owner], r.at, r.size))
+        starts, h, k, o = r.windows(np.flatnonzero(member(hot, r.anchor)))
+        single.append((h, k, ids[o], starts - r.starts[o], starts))
+        held.append((rows, r.flat, r.starts, r.ends))
+
+    def known(found: list) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each is the first of its kind in the group, and the number of its mask from 1 on."""
+        k = [column(found, j) for j in range(4)]
+        return is_first(*k), looked_up(k[0], k[1], mk, mc, np.arange(1, len(mk) + 1))
+
+    (first_run, mark_run), (first_single, mark_single) = known(runs), known(single)
     n_bytes, n_removed, spans, kept, base, base_w = [], [], [], [], 0, 0
-    for rows, r, c in read:
-        n = len(r.at)
-        first_here = is_head[base : base + n]
-        base += n
-        cover = np.zeros(len(r.flat) + 1, np.int32)
-        whole = ~first_here  # a context that occurs before in this group: all of its windows repeat
-        np.add.at(cover, r.at[whole], 1)
-        np.add.at(cover, r.at[whole] + r.size[whole] + LENGTH - 1, -1)
-        for x in np.flatnonzero(first_here & member(anchors, r.anchor)).tolist():
-            m = known.get((int(r.anchor[x]), int(c[x])))
-            if m is not None:
-                bad = r.at[x] + np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8))[: r.size[x]])
-                np.add.at(cover, bad, 1)
-                np.add.at(cover, bad + LENGTH, -1)
-        starts, h = r.windows(np.flatnonzero(member(hot, r.anchor)))
-        bad = starts[~is_first[base_w : base_w + len(h)] | member(own, h)]
-        base_w += len(h)
+    for r, s, (rows, flat, starts, ends) in zip(runs, single, held):
+        at, size = r[4], r[5]
+        first, mark = first_run[base : base + len(at)], mark_run[base : base + len(at)]
+        cover = np.zeros(len(flat) + 1, np.int32)
+        np.add.at(cover, at[~first], 1)  # a context that occurs before in this group: all of its windows repeat
+        np.add.at(cover, at[~first] + size[~first] + LENGTH - 1, -1)
+        for x in np.flatnonzero(first & (mark > 0)).tolist():
+            bad = at[x] + np.flatnonzero(np.unpackbits(np.frombuffer(mask[mark[x] - 1], np.uint8))[: size[x]])
+            np.add.at(cover, bad, 1)
+            np.add.at(cover, bad + LENGTH, -1)
+        bad = s[4][~first_single[base_w : base_w + len(s[4])] | (mark_single[base_w : base_w + len(s[4])] > 0)]
         np.add.at(cover, bad, 1)
         np.add.at(cover, bad + LENGTH, -1)
+        base, base_w = base + len(at), base_w + len(s[4])
         gone = np.cumsum(cover[:-1]) > 0
         stay = ~gone
-        out, upto = r.flat[stay].tobytes(), np.append(0, np.cumsum(stay))
+        out, upto = flat[stay].tobytes(), np.append(0, np.cumsum(stay))
         for d in range(len(rows)):
-            s, e = int(r.starts[d]), int(r.ends[d])
-            edges = np.flatnonzero(np.diff(gone[s:e].view(np.int8), prepend=np.int8(0), append=np.int8(0))) if e > s else np.zeros(0, np.int64)
-            n_bytes.append(e - s)
-            n_removed.append(int(e - s - (upto[e] - upto[s])))
+            a, e = int(starts[d]), int(ends[d])
+            edges = np.flatnonzero(np.diff(gone[a:e].view(np.int8), prepend=np.int8(0), append=np.int8(0))) if e > a else np.zeros(0, np.int64)
+            n_bytes.append(e - a)
+            n_removed.append(int(e - a - (upto[e] - upto[a])))
             spans.append(edges.tolist())
-            kept.append(out[int(upto[s]) : int(upto[e])])
+            kept.append(out[int(upto[a]) : int(upto[e])])
     return pa.table({"id": docs["id"], "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())})
 
 
-def first_places(found: list[tuple]) -> np.ndarray:
-    """Whether each (key, document, start) is the first place of its key in the group; equal places are all first."""
-    k, i, a = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, np.int64) for j in range(3))
-    order = np.lexsort((a, i, k))
-    k, i, a = k[order], i[order], a[order]
-    cuts = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    head = np.repeat(cuts, np.diff(np.append(cuts, len(k))))
-    out = np.zeros(len(k), bool)
-    out[order] = (i == i[head]) & (a == a[head])
-    return out
-
-
 def remove_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, n_bytes, n_removed, spans (starts and ends of removed byte runs in turn), kept (binary).
 
-    Null and empty texts have no bytes.  A null id counts as later than every other.  Rows that share an id count as one
-    document whose texts lie on top of each other, so repeated rows keep the same bytes.  Every byte of a
-    text is covered however long it is; an empty table gives an empty result; other columns are ignored.
+    Null and empty texts have no bytes; every byte of a text is covered however long it is.  Ids are integers (another type raises
+    TypeError); a null id counts as the largest one.  Rows that share an id count as one document whose texts lie on top of
+    each other, so repeated rows and ties keep the same bytes.  An empty table gives an empty result; other columns are ignored.
     """
     docs = dealt(df, id_col, text_col)
-    n = partitions(df.sparkSession)
-    anchors = docs.groupBy("group").applyInArrow(_anchors, "seed long, group int, n int, again boolean")
-    of_seed = Window.partitionBy("seed")
-    shared = (
-        anchors.withColumn("groups", F.count("*").over(of_seed)).withColumn("contexts", F.sum("n").over(of_seed))
-        .filter(F.col("again") | (F.col("groups") > 1)).select("group", "seed", (F.col("contexts") > HOT).alias("hot"))
-    )
+    shared = shared_anchors(docs.groupBy("group").applyInArrow(_anchors, COUNTS), HOT)
     contexts = docs.groupBy("group").cogroup(shared.groupBy("group")).applyInArrow(_contexts, CONTEXTS)
-    marks = contexts.repartition(n, "key").sortWithinPartitions("key", "id", "at").mapInArrow(_decide, MARKS)
+    marks = contexts.repartition(partitions(df.sparkSession), "key").sortWithinPartitions("key", "id", "at").mapInArrow(_decide, MARKS)
     hot = shared.filter("hot").select("group", F.col("seed").alias("key"), F.lit(0).cast("long").alias("context"), F.lit(None).cast("binary").alias("mask"))
     out = docs.groupBy("group").cogroup(marks.unionByName(hot).groupBy("group")).applyInArrow(_cut, "id long, n_bytes long, n_removed long, spans array<bigint>, kept binary")
     return out.withColumnRenamed("id", id_col)

@@ -1,17 +1,17 @@
 """Suffix arrays by induced sorting and their permuted common prefixes, in numpy.
 
 ``suffix_array`` classifies suffixes, sorts leftmost-smaller (LMS) substrings by induction, names them,
-sorts the string of names and induces the whole order from it.  Each induction handles a
-bucket at a time with array operations; every suffix is placed once.
+sorts the string of names by itself and induces the whole order from it.  An induction handles a
+bucket at a time with array operations, or, where symbols are many and buckets small (as in strings of names), a
+suffix at a time; every suffix is placed once.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Names up to which the string of names is sorted by the same induction; beyond it by rank doubling, since
-#: buckets would hold few suffixes each.
-RECURSE = 512
+#: From this many suffixes a symbol on, a bucket is worth an array operation; below it suffixes are induced one at a time.
+DENSE = 64
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -87,21 +87,31 @@ def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> np.nd
     return sa
 
 
-def rank_doubling(s: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of a string that ends with a unique least symbol."""
-    rank, h, n = s.astype(np.int64), 1, len(s)
-    base = max(n, int(rank.max())) + 2
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - h] = rank[h:] + 1
-        key = rank * base + second
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(0, k[1:] != k[:-1]))
-        if rank[order[-1]] == n - 1 or h >= n:
-            return order
-        h *= 2
+def induce_singly(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """The same order for strings of many symbols: two linear passes that place one suffix at a time."""
+    symbol, is_smaller = s.tolist(), smaller.tolist()
+    bounds = np.concatenate(([0], np.cumsum(np.bincount(s, minlength=k))))
+    order = np.argsort(s[lms], kind="stable")
+    placed = lms[order]
+    c = s[placed]
+    counts = np.bincount(c, minlength=k)
+    within = np.arange(len(placed)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = np.full(len(s), -1, np.int64)
+    start[bounds[1:][c] - counts[c] + within] = placed
+    sa, head, tail = start.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()
+    for i in range(len(sa)):
+        j = sa[i] - 1
+        if j >= 0 and not is_smaller[j]:
+            b = symbol[j]
+            sa[head[b]] = j
+            head[b] += 1
+    for i in range(len(sa) - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and is_smaller[j]:
+            b = symbol[j]
+            tail[b] -= 1
+            sa[tail[b]] = j
+    return np.array(sa, np.int64)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -110,9 +120,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if n < 3:
         return np.argsort(s, kind="stable") if n else np.zeros(0, np.int64)
     k = int(s.max()) + 1
+    induced = induce if n >= DENSE * k else induce_singly
     smaller = classify(s)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    sa = induce(s, smaller, lms, k)
+    sa = induced(s, smaller, lms, k)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     by_substring = sa[is_lms[sa]]
@@ -131,11 +142,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     names[by_substring] = np.cumsum(np.append(0, ~same))
     reduced = names[lms]
     distinct = int(reduced.max()) + 1
-    if distinct == len(lms):
-        order = by_substring
-    else:
-        order = lms[suffix_array(reduced) if distinct <= RECURSE else rank_doubling(reduced)]
-    return induce(s, smaller, order, k)
+    order = by_substring if distinct == len(lms) else lms[suffix_array(reduced)]
+    return induced(s, smaller, order, k)
 
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
