@@ -2,7 +2,7 @@
 
 A document is the set of its hashed word shingles.  Register i of its sketch is
 floor(1 - log_b(m_i)) cut to 0 ... q + 1, where m_i is the minimum over the set of exponential variates; sketches of
-parts merge by maximum.  Equal sets collapse first.  Bands of five registers propose pairs; the joint likelihood of two
+parts merge by maximum.  Equal sets (by a digest of the whole set) collapse first.  Bands of five registers propose pairs; the joint likelihood of two
 sketches (how many registers are larger, equal, smaller, given both set sizes)
 estimates the similarity and rejects clear misses; the full sets confirm every link.
 
@@ -15,6 +15,7 @@ these pairs are never made.  A last pass over the components gives each document
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import small_batches
-from .common import materialise
+from .common import frequent, integral, materialise, spread_join
 from .grams import Texts, parts
 
 #: SetSketch parameters (base, rate of the variates, largest register) and bands times registers.
@@ -37,6 +38,8 @@ CHUNK = 300_000
 FEW = 8
 #: Ids up to which a table of them is broadcast (about 16 MB).
 BROADCAST_IDS = 1_000_000
+#: Pairs of one document beyond which they are dealt over all partitions.
+LEADER_PAIRS = 10_000
 #: In how many open documents a shingle counts as common.
 OFTEN = 64
 _random = np.random.default_rng(15485863)
@@ -100,31 +103,35 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, ste
 
 
 def sketch(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, f1, f2, sketch): set size, two sums of the set that stand for it, and the registers."""
+    """(id, n_shingles, whole, sketch): set size, a 256-bit digest of the whole set, and the registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
-            n, f1, f2, regs = [], [], [], []
+            n, whole, regs = [], [], []
             for s in shingle_sets(b.column(1).to_pylist(), k):
                 n.append(len(s))
-                with np.errstate(over="ignore"):
-                    f1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                    f2.append(int((s * (s ^ (s >> np.uint64(29)))).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
+                whole.append(hashlib.sha256(s.tobytes()).digest())
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(regs, pa.binary())], names=["id", "n_shingles", "f1", "f2", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(regs, pa.binary())], names=["id", "n_shingles", "whole", "sketch"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, f1 long, f2 long, sketch binary")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, whole binary, sketch binary")
+
+
+def with_sides(pairs: DataFrame, side_a: DataFrame, side_b: DataFrame) -> DataFrame:
+    """Pairs (a, b) with what belongs to a and to b; a member of very many pairs (a leader) is dealt over all partitions."""
+    hot = {c: frequent(pairs.groupBy(c).count(), [c], least=LEADER_PAIRS) for c in "ab"}
+    return spread_join(spread_join(pairs, side_a, ["a"], "b", hot["a"]), side_b, ["b"], "a", hot["b"])
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that the joint likelihood does not rule out."""
     side = lambda c: sketches.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     margin = ERRORS * float(np.sqrt(threshold * (1 - threshold) / REGISTERS))
-    sized = (
-        pairs.join(side("a").drop("s_a"), "a").join(side("b").drop("s_b"), "b")
+    sized = materialise(
+        with_sides(pairs, side("a").drop("s_a"), side("b").drop("s_b"))
         .filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).select("a", "b")
     )
-    both = sized.join(side("a"), "a").join(side("b"), "b")
+    both = with_sides(sized, side("a"), side("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -140,6 +147,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame
 
 def confirmed(pairs: DataFrame, df: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
+    pairs = materialise(pairs)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(bounded(wanted), "id", "left_semi")
 
@@ -150,7 +158,7 @@ def confirmed(pairs: DataFrame, df: DataFrame, k: int, percent: int, id_col: str
 
     items = texts.mapInArrow(sets, "id long, items binary")
     side = lambda c: items.select(F.col("id").alias(c), F.col("items").alias(f"i_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = with_sides(pairs, side("a"), side("b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,19 +223,20 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row; documents link from ``percent`` similarity of their shingle sets on.
 
-    The smallest id of a component is kept.  Null, empty and white-space texts have no
-    shingles, are linked with nothing and stay.  Rows that repeat an id are one
-    document for links as long as their texts agree; every row is returned.  A row
+    The smallest id of a component is kept, so there are no ties.  Null, empty and white-space texts have no
+    shingles, are linked with nothing and stay; a text of any length is read whole.  Rows that repeat an id are one
+    document for links as long as their texts agree; every row is returned.  Ids are integers (another type raises TypeError); a row
     with a null id links with nothing and stays.  An empty table gives an empty result; other columns are ignored.
     """
+    integral(df, id_col)
     threshold = percent / 100
     every = materialise(sketch(df, k, id_col, text_col))
     full = every.filter("n_shingles > 0 and id is not null")
-    classes = full.groupBy("n_shingles", "f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+    same = ["n_shingles", "whole"]
+    classes = full.groupBy(*same).agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("n"))
     repeated = full.groupBy("id").count().filter("count > 1").limit(1).count() > 0
     copies = materialise(classes.filter("rep < last").drop("last"))
-    same = ["n_shingles", "f1", "f2"]
-    follows = full.join(copies, same).filter("id <> rep").select("id", "rep").distinct()
+    follows = spread_join(full.select("id", *same), copies.drop("n"), same, "id", frequent(copies, same, "n")).filter("id <> rep").select("id", "rep").distinct()
     sketches = materialise(full.join(follows.select("id"), "id", "left_anti").dropDuplicates(["id"]).select("id", "n_shingles", "sketch"))
 
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("sketch"), i * 2 * ROWS + 1, F.lit(2 * ROWS)))).alias("band", "part")
@@ -275,7 +284,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         labels = components(links.union(extra))
 
     own = full.select("id").distinct().join(follows, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    reach = own.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("component"))
+    reach = spread_join(own, labels.withColumnRenamed("id", "rep"), ["rep"], "id", frequent(copies, ["rep"], "n"), "left").select("id", F.coalesce("label", "rep").alias("component"))
     return (
         every.select("id", "n_shingles").join(reach, "id", "left")
         .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
