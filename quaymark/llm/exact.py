@@ -5,7 +5,7 @@ partitioning on (a short prefix, a 64-bit hash, a salt) with sampled splitters d
 the normalised texts out, Spark's external sort places equals side by side inside
 each partition, and a window over the sorted rows compares whole neighbouring texts.
 
-Groups holding over 1/1024 of all rows (so at most 1023 of them) are salted by id
+Groups of over HOT_LEAST rows that hold over 1/65,536 of all rows (so fewer than that many groups) are salted by id
 over all partitions; their totals come from a pre-aggregation that sends one row per
 task and text, and are attached by a join whose small side has that proven bound.
 """
@@ -17,9 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, partitions
+from .common import SPACE, frequent, partitions
 
-HOT_SHARE = 1024
 HOT_LEAST = 1000
 
 
@@ -46,33 +45,31 @@ def exact_groups(df: DataFrame, carry: Sequence[str] = (), id_col: str = "doc_id
         F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carry))).alias("_row") if carry else F.lit(0).alias("_row"),
     ).withColumn("_h", F.xxhash64("_norm"))
 
-    counts = base.groupBy("_h").agg(F.count("*").alias("n"))
-    total = df.count()
-    hot = [r["_h"] for r in counts.filter(F.col("n") > max(HOT_LEAST, total / HOT_SHARE)).collect()]  # at most 1023 rows
-    is_hot = F.col("_h").isin(hot) if hot else F.lit(False)
+    hot = frequent(base.groupBy("_h").count(), ["_h"], least=HOT_LEAST)
+    base = base.withColumn("_hot", F.lit(None).cast("boolean")) if hot is None else base.join(F.broadcast(hot), "_h", "left")  # under SHARES hashes
 
-    salt = ["_salt"] if hot else []  # a constant would keep Spark from seeing that the range partitioning serves the window
+    salt = ["_salt"] if hot is not None else []  # a constant would keep Spark from seeing that the range partitioning serves the window
     dealt = (
-        base.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64("_id"), F.lit(n))).otherwise(F.lit(0)))
+        base.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(n))).otherwise(F.lit(0)))
         .withColumn("_prefix", F.substring("_norm", 1, 16))
         .repartitionByRange(n, "_prefix", "_h", *salt)
     )
     same = Window.partitionBy("_prefix", "_h", *salt, "_norm")
     order = same.orderBy(F.desc("_len"), F.asc_nulls_last("_id"))
     found = dealt.select(
-        "_id", "_row", "_h", is_hot.alias("_hot"), F.sha2("_norm", 256).alias("text_sha256"),
+        "_id", "_row", "_h", F.sha2("_norm", 256).alias("text_sha256"),
         F.row_number().over(order).alias("_rn"), F.first("_id").over(order).alias("_keep"),
         F.count("*").over(same).alias("_size"),
     )
-    if hot:
+    if hot is not None:
         totals = (
-            base.filter(is_hot)
+            base.filter("_hot")
             .groupBy("_h", "_norm")
             .agg(F.count("*").alias("_all"), F.min(F.struct(-F.col("_len"), F.col("_id").isNull(), F.col("_id").alias("id"))).alias("_best"))
             .select("_h", F.sha2("_norm", 256).alias("text_sha256"), "_all", F.col("_best.id").alias("_best"), F.lit(True).alias("_found"))
         )
         found = (
-            found.join(F.broadcast(totals), ["_h", "text_sha256"], "left")  # at most 1023 hot hashes
+            found.join(F.broadcast(totals), ["_h", "text_sha256"], "left")  # under SHARES hot hashes
             .withColumn("_rn", F.when(F.col("_found") & ~F.col("_best").eqNullSafe(F.col("_id")), F.lit(2)).otherwise(F.col("_rn")))
             .withColumn("_keep", F.when(F.col("_found"), F.col("_best")).otherwise(F.col("_keep")))
             .withColumn("_size", F.when(F.col("_found"), F.col("_all")).otherwise(F.col("_size")))
