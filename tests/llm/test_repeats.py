@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from quaymark.llm import bytedup, neardup, repeats, suffix
+from quaymark.llm import bytedup, common, neardup, repeats, suffix
 from quaymark.llm.common import table
 
 SCHEMA = "doc_id long, text string, group int, id string, sketch int"
@@ -24,7 +24,7 @@ def rows(spark, sf):
     return found + [(100_000 + k, t) for k, t in enumerate(extra)]
 
 
-def test_suffix_arrays():
+def test_suffix_arrays(monkeypatch):
     r = random.Random(3)
     for trial in range(150):
         n, k = r.randint(1, 60), r.choice([1, 2, 3, 26, 255])
@@ -33,13 +33,28 @@ def test_suffix_arrays():
         a, t = np.array([*s, 0]), [*s, 0]
         want = sorted(range(n + 1), key=lambda i: t[i:])
         sa = suffix.suffix_array(a)
-        assert sa.tolist() == want and suffix.rank_doubling(a).tolist() == want
+        assert sa.tolist() == want
+        for form in (0, 10**9):  # both forms of induction at every level
+            monkeypatch.setattr(suffix, "DENSE", form)
+            assert suffix.suffix_array(a).tolist() == want
+        monkeypatch.undo()
         plcp = suffix.common_prefixes(a, sa, 10)
         for i, j in zip(want[1:], want):
             n_same = next((x for x in range(10) if t[i + x] != t[j + x]), 10)
             assert plcp[i] == n_same
 
 
+def test_suffix_array_of_long_text():
+    """Many names at several levels of the recursion."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdé ") for _ in range(r.randint(1, 6))) for _ in range(300)]
+    text = " ".join(r.choice(words) for _ in range(12_000)).encode()
+    sa = suffix.suffix_array(np.append(np.frombuffer(text, np.uint8).astype(np.int64), 0))
+    assert sorted(sa.tolist()) == list(range(len(text) + 1))
+    for i, j in zip(sa[1:].tolist(), sa[2:].tolist()):
+        assert text[i : i + 400] <= text[j : j + 400]
+
+
 def brute_bytes(rows):
     first, texts = {}, [(i, (t or "").encode()) for i, t in rows]
     for i, b in texts:
@@ -79,7 +94,9 @@ def brute_words(rows):
     return out
 
 
-def test_words(spark, rows):
+@pytest.mark.parametrize("few", [48, 2, 0])
+def test_words(spark, rows, monkeypatch, few):
+    monkeypatch.setattr(repeats, "FEW", few)
     got = {r.doc_id: r for r in repeats.remove_repeats(frame(spark, rows)).collect()}
     assert {i: (r.n_words, r.n_removed, r.kept_text) for i, r in got.items()} == brute_words(rows)
     for i, r in got.items():
@@ -94,6 +111,9 @@ def test_repeats_with_odd_ids(spark):
     size = len(t.encode())
     got = sorted((r.doc_id or 99, r.n_removed) for r in bytedup.remove_repeated_bytes(frame(spark, rows)).collect())
     assert got == [(5, 0), (5, 0), (9, size), (99, 0), (99, size)]
+    for bad in (repeats.remove_repeats, bytedup.remove_repeated_bytes):
+        with pytest.raises(TypeError):
+            bad(spark.createDataFrame([("x", "y")], "doc_id string, text string"))
     assert repeats.remove_repeats(frame(spark, rows).limit(0)).count() == 0
     assert bytedup.remove_repeated_bytes(frame(spark, rows).limit(0)).count() == 0
 
@@ -135,11 +155,20 @@ def test_near_duplicates(spark, rows, k):
         base[r.randrange(120)] = f"n{i}"
         copies.append((200_000 + i, " ".join(base)))
     short = [(300_000, "Only Two"), (300_001, "only two"), (300_002, "only three words"), (300_003, "ÀB c d e"), (300_004, "àB c d e")]
-    every = [(i, t) for i, t in rows if len(t or "") < 6000] + copies + short
+    every = rows + copies + short
     got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in neardup.near_duplicates(frame(spark, every), k=k).collect()}
     assert got == brute_near(every, k)
 
 
+def test_near_duplicates_lose_no_link(spark, monkeypatch):
+    """All documents of a larger table, with members of many pairs dealt out."""
+    monkeypatch.setattr(neardup, "LEADER_PAIRS", 3)
+    monkeypatch.setattr(common.frequent, "__defaults__", ("count", 1))
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in neardup.near_duplicates(docs).collect()}
+    assert got == brute_near([(r.doc_id, r.text) for r in docs.collect()], 5)
+
+
 def test_near_duplicates_with_odd_ids(spark):
     t = " ".join(f"w{i}" for i in range(40))
     got = sorted((r.doc_id or 99, r.component_id or 99, r.kept) for r in neardup.near_duplicates(frame(spark, [(5, t), (5, t), (None, t), (9, t), (8, None)])).collect())
