@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import market
 from .joins import capacity_close, comparables
 from .series import first_rows
 from .text import round_retail_price
@@ -25,11 +24,11 @@ def price_review(items: DataFrame, offers: DataFrame, matches: DataFrame, seller
     there are three.  Three prices are needed, two when all are identical or exact.
     """
     c = cheapest_per_group(comparables(offers, matches, sellers, loose))
-    strong = c.filter(F.col("confidence") >= firm)
-    sure = (F.col("match_type").isin("exact", "identical")).cast("int")
-    both = market(c, "item_id").select("item_id", *(F.col(x).alias(f"l_{x}") for x in ("median", "n")))
-    f = market(strong, "item_id").join(strong.groupBy("item_id").agg(F.min(sure).alias("all_sure")), "item_id")
-    x = both.join(f, "item_id", "left")
+    is_firm = F.col("confidence") >= firm
+    strong = lambda x: F.when(is_firm, x)
+    x = c.groupBy("item_id").agg(
+        F.median("price").alias("l_median"), F.count("*").alias("l_n"), F.median(strong(F.col("price"))).alias("median"), F.count_if(is_firm).alias("n"),
+        F.count_distinct(strong(F.col("seller_group"))).alias("sellers"), F.min(strong(F.col("match_type").isin("exact", "identical").cast("int"))).alias("all_sure"))
     weak = F.coalesce((F.col("n") < 3) | (F.col("sellers") < 2), F.lit(True))
     x = x.withColumn("approx", weak & (F.col("l_n") >= 3))
     x = x.withColumn("market", F.when(F.col("approx"), F.col("l_median")).otherwise(F.col("median"))).withColumn("offers", F.when(F.col("approx"), F.col("l_n")).otherwise(F.col("n")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,25 +64,48 @@ def match_exact_model(offers: DataFrame, items: DataFrame, aliases: DataFrame, b
     return x.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= best)
 
 
-def match_analogs(offers: DataFrame, items: DataFrame, matched: DataFrame, system: str, best: int = 3, system_best: int = 2) -> DataFrame:
-    """For offers without an exact match, items of the same category and kind, scored by capacity and price.
-
-    Systems keep the best two within 0.15 of the best; others up to three from 0.55 on.
-    """
-    o = offers.join(matched.select("offer_id").distinct(), "offer_id", "left_anti").select("offer_id", "category", "kind", F.col("capacity").alias("oc"), F.col("price").alias("op"))
-    i = items.select("item_id", "category", "kind", F.col("capacity").alias("ic"), F.col("price").alias("ip"))
-    x = o.join(i, ["category", "kind"])
+def analog_score(df: DataFrame, system: str, spec: bool) -> DataFrame:
+    """Candidates (kind, oc, op, ic, ip and, with ``spec``, two spec structs o_spec and i_spec) with a score."""
     is_system = F.col("kind") == system
-    score = F.when(is_system, 0.4).otherwise(0.5)
-    score = score + F.when(F.col("oc") == F.col("ic"), 0.25).when(capacity_close(F.col("ic"), F.col("oc")), 0.1).when(F.col("oc").isNotNull() & F.col("ic").isNotNull(), -0.15).otherwise(0.0)
+    oc, ic = F.col("oc"), F.col("ic")
+    score = F.when(is_system, 0.4).otherwise(0.6)
+    score = score + F.when(oc == ic, 0.25).when(capacity_close(ic, oc), 0.1).when(oc.isNotNull() & ic.isNotNull(), -0.15).when(is_system & ic.isNotNull(), -0.15).otherwise(0.0)
     ratio = price_ratio(F.col("op"), F.col("ip"))
-    score = score + F.when(ratio <= 1.3, 0.1).when(ratio <= 2, 0.0).when(ratio <= 3, -0.1).when(ratio > 3, -0.2).otherwise(0.0)
-    x = x.withColumn("confidence", F.bround(clamp(score, 0.2, 0.8), 4))
-    w = Window.partitionBy("offer_id")
-    x = x.withColumn("rn", F.row_number().over(w.orderBy(F.desc("confidence"), "item_id"))).filter(F.col("rn") <= max(best, system_best))
-    x = x.withColumn("top", F.max("confidence").over(w))
-    keep = F.when(is_system, (F.col("rn") <= system_best) & (F.col("top") - F.col("confidence") <= 0.15 + 1e-9)).otherwise((F.col("rn") <= best) & (F.col("confidence") >= 0.55))
-    return x.filter(keep).withColumn("match_type", F.when(F.col("confidence") >= 0.7, "direct").when(is_system, "functional").otherwise("adjacent")).select("offer_id", "item_id", "confidence", "match_type", "rn")
+    score = score + F.when(is_system, F.when(ratio <= 1.3, 0.15).when(ratio <= 2, 0.05).when(ratio > 2, -0.1).otherwise(0.0)).otherwise(F.when(ratio > 3, -0.15).otherwise(0.0))
+    if spec:
+        score = score - F.coalesce(spec_penalty("i_spec", "o_spec")[0], F.lit(0.0))
+    return df.withColumn("score", F.bround(score, 4))
+
+
+def match_analogs(offers: DataFrame, items: DataFrame, matched: DataFrame, system: str, best: int = 3, system_best: int = 2, spec: str | None = None, accessories: Sequence[str] = ()) -> DataFrame:
+    """For offers without an exact match, items of the same category and kind, scored by capacity, price and specs.
+
+    Systems keep the best two within 0.15 of the best; others up to three from 0.55 on.  Candidates meet on category, kind and
+    capacity, where an item stands for every whole capacity close to its own; rows of unknown capacity meet all others.
+    A different capacity counts 0.15 less, so only systems can match it, with 0.4 at most: those with too few
+    better candidates are compared with all systems of their category.
+    """
+    more = [] if spec is None else [F.col(spec)]
+    o = offers.join(matched.select("offer_id").distinct(), "offer_id", "left_anti").select(
+        "offer_id", "category", "kind", F.col("capacity").cast("long").alias("oc"), F.col("price").alias("op"), *(c.alias("o_spec") for c in more))
+    i = items.select("item_id", "category", "kind", F.col("capacity").cast("long").alias("ic"), F.col("price").alias("ip"), *(c.alias("i_spec") for c in more))
+    same = ["category", "kind"]
+    reach = F.floor(F.greatest(F.lit(2.0), 0.2 * F.col("ic")))
+    close = i.filter("ic IS NOT NULL").withColumn("oc", F.explode(F.sequence(F.col("ic") - reach, F.col("ic") + reach)))
+    near = o.join(close, [*same, "oc"]).unionByName(o.filter("oc IS NULL").join(i, same)).unionByName(o.filter("oc IS NOT NULL").join(i.filter("ic IS NULL"), same))
+    scored = analog_score(near, system, spec is not None)
+    full = scored.filter((F.col("kind") == system) & (F.col("score") > 0.4)).groupBy("offer_id").count().filter(F.col("count") >= system_best)
+    rest = o.filter((F.col("kind") == system) & F.col("oc").isNotNull()).join(full, "offer_id", "left_anti")
+    far = rest.join(i.filter((F.col("kind") == system) & F.col("ic").isNotNull()), same).filter(~capacity_close(F.col("ic"), F.col("oc")))
+    x = scored.unionByName(analog_score(far, system, spec is not None))
+    w, is_system = Window.partitionBy("offer_id"), F.col("kind") == system
+    x = x.withColumn("rn", F.row_number().over(w.orderBy(F.desc("score"), "item_id"))).filter(F.col("rn") <= max(best, system_best))
+    x = x.withColumn("top", F.max("score").over(w))
+    keep = F.when(is_system, (F.col("rn") <= system_best) & (F.col("top") - F.col("score") <= 0.15 + 1e-9)).otherwise((F.col("rn") <= best) & (F.col("score") >= 0.55))
+    firm = F.when(F.col("kind").isin(*accessories), "accessory").otherwise("direct") if accessories else F.lit("direct")
+    least = F.when(F.col("kind").isin(*accessories), 0.55).otherwise(0.6) if accessories else F.lit(0.6)
+    return x.filter(keep).select(
+        "offer_id", "item_id", clamp(F.col("score"), 0.2, 0.8).alias("confidence"), F.when(F.col("score") >= least, firm).otherwise("functional").alias("match_type"), "rn")
 
 
 def match_fallbacks(offers: DataFrame, items: DataFrame, matched: DataFrame, own_brand: Column, rental: Column, substitutes: Sequence[str]) -> DataFrame:
@@ -154,33 +178,38 @@ def step_signature(vector: Column, bits: int = 63) -> Column:
     return sign_signature(F.zip_with(F.slice(vector, 2, bits), F.slice(vector, 1, bits), lambda a, b: a - b), bits)
 
 
-def hamming_pairs(left: DataFrame, right: DataFrame, most: int, bands: int = 16, sig: str = "sig", id_col: str = "vec_id", second: str | None = None) -> DataFrame:
-    """Pairs within ``most`` differing bits by pigeonhole banding.
+def hamming_pairs(left: DataFrame, right: DataFrame, most: int, bands: int = 4, sig: str = "sig", id_col: str = "vec_id", second: str | None = None) -> DataFrame:
+    """Pairs of 64-bit signatures within ``most`` differing bits, by a multi-index join.
 
-    64 bits fall into ``bands`` bands; a pair within ``most`` bits agrees in at least bands - most of them, so with
-    most < bands every such pair shares a band.  For larger distances use more bands.
-    A ``second`` signature goes along and gives distance2.
+    The bits fall into bands.  A pair within ``most`` bits differs in at most most // bands of them in some band, so each right
+    signature asks for every value that near to its own in each band (697 of 65,536 values for up to 15 bits in 4 bands).
+    The smaller side should be the right one.  A ``second`` signature goes along and gives distance2.
     """
-    if most >= bands or 64 % bands:
-        raise ValueError("bands must divide 64 and be more than the distance")
-    width = 64 // bands
+    if 64 % bands or most < 0:
+        raise ValueError("bands must divide 64")
+    width, flips = 64 // bands, most // bands
     mask = (1 << width) - 1
-    band = lambda df: df.select(F.col(id_col).alias("id"), F.col(sig).alias("sig"), *([F.col(second).alias("second")] if second else []), F.posexplode(F.array(*(F.shiftrightunsigned(F.col(sig), b * width).bitwiseAND(F.lit(mask)) for b in range(bands)))).alias("band", "value"))
-    a, b = band(left), band(right)
-    pairs = a.join(b.select(F.col("id").alias("id2"), F.col("sig").alias("sig2"), *([F.col("second").alias("second2")] if second else []), "band", "value"), ["band", "value"]).filter("id <> id2")
-    near = pairs.withColumn("distance", F.bit_count(F.col("sig").bitwiseXOR(F.col("sig2")))).filter(F.col("distance") <= most)
-    # the first band that a pair shares speaks for it
-    first = F.array_min(F.filter(F.array(*(F.when(F.shiftrightunsigned(F.col("sig").bitwiseXOR(F.col("sig2")), b_ * width).bitwiseAND(F.lit(mask)) == 0, F.lit(b_)) for b_ in range(bands))), lambda x: x.isNotNull()))
+    near = [sum(1 << b for b in c) for k in range(flips + 1) for c in combinations(range(width), k)]
+    if len(near) > 20_000:
+        raise ValueError("too many near values: take more bands")
+    part = lambda x, b: F.shiftrightunsigned(x, b * width).bitwiseAND(F.lit(mask))
+    banded = lambda df, id_, sig_, second_: df.select(F.col(id_col).alias(id_), F.col(sig).alias(sig_), *([F.col(second).alias(second_)] if second else []), F.posexplode(F.array(*(part(F.col(sig), b) for b in range(bands)))).alias("band", "value"))
+    flipped = F.explode(F.expr(f"array({', '.join(map(str, near))})")).alias("flip")
+    probes = banded(right, "id2", "sig2", "second2").select("*", flipped).withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
+    bits = F.col("sig").bitwiseXOR(F.col("sig2"))
+    pairs = banded(left, "id", "sig", "second").join(probes, ["band", "value"]).withColumn("distance", F.bit_count(bits)).filter((F.col("id") != F.col("id2")) & (F.col("distance") <= most))
+    # the first band that is near speaks for a pair
+    first = F.coalesce(*(F.when(F.bit_count(part(bits, b)) <= flips, b) for b in range(bands)))
     apart = [F.bit_count(F.col("second").bitwiseXOR(F.col("second2"))).alias("distance2")] if second else []
-    return near.filter(F.col("band") == first).select("id", "id2", "distance", *apart)
+    return pairs.filter(F.col("band") == first).select("id", "id2", "distance", *apart)
 
 
 def signature_levels(
-    left: DataFrame, right: DataFrame, sig: str = "sig", step: str = "step", id_col: str = "vec_id", same: tuple[int, int] = (6, 10), similar: tuple[int, int] = (12, 16), bands: int = 16,
+    left: DataFrame, right: DataFrame, sig: str = "sig", step: str = "step", id_col: str = "vec_id", same: tuple[int, int] = (6, 10), similar: tuple[int, int] = (12, 16), bands: int = 4,
 ) -> DataFrame:
     """Pairs near in both signatures, with a level: ``same`` or ``similar`` by the most bits that the first and the second may differ in.
 
-    Banding on the first signature finds the candidates; a pair that is far in the second one is no match.
+    The first signature finds the candidates; a pair that is far in the second one is no match.
     """
     x = hamming_pairs(left, right, max(same[0], similar[0]), bands, sig, id_col, step)
     within = lambda most: (F.col("distance") <= most[0]) & (F.col("distance2") <= most[1])

@@ -120,14 +120,15 @@ FINDINGS = """findings AS (SELECT o_orderkey AS finding_id, 'f:' || (o_custkey %
 
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64-bit signatures from the signs of embeddings; the even ids are side 1."""
-    from ..operators.joins import sign_signature
+    """Two 64-bit signatures from the signs of embeddings and of their steps; the even ids are side 1."""
+    from ..operators.joins import sign_signature, step_signature
 
     e = read(spark, sf_dir, "embeddings")
-    return e.select("vec_id", sign_signature(F.col("embedding")).alias("sig"), (F.col("vec_id") % 2).alias("side"))
+    return e.select("vec_id", sign_signature(F.col("embedding")).alias("sig"), step_signature(F.col("embedding")).alias("step"), (F.col("vec_id") % 2).alias("side"))
 
 
-SIGNATURES = """sigs AS (SELECT vec_id, list_reduce(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (1::UBIGINT << (i - 1)::UBIGINT) ELSE 0::UBIGINT END), lambda a, b: a | b) AS sig, vec_id % 2 AS side FROM embeddings)"""
+SIGNATURES = """sigs AS (SELECT vec_id, list_reduce(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (1::UBIGINT << (i - 1)::UBIGINT) ELSE 0::UBIGINT END), lambda a, b: a | b) AS sig,
+    list_reduce(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i + 1] - embedding[i] > 0 THEN (1::UBIGINT << (i - 1)::UBIGINT) ELSE 0::UBIGINT END), lambda a, b: a | b) AS step, vec_id % 2 AS side FROM embeddings)"""
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,10 +64,10 @@ def category_position(spark, d):
     return O.category_position(A.position_share(offers(spark, d), catalog(spark, d), ["category", "kind"]))
 
 
-@query("compare_table", """{catalog} , c AS (SELECT category, item_id, price::DOUBLE AS price, capacity::DOUBLE AS capacity FROM catalog WHERE item_id % 20 = 0), l AS (SELECT category, item_id, 'price' AS field, price AS value FROM c UNION ALL SELECT category, item_id, 'capacity', capacity FROM c)
+@query("compare_table", """{catalog} , c AS (SELECT category, item_id, price::DOUBLE AS price, capacity::DOUBLE AS capacity FROM catalog), l AS (SELECT category, item_id, 'price' AS field, price AS value FROM c UNION ALL SELECT category, item_id, 'capacity', capacity FROM c)
     SELECT category, item_id, field, value, value = CASE WHEN field = 'price' THEN min(value) OVER w ELSE max(value) OVER w END AS best FROM l WINDOW w AS (PARTITION BY category, field)""")
 def compare_table(spark, d):
-    return O.compare_table(catalog(spark, d).filter("item_id % 20 = 0"), ["category"], "item_id", ["price", "capacity"])
+    return O.compare_table(catalog(spark, d), ["category"], "item_id", ["price", "capacity"])
 
 
 @query("generate_actions", """{findings} , f AS (SELECT * FROM findings WHERE status <> 'done') SELECT 'item:' || item_id AS dedupe_key, count(*) AS n, max(confidence) AS confidence, list_sort(list(finding_id)) AS evidence FROM f GROUP BY item_id HAVING count(*) >= 3
@@ -91,11 +91,11 @@ def periodic_report(spark, d):
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-FEATURES = "ft AS (SELECT s_name AS seller, 'f' || (s_suppkey * k % 9) AS field, max(s_suppkey * k % 5)::VARCHAR AS value FROM supplier, (SELECT unnest([1, 2, 3]) AS k) WHERE s_suppkey < 20 GROUP BY 1, 2)"
+FEATURES = "ft AS (SELECT s_name AS seller, 'f' || (s_suppkey * k % 9) AS field, max(s_suppkey * k % 5)::VARCHAR AS value FROM supplier, (SELECT unnest([1, 2, 3]) AS k) GROUP BY 1, 2)"
 
 
 def features(spark, d):
-    s = read(spark, d, "supplier").filter("s_suppkey < 20").select("s_name", "s_suppkey", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
+    s = read(spark, d, "supplier").select("s_name", "s_suppkey", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
     return s.groupBy(F.col("s_name").alias("seller"), F.concat(F.lit("f"), (F.col("s_suppkey") * F.col("k") % 9).cast("string")).alias("field")).agg(F.max(F.col("s_suppkey") * F.col("k") % 5).cast("string").alias("value"))
 
 

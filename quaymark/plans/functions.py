@@ -39,8 +39,8 @@ def page_offers_udtf(spark, d):
     return spark.sql("SELECT page_id, o.name, o.price FROM quaymark_pages, LATERAL page_offers(html) o")
 
 
-@query("upper_median_udf", "{offers} SELECT category, list_sort(list(price))[(len(list(price)) // 2 + 1)::INT] AS price FROM offers WHERE item_id % 20 = 0 GROUP BY 1")
+@query("upper_median_udf", "{offers} SELECT category, list_sort(list(price))[(len(list(price)) // 2 + 1)::INT] AS price FROM offers GROUP BY 1")
 def upper_median_udf(spark, d):
     register_functions(spark)
-    offers(spark, d).filter("item_id % 20 = 0").createOrReplaceTempView("quaymark_offers")
+    offers(spark, d).createOrReplaceTempView("quaymark_offers")
     return spark.sql("SELECT category, upper_median(price) AS price FROM quaymark_offers GROUP BY category")

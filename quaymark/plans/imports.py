@@ -26,18 +26,20 @@ def alias_columns(spark, d):
     return O.alias_columns(read(spark, d, "part"), {"sku": ["article", "partkey"], "price": ["price", "retail"], "stock": ["stock", "qty"]})
 
 
-@query("import_term_volumes", """{demand_obs} , x AS (SELECT term, date_trunc('month', day)::DATE AS m, sum(value) AS v FROM demand_obs WHERE term LIKE '%1' GROUP BY 1, 2) SELECT term, 'w' AS source, m AS period_start, m + 27 AS period_end, CASE WHEN term LIKE 'c%' THEN 0 ELSE v END::DOUBLE AS value, CASE WHEN term LIKE 'c%' THEN 'kept' ELSE 'inserted' END AS action FROM x""")
+@query("import_term_volumes", """{demand_obs} , x AS (SELECT term, date_trunc('month', day)::DATE AS m, sum(value) AS v FROM demand_obs GROUP BY 1, 2) SELECT term, 'w' AS source, m AS period_start, m + 27 AS period_end, CASE WHEN term LIKE 'c%' THEN 0 ELSE v END::DOUBLE AS value, CASE WHEN term LIKE 'c%' THEN 'kept' ELSE 'inserted' END AS action FROM x""")
 def import_term_volumes(spark, d):
-    x = demand_obs(spark, d).filter("term LIKE '%1'").groupBy("term", F.trunc("day", "month").alias("m")).agg(F.sum("value").alias("v"))
+    x = demand_obs(spark, d).groupBy("term", F.trunc("day", "month").alias("m")).agg(F.sum("value").alias("v"))
     stored = x.filter("term LIKE 'c%'").select("term", F.lit("w").alias("source"), F.col("m").alias("period_start"), F.date_add("m", 27).alias("period_end"), F.lit(0.0).alias("value"))
     raw = x.select(F.concat(F.lit(" "), F.upper("term")).alias("t"), F.when(F.col("term").startswith("c"), "n/a").otherwise(F.concat(F.col("v").cast("long").cast("string"), F.lit(" per month"))).alias("v"), F.date_format("m", "MM.yyyy").alias("m"))
     return O.import_term_volumes(raw, stored, "t", "v", "m", "w")[0]
 
 
-@query("wide_series_to_long", "{demand_obs} SELECT day, term, CASE WHEN sum(value) < 2 THEN 1 ELSE sum(value) END::DOUBLE AS value FROM demand_obs WHERE term IN ('click-1', 'view-2') GROUP BY 1, 2")
+@query("wide_series_to_long", "{demand_obs} SELECT day, term, CASE WHEN sum(value) < 2 THEN 1 ELSE sum(value) END::DOUBLE AS value FROM demand_obs GROUP BY 1, 2")
 def wide_series_to_long(spark, d):
-    w = demand_obs(spark, d).groupBy("day").pivot("term", ["click-1", "view-2"]).agg(F.sum("value"))
-    w = w.select("day", *(F.when(F.col(f"`{c}`") < 2, "<1").otherwise(F.concat(F.col(f"`{c}`").cast("long").cast("string"), F.lit(" x"))).alias(c.capitalize()) for c in ("click-1", "view-2")))
+    obs = demand_obs(spark, d)
+    terms = [r["term"] for r in obs.select("term").distinct().orderBy("term").collect()]  # the columns of the wide file
+    w = obs.groupBy("day").pivot("term", terms).agg(F.sum("value"))
+    w = w.select("day", *(F.when(F.col(f"`{c}`") < 2, "<1").otherwise(F.concat(F.col(f"`{c}`").cast("long").cast("string"), F.lit(" x"))).alias(c.capitalize()) for c in terms))
     return O.wide_series_to_long(w, "day")
 
 
@@ -73,9 +75,9 @@ def import_sellers_table(spark, d):
     return O.import_sellers(x, s.filter("s_suppkey % 4 = 0").select(site.alias("website")), {"shop": "retail", "factory": "maker"})
 
 
-@query("import_offer_prices", "SELECT l_orderkey * 10 + l_linenumber AS row_id, l_quantity AS q, CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey::VARCHAR ELSE 'manual://supplier#' || lpad(l_suppkey::VARCHAR, 9, '0') END AS seller_key FROM lineitem WHERE l_quantity < 5")
+@query("import_offer_prices", "SELECT l_orderkey * 10 + l_linenumber AS row_id, l_quantity AS q, CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey::VARCHAR ELSE 'manual://supplier#' || lpad(l_suppkey::VARCHAR, 9, '0') END AS seller_key FROM lineitem")
 def import_offer_prices(spark, d):
-    li = read(spark, d, "lineitem").filter("l_quantity < 5")
+    li = read(spark, d, "lineitem")
     x = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.col("l_quantity").alias("q"), F.concat(F.lit("SUPPLIER#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("seller_name"))
     return O.import_offer_prices(x, sellers(spark, d).filter("seller_id % 3 = 0"))[0].select("row_id", "q", "seller_key")
 

@@ -37,7 +37,7 @@ def aliases(spark, d):
 
 def market_offers(spark, d):
     """Active offers whose code is an alias for some sellers, with moved capacities and brands."""
-    return offers(spark, d).filter("is_active AND seller_id % 5 = 0").withColumns({
+    return offers(spark, d).filter("is_active").withColumns({
         "model_key": F.when(F.col("seller_id") % 10 == 0, F.concat(F.lit("X"), F.substring("brand", 7, 10))).otherwise(F.col("model_key")),
         "capacity": F.when(F.col("offer_id") % 3 == 0, F.col("capacity") + 1).otherwise(F.col("capacity")),
         "brand": F.when(F.col("offer_id") % 4 == 0, F.lit("Brand#1")).otherwise(F.col("brand")),
@@ -46,7 +46,7 @@ def market_offers(spark, d):
 
 MARKET = """aliases AS (SELECT DISTINCT 'X' || substr(p_brand, 7, 10) AS alias_code, substr(p_brand, 7, 10) || '-' || p_size AS own_code FROM part WHERE p_partkey % 100 = 0),
     mo AS (SELECT * REPLACE (CASE WHEN seller_id % 10 = 0 THEN 'X' || substr(brand, 7, 10) ELSE model_key END AS model_key, CASE WHEN offer_id % 3 = 0 THEN capacity + 1 ELSE capacity END AS capacity,
-        CASE WHEN offer_id % 4 = 0 THEN 'Brand#1' ELSE brand END AS brand) FROM offers WHERE is_active AND seller_id % 5 = 0)"""
+        CASE WHEN offer_id % 4 = 0 THEN 'Brand#1' ELSE brand END AS brand) FROM offers WHERE is_active)"""
 
 EXACT = """keys AS (SELECT offer_id, model_key AS code, false AS alias FROM mo WHERE length(model_key) >= 4 UNION ALL SELECT offer_id, own_code, true FROM mo JOIN aliases ON model_key = alias_code),
     sc AS (SELECT k.offer_id, c.item_id, c.kind <> o.kind AS ok, coalesce(c.capacity <> o.capacity, true) AS os,
@@ -61,18 +61,26 @@ def match_exact_model(spark, d):
     return O.match_exact_model(market_offers(spark, d), catalog(spark, d), aliases(spark, d)).withColumn("rn", F.col("rn").cast("long"))
 
 
-ANALOG = """an0 AS (SELECT o.offer_id, c.item_id, c.kind, CASE WHEN c.kind = 'ring' THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END + CASE WHEN o.capacity = c.capacity THEN 0.25::DOUBLE WHEN abs(c.capacity - o.capacity) <= greatest(2, 0.2::DOUBLE * c.capacity) THEN 0.1::DOUBLE ELSE -0.15::DOUBLE END
-        + CASE WHEN r <= 1.3 THEN 0.1::DOUBLE WHEN r <= 2 THEN 0 WHEN r <= 3 THEN -0.1::DOUBLE WHEN r > 3 THEN -0.2::DOUBLE ELSE 0 END AS s
+SPEC_SQL = "CASE WHEN c.item_id % 2 = 0 AND o.offer_id % 2 <> 0 THEN 0.35::DOUBLE WHEN c.item_id % 2 <> 0 AND o.offer_id % 2 = 0 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN c.item_id % 3 <> o.offer_id % 3 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN greatest(c.capacity * 10, o.capacity * 12) / least(c.capacity * 10, o.capacity * 12) > 2 THEN 0.1::DOUBLE ELSE 0 END"
+ANALOG = """an0 AS (SELECT o.offer_id, c.item_id, c.kind, round_even(CASE WHEN c.kind = 'ring' THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END + CASE WHEN o.capacity = c.capacity THEN 0.25::DOUBLE WHEN abs(c.capacity - o.capacity) <= greatest(2, 0.2::DOUBLE * c.capacity) THEN 0.1::DOUBLE ELSE -0.15::DOUBLE END
+        + CASE WHEN c.kind = 'ring' THEN CASE WHEN r <= 1.3 THEN 0.15::DOUBLE WHEN r <= 2 THEN 0.05::DOUBLE WHEN r > 2 THEN -0.1::DOUBLE ELSE 0 END WHEN r > 3 THEN -0.15::DOUBLE ELSE 0 END - (""" + SPEC_SQL + """), 4) AS s
         FROM (SELECT * FROM mo WHERE offer_id NOT IN (SELECT offer_id FROM ex)) o JOIN catalog c ON o.category = c.category AND o.kind = c.kind, LATERAL (SELECT greatest(o.price, c.price) / nullif(least(o.price, c.price), 0) AS r)),
-    an1 AS (SELECT offer_id, item_id, kind, round_even(least(greatest(s, 0.2::DOUBLE), 0.8::DOUBLE), 4) AS confidence FROM an0),
-    an AS (SELECT *, CASE WHEN confidence >= 0.7 THEN 'direct' WHEN kind = 'ring' THEN 'functional' ELSE 'adjacent' END AS match_type FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY confidence DESC, item_id) AS rn, max(confidence) OVER (PARTITION BY offer_id) AS top FROM an1)
-        WHERE CASE WHEN kind = 'ring' THEN rn <= 2 AND top - confidence <= 0.15::DOUBLE + 1e-9 ELSE rn <= 3 AND confidence >= 0.55 END)"""
+    an AS (SELECT offer_id, item_id, least(greatest(s, 0.2::DOUBLE), 0.8::DOUBLE) AS confidence, CASE WHEN kind = 'bolt' AND s >= 0.55 THEN 'accessory' WHEN s >= 0.6 THEN 'direct' ELSE 'functional' END AS match_type, rn
+        FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY s DESC, item_id) AS rn, max(s) OVER (PARTITION BY offer_id) AS top FROM an0)
+        WHERE CASE WHEN kind = 'ring' THEN rn <= 2 AND top - s <= 0.15::DOUBLE + 1e-9 ELSE rn <= 3 AND s >= 0.55 END)"""
+
+
+def with_spec(df, id_col, reach):
+    """Rows with a spec struct that follows from their ids."""
+    i = F.col(id_col)
+    return df.withColumn("spec", F.struct((i % 2 == 0).alias("two_way"), F.element_at(F.array(F.lit("2.4 GHz"), F.lit("IR"), F.lit("VHF")), (i % 3 + 1).cast("int")).alias("band"), (F.col("capacity") * reach).alias("range_m")))
 
 
 @query("match_analogs", "{catalog offers} , " + MARKET + ", " + EXACT + ", " + ANALOG + " SELECT offer_id, item_id, confidence, match_type, rn FROM an")
 def match_analogs(spark, d):
     o, c = market_offers(spark, d), catalog(spark, d)
-    return O.match_analogs(o, c, O.match_exact_model(o, c, aliases(spark, d)), "ring").withColumn("rn", F.col("rn").cast("long"))
+    matched = O.match_exact_model(o, c, aliases(spark, d))
+    return O.match_analogs(with_spec(o, "offer_id", 12), with_spec(c, "item_id", 10), matched, "ring", spec="spec", accessories=["bolt"]).withColumn("rn", F.col("rn").cast("long"))
 
 
 @query("match_fallbacks", "{catalog offers} , " + MARKET + """ , i AS (SELECT * FROM catalog WHERE category NOT IN ('PROMO', 'SMALL') AND NOT (category = 'LARGE' AND kind = 'ring')), x AS (SELECT mo.*, EXISTS (SELECT 1 FROM i WHERE i.category = mo.category) AS hc, EXISTS (SELECT 1 FROM i WHERE i.category = mo.category AND i.kind = mo.kind) AS hk FROM mo WHERE offer_id % 2 = 1 AND brand <> 'Brand#9')
@@ -83,16 +91,11 @@ def match_fallbacks(spark, d):
     return O.match_fallbacks(o, i, o.filter("offer_id % 2 = 0"), F.col("brand") == "Brand#1", F.col("brand") == "Brand#9", ["SMALL"])
 
 
-def specs(spark, d):
-    c = catalog(spark, d)
-    return c.withColumn("spec", F.struct((F.col("item_id") % 2 == 0).alias("two_way"), F.element_at(F.array(F.lit("2.4 GHz"), F.lit("IR"), F.lit("VHF")), (F.col("item_id") % 3 + 1).cast("int")).alias("band"), (F.col("capacity") * 10).alias("range_m")))
-
-
-@query("spec_compat", """{catalog} , s AS (SELECT item_id, brand, category, item_id % 2 = 0 AS tw, ['digital', 'ir', 'analog'][(item_id % 3 + 1)::INT] AS b, capacity * 10 AS r FROM catalog WHERE item_id % 4 < 2),
+@query("spec_compat", """{catalog} , s AS (SELECT item_id, brand, category, item_id % 2 = 0 AS tw, ['digital', 'ir', 'analog'][(item_id % 3 + 1)::INT] AS b, capacity * 10 AS r FROM catalog),
     x AS (SELECT l.item_id, r.item_id AS other_id, CASE WHEN l.tw AND NOT r.tw THEN 0.35::DOUBLE WHEN NOT l.tw AND r.tw THEN 0.25::DOUBLE ELSE 0 END AS p1, CASE WHEN l.b <> r.b THEN 0.2::DOUBLE ELSE 0 END AS p2, CASE WHEN greatest(l.r, r.r) / least(l.r, r.r) > 2 THEN 0.1::DOUBLE ELSE 0 END AS p3 FROM s l JOIN s r USING (brand, category) WHERE l.item_id < r.item_id)
     SELECT item_id, other_id, round_even(p1 + p2 + p3, 4) AS penalty, list_filter([CASE WHEN p1 > 0 THEN 'two-way differs' END, CASE WHEN p2 > 0 THEN 'band differs' END, CASE WHEN p3 > 0 THEN 'range differs' END], lambda v: v IS NOT NULL) AS reasons FROM x""")
 def spec_compat(spark, d):
-    s = specs(spark, d).filter("item_id % 4 < 2").select("item_id", "brand", "category", "spec")
+    s = with_spec(catalog(spark, d), "item_id", 10).select("item_id", "brand", "category", "spec")
     x = s.join(s.select("brand", "category", F.col("item_id").alias("other_id"), F.col("spec").alias("spec2")), ["brand", "category"]).filter("item_id < other_id")
     penalty, reasons = O.spec_penalty("spec", "spec2")
     return x.select("item_id", "other_id", F.bround(penalty, 4).alias("penalty"), reasons.alias("reasons"))
@@ -121,10 +124,10 @@ def reconcile_by_similarity(spark, d):
 
 
 @query("price_gap_rules", "{catalog} , " + SITES + """ SELECT item_id, round_even(abs(o.price - t.price), 6) AS gap, CASE WHEN abs(o.price - t.price) / least(o.price, t.price) >= 0.03 THEN 'medium' ELSE 'low' END AS severity FROM one o JOIN two t USING (item_id)
-    WHERE abs(o.price - t.price) >= 1 AND NOT (abs(o.price - t.price) < 500 AND abs(o.price - t.price) / least(o.price, t.price) < 0.01) AND greatest(o.price, t.price) / least(o.price, t.price) <= 5 AND item_id % 7 NOT IN (0, 6)""")
+    WHERE abs(o.price - t.price) >= 1 AND NOT (abs(o.price - t.price) < 500 AND abs(o.price - t.price) / least(o.price, t.price) < 0.01) AND greatest(o.price, t.price) / least(o.price, t.price) <= 5""")
 def price_gap_rules(spark, d):
     one, two = sites(spark, d)
-    pairs = one.select("item_id", F.col("price").alias("a")).join(two.select("item_id", F.col("price").alias("b")), "item_id").filter("item_id % 7 NOT IN (0, 6)")
+    pairs = one.select("item_id", F.col("price").alias("a")).join(two.select("item_id", F.col("price").alias("b")), "item_id")
     return O.price_gaps(pairs, "a", "b").select("item_id", F.bround("gap", 6).alias("gap"), "severity")
 
 
@@ -134,10 +137,17 @@ def only_on_one_side(spark, d):
     return O.only_on_one_side(one, two, "sku")
 
 
-@query("hamming_join", "{sigs} SELECT a.vec_id AS id, b.vec_id AS id2, bit_count(xor(a.sig, b.sig))::INT AS distance FROM sigs a JOIN sigs b ON a.side = 0 AND b.side = 1 AND bit_count(xor(a.sig, b.sig)) <= 15")
-def hamming_join(spark, d):
+LEVELS = "lv AS (SELECT * FROM (SELECT a.vec_id AS id, b.vec_id AS id2, bit_count(xor(a.sig, b.sig))::INT AS distance, bit_count(xor(a.step, b.step))::INT AS distance2, CASE WHEN bit_count(xor(a.sig, b.sig)) <= 17 AND bit_count(xor(a.step, b.step)) <= 26 THEN 'same' WHEN bit_count(xor(a.sig, b.sig)) <= 19 AND bit_count(xor(a.step, b.step)) <= 30 THEN 'similar' END AS level FROM sigs a JOIN sigs b ON a.side = 0 AND b.side = 1) WHERE level IS NOT NULL)"
+
+
+def levels(spark, d):
     s = signatures(spark, d)
-    return O.hamming_pairs(s.filter("side = 0"), s.filter("side = 1"), 15, 16)
+    return O.signature_levels(s.filter("side = 0"), s.filter("side = 1"), same=(17, 26), similar=(19, 30))
+
+
+@query("hamming_join", "{sigs} , " + LEVELS + " SELECT * FROM lv")
+def hamming_join(spark, d):
+    return levels(spark, d)
 
 
 @query("signature_from_vector", """SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 AND i <= 62 THEN 1::HUGEINT << (i - 1)::INT ELSE 0 END))::BIGINT AS sign_bits,
@@ -153,14 +163,15 @@ def reuse_by_url(spark, d):
     return O.reuse_by_url(x.drop("h"), x.filter("id % 5 = 0"), "url", "h").select("id", "url", "h")
 
 
-@query("apply_signature_matches", """{offers matches} , m AS (SELECT offer_id, item_id, confidence, match_type, CASE WHEN offer_id % 2 = 0 THEN ['code'] END AS reasons, CASE WHEN offer_id % 11 = 0 THEN 'rejected' END AS review FROM matches WHERE seller_id_of(offer_id)), p AS (SELECT offer_id, item_id, CASE WHEN offer_id % 6 = 0 THEN 'same' ELSE 'similar' END AS level FROM matches WHERE offer_id % 3 = 0)
+@query("apply_signature_matches", """{offers matches sigs} , """ + LEVELS + """ , m AS (SELECT offer_id, item_id, confidence, match_type, CASE WHEN offer_id % 2 = 0 THEN ['code'] END AS reasons, CASE WHEN offer_id % 11 = 0 THEN 'rejected' END AS review FROM matches),
+    p AS (SELECT o.offer_id, o.item_id + o.offer_id % 2 AS item_id, min(level) AS level FROM offers o JOIN lv ON o.offer_id % 500 = lv.id AND o.item_id % 5 = lv.id2 % 5 GROUP BY 1, 2)
     SELECT offer_id, item_id, CASE WHEN live AND level = 'same' THEN greatest(coalesce(confidence, 0), 0.9::DOUBLE) ELSE confidence END AS confidence, CASE WHEN match_type IS NULL THEN 'photo' WHEN live AND level = 'same' AND match_type IN ('functional', 'adjacent') THEN 'identical' ELSE match_type END AS match_type,
     CASE WHEN live AND level IS NOT NULL THEN list_concat(coalesce(reasons, []), ['signature ' || level]) ELSE reasons END AS reasons, review
-    FROM (SELECT offer_id, item_id, confidence, match_type, reasons, review, level, coalesce(review, '') <> 'rejected' AS live FROM m FULL JOIN p USING (offer_id, item_id)) WHERE confidence IS NOT NULL OR level = 'same'""".replace("seller_id_of(offer_id)", "offer_id % 1000000 % 2 = 0"))
+    FROM (SELECT offer_id, item_id, confidence, match_type, reasons, review, level, coalesce(review, '') <> 'rejected' AS live FROM m FULL JOIN p USING (offer_id, item_id)) WHERE confidence IS NOT NULL OR level = 'same'""")
 def apply_signature_matches(spark, d):
-    every = matches(spark, d)
-    m = every.filter("offer_id % 1000000 % 2 = 0").withColumn("reasons", F.when(F.col("offer_id") % 2 == 0, F.array(F.lit("code")))).withColumn("review", F.when(F.col("offer_id") % 11 == 0, "rejected"))
-    p = every.filter("offer_id % 3 = 0").select("offer_id", "item_id", F.when(F.col("offer_id") % 6 == 0, "same").otherwise("similar").alias("level"))
+    m = matches(spark, d).withColumn("reasons", F.when(F.col("offer_id") % 2 == 0, F.array(F.lit("code")))).withColumn("review", F.when(F.col("offer_id") % 11 == 0, "rejected"))
+    o = offers(spark, d).select("offer_id", "item_id", (F.col("offer_id") % 500).alias("id"), (F.col("item_id") % 5).alias("k"))
+    p = o.join(levels(spark, d).withColumn("k", F.col("id2") % 5), ["id", "k"]).groupBy("offer_id", (F.col("item_id") + F.col("offer_id") % 2).alias("item_id")).agg(F.min("level").alias("level"))
     return O.apply_signature_matches(m, p)
 
 
@@ -174,10 +185,10 @@ def comparables(spark, d):
     return O.comparables(offers(spark, d), matches(spark, d), sellers(spark, d), 0.7).select("item_id", "offer_id", "seller_group", "price", "confidence")
 
 
-@query("twins", """{catalog} , c AS (SELECT *, CASE WHEN item_id % 2 = 0 THEN 's' || (item_id % 400) END AS sku FROM catalog WHERE item_id % 3 = 0) SELECT a.item_id, b.item_id AS twin_id FROM c a JOIN c b ON a.sku = b.sku AND a.item_id <> b.item_id
+@query("twins", """{catalog} , c AS (SELECT *, CASE WHEN item_id % 2 = 0 THEN 's' || (item_id % 400) END AS sku FROM catalog) SELECT a.item_id, b.item_id AS twin_id FROM c a JOIN c b ON a.sku = b.sku AND a.item_id <> b.item_id
     UNION SELECT a.item_id, b.item_id FROM c a JOIN c b ON a.model_key = b.model_key AND a.capacity IS NOT DISTINCT FROM b.capacity AND a.kind = b.kind AND a.item_id <> b.item_id""")
 def twins(spark, d):
-    return O.twins(catalog(spark, d).filter("item_id % 3 = 0").withColumn("sku", F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("s"), (F.col("item_id") % 400).cast("string")))))
+    return O.twins(catalog(spark, d).withColumn("sku", F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("s"), (F.col("item_id") % 400).cast("string")))))
 
 
 @query("inherit_from_twin", """{catalog} SELECT a.item_id, coalesce(CASE WHEN a.item_id % 3 <> 0 THEN a.capacity END, b.capacity) AS capacity FROM catalog a LEFT JOIN (SELECT model_key, arg_min(capacity, item_id) AS capacity FROM catalog WHERE item_id % 2 = 1 GROUP BY 1) b USING (model_key)""")
@@ -196,19 +207,17 @@ def sellers_with_category(spark, d):
     return sellers(spark, d).join(offers(spark, d).filter("category = 'PROMO' AND price > 1500"), "seller_id", "left_semi").select("seller_id", "seller")
 
 
-@query("mentions_gap", """WITH t AS (SELECT DISTINCT lower(split_part(text, ' ', 2)) AS term FROM benchmark WHERE length(split_part(text, ' ', 2)) >= 6), d AS (SELECT * FROM documents WHERE lang <> 'fr'), h AS (SELECT term, count(DISTINCT source) AS sellers, count(*) AS texts FROM d JOIN t ON contains(lower(text), term) WHERE source <> 'src3' GROUP BY 1)
+@query("mentions_gap", """WITH t AS (SELECT DISTINCT lower(split_part(text, ' ', 2)) AS term FROM benchmark WHERE length(split_part(text, ' ', 2)) >= 6), d AS (SELECT * FROM documents), h AS (SELECT term, count(DISTINCT source) AS sellers, count(*) AS texts FROM d JOIN t ON contains(lower(text), term) WHERE source <> 'src3' GROUP BY 1)
     SELECT * FROM h WHERE sellers >= 2 AND term NOT IN (SELECT term FROM d JOIN t ON contains(lower(text), term) WHERE source = 'src3')""")
 def mentions_gap(spark, d):
-    docs = read(spark, d, "documents").filter("lang <> 'fr'")
+    docs = read(spark, d, "documents")
     t = read(spark, d, "benchmark").select(F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("term")).filter(F.length("term") >= 6)
     return O.mentions_gap(docs.filter("source <> 'src3'"), docs.filter("source = 'src3'"), t, "text", "source")
 
 
-@query("signature_pairs_listing", """{offers sellers sigs} SELECT a.vec_id AS id, b.vec_id AS id2, s.seller, bit_count(xor(a.sig, b.sig))::INT AS distance FROM sigs a JOIN sigs b ON a.side = 0 AND b.side = 1 AND bit_count(xor(a.sig, b.sig)) <= 15 JOIN sellers s ON s.seller_id = b.vec_id % 100""")
+@query("signature_pairs_listing", "{sellers sigs} , " + LEVELS + " SELECT id, id2, s.seller, level, distance FROM lv JOIN sellers s ON s.seller_id = id2 % 100")
 def signature_pairs_listing(spark, d):
-    s = signatures(spark, d)
-    pairs = O.hamming_pairs(s.filter("side = 0"), s.filter("side = 1"), 15, 16)
-    return pairs.join(sellers(spark, d), F.col("id2") % 100 == F.col("seller_id")).select("id", "id2", "seller", "distance").orderBy("distance", "id", "id2")
+    return levels(spark, d).join(sellers(spark, d), F.col("id2") % 100 == F.col("seller_id")).select("id", "id2", "seller", "level", "distance").orderBy("distance", "id", "id2")
 
 
 @query("offers_with_own_page", "{offers} SELECT offer_id FROM offers WHERE item_id % 77 NOT IN (SELECT page_id FROM pages WHERE page_id % 3 = 0)")

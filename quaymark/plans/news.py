@@ -57,7 +57,10 @@ def events(spark, d):
     return read(spark, d, "events").select("event_id", F.col("user_id").alias("seller_id"), "event_type", (F.col("event_id") % 20).cast("string").alias("name_key"), F.col("ts").alias("at"), "value")
 
 
-@query("dedupe_events", "WITH " + EVENTS + " SELECT event_id, tm AS \"at\" FROM (SELECT *, lag(tm) OVER (PARTITION BY seller_id, event_type, name_key ORDER BY tm, event_id) AS b FROM ev) WHERE b IS NULL OR tm > b + INTERVAL 14 DAYS")
+# the first event of a key is kept, and then each time the first one more than 14 days after the last kept
+@query("dedupe_events", "WITH RECURSIVE " + EVENTS + """ , kept AS (SELECT seller_id, event_type, name_key, min(struct_pack(tm, event_id)) AS k FROM ev GROUP BY 1, 2, 3
+    UNION ALL SELECT e.seller_id, e.event_type, e.name_key, min(struct_pack(e.tm, e.event_id)) FROM kept JOIN ev e ON e.seller_id = kept.seller_id AND e.event_type = kept.event_type AND e.name_key = kept.name_key AND e.tm > kept.k.tm + INTERVAL 14 DAYS GROUP BY 1, 2, 3)
+    SELECT k.event_id AS event_id, k.tm AS "at" FROM kept""")
 def dedupe_events(spark, d):
     return O.dedupe_events(events(spark, d)).select("event_id", "at")
 

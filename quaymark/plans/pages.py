@@ -61,9 +61,9 @@ def jsonld_products(spark, d):
     return O.jsonld_products(shop_pages(spark, d))
 
 
-@query("product_page_offers", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN page_id * 10 + 5.5 WHEN 1 THEN page_id + 1 ELSE page_id * 10 END::DOUBLE AS price, ['jsonld', 'microdata', 'text'][(page_id % 3 + 1)::INT] AS how FROM pages WHERE page_id > 2")
+@query("product_page_offers", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN page_id * 10 + 5.5 WHEN 1 THEN page_id + 1 ELSE page_id * 10 END::DOUBLE AS price, ['jsonld', 'microdata', 'text'][(page_id % 3 + 1)::INT] AS how FROM pages")
 def product_page_offers(spark, d):
-    return O.product_page_offers(shop_pages(spark, d)).filter("page_id > 2").select("page_id", "price", "how")
+    return O.product_page_offers(shop_pages(spark, d)).select("page_id", "price", "how")
 
 
 @query("catalog_page_offers", "SELECT page_id, 'thing ' || page_id AS name, '/p1' AS url, page_id * 10::DOUBLE AS price FROM pages UNION ALL SELECT page_id, 'other thing', '/p2', 25 FROM pages")

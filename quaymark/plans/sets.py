@@ -26,20 +26,21 @@ def added_removed_sets(spark, d):
     return x.select("page_id", "version", F.size(added).cast("long").alias("added"), F.size(removed).cast("long").alias("removed"))
 
 
-@query("missing_keys_in_series", """{catalog} , x AS (SELECT DISTINCT category, brand, capacity % 8 AS k FROM catalog WHERE item_id % 2 = 0), e AS (SELECT category, list_distinct(list(k)) AS ks FROM x GROUP BY 1), m AS (SELECT x.category, x.brand, list(k) AS own, any_value(ks) AS ks FROM x JOIN e USING (category) GROUP BY 1, 2)
+@query("missing_keys_in_series", """{catalog} , x AS (SELECT DISTINCT category, brand, capacity % 8 AS k FROM catalog), e AS (SELECT category, list_distinct(list(k)) AS ks FROM x GROUP BY 1), m AS (SELECT x.category, x.brand, list(k) AS own, any_value(ks) AS ks FROM x JOIN e USING (category) GROUP BY 1, 2)
     SELECT category, brand, list_sort(list_filter(ks, lambda k: NOT list_contains(own, k))) AS missing FROM m WHERE len(list_filter(ks, lambda k: NOT list_contains(own, k))) BETWEEN 1 AND greatest(3, len(ks) / 3)""")
 def missing_keys_in_series(spark, d):
-    c = catalog(spark, d).filter("item_id % 2 = 0").withColumn("k", F.col("capacity") % 8)
+    c = catalog(spark, d).withColumn("k", F.col("capacity") % 8)
     return O.missing_in_members(c, ["category"], "brand", "k")
 
 
+SITES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 SECTIONS = "sec AS (SELECT category AS site, name, CASE WHEN capacity % 3 = 0 THEN 'a,b' WHEN capacity % 3 = 1 THEN 'c' END AS labels FROM catalog)"
 
 
-@query("category_site_matrix", "{catalog} , " + SECTIONS + """ SELECT label, """ + ", ".join(f"array_to_string(list_sort(list_distinct(list(name) FILTER (site = '{s}'))), ', ') AS \"{s}\"" for s in ("ECONOMY", "PROMO")) + " FROM (SELECT site, name, unnest(string_split(coalesce(labels, 'none'), ',')) AS label FROM sec WHERE site IN ('ECONOMY', 'PROMO')) GROUP BY label")
+@query("category_site_matrix", "{catalog} , " + SECTIONS + """ SELECT label, """ + ", ".join(f"array_to_string(list_sort(list_distinct(list(name) FILTER (site = '{s}'))), ', ') AS \"{s}\"" for s in SITES) + " FROM (SELECT site, name, unnest(string_split(coalesce(labels, 'none'), ',')) AS label FROM sec) GROUP BY label")
 def category_site_matrix(spark, d):
-    c = catalog(spark, d).filter("category IN ('ECONOMY', 'PROMO')").select(F.col("category").alias("site"), "name", F.when(F.col("capacity") % 3 == 0, "a,b").when(F.col("capacity") % 3 == 1, "c").alias("labels"))
-    return O.label_site_matrix(c, "labels", "site", "name", ["ECONOMY", "PROMO"])
+    c = catalog(spark, d).select(F.col("category").alias("site"), "name", F.when(F.col("capacity") % 3 == 0, "a,b").when(F.col("capacity") % 3 == 1, "c").alias("labels"))
+    return O.label_site_matrix(c, "labels", "site", "name", SITES)
 
 
 @query("out_of_scope_themes", "{catalog} , " + SECTIONS + " SELECT split_part(name, ' ', 1) AS theme, count(DISTINCT site) AS sites, count(*) AS sections FROM sec WHERE labels = 'c' GROUP BY 1")

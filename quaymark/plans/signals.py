@@ -61,7 +61,10 @@ def signal_demand_change(spark, d):
     return O.demand_signals(demand_obs(spark, d), "day", least_mean=1).filter("finding_type <> 'anomaly'").withColumn("size", F.bround("size", 5))
 
 
-@query("signal_demand_anomaly", "{demand_obs} , " + ZSCORE + " SELECT term, category, 'anomaly' AS finding_type, 'medium' AS severity, round_even(z, 5) AS size FROM (SELECT *, max(day) OVER (PARTITION BY term) AS last FROM z WHERE z >= 0.5 AND value >= 2 AND mean >= 1) WHERE day = last")
+ANOMALY = "SELECT term, category, 'anomaly' AS finding_type, 'medium' AS severity, round_even(z, 5) AS size FROM (SELECT *, max(day) OVER (PARTITION BY term) AS last FROM z WHERE z >= 0.5 AND value >= 2 AND mean >= 1) WHERE day = last"
+
+
+@query("signal_demand_anomaly", "{demand_obs} , " + ZSCORE + " " + ANOMALY)
 def signal_demand_anomaly(spark, d):
     return O.demand_signals(demand_obs(spark, d), "day", z={"least_z": 0.5, "least_value": 2, "least_mean": 1}).filter("finding_type = 'anomaly'").withColumn("size", F.bround("size", 5))
 
@@ -79,8 +82,11 @@ def use_cases(spark, d):
     return docs, t, J.mentions_gap(docs.filter("source <> 'src1'"), docs.filter("source = 'src1'"), t, "text", "source")
 
 
-@query("signal_use_case_gap", """WITH t AS (SELECT DISTINCT lower(split_part(text, ' ', 3)) AS term FROM benchmark WHERE length(split_part(text, ' ', 3)) >= 6), h AS (SELECT term, doc_id, source FROM documents JOIN t ON contains(lower(text), term) WHERE source <> 'src1'), g AS (SELECT term, count(DISTINCT source) AS sellers FROM h GROUP BY 1 HAVING count(DISTINCT source) >= 2)
-    SELECT term, doc_id, rn FROM (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS rn FROM h JOIN g USING (term) WHERE term NOT IN (SELECT term FROM documents JOIN t ON contains(lower(text), term) WHERE source = 'src1')) WHERE rn <= 10""")
+USE_CASES = """t AS (SELECT DISTINCT lower(split_part(text, ' ', 3)) AS term FROM benchmark WHERE length(split_part(text, ' ', 3)) >= 6), h AS (SELECT term, doc_id, source FROM documents JOIN t ON contains(lower(text), term) WHERE source <> 'src1'),
+    g AS (SELECT term, count(DISTINCT source) AS sellers FROM h GROUP BY 1 HAVING count(DISTINCT source) >= 2 AND term NOT IN (SELECT term FROM documents JOIN t ON contains(lower(text), term) WHERE source = 'src1'))"""
+
+
+@query("signal_use_case_gap", "WITH " + USE_CASES + " SELECT term, doc_id, rn FROM (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS rn FROM h JOIN g USING (term)) WHERE rn <= 10")
 def signal_use_case_gap(spark, d):
     from ..operators.series import first_rows
 
@@ -89,11 +95,11 @@ def signal_use_case_gap(spark, d):
     return first_rows(hits.select("term", "doc_id"), ["term"], [F.asc("doc_id")], 10).select("term", "doc_id", F.col("rn").cast("long").alias("rn"))
 
 
-@query("signal_cross_site", "{catalog} , " + SITES + """ SELECT item_id::VARCHAR AS key, 'price' AS issue FROM one o JOIN two t USING (item_id) WHERE abs(o.price - t.price) >= 1 AND NOT (abs(o.price - t.price) < 500 AND abs(o.price - t.price) / least(o.price, t.price) < 0.01) AND greatest(o.price, t.price) / least(o.price, t.price) <= 5 AND item_id % 7 NOT IN (2, 4)
+@query("signal_cross_site", "{catalog} , " + SITES + """ SELECT item_id::VARCHAR AS key, 'price' AS issue FROM one o JOIN two t USING (item_id) WHERE abs(o.price - t.price) >= 1 AND NOT (abs(o.price - t.price) < 500 AND abs(o.price - t.price) / least(o.price, t.price) < 0.01) AND greatest(o.price, t.price) / least(o.price, t.price) <= 5
     UNION ALL SELECT sku, 'left' FROM one WHERE sku NOT IN (SELECT sku FROM two) UNION ALL SELECT sku, 'right' FROM two WHERE sku NOT IN (SELECT sku FROM one)""")
 def signal_cross_site(spark, d):
     one, two = sites(spark, d)
-    pairs = one.select("item_id", F.col("price").alias("a")).join(two.select("item_id", F.col("price").alias("b")), "item_id").filter("item_id % 7 NOT IN (2, 4)")
+    pairs = one.select("item_id", F.col("price").alias("a")).join(two.select("item_id", F.col("price").alias("b")), "item_id")
     gaps = J.price_gaps(pairs, "a", "b").select(F.col("item_id").cast("string").alias("key"), F.lit("price").alias("issue"))
     return gaps.unionByName(J.only_on_one_side(one, two, "sku").select(F.col("sku").alias("key"), F.col("side").alias("issue")))
 
@@ -107,7 +113,10 @@ def signal_source_error(spark, d):
 REASONS = """peer AS (SELECT category, kind, max(price / capacity) AS dear FROM catalog GROUP BY 1, 2), rs AS (SELECT brand, model_key FROM offers JOIN peer USING (category, kind) GROUP BY 1, 2 HAVING min(price / capacity) <= 0.75 * max(dear))"""
 
 
-@query("signal_multi_seller_model", "{catalog sellers offers} , " + REASONS + """ SELECT brand, model_key, count(DISTINCT seller_group) AS sellers FROM offers JOIN sellers USING (seller_id) JOIN rs USING (brand, model_key) WHERE (brand, model_key) NOT IN (SELECT brand, model_key FROM catalog WHERE item_id % 2 = 0) GROUP BY 1, 2 HAVING count(DISTINCT seller_group) >= 2""")
+MULTI = "SELECT brand, model_key, count(DISTINCT seller_group) AS sellers FROM offers JOIN sellers USING (seller_id) JOIN rs USING (brand, model_key) WHERE (brand, model_key) NOT IN (SELECT brand, model_key FROM catalog WHERE item_id % 2 = 0) GROUP BY 1, 2 HAVING count(DISTINCT seller_group) >= 2"
+
+
+@query("signal_multi_seller_model", "{catalog sellers offers} , " + REASONS + " " + MULTI)
 def signal_multi_seller_model(spark, d):
     c, o = catalog(spark, d), offers(spark, d)
     peer = c.groupBy("category", "kind").agg(F.max(F.col("price") / F.col("capacity")).alias("dear"))
@@ -117,7 +126,8 @@ def signal_multi_seller_model(spark, d):
     return O.multi_seller_signals(o, sellers(spark, d), own, reasons).select("brand", "model_key", "sellers")
 
 
-@query("run_signals", "{catalog offers price_obs demand_obs matches} , " + MOVES + ", " + RECENT + """ , e AS (SELECT 'price:' || offer_id AS dedupe_key, 'price_change' AS finding_type FROM (""" + PRICE_SIG + """) UNION SELECT 'cat:' || category || ':' || seller_id, 'new_category' FROM offers WHERE category NOT IN (SELECT category FROM catalog WHERE category > 'M') UNION SELECT 'demand:' || term, finding_type FROM (""" + MOVED + """))
+@query("run_signals", "{catalog sellers offers price_obs demand_obs matches} , " + ", ".join((MOVES, RECENT, ZSCORE, REASONS, USE_CASES)) + """ , e AS (SELECT 'price:' || offer_id AS dedupe_key, 'price_change' AS finding_type FROM (""" + PRICE_SIG + """) UNION SELECT 'cat:' || category || ':' || seller_id, 'new_category' FROM offers WHERE category NOT IN (SELECT category FROM catalog WHERE category > 'M')
+    UNION SELECT 'multi:' || brand || ':' || model_key, 'multi_seller_model' FROM (""" + MULTI + """) UNION SELECT 'demand:' || term, finding_type FROM (""" + MOVED + """) UNION SELECT 'anom:' || term, finding_type FROM (""" + ANOMALY + """) UNION SELECT 'usecase:' || term, 'use_case_gap' FROM g)
     SELECT dedupe_key, finding_type, CASE WHEN dedupe_key LIKE 'cat:E%' THEN 'seen' ELSE 'new' END AS status, dedupe_key NOT LIKE 'cat:E%' AS inserted FROM e""")
 def run_signals(spark, d):
     price = signal_price_change(spark, d).select(F.concat(F.lit("price:"), F.col("offer_id").cast("string")).alias("dedupe_key"), F.lit("price_change").alias("finding_type"))

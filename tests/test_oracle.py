@@ -3,13 +3,14 @@
 import datetime
 import decimal
 import math
+import os
 
 import duckdb
 import pytest
 
 from quaymark import plans
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_ORACLE_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
