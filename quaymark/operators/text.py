@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -80,9 +81,18 @@ def fold_lookalikes(text: Column) -> Column:
 
 
 def model_key(name: Column, sku: Column, patterns: Sequence[str], stop: str) -> Column:
-    """The first code that an ordered list of patterns finds, without separators; a stop prefix is no code; else the sku up to 32 characters."""
+    """The first code that an ordered list of patterns finds, without separators; a stop prefix is no code; else the sku up to 32 characters.
+
+    A pattern with two groups gives both joined by a dash, as for models that are a word after a brand.
+    """
     t = fold_lookalikes(name)
-    found = [F.nullif(F.upper(F.regexp_replace(F.regexp_extract(t, p, 1), "[ -]", "")), F.lit("")) for p in patterns]
+
+    def of(p: str) -> Column:
+        groups = max(1, re.compile(p).groups)
+        part = [F.nullif(F.upper(F.regexp_replace(F.regexp_extract(t, p, g), "[ -]", "")), F.lit("")) for g in range(1, groups + 1)]
+        return part[0] if groups == 1 else F.when(part[0].isNotNull(), F.concat_ws("-", *part))
+
+    found = [of(p) for p in patterns]
     usable = [F.when(~f.rlike(stop), f) for f in found]
     return F.coalesce(*usable, F.substring(F.upper(F.nullif(F.trim(sku), F.lit(""))), 1, 32))
 
@@ -135,18 +145,24 @@ def flatten_specs(text: Column) -> Column:
     return F.coalesce(last, F.create_map().cast("map<string,string>"))
 
 
-def typed_specs(text: Column, bands: Sequence[tuple[str, str]]) -> Column:
-    """Range, channels, battery hours, weight, band and flags from free text, each inside its sensible range."""
-    t = F.lower(text)
+def typed_specs(text: Column, bands: Sequence[tuple[str, str]], specs: Column | None = None, capacity: Column | None = None) -> Column:
+    """Range, channels, battery hours, weight, band, capacity and flags from free text and a spec map, each inside its sensible range.
+
+    Entries of the map are read before the text.  For a charging case battery hours and weight would be those of what it holds, so they are void.
+    """
+    own = F.coalesce(F.array_join(F.transform(F.map_entries(specs), lambda e: F.concat_ws(": ", e["key"], e["value"])), " ; "), F.lit("")) if specs is not None else F.lit("")
+    t = F.lower(F.concat_ws(" ; ", own, text))
+    case = F.coalesce(t.rlike(r"charging (?:case|station|dock)|docking"), F.lit(False))
 
     def number(pattern: str, low: float, high: float) -> Column:
         v = F.replace(F.regexp_extract(t, pattern, 1), F.lit(","), F.lit(".")).try_cast("double")
         return F.when((v > low) & (v <= high), v)
 
+    seats = number(r"([0-9]+) ?(?:persons|people|receivers|pcs)", 0.999, 1000).cast("int")
     return F.struct(
-        number(r"([0-9]+) ?m\b", 19.999, 3000).alias("range_m"), number(r"([0-9]+) ?ch", 1, 20000).alias("channels"), number(r"([0-9]+(?:[.,][0-9]+)?) ?h\b", 0.999, 200).alias("battery_h"),
-        number(r"([0-9]+) ?g\b", 9.999, 500).alias("weight_g"), F.coalesce(*(F.when(t.rlike(p), b) for p, b in bands)).alias("band"),
-        t.rlike("two.?way").alias("two_way"), t.rlike("display|screen").alias("display"))
+        number(r"([0-9]+) ?m\b", 19.999, 3000).alias("range_m"), number(r"([0-9]+) ?ch", 1, 20000).alias("channels"), F.when(~case, number(r"([0-9]+(?:[.,][0-9]+)?) ?h\b", 0.999, 200)).alias("battery_h"),
+        F.when(~case, number(r"([0-9]+) ?g\b", 9.999, 500)).alias("weight_g"), F.coalesce(*(F.when(t.rlike(p), b) for p, b in bands)).alias("band"),
+        t.rlike("two.?way").alias("two_way"), t.rlike("display|screen").alias("display"), (F.coalesce(capacity.cast("int"), seats) if capacity is not None else seats).alias("capacity"))
 
 
 def spec_summary(spec: Column) -> Column:
@@ -210,11 +226,17 @@ def spec_key(key: Column, synonyms: Sequence[tuple[str, str]]) -> Column:
     return k
 
 
+def every_label(rules: Sequence[Rule]) -> Column:
+    """The labels of all rules that match, each once, in the order of the rules; NULL if none does."""
+    found = F.array_distinct(F.array_compact(F.array(*(F.when(F.coalesce(F.lower(F.col(r.field)).rlike(r.pattern), F.lit(False)), r.label) for r in rules))))
+    return F.when(F.size(found) > 0, found)
+
+
 def label_sections(df: DataFrame, overrides: DataFrame, rules: Sequence[Rule], site: str, section: str) -> DataFrame:
-    """Own labels (an array) of a site's section: an override for that site and name, else the first rule."""
+    """Own labels (an array) of a site's section: those of an override for that site and name, else of all rules that match."""
     o = overrides.select(F.col("site").alias(site), F.lower("section").alias("_s"), F.col("labels").alias("_labels"))
     x = df.withColumn("_s", F.lower(F.col(section))).join(o, [site, "_s"], "left")
-    return x.withColumn("labels", F.split(F.coalesce("_labels", first_label(rules)), ",")).drop("_s", "_labels")
+    return x.withColumn("labels", F.coalesce(F.split("_labels", ","), every_label(rules))).drop("_s", "_labels")
 
 
 def rental_and_category(page_kind: Column, url: Column, own: Column, page: Column, words: str) -> tuple[Column, Column]:

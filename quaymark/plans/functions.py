@@ -36,7 +36,7 @@ def rules_dataframe_api(spark, d):
 def page_offers_udtf(spark, d):
     register_functions(spark)
     shop_pages(spark, d).createOrReplaceTempView("quaymark_pages")
-    return spark.sql("SELECT page_id, o.name, o.price FROM quaymark_pages, LATERAL page_offers(html) o")
+    return spark.sql("SELECT * FROM page_offers(TABLE(SELECT page_id, html FROM quaymark_pages))")
 
 
 @query("upper_median_udf", "{offers} SELECT category, list_sort(list(price))[(len(list(price)) // 2 + 1)::INT] AS price FROM offers GROUP BY 1")

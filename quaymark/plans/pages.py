@@ -34,9 +34,20 @@ def page_kind(spark, d):
     return read(spark, d, "pages").select("page_id", O.page_kind(F.col("url"), [("cat", "catalog"), ("new", "news")], [("de", "german"), ("en", "english")]).alias("kind"))
 
 
-@query("normalise_page")
+def made_pages(spark, d):
+    """Pages with noise, repeats and links that follow from their ids."""
+    i = F.col("page_id").cast("string")
+    html = F.concat(
+        F.lit("<html><head><title>T "), i, F.lit('</title><meta name="description" content="About '), i, F.lit('"></head><body><nav><a href="/m">Menu link</a></nav><main><h1>Head '), i, F.lit("</h1><p>Line <b>one</b> of "), i,
+        F.lit("</p><p>Line one of "), i, F.lit("</p><p>At 12:30 page "), i, F.lit(' opened 01.02.2024</p><div class="counter">5 guests</div><p>Views: 17</p><p>We use cookie files</p><a href="/p/'), i, F.lit('#top">Model '), i,
+        F.lit('</a><a href="/cart">Go there</a><a href="http://other.example/x">Other site</a><a href="/p/'), i, F.lit('">Same again</a></main><footer>Foot line</footer></body></html>'))
+    return pages(spark, d).withColumn("html", html)
+
+
+@query("normalise_page", r"""SELECT page_id, 'T ' || page_id AS title, concat_ws(chr(10), 'Head ' || page_id, 'Line one of ' || page_id, 'At page ' || page_id || ' opened', 'Model ' || page_id, 'Go there', 'Other site', 'Same again') AS text, 1 AS links,
+    'Model ' || page_id AS t, regexp_extract(url, '^[a-z]+://[^/?#]+') || '/p/' || page_id AS u FROM pages""")
 def normalise_page(spark, d):
-    return O.normalise_page(pages(spark, d))
+    return O.normalise_page(made_pages(spark, d)).select("page_id", "title", "text", F.size("items").alias("links"), F.col("items")[0]["t"].alias("t"), F.col("items")[0]["u"].alias("u"))
 
 
 @query("page_hash", "{page} , " + LINES + ", " + LINKS + " SELECT page_id, sha1(array_to_string(list_sort(list_distinct(lines)), chr(10)) || chr(1) || array_to_string(list_sort(list_distinct(us)), chr(10))) AS hash FROM ln JOIN (SELECT page_id, list(url) AS us FROM lk GROUP BY 1) USING (page_id)".replace("sha1(", "sha1("))
@@ -52,8 +63,9 @@ def shop_pages(spark, d):
     ld = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Product","name":"item '), i, F.lit('","sku":"s'), i, F.lit('","brand":{"name":"B"},"offers":{"price":"'), (F.col("page_id") * 10 + 5).cast("string"), F.lit('.50","priceCurrency":"EUR","availability":"https://schema.org/InStock"}}]}</script>'))
     meta = F.concat(F.lit('<span itemprop="price" content="'), (F.col("page_id") + 1).cast("string"), F.lit('">x</span>'))
     price = F.when(F.col("page_id") % 3 == 0, ld).when(F.col("page_id") % 3 == 1, meta).otherwise("")
-    more = F.concat(F.lit('<table><tr><th>range</th><td>'), i, F.lit(' m</td></tr></table><div class="breadcrumb"><a href="/">Home</a><a href="/c">Cat '), (F.col("page_id") % 5).cast("string"), F.lit('</a><span>this</span></div><div><a href="/p1">thing '), i, F.lit("</a> "), i, F.lit('0 EUR</div><div><a href="/p2">other thing</a> 25 EUR</div><a href="/">home</a> 5 EUR<div class="card"><b class="number">N'), i, F.lit('</b><i class="subject">S</i><i class="price">1 000</i><i class="status">open</i></div>'))
-    return pages(spark, d).withColumn("html", F.concat(price, "html", more))
+    more = F.concat(F.lit('<table><tr><th>range</th><td>'), i, F.lit(' m</td></tr></table><div class="breadcrumb"><a href="/">Home</a><a href="/c">Cat '), (F.col("page_id") % 5).cast("string"), F.lit('</a><span>this</span></div><div><a href="/p1">thing '), i, F.lit("</a> <b>"), i, F.lit('0 EUR</b></div><div><img data-src="/i.jpg" src="/lazy.gif"><a href="/p2">other thing</a> <b>25</b> <b>EUR</b></div><div><b>9 EUR delivery</b><a href="/d">by post</a></div><a href="/">home</a> 5 EUR<div class="card"><b class="number">N'), i, F.lit('</b><i class="subject">S</i><i class="price">1 000</i><i class="status">open</i><div class="title">Placed</div><div class="value">'), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.lit(".01.2024</div></div>"))
+    config = F.when(F.col("page_id") % 7 == 0, F.create_map(F.lit("name"), F.lit("div.card .subject"), F.lit("price"), F.lit("div.card i[class=price]")))
+    return pages(spark, d).withColumn("html", F.concat(price, "html", more)).withColumn("parser", config)
 
 
 @query("jsonld_products", "SELECT page_id, 'item ' || page_id AS name, page_id * 10 + 5.5::DOUBLE AS price, 'EUR' AS currency, 'InStock' AS availability, NULL AS image, 'B' AS brand, 's' || page_id AS sku FROM pages WHERE page_id % 3 = 0")
@@ -61,12 +73,12 @@ def jsonld_products(spark, d):
     return O.jsonld_products(shop_pages(spark, d))
 
 
-@query("product_page_offers", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN page_id * 10 + 5.5 WHEN 1 THEN page_id + 1 ELSE page_id * 10 END::DOUBLE AS price, ['jsonld', 'microdata', 'text'][(page_id % 3 + 1)::INT] AS how FROM pages")
+@query("product_page_offers", "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 1000 ELSE CASE page_id % 3 WHEN 0 THEN page_id * 10 + 5.5 WHEN 1 THEN page_id + 1 ELSE page_id * 10 END END::DOUBLE AS price, CASE WHEN page_id % 7 = 0 THEN 'selector' ELSE ['jsonld', 'microdata', 'text'][(page_id % 3 + 1)::INT] END AS how FROM pages")
 def product_page_offers(spark, d):
-    return O.product_page_offers(shop_pages(spark, d)).select("page_id", "price", "how")
+    return O.product_page_offers(shop_pages(spark, d), selectors="parser").select("page_id", "price", "how")
 
 
-@query("catalog_page_offers", "SELECT page_id, 'thing ' || page_id AS name, '/p1' AS url, page_id * 10::DOUBLE AS price FROM pages UNION ALL SELECT page_id, 'other thing', '/p2', 25 FROM pages")
+@query("catalog_page_offers", "SELECT page_id, 'thing ' || page_id AS name, '/p1' AS url, page_id * 10::DOUBLE AS price, NULL AS image FROM pages UNION ALL SELECT page_id, 'other thing', '/p2', 25, '/i.jpg' FROM pages")
 def catalog_page_offers(spark, d):
     return O.catalog_page_offers(shop_pages(spark, d))
 
@@ -76,11 +88,15 @@ def page_specs_structured(spark, d):
     return O.structured_specs(shop_pages(spark, d)).filter("key = 'range'")
 
 
-@query("page_specs_labels", "SELECT page_id, 'Range' AS key, page_id || ' m' AS value FROM pages UNION ALL SELECT page_id, 'Weight', (page_id * 2) || ' g' FROM pages")
+@query("page_specs_labels", "SELECT page_id, 'Receiver · Range' AS key, page_id || ' m' AS value FROM pages UNION ALL SELECT page_id, 'Receiver · Weight', (page_id * 2) || ' g' FROM pages UNION ALL SELECT page_id, 'Battery', (page_id % 9) || ' h' FROM pages UNION ALL SELECT page_id, 'Channels', '16' FROM pages WHERE page_id % 2 = 0")
 def page_specs_labels(spark, d):
     i = F.col("page_id").cast("string")
-    x = pages(spark, d).select("page_id", F.array(F.lit("Intro"), F.concat(F.lit("Range: "), i, F.lit(" m")), F.lit("Weight"), F.concat((F.col("page_id") * 2).cast("string"), F.lit(" g")), F.lit("Range: 9 m")).alias("lines"))
-    return O.label_specs(x, [("Range", "range"), ("Weight", "weight")]).select("page_id", F.explode("specs").alias("key", "value"))
+    lines = F.array(
+        F.concat(F.lit("It works "), (F.col("page_id") % 9).cast("string"), F.lit(" hours")), F.when(F.col("page_id") % 2 == 0, "Channels - 16").otherwise("Channels: many"), F.lit("Receiver"),
+        F.concat(F.lit("Range: "), i, F.lit(" m")), F.lit("Weight"), F.concat((F.col("page_id") * 2).cast("string"), F.lit(" g")), F.lit("Related products"), F.lit("Channels: 99"))
+    labels = [("Range", "range"), ("Weight", "weight"), ("Channels", "channels"), ("Battery", "battery")]
+    x = O.label_specs(pages(spark, d).select("page_id", lines.alias("lines")), labels, "^(Receiver|Transmitter)", [("Battery", "works ([0-9]+) hours", " h"), ("Range", "reaches ([0-9]+)", " m")], "^Related")
+    return x.select("page_id", F.explode("specs").alias("key", "value"))
 
 
 @query("merge_specs", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'new' ELSE 'old' END AS a, 'x' AS b, CASE WHEN page_id % 2 = 0 THEN 'y' END AS c FROM pages")
@@ -110,37 +126,45 @@ def crumb_categories(spark, d):
     return O.crumb_categories(p, p.select("host", F.lit("c2").alias("name")).distinct())
 
 
-FEATURE_RULES = [("warranty", r"([0-9]+) years"), ("delivery", "(?i)delivery")]
-FEAT = "ft AS (SELECT page_id, host, 'warranty' AS field, (page_id % 9)::VARCHAR AS value, 'We give ' || (page_id % 9) || ' years of it' || d AS t FROM page, LATERAL (SELECT CASE WHEN page_id % 2 = 0 THEN ' and Delivery' ELSE '' END AS d))"
+FEATURE_RULES = [("warranty", r"([0-9]+) years"), ("delivery", "(?i)delivery"), ("use", r"for (museums|tours|plants)")]
+FEAT = """ft AS (SELECT page_id, host, page_id % 5 <> 0 AS own, greatest(page_id % 9, page_id % 4) AS years, page_id % 3 = 0 AS m, page_id % 2 = 0 AS d, 'We give ' || (page_id % 9) || ' years, once ' || (page_id % 4) || ' years' || CASE WHEN page_id % 2 = 0 THEN ' and Delivery' ELSE '' END || ' for tours' || CASE WHEN page_id % 3 = 0 THEN ' for museums for tours' ELSE '' END AS t FROM page),
+    fs AS (SELECT page_id, host, own, 'warranty' AS field, years::VARCHAR AS value, substr(t, 1, 180) AS snippet FROM ft UNION ALL SELECT page_id, host, own, 'delivery', 'yes', substr(t, 1, 180) FROM ft WHERE d UNION ALL SELECT page_id, host, own, 'use', 'tours', substr(t, 1, 180) FROM ft UNION ALL SELECT page_id, host, own, 'use', 'museums', substr(t, 1, 180) FROM ft WHERE m)"""
 
 
 def featured(spark, d):
-    return pages(spark, d).select("page_id", "host", F.concat(F.lit("We give "), (F.col("page_id") % 9).cast("string"), F.lit(" years of it"), F.when(F.col("page_id") % 2 == 0, " and Delivery").otherwise("")).alias("t"))
+    i = F.col("page_id")
+    t = F.concat(F.lit("We give "), (i % 9).cast("string"), F.lit(" years, once "), (i % 4).cast("string"), F.lit(" years"), F.when(i % 2 == 0, " and Delivery").otherwise(""), F.lit(" for tours"), F.when(i % 3 == 0, " for museums for tours").otherwise(""))
+    return pages(spark, d).select("page_id", "host", t.alias("t"), (i % 5 != 0).alias("own_domain"))
 
 
-@query("page_features", "{page} , " + FEAT + " SELECT page_id, field, value, t AS snippet FROM ft UNION ALL SELECT page_id, 'delivery', 'yes', t FROM ft WHERE page_id % 2 = 0")
+def found_features(spark, d):
+    return O.page_features(featured(spark, d), FEATURE_RULES, "t", numeric=["warranty"], many=["use"])
+
+
+@query("page_features", "{page} , " + FEAT + " SELECT page_id, field, value, snippet FROM fs")
 def page_features(spark, d):
-    return O.page_features(featured(spark, d), FEATURE_RULES, "t")
+    return found_features(spark, d)
 
 
-@query("merge_features", "{page} SELECT host, 'warranty' AS field, max(page_id % 9)::DOUBLE AS number, NULL AS value, count(*) AS pages FROM page GROUP BY 1 UNION ALL SELECT host, 'delivery', NULL, 'yes', count(*) FROM page WHERE page_id % 2 = 0 GROUP BY 1")
+@query("merge_features", "{page} , " + FEAT + " SELECT host, field, CASE WHEN field = 'warranty' THEN max(value::INT) END::DOUBLE AS number, CASE field WHEN 'delivery' THEN 'yes' WHEN 'use' THEN array_to_string(list_sort(list_distinct(list(value))), '; ') END AS value, count(DISTINCT page_id) AS pages FROM (SELECT page_id, host, own, field, CASE WHEN field = 'warranty' THEN value ELSE NULL END AS w, value FROM fs) WHERE own GROUP BY host, field".replace("max(value::INT)", "max(w::INT)"))
 def merge_features(spark, d):
-    f = featured(spark, d)
-    return O.merge_features(O.page_features(f, FEATURE_RULES, "t").join(f.select("page_id", "host"), "page_id"), "host", ["warranty"])
+    return O.merge_features(found_features(spark, d).join(featured(spark, d).select("page_id", "host", "own_domain"), "page_id"), "host", ["warranty"], ["use"])
 
 
-@query("page_summary")
+@query("page_summary", "SELECT page_id, 'About ' || page_id AS description, ['Head ' || page_id] AS headings FROM pages")
 def page_summary(spark, d):
-    return O.page_summary(pages(spark, d))
+    return O.page_summary(made_pages(spark, d))
 
 
-@query("image_candidates", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '/img/' || page_id || '.jpg' ELSE '/x.png' END AS image FROM pages")
+@query("image_candidates", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/img/' || page_id || '.jpg' WHEN 1 THEN '/og/' || page_id || '.jpg' WHEN 2 THEN '/lazy.jpg' ELSE '/x.png' END AS image FROM pages")
 def image_candidates(spark, d):
-    i = F.col("page_id").cast("string")
-    extra = F.concat(F.lit('<img src="/logo.svg"><img alt="a" src="'), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/img/"), i, F.lit(".jpg"))).otherwise("/x.png"), F.lit('"><img src="/y.jpg">'))
-    return pages(spark, d).select("page_id", O.image_candidate(F.concat(extra, "html"), "logo|sprite").alias("image"))
+    i, k = F.col("page_id").cast("string"), F.col("page_id") % 4
+    src = F.when(k == 0, F.concat(F.lit('src="/img/'), i, F.lit('.jpg"'))).when(k == 2, 'src="/tiny.gif" data-src="/lazy.jpg"').otherwise('src="/x.png"')
+    meta = F.when(k == 1, F.concat(F.lit('<meta content="/og/'), i, F.lit('.jpg" property="og:image">'))).otherwise('<meta property="og:image" content="/site-logo.png">')
+    made = F.concat(F.lit('<img src="/logo.svg"><img width="20" src="/dot.png"><img alt="a" '), src, F.lit('><img src="/y.jpg">'), meta)
+    return pages(spark, d).select("page_id", O.image_candidate(F.concat(made, "html"), "logo|sprite").alias("image"))
 
 
-@query("tender_cards", "SELECT page_id, 'N' || page_id AS number, 'S' AS subject, NULL AS customer, 1000::DOUBLE AS price, 'open' AS status FROM pages")
+@query("tender_cards", "SELECT page_id, 'N' || page_id AS number, 'S' AS subject, NULL AS customer, 1000::DOUBLE AS price, 'open' AS status, '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') AS date FROM pages")
 def tender_cards(spark, d):
     return O.tender_cards(shop_pages(spark, d))

@@ -133,16 +133,16 @@ def spec_texts(spark, d):
     p = read(spark, d, "part")
     s = F.col("p_size")
     return p.select(F.col("p_partkey").alias("item_id"), F.concat_ws(" ", F.col("p_name"), (s * 10).cast("string"), F.lit("m,"), s.cast("string"), F.lit("ch"), (s + 0.5).cast("string"), F.lit("h"), (s * 20).cast("string"), F.lit("g"),
-        F.element_at(F.array(F.lit("2.4"), F.lit("UHF two-way"), F.lit("wired")), (F.col("p_partkey") % 3 + 1).cast("int"))).alias("text"))
+        F.element_at(F.array(F.lit("2.4"), F.lit("UHF two-way"), F.lit("wired")), (F.col("p_partkey") % 3 + 1).cast("int"))).alias("text"), F.when(s % 2 == 0, F.create_map(F.lit("seats"), F.concat(s.cast("string"), F.lit(" persons")))).alias("specs"))
 
 
 SPEC_SQL = """spec AS (SELECT p_partkey AS item_id, CASE WHEN p_size * 10 >= 20 THEN p_size * 10 END::DOUBLE AS range_m, CASE WHEN p_size > 1 THEN p_size END::DOUBLE AS channels, (p_size + 0.5)::DOUBLE AS battery_h,
-    CASE WHEN p_size * 20 <= 500 THEN p_size * 20 END::DOUBLE AS weight_g, [ '2.4 GHz', 'UHF', NULL][(p_partkey % 3 + 1)::INT] AS band, p_partkey % 3 = 1 AS two_way, false AS display FROM part)"""
+    CASE WHEN p_size * 20 <= 500 THEN p_size * 20 END::DOUBLE AS weight_g, [ '2.4 GHz', 'UHF', NULL][(p_partkey % 3 + 1)::INT] AS band, p_partkey % 3 = 1 AS two_way, false AS display, CASE WHEN p_size % 2 = 0 THEN p_size END::INT AS capacity FROM part)"""
 
 
 @query("typed_specs", "WITH " + SPEC_SQL + " SELECT * FROM spec")
 def typed_specs(spark, d):
-    return spec_texts(spark, d).select("item_id", O.typed_specs(F.col("text"), BANDS).alias("s")).select("item_id", "s.*")
+    return spec_texts(spark, d).select("item_id", O.typed_specs(F.col("text"), BANDS, F.col("specs")).alias("s")).select("item_id", "s.*")
 
 
 @query("spec_summary", "WITH " + SPEC_SQL + " SELECT item_id, concat_ws(', ', range_m::INT || ' m', channels::INT || ' ch', round_even(battery_h, 0)::INT || ' h', weight_g::INT || ' g', band, CASE WHEN two_way THEN 'two-way' END) AS summary FROM spec")
@@ -211,11 +211,14 @@ def spec_key_norm(spark, d):
     return read(spark, d, "part").select(F.col("p_brand").alias("raw"), O.spec_key(F.col("p_brand"), [("brand#", "maker ")]).alias("key")).distinct()
 
 
-@query("label_sections", "{catalog} SELECT item_id, string_split(CASE WHEN category = 'PROMO' AND item_id % 2 = 0 THEN 'sale,new' ELSE " + RULE_SQL + " END, ',') AS labels FROM catalog")
+RULES_SQL = "nullif(list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower({r.field}), '{r.pattern}') THEN '{r.label}' END" for r in RULES) + "], lambda x: x IS NOT NULL)), [])"
+
+
+@query("label_sections", "{catalog} SELECT item_id, list_sort(CASE WHEN category = 'PROMO' AND item_id % 2 = 0 THEN ['sale', 'new'] ELSE " + RULES_SQL + " END) AS labels FROM catalog")
 def label_sections(spark, d):
     over = spark.createDataFrame([(0, "Promo", "sale,new")], "site long, section string, labels string")
     x = catalog(spark, d).withColumn("site", F.col("item_id") % 2)
-    return O.label_sections(x, over, RULES, "site", "category").select("item_id", "labels")
+    return O.label_sections(x, over, RULES, "site", "category").select("item_id", F.array_sort("labels").alias("labels"))
 
 
 @query("rental_and_default_category", "SELECT page_id, page_id % 5 = 0 OR contains(lower(url), '/de/') AS rental, coalesce(CASE WHEN page_id % 3 = 0 THEN 'own' END, 'page') AS category FROM pages")

@@ -22,6 +22,24 @@ def test_model_codes(spark):
     names = ["система SGTR02 чёрная", "радиогид UG-10", "AG-300", "микрофон ТТ106 с кейсом", "HDE 2020-D-II", "USB2 hub", "nothing"]
     got = column(spark, names, text.model_key(F.col("v"), F.lit(None).cast("string"), [r"\b([A-Z]{2,5}[- ]?[0-9]+)\b"], "^USB"))
     assert got == ["SGTR02", "UG10", "AG300", "TT106", "HDE2020", None, None]
+    patterns = [r"\b([A-Z]{2,5}[- ]?[0-9]+)\b", r"(?i)\b(reinvox|okayo)\s+([A-Z][A-Z0-9-]{1,12})\b"]
+    assert column(spark, ["радиогид Reinvox DUO", "Okayo Pro set", "Reinvox AB12"], text.model_key(F.col("v"), F.lit(None).cast("string"), patterns, "^USB")) == ["REINVOX-DUO", "OKAYO-PRO", "AB12"]
+
+
+def test_sql_functions_agree_with_the_columns(spark):
+    from quaymark.functions.register import CODE, NO_CODE, register_functions
+
+    register_functions(spark)
+    values = ["32 500 ₽", "32500,00", "от 4 500 руб.", "12.500 руб", "1 500 ₽ за шт", "нет", "", None, "0 руб", "only 7,50 of 9 eur", "UG-10 set", "ТТ106 с кейсом", "USB2 hub", "HDE 2020-D"]
+    df = spark.createDataFrame([(i, v, values[-i]) for i, v in enumerate(values)], "i int, t string, u string")
+    pairs = [
+        ("parse_price(t)", text.parse_price(F.col("t"))), ("model_key(t)", text.model_key(F.col("t"), F.lit(None).cast("string"), [CODE], NO_CODE)), ("name_similarity(t, u)", joins.token_jaccard(F.col("t"), F.col("u"))),
+        ("round_retail_price(i * 377.5D)", text.round_retail_price(F.col("i") * 377.5)), ("calibration_factor(i, 20)", signals.calibration_factor(F.col("i"), F.lit(20))),
+        ("unit_price(i * 50.0D, i)", text.unit_price(F.col("i") * 50.0, F.col("i"), F.lit(None).cast("int"), F.lit(True), F.lit(False))),
+        ("unit_price(i * 90.0D, 3, i, false, true)", text.unit_price(F.col("i") * 90.0, F.lit(3), F.col("i"), F.lit(False), F.lit(True))),
+        ("recommended_price('raise', i * 100D, 3000D, i > 5)", decisions.recommended_price(F.lit("raise"), F.col("i") * 100.0, F.lit(3000.0), F.col("i") > 5))]
+    for sql, col in pairs:
+        assert df.filter("i > 0").select(F.expr(sql).alias("a"), col.alias("b")).filter("NOT a <=> b").count() == 0, sql
 
 
 def test_clean_text(spark):
@@ -94,13 +112,67 @@ def test_pages(spark):
     got = {(r.name, r.url, r.price) for r in pages.catalog_page_offers(df).collect()}
     assert got == {("Guide one", "/p1", 1500.0), ("Guide two", "/p2", 2500.0)}
     n = {r.page_id: r for r in pages.normalise_page(df).collect()}
-    assert n[1].title == "T" and n[1].text.split("\n") == ["One & two", "LinkRange", "100 m", "Weight", "20 g"] or "One & two" in n[1].text
-    assert [(i.t, i.u) for i in n[1].items] == [("Link", "/p")] and "skip" not in n[1].text and "12:30" not in n[1].text
+    assert n[1].title == "T" and n[1].text.split("\n") == ["One & two", "Link", "Range", "100 m", "Weight", "20 g"]
+    assert [(i.t, i.u) for i in n[1].items] == [("Link", "http://h/p")] and n[3].text == "" and n[3].items == []
     specs = {(r.key, r.value) for r in pages.structured_specs(df).collect()}
     assert {("Range", "100 m"), ("Weight", "20 g")} <= specs
+    hinted = spark.createDataFrame([(1, "<li>Weight: 5 g</li><li>News: today</li>")], "page_id long, html string")
+    assert {r.key for r in pages.structured_specs(hinted, hints="weight|range").collect()} == {"Weight"}
     assert pages.product_page_offers(df.filter("page_id = 1")).first().how == "jsonld"
 
 
+def page(spark, *html):
+    return spark.createDataFrame([(i, "http://h/x/", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+
+
+def ld(body):
+    return f'<h1>Head</h1><script type="application/ld+json">{body}</script>'
+
+
+def test_odd_jsonld_ends_no_job(spark):
+    odd = [
+        '{"@type":"Product","name":"A","offers":["x"]}', '{"@type":"Product","name":"B","offers":{"price":5,"availability":["http://s/InStock"]}}', "[" * 20_000, '{"@type":"Product","name":{"@value":"C"},"sku":[1,2],"brand":[{"name":"X"}],"image":[{"url":"i.jpg"}]}',
+        '{"@type":"Product","name":"D","offers":{"price":{"value":3},"priceCurrency":7}}', '{"@type":"Product","name":"\\ud800E","offers":[{"lowPrice":"1e999"}]}', "null", '{"@type":"Product","name":true,"offers":{"price":NaN}}']
+    df = page(spark, *map(ld, odd))
+    got = {r.page_id: r for r in pages.jsonld_products(df).collect()}
+    assert set(got) == {0, 1, 3, 4, 5, 7}
+    assert (got[0].name, got[0].price) == ("A", None) and (got[1].price, got[1].availability) == (5.0, "InStock")
+    assert (got[3].name, got[3].sku, got[3].brand, got[3].image) == (None, "1", "X", "i.jpg")
+    assert got[4].price is None and got[4].currency == "7" and got[5].price is None and got[7].name is None and got[7].price is None
+    assert pages.product_page_offers(df).count() == len(odd) and pages.catalog_page_offers(df).count() == 0
+
+
+def test_page_cascade(spark):
+    """Selectors come first, then JSON-LD, microdata, and the first plausible price outside of delivery notes."""
+    rows = [
+        (0, '<h1>Guide</h1><div class="cost"><b>12 500</b> руб</div>' + ld('{"@type":"Product","name":"L","offers":{"price":1}}'), {"name": "h1", "price": ".cost"}),
+        (1, ld('{"@type":"Product","name":"L","offers":[{"price":"10"},{"price":20}]}'), None), (2, '<title>Home</title><h1>Guide</h1><meta itemprop="price" content="99,5">', {}),
+        (3, "<h1>Guide</h1><p>300 руб delivery</p><p><span>1 500</span> <span>руб</span></p>", None), (4, "<h1>Only a name</h1>", None), (5, "<p>nothing</p>", None)]
+    df = spark.createDataFrame(rows, "page_id long, html string, parser map<string,string>")
+    got = {r.page_id: (r.name, r.price, r.how) for r in pages.product_page_offers(df, selectors="parser").collect()}
+    assert got == {0: ("Guide", 12500.0, "selector"), 1: ("L", 10.0, "jsonld"), 2: ("Guide", 99.5, "microdata"), 3: ("Guide", 1500.0, "text"), 4: ("Only a name", None, "none")}
+    cards = """<body><div id=list><div class=c><h3>First guide</h3><a href="/1"><img data-src="/1.jpg" src="/t.gif"></a><p><b>1 000</b> руб</p></div><div class=c><div class=x-title>Second</div><a href="/2">more of it</a><p>2 000 руб</p></div>
+        <div class=c><a href="/3"><img alt="Third guide"></a><span>3 000 руб</span></div><div class=c><a href="/3"><img alt="Third guide"></a><span>3 000 руб</span></div><div class=c><a href="/4">Fourth</a><span>400 руб delivery</span></div>""" + "words " * 200 + "</div></body>"
+    got = [(r.name, r.url, r.price, r.image) for r in pages.catalog_page_offers(page(spark, cards)).collect()]
+    assert got == [("First guide", "/1", 1000.0, "/1.jpg"), ("Second", "/2", 2000.0, None), ("Third guide", "/3", 3000.0, None)]
+    config = spark.createDataFrame([(0, cards, {"items": "div.c", "name": "h3,.x-title", "price": "p"})], "page_id long, html string, parser map<string,string>")
+    assert [(r.name, r.price) for r in pages.catalog_page_offers(config, selectors="parser").collect()] == [("First guide", 1000.0), ("Second", 2000.0)]
+
+
+def test_a_moved_counter_is_no_change(spark):
+    make = lambda count, clock, more: f'<html><body><nav>menu</nav><main><p>Our guides</p><div class="counter">{count}</div><p>Просмотров: {count}</p><p>{clock}</p><a href="/g1">Guide SGTR02</a>{more}</main></body></html>'
+    df = page(spark, make(17, "12:30", ""), make(18, "12:31:05", ""), make(18, "12:31", '<a href="/g2">Guide SGTR03</a><a href="/cart">cart</a><a href="mailto:x@y.z">mail us</a><a href="http://[">bad address</a>'))
+    n = pages.normalise_page(df)
+    h = {r.page_id: r for r in n.withColumn("h", pages.page_hash(F.split("text", "\n"), F.transform("items", lambda i: i["u"]))).collect()}
+    assert h[0].h == h[1].h != h[2].h and [i.u for i in h[2].items] == ["http://h/g1", "http://h/g2"]
+
+
+def test_typed_specs(spark):
+    df = spark.createDataFrame([("range 100 m, 20 h, 30 g", {"Range": "80 m"}, None), ("charging case for 20 receivers 5 h 90 g", None, None), ("x", {}, 12)], "t string, specs map<string,string>, n int")
+    got = [r.s for r in df.select(text.typed_specs(F.col("t"), [("uhf", "UHF")], F.col("specs"), F.col("n")).alias("s")).collect()]
+    assert (got[0].range_m, got[0].battery_h, got[0].weight_g) == (80, 20, 30) and (got[1].battery_h, got[1].weight_g, got[1].capacity) == (None, None, 20) and got[2].capacity == 12
+
+
 def test_page_hash_ignores_order(spark):
     df = spark.createDataFrame([(["a", "b"], ["x"]), (["b", "a", "a"], ["x"]), (["a"], ["x"])], "l array<string>, u array<string>")
     h = [r.h for r in df.select(pages.page_hash(F.col("l"), F.col("u")).alias("h")).collect()]
