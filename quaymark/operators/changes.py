@@ -30,14 +30,34 @@ def upsert_keyed(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Seq
     return x.select(*keys, *(merged[c].alias(c) for c in values), action.alias("action"))
 
 
-def upsert_offers(old: DataFrame, new: DataFrame, keys: Sequence[str], seen_at: str) -> DataFrame:
-    """Current offers after a run: new facts over old, first sight kept, ``changed`` where price, availability or activity moved."""
-    n = new.select(*keys, F.col("name").alias("n_name"), F.col("price").alias("n_price"), F.col("availability").alias("n_availability"), F.col(seen_at).alias("n_seen"))
+def upsert_offers(old: DataFrame, new: DataFrame, keys: Sequence[str], seen_at: str, url: str | None = None, shortest: int = 8, longer: int = 25) -> DataFrame:
+    """Current offers after a run: new facts over old, first sight kept, ``changed`` where price, availability, activity or content moved.
+
+    A stored offer meets the new row of its keys.  With ``url``, one that meets none takes the new row of its seller and url that met
+    none either (the first of each side by name); its name stays if the new one is under ``shortest`` characters or much shorter.
+    Content is the column ``content_hash``, where both sides have it.
+    """
+    hashed = "content_hash" in old.columns and "content_hash" in new.columns
+    facts = ["price", "availability", *(["content_hash"] if hashed else [])]
+    n = new.select(*keys, F.col("name").alias("n_name"), *(F.col(c).alias(f"n_{c}") for c in facts), F.col(seen_at).alias("n_seen"))
+    at = ["seller_id", url]
+    other = [k for k in keys if k not in at]
+    if url and other:
+        alone = lambda a, b, name: a.join(b.select(*keys), list(keys), "left_anti").groupBy(*at).agg(F.min(F.struct(*other)).alias(name))
+        pair = alone(old, new, "_old").join(alone(new, old, "_new"), at).select(*at, *(F.col(f"_new.{k}").alias(k) for k in other), "_old")
+        n = n.join(pair, [*at, *other], "left").withColumns({k: F.coalesce(f"_old.{k}", k) for k in other}).drop("_old")
     x = old.join(n, list(keys), "full_outer")
     met = F.col("n_seen").isNotNull()
-    changed = met & (F.col("last_seen").isNull() | ~F.col("price").eqNullSafe(F.coalesce("n_price", "price")) | ~F.col("availability").eqNullSafe(F.coalesce("n_availability", "availability")) | ~F.coalesce("is_active", F.lit(False)))
+    moved_fact = lambda c: ~F.col(c).eqNullSafe(F.coalesce(f"n_{c}", c))
+    changed = met & (F.col("last_seen").isNull() | moved_fact("price") | moved_fact("availability") | (moved_fact("content_hash") if hashed else F.lit(False)) | ~F.coalesce("is_active", F.lit(False)))
+    if "name" in keys:
+        worse = (F.length("n_name") < shortest) | (F.length("name") > F.length("n_name") + longer)
+        named = [F.when(F.col("last_seen").isNotNull() & F.col("n_name").isNotNull() & ~worse, F.col("n_name")).otherwise(F.col("name")).alias("name")]
+    else:
+        named = [F.coalesce("name", "n_name").alias("name")]
+    merged = [F.coalesce(f"n_{c}", c).alias(c) for c in ("price", "availability", *(["content_hash"] if hashed else []))]
     return x.select(
-        *keys, F.coalesce("name", "n_name").alias("name"), F.coalesce("n_price", "price").alias("price"), F.coalesce("n_availability", "availability").alias("availability"),
+        *(k for k in keys if k != "name"), *named, *merged,
         F.coalesce("first_seen", "n_seen").alias("first_seen"), F.coalesce("n_seen", "last_seen").alias("last_seen"), (met | F.coalesce("is_active", F.lit(False))).alias("is_active"), changed.alias("changed"))
 
 
@@ -54,6 +74,21 @@ def append_if_changed(history: DataFrame, new: DataFrame, key: str, at: str) ->
     return new.join(last, key, "left").filter(F.col("_last").isNull() | ~F.col("_last.price").eqNullSafe(F.col("price")) | ~F.col("_last.availability").eqNullSafe(F.col("availability"))).drop("_last")
 
 
+def gone_from_sitemap(items: DataFrame, listed: DataFrame, failed: DataFrame, run_start: Column, seen: int, least_seen: int = 10) -> DataFrame:
+    """Items with ``is_active`` after a run over a site's map.
+
+    An item that the run did not fetch, and whose page (its url without a fragment) is neither listed nor among those that
+    failed to open, is gone; one whose page failed stays or comes back.  A run of at most ``least_seen`` pages decides nothing.
+    """
+    x = items.withColumn("_page", F.substring_index("url", "#", 1))
+    has = lambda df, name: df.select(F.col("url").alias("_page")).distinct().withColumn(name, F.lit(True))
+    x = x.join(has(listed, "_listed"), "_page", "left").join(has(failed, "_failed"), "_page", "left")
+    old = F.col("fetched_at").isNull() | (F.col("fetched_at") < run_start)
+    gone = old & F.col("_listed").isNull() & F.col("_failed").isNull() & F.lit(seen > least_seen)
+    active = F.when(F.col("_failed").isNotNull() & F.lit(seen > least_seen), True).when(gone, False).otherwise(F.col("is_active"))
+    return x.withColumn("is_active", active).drop("_page", "_listed", "_failed")
+
+
 def expand_variants(df: DataFrame, variants: str, key: str) -> DataFrame:
     """Items and, as items of their own, the variants embedded in them."""
     own = df.drop(variants).withColumn("parent", F.lit(None).cast(df.schema[key].dataType))

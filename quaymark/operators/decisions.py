@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import capacity_close, comparables
+from .aggregates import upper_median
+from .joins import comparables
 from .series import first_rows
 from .text import round_retail_price
 
@@ -49,27 +50,100 @@ def decision_staleness(review: DataFrame, decisions: DataFrame) -> DataFrame:
     return review.join(d, "item_id", "left").withColumn("stale", F.col("decision").isNotNull() & ~F.col("verdict").eqNullSafe(F.col("decided_verdict")))
 
 
-def justify_model(models: DataFrame, peers: DataFrame) -> DataFrame:
-    """Reasons that speak for a model against own peers of its category and kind (kits: similar capacity)."""
-    p = peers.select("item_id", "category", "kind", F.col("capacity").alias("pc"), (F.col("price") / F.col("capacity")).alias("pu"), F.col("range_m").alias("pr"))
-    close = (F.col("kind") != "ring") | capacity_close(F.col("capacity"), F.col("pc"))
-    x = models.join(p, ["category", "kind"]).filter(close).groupBy("model_id", "category", "kind", "capacity", "price", "range_m").agg(F.min("pu").alias("best_unit"), F.max("pr").alias("best_range"), F.count("*").alias("peers"))
-    return x.withColumn("reasons", F.array_compact(F.array(
-        F.when(F.col("price") / F.col("capacity") <= 0.75 * F.col("best_unit"), "unit price"), F.when(F.col("range_m") >= 1.3 * F.col("best_range"), "range"))))
+#: Facts of models and of own peers beside category, kind, capacity and price.
+FACTS = ("range_m", "channels", "battery_h", "weight_g", "two_way", "band")
 
 
-def assortment_candidates(offers: DataFrame, sellers: DataFrame, items: DataFrame, least_sellers: int = 2) -> DataFrame:
-    """Offered models by verdict (covered, gap, consider, no_data) and score."""
-    x = offers.join(sellers.select("seller_id", "seller_group"), "seller_id")
-    g = x.groupBy("brand", "model_key", "category", "kind").agg(
-        F.countDistinct("seller_group").alias("sellers"), F.count("*").alias("offers"), F.median("price").alias("median"), F.count("price").alias("priced"), F.max("capacity").alias("capacity"))
-    own = items.groupBy("brand", "model_key").agg(F.count("*").alias("own"))
-    peers = items.groupBy("category", "kind").agg(F.median(F.col("price") / F.col("capacity")).alias("own_unit"), F.count("*").alias("peers"))
-    g = g.join(own, ["brand", "model_key"], "left").join(peers, ["category", "kind"], "left")
-    g = g.withColumn("unit_gap", F.bround((F.col("median") / F.col("capacity") / F.col("own_unit") - 1) * 100, 2))
-    verdict = F.when(F.col("own") > 0, "covered").when(F.col("priced") == 0, "no_data").when(F.col("peers").isNull() | (F.col("sellers") >= 10), "gap").otherwise("consider")
-    score = F.when(verdict == "gap", 3.0).when(verdict == "consider", 2.0).when(verdict == "no_data", 0.5).otherwise(0.0) + 0.5 * F.col("sellers")
-    return g.filter(F.col("sellers") >= least_sellers).withColumn("verdict", verdict).withColumn("score", score)
+def model_facts(offers: DataFrame, keys: Sequence[str], unit: Column) -> DataFrame:
+    """One row a model: its commonest kind, its cheapest offer of that kind by unit price, and facts filled up from its other offers."""
+    x = offers.withColumn("unit", unit)
+    kind = x.groupBy(*keys, "kind").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
+    x = x.join(kind, [*keys, "kind"])
+    order = F.struct(F.col("unit").isNull(), "unit", "offer_id")
+    fact = lambda f: F.coalesce(F.min_by(f, order), F.min_by(f, F.when(F.col(f).isNotNull(), F.col("offer_id"))))
+    return x.groupBy(*keys, "kind").agg(
+        F.count("*").alias("offers"), F.min_by("unit", order).alias("unit"), F.min_by("capacity", order).alias("capacity"), *(fact(f).alias(f) for f in FACTS if f != "two_way"), F.bool_or("two_way").alias("two_way"))
+
+
+def peer_stats(peers: DataFrame, keys: Sequence[str], digital: str = "2.4 GHz") -> DataFrame:
+    """What a group of own items offers at best; ``best`` is the cheapest one's (price, item_id, unit)."""
+    return peers.groupBy(*keys).agg(
+        F.count("*").alias("peers"), F.min("unit").alias("b_unit"), F.max("range_m").alias("b_range_m"), F.max("channels").alias("b_channels"), F.max("battery_h").alias("b_battery_h"), F.min("weight_g").alias("b_weight_g"),
+        F.bool_or(F.coalesce("two_way", F.lit(False))).alias("b_two_way"), F.bool_or(F.col("band").isNull() | (F.col("band") == digital)).alias("b_digital"), F.min(F.struct("price", "item_id", "unit")).alias("best"))
+
+
+def near_stats(models: DataFrame, peers: DataFrame) -> DataFrame:
+    """The statistics of peers of close capacity for each (category, kind, capacity) of the models; peers are summed for each capacity first."""
+    keys = models.filter("capacity IS NOT NULL").select("category", "kind", F.col("capacity").cast("long").alias("capacity")).distinct()
+    reach = F.floor(F.greatest(F.lit(2.0), 0.2 * F.col("capacity")))
+    wide = keys.withColumn("pc", F.explode(F.sequence(F.col("capacity") - reach, F.col("capacity") + reach)))
+    per = peer_stats(peers.filter("capacity IS NOT NULL").withColumn("pc", F.col("capacity").cast("long")), ["category", "kind", "pc"])
+    most = lambda c: F.max(c).alias(c)
+    return wide.join(per, ["category", "kind", "pc"]).groupBy("category", "kind", "capacity").agg(
+        F.sum("peers").alias("peers"), F.min("b_unit").alias("b_unit"), *map(most, ("b_range_m", "b_channels", "b_battery_h")), F.min("b_weight_g").alias("b_weight_g"), *map(most, ("b_two_way", "b_digital")), F.min("best").alias("best"))
+
+
+def advantages(spec: Column | bool = True, digital: str = "2.4 GHz") -> Column:
+    """Reasons that speak for a model (unit and FACTS) against peer statistics (b_...); ``spec`` says where more than the price counts."""
+    c, better = F.col, []
+    for f, name in (("range_m", "range"), ("channels", "channels"), ("battery_h", "battery")):
+        better.append((name, c(f) >= 1.3 * c(f"b_{f}")))
+    better += [("weight", c("weight_g") <= 0.7 * c("b_weight_g")), ("two-way", c("two_way") & ~c("b_two_way")), ("digital band", (c("band") == digital) & ~c("b_digital"))]
+    spec = F.lit(spec) if isinstance(spec, bool) else spec
+    return F.array_compact(F.array(F.when(c("unit") <= 0.75 * c("b_unit"), "unit price"), *(F.when(spec & test, name) for name, test in better)))
+
+
+def justify_model(models: DataFrame, peers: DataFrame, system: str = "ring") -> DataFrame:
+    """Reasons that speak for each model against own peers of its category and kind, and a verdict.
+
+    Specs are held against all of them; the unit price of a system against peers of close capacity only.
+    """
+    every = peer_stats(peers, ["category", "kind"])
+    near = near_stats(models.filter(F.col("kind") == system), peers).select("category", "kind", F.col("capacity").alias("_c"), F.col("b_unit").alias("_near"))
+    x = models.join(every, ["category", "kind"], "left").withColumn("_c", F.col("capacity").cast("long")).join(near, ["category", "kind", "_c"], "left")
+    x = x.withColumn("b_unit", F.when(F.col("kind") == system, F.col("_near")).otherwise(F.col("b_unit"))).withColumn("peers", F.coalesce("peers", F.lit(0))).withColumn("reasons", advantages())
+    unknown = F.col("unit").isNull() & F.coalesce(*(F.col(f).cast("string") for f in FACTS if f != "two_way")).isNull()
+    return x.drop("_c", "_near").withColumn("verdict", F.when(F.size("reasons") > 0, "consider").when(F.col("peers") == 0, "nothing to compare").when(unknown, "no data").otherwise("no advantage"))
+
+
+def assortment_candidates(
+    offers: DataFrame, sellers: DataFrame, items: DataFrame, name_key: Column, unit: Column, system: str = "ring", main: Sequence[str] = (), accessories: Sequence[str] = (), aliases: DataFrame | None = None,
+) -> DataFrame:
+    """Offered models by verdict (gap, consider, covered, no_data) and score.
+
+    Offers group by brand, code (or, without one, ``name_key``), category and kind.  Own peers are those of the category and kind, for
+    systems of close capacity; a system without one, or a ``main`` kind that the category lacks, is a gap.  Other kinds that the
+    category lacks are held against the same kind elsewhere (``accessories``, by price only) or the whole category.
+    """
+    o = offers.filter("price >= 10 AND category IS NOT NULL").join(sellers.select("seller_id", "seller_group"), "seller_id").withColumn("model", F.coalesce("model_key", name_key)).withColumn("unit", unit).withColumn("brand", F.lower("brand"))
+    order = F.struct("price", "offer_id")
+    has = lambda f: F.when(F.col(f).isNotNull(), order)
+    g = o.groupBy("brand", "model", "category", "kind").agg(
+        F.countDistinct("seller_group").alias("sellers"), F.count("*").alias("offers"), F.min("price").alias("least"), F.median("price").alias("median"), F.max("price").alias("most"), F.min_by("capacity", has("capacity")).alias("capacity"),
+        F.min("unit").alias("unit"), F.max("range_m").alias("range_m"), F.max("channels").alias("channels"), F.max("battery_h").alias("battery_h"), F.min("weight_g").alias("weight_g"), F.bool_or("two_way").alias("two_way"),
+        F.min_by("band", has("band")).alias("band"), F.bool_or(F.col("model_key").isNotNull()).alias("coded"))
+    i = items.withColumn("unit", unit).filter("price IS NOT NULL")
+    names = ("peers", "b_unit", "b_range_m", "b_channels", "b_battery_h", "b_weight_g", "b_two_way", "b_digital", "best")
+    packed = lambda df, name: df.select(*(c for c in df.columns if c not in names), F.struct(*names).alias(name))
+    near = packed(near_stats(g.filter(F.col("kind") == system), i), "_near").withColumnRenamed("capacity", "_c")
+    x = g.withColumn("_c", F.col("capacity").cast("long")).join(near, ["category", "kind", "_c"], "left").join(packed(peer_stats(i, ["category", "kind"]), "_kind"), ["category", "kind"], "left")
+    x = x.join(packed(peer_stats(i, ["category"]), "_category"), "category", "left").join(packed(peer_stats(i, ["kind"]), "_any"), "kind", "left")
+    codes = items.select("model_key").union(items.select("model_key").join(aliases, F.col("model_key") == F.col("own_code")).select("alias_code")) if aliases is not None else items.select("model_key")
+    own = codes.filter("model_key IS NOT NULL").select(F.upper("model_key").alias("_code")).distinct().withColumn("_own", F.lit(True))
+    x = x.withColumn("_code", F.upper("model")).join(own, "_code", "left")
+    sized = (F.col("kind") == system) & F.col("capacity").isNotNull()
+    is_accessory = F.col("kind").isin(*accessories) if accessories else F.lit(False)
+    is_main = (F.col("kind") == system) | (F.col("kind").isin(*main) if main else F.lit(False))
+    lacks = F.col("_kind").isNull() & F.col("_category").isNotNull() & ~sized
+    pool = F.when(sized, F.col("_near")).when(~lacks, F.col("_kind")).when(is_main, F.lit(None)).when(is_accessory, F.coalesce("_any", "_category")).otherwise(F.col("_category"))
+    x = x.withColumn("_pool", pool).withColumn("_gap", F.when(sized, F.col("_kind").isNotNull() & F.col("_near").isNull()).otherwise(lacks & is_main)).select("*", *(F.col(f"_pool.{n}").alias(n) for n in names))
+    x = x.withColumn("reasons", advantages(~is_accessory))
+    x = x.withColumn("verdict", F.when(F.col("_category").isNull() | F.col("_gap"), "gap").when(F.col("peers").isNull(), "no_data").when(F.col("_own"), "covered").when(F.size("reasons") > 0, "consider").otherwise("covered"))
+    own_unit = F.coalesce("best.unit", "best.price")
+    score = F.when(F.col("verdict") == "gap", 3.0).when(F.col("verdict") == "consider", 2.0).when(F.col("verdict") == "no_data", 0.5).otherwise(0.0) + 0.5 * F.col("sellers") + 0.3 * F.size("reasons")
+    score = score - F.when(F.col("brand").isNull() & ~F.col("coded"), 1.0).otherwise(0.0)
+    return x.select(
+        "brand", "model", "category", "kind", "capacity", "sellers", "offers", "least", "median", "most", F.col("best.item_id").alias("peer_id"), F.bround((F.col("unit") - own_unit) / own_unit * 100, 2).alias("unit_gap"), "reasons", "verdict", F.bround(score, 4).alias("score"))
 
 
 def category_position(position: DataFrame) -> DataFrame:
@@ -78,29 +152,86 @@ def category_position(position: DataFrame) -> DataFrame:
     return x.withColumn("verdict", F.when(F.col("offers") < 3, "no_data").when(F.col("worst") >= 50, "attention").when(F.col("worst") >= 20, "watch").otherwise("ok"))
 
 
-def compare_table(df: DataFrame, group: Sequence[str], key: str, fields: Sequence[str], low: Sequence[str] = ("price",)) -> DataFrame:
-    """Long table (group, key, field, value, best): the best value of each field in its direction is marked."""
+def compare_table(df: DataFrame, group: Sequence[str], key: str, fields: Sequence[str], low: Sequence[str] = ("price",), same: Sequence[str] = (), raw: str | None = None) -> DataFrame:
+    """Long table (group, key, field, value, best): the best value of each field in its direction is marked.
+
+    Of rows equal in ``same`` the first by key counts.  ``raw``, a map, adds its entries as fields of text without a best one.
+    """
+    if same:
+        df = first_rows(df, [*group, *same], [F.asc(key)]).drop("rn")
     long = df.select(*group, key, *(F.col(f).cast("double").alias(f) for f in fields)).unpivot([*group, key], list(fields), "field", "value").filter("value IS NOT NULL")
     w = Window.partitionBy(*group, "field")
     best = F.when(F.col("field").isin(*low), F.min("value").over(w)).otherwise(F.max("value").over(w))
-    return long.withColumn("best", F.col("value") == best)
+    out = long.withColumn("best", F.col("value") == best)
+    if raw is None:
+        return out
+    more = df.select(*group, key, F.explode(raw).alias("field", "text")).select(*group, key, "field", F.lit(None).cast("double").alias("value"), F.lit(None).cast("boolean").alias("best"), "text")
+    return out.withColumn("text", F.lit(None).cast("string")).unionByName(more)
+
 
+def evidence(df: DataFrame, keys: Sequence[str], id_col: str, most: int = 8) -> DataFrame:
+    """(keys, n, confidence, evidence): how many findings a group has, and its ``most`` surest ones."""
+    top = first_rows(df, keys, [F.desc("confidence"), F.asc(id_col)], most).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", id_col))), lambda s: s[id_col].cast("string")).alias("evidence"))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.max("confidence").alias("confidence")).join(top, list(keys))
 
-def generate_actions(findings: DataFrame) -> DataFrame:
-    """Proposed actions from open findings: one per item for several findings, one per type and seller for many."""
-    f = findings.filter("status <> 'done'")
-    per_item = f.groupBy("item_id").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_list("finding_id")).alias("evidence")).filter("n >= 3")
-    per_type = f.filter("severity = 'high'").groupBy("finding_type", "seller_id").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_list("finding_id")).alias("evidence")).filter("n >= 2")
-    a = per_item.select(F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("dedupe_key"), "n", "confidence", "evidence")
-    b = per_type.select(F.concat_ws(":", F.lit("type"), "finding_type", F.col("seller_id").cast("string")).alias("dedupe_key"), "n", "confidence", "evidence")
-    return a.unionByName(b)
+
+def generate_actions(multi: DataFrame, new_categories: DataFrame, growth: DataFrame, use_cases: DataFrame, drops: DataFrame, sellers: int = 3, categories: int = 2) -> DataFrame:
+    """Proposed actions (dedupe_key, owner, priority, n, confidence, evidence) by five rules over open findings.
+
+    A model of several sellers with a reason is to be asked for; a category that several sellers have is to be studied; growing
+    demand calls for a campaign or a card; use cases for texts; a price drop for an answer, one for each model and kind.
+    """
+    text = lambda *parts: F.concat_ws(":", *(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    form = lambda df, key, owner, priority: df.select(key.alias("dedupe_key"), F.lit(owner).alias("owner"), priority.alias("priority"), "n", "confidence", "evidence")
+    asked = multi.filter((F.col("sellers") >= sellers) & (F.size("reasons") > 0))
+    a = form(asked.withColumn("n", F.col("sellers")).withColumn("evidence", F.col("reasons")), text("model", F.col("brand"), F.col("model_key")), "purchasing", F.lit("P2"))
+    c = evidence(new_categories.withColumn("confidence", F.lit(0.6)), ["category"], "seller_id").filter(F.col("n") >= categories)
+    b = form(c, text("category", F.col("category"), F.col("n").cast("string")), "product", F.lit("P3"))
+    g = growth.withColumn("n", F.col("terms")).withColumn("evidence", F.array(F.col("change").cast("string")))
+    d = form(g.filter("kind = 'existing'"), text("growth", F.col("category")), "marketing", F.lit("P2")).unionByName(form(g.filter("kind = 'gap'"), text("growth", F.col("category")), "product", F.lit("P2")))
+    u = form(evidence(use_cases.withColumn("confidence", F.lit(0.6)).withColumn("all", F.lit("usecases")), ["all"], "term"), F.col("all"), "marketing", F.lit("P2"))
+    family = F.coalesce(text(F.col("model_key"), F.col("kind")), text("item", F.col("item_id").cast("string")))
+    family = F.when(F.col("model_key").isNull(), text("item", F.col("item_id").cast("string"))).otherwise(family)
+    p = drops.withColumn("family", family)
+    high = p.groupBy("family").agg(F.bool_or(F.col("severity") == "high").alias("high"))
+    e = form(evidence(p, ["family"], "offer_id", 6).join(high, "family"), text("drop", F.col("family")), "pricing", F.when(F.col("high"), "P2").otherwise("P3"))
+    return a.unionByName(b).unionByName(d).unionByName(u).unionByName(e)
 
 
-def generate_ideas(groups: DataFrame, offers: DataFrame, least: int = 2) -> DataFrame:
-    """Idea cards for categories with several findings: price range and upper median of their offers."""
-    xs = F.array_sort(F.collect_list("price"))
-    p = offers.groupBy("category").agg(F.min("price").alias("least"), F.max("price").alias("most"), F.element_at(xs, (F.floor(F.size(xs) / 2) + 1).cast("int")).alias("upper_median"))
-    return groups.groupBy("category").agg(F.count("*").alias("findings")).filter(F.col("findings") >= least).join(p, "category")
+def generate_ideas(new_categories: DataFrame, multi: DataFrame, growth: DataFrame, substitutes: DataFrame, offers: DataFrame, least: int = 2) -> DataFrame:
+    """Idea cards (dedupe_key, findings, least, most, upper_median, offers): categories of several sellers, models with a reason, growing gaps, substitutes."""
+    prices = lambda keys: offers.groupBy(*keys).agg(F.min("price").alias("least"), F.max("price").alias("most"), upper_median("price").alias("upper_median"), F.count("price").alias("offers"))
+    none = {"least": F.lit(None).cast("double"), "most": F.lit(None).cast("double"), "upper_median": F.lit(None).cast("double"), "offers": F.lit(0).cast("long")}
+    columns = ["dedupe_key", "findings", "least", "most", "upper_median", "offers"]
+    c = new_categories.groupBy("category").agg(F.count("*").alias("findings")).filter(F.col("findings") >= least).join(prices(["category"]), "category", "left").na.fill(0, ["offers"])
+    m = multi.filter((F.col("sellers") >= least) & (F.size("reasons") > 0)).withColumn("findings", F.col("sellers")).join(prices(["brand", "model_key"]), ["brand", "model_key"], "left")
+    g = growth.filter("kind = 'gap'").select(F.concat(F.lit("growth:"), "category").alias("dedupe_key"), F.col("terms").alias("findings")).withColumns(none)
+    s = substitutes.agg(F.count("*").alias("findings")).filter("findings > 0").select(F.lit("substitutes").alias("dedupe_key"), "findings").withColumns(none)
+    return (
+        c.withColumn("dedupe_key", F.concat(F.lit("category:"), "category")).select(columns).unionByName(m.withColumn("dedupe_key", F.concat_ws(":", F.lit("model"), "brand", "model_key")).select(columns))
+        .unionByName(g.select(columns)).unionByName(s.select(columns)))
+
+
+def report_sections(findings: DataFrame, since: Column, kinds: dict[str, Sequence[str]], review: DataFrame, actions: DataFrame, ideas: DataFrame) -> dict[str, tuple[DataFrame, Sequence[Column], int]]:
+    """The ten sections of a periodic report; without a finding since then all findings count.
+
+    ``kinds`` names the finding types of prices, products, demand, gaps and source errors.
+    """
+    recent = findings.filter(F.col("created_at") >= since)
+    f = recent if recent.limit(1).count() else findings
+    weight = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    f = f.withColumn("key", F.col("finding_id")).withColumn("value", F.col("confidence")).withColumn("_w", weight)
+    order = [F.asc("_w"), F.desc("value"), F.asc("finding_id")]
+    of = lambda name: f.filter(F.col("finding_type").isin(*kinds[name]))
+    act = actions.withColumn("key", F.col("dedupe_key")).withColumn("value", F.col("confidence"))
+    by_priority = [F.asc("priority"), F.asc("key")]
+    return {
+        "top": (f.filter(~F.col("finding_type").isin(*kinds["errors"])), order, 5),
+        "own prices": (review.filter("verdict <> 'keep'").withColumn("key", F.col("item_id")).withColumn("value", F.col("recommended")), [F.asc(F.when(F.col("verdict") == "lower", 0).otherwise(1)), F.asc("item_id")], 10),
+        "price changes": (of("prices"), order, 15), "products": (of("products"), order, 15), "demand": (of("demand"), order, 15), "gaps": (of("gaps"), order, 15),
+        "ideas": (ideas.withColumn("key", F.col("dedupe_key")).withColumn("value", F.col("findings")), [F.desc("value"), F.asc("key")], 8), "risks": (f.filter("severity = 'high'"), order, 8),
+        "owner decisions": (act.filter("priority = 'P1' OR owner = 'purchasing'"), by_priority, 8), "next": (act, by_priority, 12),
+    }
 
 
 def periodic_report(sections: dict[str, tuple[DataFrame, Sequence[Column], int]]) -> DataFrame:
@@ -122,8 +253,16 @@ def feature_comparison(features: DataFrame, manual: DataFrame, own: str, sellers
     return table.withColumn("others", others).withColumn("better", F.col(f"`{own}`").isNull() & (others > 0))
 
 
-def feature_gaps(features: DataFrame, own: str, most: int = 4) -> DataFrame:
-    """Features that sellers claim and the own side does not: number, names and first values."""
+def feature_gaps(features: DataFrame, own: str, most: int = 4, tenders: DataFrame | None = None, fields: DataFrame | None = None) -> DataFrame:
+    """Features that sellers claim, or ``tenders`` (field) ask for, and the own side lacks: numbers, names and first values.
+
+    Those of the known ``fields`` (field) that nobody claims come with n = 0: a chance to be the only one.
+    """
     mine = features.filter(F.col("seller") == own).select("field").distinct()
-    return features.filter(F.col("seller") != own).join(mine, "field", "left_anti").groupBy("field").agg(
+    claimed = features.filter(F.col("seller") != own).groupBy("field").agg(
         F.countDistinct("seller").alias("n"), F.array_join(F.array_sort(F.collect_set("seller")), ", ").alias("sellers"), F.slice(F.array_sort(F.collect_set("value")), 1, most).alias("values"))
+    if tenders is None and fields is None:
+        return claimed.join(mine, "field", "left_anti")
+    x = claimed.join(tenders.groupBy("field").agg(F.count("*").alias("tenders")), "field", "full_outer") if tenders is not None else claimed.withColumn("tenders", F.lit(0).cast("long"))
+    x = x.join(fields.select("field").distinct(), "field", "full_outer") if fields is not None else x
+    return x.join(mine, "field", "left_anti").na.fill(0, ["n", "tenders"]).withColumn("unclaimed", F.col("n") == 0)

@@ -142,22 +142,51 @@ def run_status(runs: DataFrame) -> DataFrame:
     return runs.withColumn("status", F.when(ok == 0, "CRAWL_ERROR").when(F.col("first_run"), "BASELINE").when(failed > 0, "PARTIAL_CRAWL").when(events > 0, "CHANGES_FOUND").otherwise("NO_CHANGES"))
 
 
-def daily_digest(events: DataFrame, day: Column, order: Sequence[Column], top: int = 10) -> DataFrame:
-    """For each day the number of events and sources and its most important events."""
+def daily_digest(events: DataFrame, day: Column, order: Sequence[Column], top: int = 10, runs: DataFrame | None = None) -> DataFrame:
+    """For each day the number of events and sources and its most important events.
+
+    ``runs`` (day, seller_id, status) adds how many sources were checked, failed and were read in part, also on days without events.
+    """
     x = events.withColumn("day", day)
     w = Window.partitionBy("day").orderBy(*order)
     t = x.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= top).groupBy("day").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "event_id"))), lambda s: s["event_id"]).alias("top"))
-    return x.groupBy("day").agg(F.count("*").alias("events"), F.countDistinct("seller_id").alias("sellers")).join(t, "day")
+    out = x.groupBy("day").agg(F.count("*").alias("events"), F.countDistinct("seller_id").alias("sellers")).join(t, "day")
+    if runs is None:
+        return out
+    of = lambda status, name: F.count_distinct(F.when(F.col("status") == status, F.col("seller_id"))).alias(name)
+    checked = runs.groupBy("day").agg(F.count_distinct("seller_id").alias("checked"), of("CRAWL_ERROR", "failed"), of("PARTIAL_CRAWL", "partial"))
+    return out.join(checked, "day", "full_outer").na.fill(0, ["events", "sellers", "checked", "failed", "partial"])
+
 
+def stored_digests(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Digests by day, a new one in place of the stored one of its day."""
+    return stored.join(new.select("day"), "day", "left_anti").unionByName(new)
 
-def news_overview(events: DataFrame, sellers: DataFrame, views: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
-    """For each seller: events in some days, in the last day, and not seen since the last view."""
+
+def news_overview(events: DataFrame, sellers: DataFrame, views: DataFrame, as_of: Column, days: int = 7, runs: DataFrame | None = None) -> DataFrame:
+    """For each seller: events in some days, in the last day, and not seen since the last view; with ``runs`` the last one's status and time."""
     e = events.join(views, "seller_id", "left")
     n = e.groupBy("seller_id").agg(
         F.count_if(F.col("at") >= as_of - F.expr(f"INTERVAL {days} DAYS")).alias("recent"), F.count_if(F.col("at") >= as_of - F.expr("INTERVAL 1 DAY")).alias("today"),
         F.count_if(F.col("viewed_at").isNull() | (F.col("at") > F.col("viewed_at"))).alias("unread"), F.max("at").alias("last_at"))
-    return sellers.select("seller_id", "tier").join(n, "seller_id", "left").na.fill(0, ["recent", "today", "unread"])
-
-
-def event_feed(events: DataFrame, seller: str, most: int = 30) -> DataFrame:
-    return events.withColumn("rn", F.row_number().over(Window.partitionBy(seller).orderBy(F.desc("at"), F.desc("event_id")))).filter(F.col("rn") <= most)
+    out = sellers.select("seller_id", "tier").join(n, "seller_id", "left").na.fill(0, ["recent", "today", "unread"])
+    if runs is None:
+        return out
+    last = runs.groupBy("seller_id").agg(F.max(F.struct("day", "status")).alias("r")).select("seller_id", F.col("r.status").alias("last_status"), F.col("r.day").alias("last_run"))
+    return out.join(last, "seller_id", "left")
+
+
+def event_feed(events: DataFrame, seller: str, most: int = 30, runs: DataFrame | None = None, pages: DataFrame | None = None, most_runs: int = 10) -> DataFrame:
+    """The newest events of each seller; with ``runs`` and ``pages`` one long table (seller, part, rn, at, what) that also has its last runs and its pages."""
+    feed = events.withColumn("rn", F.row_number().over(Window.partitionBy(seller).orderBy(F.desc("at"), F.desc("event_id")))).filter(F.col("rn") <= most)
+    if runs is None and pages is None:
+        return feed
+    part = lambda df, name, at, what: df.select(seller, F.lit(name).alias("part"), F.col("rn").cast("long").alias("rn"), at.cast("timestamp").alias("at"), what.cast("string").alias("what"))
+    out = part(feed, "event", F.col("at"), F.col("event_id"))
+    if runs is not None:
+        r = runs.withColumn("rn", F.row_number().over(Window.partitionBy(seller).orderBy(F.desc("day")))).filter(F.col("rn") <= most_runs)
+        out = out.unionByName(part(r, "run", F.col("day"), F.col("status")))
+    if pages is not None:
+        p = pages.withColumn("rn", F.row_number().over(Window.partitionBy(seller).orderBy("url")))
+        out = out.unionByName(part(p, "page", F.lit(None), F.col("url")))
+    return out

@@ -12,12 +12,23 @@ from .joins import SITES, sites
 from .registry import query
 
 
+def spec_map(i):
+    """Specs that follow from an id, one name written in two ways and one with a foreign letter."""
+    of = lambda n: (i % n).cast("string")
+    return F.map_concat(
+        F.create_map(F.when(i % 5 == 0, "Power ").otherwise("power"), of(3), F.lit("ports"), of(2), F.lit("size"), (F.floor(i / 500) % 3).cast("string"), F.lit("colour"), i.cast("string")),
+        F.when(i % 70 == 1, F.create_map(F.lit("LСD"), F.lit("1"))).otherwise(F.create_map().cast("map<string,string>")))
+
+
+SPEC_ROWS = """sr AS (SELECT item_id, site, name, unnest([CASE WHEN item_id % 5 = 0 THEN 'Power ' ELSE 'power' END, 'ports', 'size', 'colour', CASE WHEN item_id % 70 = 1 THEN 'LСD' END]) AS key, unnest([(item_id % 3)::VARCHAR, (item_id % 2)::VARCHAR, (item_id // 500 % 3)::VARCHAR, item_id::VARCHAR, '1']) AS value FROM cards WHERE item_id % 6 <> 0)"""
+
+
 def cards(spark, d):
     """Own items on two sites with old prices, images, specs and descriptions that depend on the id."""
     c, i = catalog(spark, d), F.col("item_id")
     return c.withColumns({
         "site": F.when(i % 2 == 0, "one").otherwise("two"), "price": F.when(i % 41 != 0, F.col("price")), "old_price": F.when(i % 5 == 0, F.floor(F.col("price") * (1.2 - (i % 3) / F.lit(5.0)))).cast("double"),
-        "images": F.when(i % 9 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a.jpg"))), "specs": F.when(i % 6 == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("a"), F.lit("b"))),
+        "images": F.when(i % 9 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a.jpg"))), "specs": F.when(i % 6 == 0, F.create_map().cast("map<string,string>")).otherwise(spec_map(i)),
         "description": F.repeat(F.col("name"), (i % 5).cast("int")), "sku": F.when(i % 4 != 0, F.col("model_key")), "brand": F.when(i % 8 == 0, F.upper("brand")).otherwise(F.col("brand")),
     })
 
@@ -47,10 +58,11 @@ def audit_cross_site(spark, d):
     return O.audit_cross_site(*sites(spark, d), "item_id")
 
 
-@query("audit_duplicates", "{catalog} , " + CARDS + """ , g AS (SELECT site, name, count(*) AS n, count(DISTINCT capacity) + count(DISTINCT brand) AS v, count(DISTINCT price) AS prices, bool_or(regexp_matches(name, 'red|blue')) AS c, min(item_id) AS item_id FROM cards GROUP BY 1, 2 HAVING count(*) > 1),
-    k AS (SELECT *, CASE WHEN c THEN 'colour variants' WHEN v >= 5 THEN 'different models' WHEN prices > 1 THEN 'price conflict' ELSE 'duplicate' END AS issue FROM g) SELECT item_id, site, 'duplicates' AS area, issue, CASE WHEN issue = 'price conflict' THEN 'P1' ELSE 'P3' END AS priority, n FROM k""")
+@query("audit_duplicates", "{catalog} , " + CARDS + ", " + SPEC_ROWS + """ , g AS (SELECT site, name, count(*) AS n, count(DISTINCT price) AS prices, min(item_id) AS item_id FROM cards GROUP BY 1, 2 HAVING count(*) > 1), p AS (SELECT site, name, key, count(*) AS have, count(DISTINCT value) AS vals FROM sr WHERE key IS NOT NULL GROUP BY 1, 2, 3),
+    e AS (SELECT g.*, (SELECT count(*) FROM p WHERE p.site = g.site AND p.name = g.name AND key <> 'colour' AND (have < n OR vals > 1)) AS differ, coalesce((SELECT bool_or(vals = n) FROM p WHERE p.site = g.site AND p.name = g.name AND key = 'colour'), false) AS coloured FROM g),
+    k AS (SELECT *, CASE WHEN coloured AND differ <= 2 THEN 'colour variants' WHEN differ >= 3 THEN 'different goods' WHEN prices > 1 THEN 'price conflict' ELSE 'duplicate' END AS issue FROM e) SELECT item_id, site, 'duplicates' AS area, issue, CASE WHEN issue IN ('different goods', 'price conflict') THEN 'P1' ELSE 'P2' END AS priority, n, differ FROM k""")
 def audit_duplicates(spark, d):
-    return O.audit_duplicates(cards(spark, d), "name", "red|blue")
+    return O.audit_duplicates(cards(spark, d), "name")
 
 
 @query("audit_series_specs", """{catalog} , x AS (SELECT DISTINCT kind, category, brand, capacity % 6 AS k FROM catalog), e AS (SELECT kind, category, list_distinct(list(k)) AS ks FROM x GROUP BY 1, 2), m AS (SELECT x.kind, x.category, x.brand, list(k) AS own, any_value(ks) AS ks FROM x JOIN e USING (kind, category) GROUP BY 1, 2, 3)
@@ -66,11 +78,35 @@ def audit_completeness(spark, d):
     return O.audit_completeness(cards(spark, d), 20)
 
 
-@query("audit_naming", "{catalog} , " + CARDS + " , n AS (SELECT lower(brand) AS key, brand, count(*) AS n FROM cards GROUP BY 1, 2) SELECT key, brand, n, common FROM (SELECT *, first_value(brand) OVER (PARTITION BY key ORDER BY n DESC, brand DESC) AS common, count(*) OVER (PARTITION BY key) AS s FROM n) WHERE s > 1 AND brand <> common")
-def audit_naming(spark, d):
+@query("brand_spelling", "{catalog} , " + CARDS + " , n AS (SELECT lower(brand) AS key, brand, count(*) AS n FROM cards GROUP BY 1, 2) SELECT key, brand, n, common FROM (SELECT *, first_value(brand) OVER (PARTITION BY key ORDER BY n DESC, brand DESC) AS common, count(*) OVER (PARTITION BY key) AS s FROM n) WHERE s > 1 AND brand <> common")
+def brand_spelling(spark, d):
     return dominant_spelling(cards(spark, d).withColumn("key", F.lower("brand")), ["key"], "brand").select("key", "brand", "n", "common")
 
 
+NAMED = """nm AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'one' ELSE 'two' END AS site, CASE WHEN item_id % 13 = 0 THEN item_id - 1 END AS parent, name || CASE WHEN item_id % 9 = 0 THEN ' AX-' WHEN item_id % 9 < 3 THEN ' AX ' ELSE ' AX' END || (capacity % 10) || ' for ' || capacity || ' ' || ['persons', 'slots', 'pcs'][(item_id % 3 + 1)::INT] || CASE WHEN item_id % 13 = 0 THEN ' — RTK' || (10000 + item_id) ELSE '' END AS name,
+    CASE WHEN item_id % 4 = 0 THEN 'a two way system' WHEN item_id % 4 = 1 THEN 'two-way systems' ELSE 'plain' END AS description FROM catalog),
+    f AS (SELECT 'code' AS "check", 'AX' || (capacity % 10) AS key, 'AX' || CASE WHEN item_id % 9 = 0 THEN '-' WHEN item_id % 9 < 3 THEN ' ' ELSE '' END || (capacity % 10) AS form, item_id FROM nm JOIN (SELECT item_id, capacity FROM catalog) USING (item_id) WHERE parent IS NULL
+        UNION ALL SELECT 'term', 'two-way', CASE WHEN item_id % 4 = 0 THEN 'two way' ELSE 'two-way' END, item_id FROM nm WHERE parent IS NULL AND item_id % 4 < 2 UNION ALL SELECT 'term', 'system', 'system', item_id FROM nm WHERE parent IS NULL AND item_id % 4 < 2
+        UNION ALL SELECT 'unit', 'unit', ['persons', 'slots', 'pcs'][(item_id % 3 + 1)::INT], item_id FROM nm WHERE parent IS NULL),
+    m AS (SELECT "check", key, form, count(*) AS n, min(item_id) AS item_id FROM f GROUP BY 1, 2, 3), c AS (SELECT *, first_value(form) OVER (PARTITION BY "check", key ORDER BY n DESC, form DESC) AS common FROM m)"""
+
+
+@query("audit_naming", "{catalog} , " + NAMED + """ SELECT "check", key, form, n, common, item_id FROM c WHERE form <> common UNION ALL SELECT 'variant', site, arg_min(name, item_id), count(*), NULL, min(item_id) FROM nm WHERE parent IS NOT NULL GROUP BY site""")
+def audit_naming(spark, d):
+    i, cap = F.col("item_id"), F.col("capacity")
+    name = F.concat("name", F.when(i % 9 == 0, " AX-").when(i % 9 < 3, " AX ").otherwise(" AX"), (cap % 10).cast("string"), F.lit(" for "), cap.cast("string"), F.lit(" "),
+                    F.element_at(F.array(F.lit("persons"), F.lit("slots"), F.lit("pcs")), (i % 3 + 1).cast("int")), F.when(i % 13 == 0, F.concat(F.lit(" — RTK"), (i + 10000).cast("string"))).otherwise(""))
+    c = catalog(spark, d).withColumns({
+        "site": F.when(i % 2 == 0, "one").otherwise("two"), "parent": F.when(i % 13 == 0, i - 1), "name": name, "description": F.when(i % 4 == 0, "a two way system").when(i % 4 == 1, "two-way systems").otherwise("plain")})
+    return O.audit_naming(c, "name", "description", r"\bAX[ -]?[0-9]+", [("two-way", r"two[ -]way", "$^"), ("system", r"systems?", "s$")], r"[0-9]+ (persons|slots|pcs)", " — [A-Z0-9]{5,}$")
+
+
+@query("audit_spec_keys", "{catalog} , " + CARDS + ", " + SPEC_ROWS + """ , n AS (SELECT trim(lower(key), ' ') AS k, key, count(*) AS n, min(struct_pack(item_id, site)) AS x FROM sr WHERE key IS NOT NULL GROUP BY 1, 2), c AS (SELECT *, first_value(key) OVER (PARTITION BY k ORDER BY n DESC, key DESC) AS common FROM n)
+    SELECT x.item_id AS item_id, x.site AS site, 'structure' AS area, 'spec ' || key || ' is usually ' || common AS issue, 'P3' AS priority FROM c WHERE key <> common UNION ALL SELECT x.item_id, x.site, 'structure', 'mixed alphabets in spec ' || key, 'P2' FROM n WHERE key = 'LСD'""")
+def audit_spec_keys(spark, d):
+    return O.audit_spec_keys(cards(spark, d), "specs", [("ё", "е")])
+
+
 TYPO = issue_sql("typography", "(SELECT doc_id AS item_id, source AS site, text FROM documents)", [
     ("double space", "P3", "contains(text, '  ')"), ("space before punctuation", "P3", "regexp_matches(text, ' [,.;:!?]')"), ("no space after a comma", "P3", "regexp_matches(text, ',[A-Za-z]')"),
     ("unbalanced brackets", "P3", "length(text) - length(replace(text, '(', '')) <> length(text) - length(replace(text, ')', ''))"), ("mixed alphabets", "P2", "regexp_matches(text, '[A-Za-z][а-яА-Я]|[а-яА-Я][A-Za-z]')"), ("shouting", "P3", "contains(text, '!!')")])
@@ -101,16 +137,41 @@ def audit_structure(spark, d):
     return O.audit_structure(c, ["kind", "brand"], "category")
 
 
-@query("audit_run", "{catalog} , " + CARDS + " , e AS (" + PRICES + " UNION ALL " + COMPLETE + """), x AS (SELECT *, count(*) OVER (PARTITION BY site, area, issue, priority) AS n FROM e), r AS (SELECT min(item_id) AS item_id, site, area, issue, priority, count(*) AS n FROM x WHERE priority = 'P3' AND n >= 6 GROUP BY 2, 3, 4, 5 UNION ALL SELECT item_id, site, area, issue, priority, 1 FROM x WHERE NOT (priority = 'P3' AND n >= 6))
-    SELECT *, item_id % 10 = 0 AND issue = 'no sku' AS dismissed FROM r""")
-def audit_run(spark, d):
+RUN = """e AS (""" + PRICES + " UNION ALL " + COMPLETE + """), x AS (SELECT *, count(*) OVER (PARTITION BY site, area, issue, priority) AS n FROM e), r AS (SELECT min(item_id) AS item_id, site, area, issue, priority, count(*) AS n FROM x WHERE priority = 'P3' AND n >= 6 GROUP BY 2, 3, 4, 5 UNION ALL SELECT item_id, site, area, issue, priority, 1 FROM x WHERE NOT (priority = 'P3' AND n >= 6)),
+    run AS (SELECT r.*, item_id % 10 = 0 AND issue = 'no sku' AS dismissed, CASE WHEN item_id % 7 = 0 THEN 'none' ELSE category END AS category FROM r JOIN catalog USING (item_id))"""
+
+
+def the_run(spark, d):
     c = cards(spark, d)
     gone = c.filter("item_id % 10 = 0").select("item_id", F.lit("no sku").alias("issue"))
-    return O.audit_run([O.audit_prices(c, F.col("capacity") < 10, F.col("kind") == "ring"), O.audit_completeness(c, 20)], gone)
+    named = catalog(spark, d).select("item_id", F.when(F.col("item_id") % 7 != 0, F.col("category")).alias("category"))
+    return O.audit_run([O.audit_prices(c, F.col("capacity") < 10, F.col("kind") == "ring"), O.audit_completeness(c, 20)], gone, items=named)
 
 
-@query("stock_report", """{catalog price_obs} , l AS (SELECT item_id, max(observed_at::DATE) FILTER (availability = 'InStock') AS last_in_stock, arg_max(availability, struct_pack(observed_at, seq, qty, price)) AS status FROM price_obs GROUP BY 1), c AS (SELECT *, NULL::VARCHAR AS sku FROM catalog),
-    t AS (SELECT a.item_id, min(b.item_id) AS twin_id FROM c a JOIN c b ON a.model_key = b.model_key AND a.capacity IS NOT DISTINCT FROM b.capacity AND a.kind = b.kind AND a.item_id <> b.item_id GROUP BY 1) SELECT item_id, category, status, last_in_stock, twin_id FROM catalog JOIN l USING (item_id) LEFT JOIN t USING (item_id) WHERE status <> 'InStock'""")
-def stock_report(spark, d):
+@query("audit_run", "{catalog} , " + CARDS + " , " + RUN + " SELECT * FROM run")
+def audit_run(spark, d):
+    return the_run(spark, d)
+
+
+@query("audit_counts", "{catalog} , " + CARDS + " , " + RUN + " SELECT site, area, category, count(*) AS n, count(*) FILTER (priority = 'P1') AS \"P1\", count(*) FILTER (priority = 'P2') AS \"P2\", count(*) FILTER (priority = 'P3') AS \"P3\" FROM run WHERE NOT dismissed GROUP BY GROUPING SETS ((site), (area), (category), ())")
+def audit_counts(spark, d):
+    return O.audit_counts(the_run(spark, d))
+
+
+STOCK = """l AS (SELECT item_id, max(observed_at::DATE) FILTER (availability = 'InStock') AS last_in_stock, arg_max(availability, struct_pack(observed_at, seq, qty, price)) AS status FROM price_obs GROUP BY 1), c AS (SELECT *, NULL::VARCHAR AS sku FROM catalog),
+    t AS (SELECT a.item_id, min(b.item_id) AS twin_id FROM c a JOIN c b ON a.model_key = b.model_key AND a.capacity IS NOT DISTINCT FROM b.capacity AND a.kind = b.kind AND a.item_id <> b.item_id GROUP BY 1), sr AS (SELECT item_id, category, status, last_in_stock, twin_id FROM catalog JOIN l USING (item_id) LEFT JOIN t USING (item_id) WHERE status <> 'InStock')"""
+
+
+def report(spark, d):
     c = catalog(spark, d)
     return O.stock_report(c, price_obs(spark, d), twins(c.withColumn("sku", F.lit(None).cast("string"))))
+
+
+@query("stock_report", "{catalog price_obs} , " + STOCK + " SELECT * FROM sr")
+def stock_report(spark, d):
+    return report(spark, d)
+
+
+@query("stock_totals", "{catalog price_obs} , " + STOCK + " SELECT category, items, coalesce(missing, 0) AS missing, coalesce(never, 0) AS never, coalesce(replaced, 0) AS replaced, last FROM (SELECT category, count(*) AS items FROM catalog GROUP BY 1) LEFT JOIN (SELECT category, count(*) AS missing, count(*) FILTER (last_in_stock IS NULL) AS never, count(twin_id) AS replaced, max(last_in_stock) AS last FROM sr GROUP BY 1) USING (category)")
+def stock_totals(spark, d):
+    return O.stock_totals(report(spark, d), catalog(spark, d))

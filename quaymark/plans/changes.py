@@ -52,6 +52,14 @@ def expand_variants(spark, d):
     return O.expand_variants(c, "variants", "item_id").select("item_id", "name", "price", "parent")
 
 
+@query("gone_from_sitemap", """{offers} , x AS (SELECT offer_id, is_active, last_seen, item_id % 20 AS k FROM offers) SELECT offer_id, CASE WHEN k = 3 THEN true WHEN last_seen < TIMESTAMP '1998-01-01' AND k > 3 THEN false ELSE is_active END AS is_active FROM x""")
+def gone_from_sitemap(spark, d):
+    page = F.concat(F.lit("http://h/p"), (F.col("item_id") % 20).cast("string"))
+    items = offers(spark, d).select("offer_id", "is_active", F.concat(page, F.lit("#"), F.col("seller_id").cast("string")).alias("url"), F.col("last_seen").alias("fetched_at"))
+    urls = catalog(spark, d).select((F.col("item_id") % 20).alias("k"), page.alias("url")).distinct()
+    return O.gone_from_sitemap(items, urls.filter("k < 3"), urls.filter("k = 3"), F.lit("1998-01-01").cast("timestamp"), 20).select("offer_id", "is_active")
+
+
 @query("mark_disappeared", """{offers} , c AS (SELECT seller_id, count(*) AS n FROM offers WHERE offer_id % 3 = 0 GROUP BY 1) SELECT offer_id, coalesce(is_active AND offer_id % 3 <> 0 AND n > 10 AND last_seen < TIMESTAMP '2001-06-01' - INTERVAL 2 DAYS, false) AS disappeared FROM offers LEFT JOIN c USING (seller_id)""")
 def mark_disappeared(spark, d):
     o = offers(spark, d)

@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import audit as A
 from ..operators.text import Rule, first_label
 from ..sources import imports as O
 from ..streaming.jobs import scratch
+from . import decisions as D
 from .bindings import catalog, demand_obs, findings, matches, offers, pages, price_obs, read, sellers
 from .registry import query
 
@@ -43,15 +45,25 @@ def wide_series_to_long(spark, d):
     return O.wide_series_to_long(w, "day")
 
 
-@query("explode_registry", "SELECT 'http://s' || s_suppkey AS website, 'http://s' || s_suppkey || '/p' || k AS url, 'n' || k AS name, s_suppkey + k + 0.5::DOUBLE AS price FROM supplier, (SELECT unnest([1, 2]) AS k) WHERE s_suppkey % 3 <> 0")
+@query("explode_registry", """WITH s AS (SELECT *, s_suppkey::VARCHAR AS i FROM supplier) SELECT 'sellers' AS "table", 'http://s' || i AS key, s_name AS value, NULL::DOUBLE AS price FROM s UNION ALL SELECT 'pages', 'http://s' || i || '/p1', 'product', NULL FROM s WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 'pages', 'http://s' || i || '/catalog', 'catalog', NULL FROM s WHERE s_suppkey % 3 <> 0
+    UNION ALL SELECT 'pages', 'http://s' || i || '/p3', 'catalog', NULL FROM s WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 'offers', 'http://s' || i || u, n, s_suppkey + k + 0.5 FROM s, (VALUES ('/p1', 'n1', 1), ('/catalog', 'n2', 2), ('/p3', 'n3', 3), ('/p3', 'n4', 4)) v(u, n, k) WHERE s_suppkey % 3 <> 0
+    UNION ALL SELECT 'observations', 'tender:T' || (s_suppkey % 50), 'buy', min(s_suppkey) FROM s GROUP BY 2 UNION ALL SELECT 'observations', 'mp:http://m/' || i, 'M: shop ' || i, 9 FROM s WHERE s_suppkey % 2 = 0""")
 def explode_registry(spark, d):
-    s = read(spark, d, "supplier")
-    site = F.concat(F.lit("http://s"), F.col("s_suppkey").cast("string"))
-    p = lambda k: F.struct(F.concat(site, F.lit(f"/p{k}")).alias("url"), F.array(F.struct(F.lit(f"n{k}").alias("name"), (F.col("s_suppkey") + k + 0.5).alias("price"))).alias("products"))
-    raw = s.select(F.col("s_name").alias("name"), site.alias("website"), F.array(F.lit("shop")).alias("types"), F.when(F.col("s_suppkey") % 3 != 0, F.array(p(1), p(2))).alias("pages"))
+    s, i = read(spark, d, "supplier"), F.col("s_suppkey").cast("string")
+    site = F.concat(F.lit("http://s"), i)
+    product = lambda k: F.struct(F.lit(f"n{k}").alias("name"), (F.col("s_suppkey") + k + 0.5).alias("price"))
+    p = lambda path, *ks: F.struct(F.concat(site, F.lit(path)).alias("url"), F.array(*map(product, ks)).alias("products"))
+    null = F.lit(None).cast("string")
+    tender = F.struct(F.concat(F.lit("T"), (F.col("s_suppkey") % 50).cast("string")).alias("number"), F.lit("sale").alias("subject"), F.lit("buy").alias("customer"), F.col("s_suppkey").cast("double").alias("price"), null.alias("day"), null.alias("url"))
+    listing = F.struct(F.lit("kit").alias("product"), F.lit("M").alias("marketplace"), F.concat(F.lit("shop "), i).alias("seller"), F.lit(9.0).alias("price"), F.concat(F.lit("http://m/"), i).alias("url"))
+    raw = s.select(
+        F.col("s_name").alias("name"), site.alias("website"), F.array(F.lit("shop")).alias("types"), F.when(F.col("s_suppkey") % 3 != 0, F.array(p("/p1", 1), p("/catalog", 2), p("/p3", 3, 4))).alias("pages"), F.array(tender).alias("tenders"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.array(listing)).alias("listings"))
     path = f"{scratch(spark)}/registry-{uuid.uuid4().hex}"
     raw.write.json(path)
-    return O.registry_tables(spark.read.schema(O.REGISTRY).json(path))["offers"]
+    t = O.registry_tables(spark.read.schema(O.REGISTRY).json(path))
+    form = lambda name, key, value, price=None: t[name].select(F.lit(name).alias("table"), F.col(key).alias("key"), F.col(value).alias("value"), (F.col(price) if price else F.lit(None).cast("double")).alias("price"))
+    return form("sellers", "website", "name").unionByName(form("pages", "url", "page_kind")).unionByName(form("offers", "url", "name", "price")).unionByName(form("observations", "key", "party", "price"))
 
 
 @query("page_kind_from_multiplicity", "SELECT page_id, url2 AS url, CASE WHEN count(*) OVER (PARTITION BY url2) > 1 OR url2 LIKE '%/7' THEN 'catalog' ELSE 'product' END AS page_kind FROM (SELECT page_id, 'http://h/' || (CASE WHEN page_id < 100 THEN page_id ELSE page_id % 50 + 60 END) AS url2 FROM pages)")
@@ -125,12 +137,18 @@ def write_delimited(spark, d):
     return spark.read.option("sep", ";").option("header", True).csv(path)
 
 
-@query("export_views", "{catalog sellers offers matches findings demand_obs price_obs} SELECT 'catalog' AS view, count(*) AS n FROM catalog UNION ALL SELECT 'sellers', count(*) FROM sellers UNION ALL SELECT 'offers', count(*) FROM offers UNION ALL SELECT 'matches', count(*) FROM matches UNION ALL SELECT 'findings', count(*) FROM findings UNION ALL SELECT 'demand', count(*) FROM demand_obs UNION ALL SELECT 'prices', count(*) FROM price_obs")
+EXPORTS = {"competitor_matrix": 3, "site_audit": 6, "signals": 12, "recommendations": 6, "matrix": 8, "competitors": 5, "competitor_products": 15, "matches": 8, "queries": 2, "demand": 4, "hypotheses": 6, "price_history": 5}
+
+
+@query("export_views", "{catalog sellers offers price_obs demand_obs matches findings} , " + D.DETECTED + ", " + D.ACTIONS + ", " + D.IDEAS + ", ex AS (SELECT 'competitor_matrix' AS view, count(*) AS n FROM (SELECT DISTINCT seller_id, category FROM offers) UNION ALL SELECT 'site_audit', count(*) FROM catalog WHERE length(name) < 12 UNION ALL SELECT 'signals', count(*) FROM findings UNION ALL SELECT 'recommendations', count(*) FROM ac UNION ALL SELECT 'matrix', count(*) FROM catalog UNION ALL SELECT 'competitors', count(*) FROM sellers UNION ALL SELECT 'competitor_products', count(*) FROM offers UNION ALL SELECT 'matches', count(*) FROM matches UNION ALL SELECT 'queries', count(DISTINCT term) FROM demand_obs UNION ALL SELECT 'demand', count(*) FROM demand_obs UNION ALL SELECT 'hypotheses', count(*) FROM id UNION ALL SELECT 'price_history', count(*) FROM price_obs) SELECT view, n, CASE view " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in EXPORTS.items()) + " END::BIGINT AS columns FROM ex")
 def export_views(spark, d):
-    views = {"catalog": catalog, "sellers": sellers, "offers": offers, "matches": matches, "findings": findings, "demand": demand_obs, "prices": price_obs}
+    c, o = catalog(spark, d), offers(spark, d)
+    matrix = o.groupBy("seller_id", "category").agg(F.count("*").alias("n"))
+    audit = A.issues(c.withColumn("site", F.lit("one")), "cards", [("short name", "P3", F.length("name") < 12)]).withColumn("n", F.lit(1))
+    views = O.export_views(c, sellers(spark, d), o, matches(spark, d), findings(spark, d), D.actions(spark, d), D.ideas(spark, d), demand_obs(spark, d), price_obs(spark, d), matrix, audit)
     out = None
-    for name, build in views.items():
-        x = build(spark, d).agg(F.count("*").alias("n")).select(F.lit(name).alias("view"), "n")
+    for name, df in views.items():
+        x = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("view"), "n", F.lit(len(df.columns)).cast("long").alias("columns"))
         out = x if out is None else out.unionByName(x)
     return out
 

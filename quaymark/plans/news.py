@@ -65,25 +65,47 @@ def dedupe_events(spark, d):
     return O.dedupe_events(events(spark, d)).select("event_id", "at")
 
 
-@query("run_status", "SELECT user_id AS seller_id, ts::DATE AS day, CASE WHEN count(*) FILTER (event_type <> 'error') = 0 THEN 'CRAWL_ERROR' WHEN ts::DATE = DATE '2024-01-01' THEN 'BASELINE' WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'PARTIAL_CRAWL' WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'CHANGES_FOUND' ELSE 'NO_CHANGES' END AS status FROM events GROUP BY 1, 2")
-def run_status(spark, d):
+STATUS = "rs AS (SELECT user_id AS seller_id, ts::DATE AS day, CASE WHEN count(*) FILTER (event_type <> 'error') = 0 THEN 'CRAWL_ERROR' WHEN ts::DATE = DATE '2024-01-01' THEN 'BASELINE' WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'PARTIAL_CRAWL' WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'CHANGES_FOUND' ELSE 'NO_CHANGES' END AS status FROM events GROUP BY 1, 2)"
+
+
+def runs(spark, d):
     e = read(spark, d, "events").groupBy(F.col("user_id").alias("seller_id"), F.to_date("ts").alias("day")).agg(
         F.count_if(F.col("event_type") != "error").alias("pages_ok"), F.count_if(F.col("event_type") == "error").alias("pages_failed"), F.count_if(F.col("event_type") == "purchase").alias("events_found"))
     return O.run_status(e.withColumn("first_run", F.col("day") == F.lit("2024-01-01").cast("date"))).select("seller_id", "day", "status")
 
 
-@query("daily_digest", "WITH " + EVENTS + " , t AS (SELECT day, list(event_id ORDER BY rn) AS top FROM (SELECT *, tm::DATE AS day, row_number() OVER (PARTITION BY tm::DATE ORDER BY value DESC, event_id) AS rn FROM ev) WHERE rn <= 10 GROUP BY 1) SELECT day, events, sellers, top FROM (SELECT tm::DATE AS day, count(*) AS events, count(DISTINCT seller_id) AS sellers FROM ev GROUP BY 1) JOIN t USING (day)")
+@query("run_status", "WITH " + STATUS + " SELECT * FROM rs")
+def run_status(spark, d):
+    return runs(spark, d)
+
+
+GOOD = EVENTS.replace("FROM events)", "FROM events WHERE event_type <> 'error')")
+
+
+def good_events(spark, d):
+    return events(spark, d).filter("event_type <> 'error'")  # errors are no news
+
+
+DIGEST = """dg AS (SELECT day, coalesce(events, 0) AS events, coalesce(sellers, 0) AS sellers, top, checked, failed, partial FROM (SELECT day, count(*) AS checked, count(*) FILTER (status = 'CRAWL_ERROR') AS failed, count(*) FILTER (status = 'PARTIAL_CRAWL') AS partial FROM rs GROUP BY 1)
+    LEFT JOIN (SELECT tm::DATE AS day, count(*) AS events, count(DISTINCT seller_id) AS sellers FROM ev GROUP BY 1) USING (day) LEFT JOIN (SELECT day, list(event_id ORDER BY rn) AS top FROM (SELECT *, tm::DATE AS day, row_number() OVER (PARTITION BY tm::DATE ORDER BY value DESC, event_id) AS rn FROM ev) WHERE rn <= 10 GROUP BY 1) USING (day))"""
+
+
+@query("daily_digest", "WITH " + GOOD + " , " + STATUS + ", " + DIGEST + " SELECT * FROM dg UNION ALL SELECT DATE '2023-12-31', 7, 1, NULL, 1, 0, 0")
 def daily_digest(spark, d):
-    return O.daily_digest(events(spark, d), F.to_date("at"), [F.desc("value"), F.asc("event_id")])
+    new = O.daily_digest(good_events(spark, d), F.to_date("at"), [F.desc("value"), F.asc("event_id")], runs=runs(spark, d))
+    old = spark.sql("SELECT DATE '2023-12-31' AS day, 7L AS events, 1L AS sellers, cast(NULL AS array<bigint>) AS top, 1L AS checked, 0L AS failed, 0L AS partial UNION ALL SELECT DATE '2024-01-02', 1L, 1L, NULL, 1L, 1L, 0L")
+    return O.stored_digests(old, new)
 
 
-@query("news_overview", "{sellers} , " + EVENTS + """ , w AS (SELECT s_suppkey AS seller_id, TIMESTAMP '2024-01-20' AS viewed_at FROM supplier WHERE s_suppkey % 2 = 0), n AS (SELECT seller_id, count(*) FILTER (tm >= TIMESTAMP '2024-01-24') AS recent, count(*) FILTER (tm >= TIMESTAMP '2024-01-30') AS today, count(*) FILTER (viewed_at IS NULL OR tm > viewed_at) AS unread, max(tm) AS last_at FROM ev LEFT JOIN w USING (seller_id) GROUP BY 1)
-    SELECT seller_id, tier, coalesce(recent, 0) AS recent, coalesce(today, 0) AS today, coalesce(unread, 0) AS unread, last_at FROM sellers LEFT JOIN n USING (seller_id)""")
+@query("news_overview", "{sellers} , " + EVENTS + ", " + STATUS + """ , w AS (SELECT s_suppkey AS seller_id, TIMESTAMP '2024-01-20' AS viewed_at FROM supplier WHERE s_suppkey % 2 = 0), n AS (SELECT seller_id, count(*) FILTER (tm >= TIMESTAMP '2024-01-24') AS recent, count(*) FILTER (tm >= TIMESTAMP '2024-01-30') AS today, count(*) FILTER (viewed_at IS NULL OR tm > viewed_at) AS unread, max(tm) AS last_at FROM ev LEFT JOIN w USING (seller_id) GROUP BY 1)
+    SELECT seller_id, tier, coalesce(recent, 0) AS recent, coalesce(today, 0) AS today, coalesce(unread, 0) AS unread, last_at, last_status, last_run FROM sellers LEFT JOIN n USING (seller_id) LEFT JOIN (SELECT seller_id, arg_max(status, day) AS last_status, max(day) AS last_run FROM rs GROUP BY 1) USING (seller_id)""")
 def news_overview(spark, d):
     views = sellers(spark, d).filter("seller_id % 2 = 0").select("seller_id", F.lit("2024-01-20").cast("timestamp").alias("viewed_at"))
-    return O.news_overview(events(spark, d), sellers(spark, d), views, F.lit("2024-01-31").cast("timestamp"))
+    return O.news_overview(events(spark, d), sellers(spark, d), views, F.lit("2024-01-31").cast("timestamp"), runs=runs(spark, d))
 
 
-@query("event_feed", "WITH " + EVENTS + " SELECT seller_id, event_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY tm DESC, event_id DESC) AS rn FROM ev) WHERE rn <= 30")
+@query("event_feed", "WITH " + EVENTS + ", " + STATUS + """ SELECT seller_id, 'event' AS part, rn, tm AS "at", event_id::VARCHAR AS what FROM (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY tm DESC, event_id DESC) AS rn FROM ev) WHERE rn <= 30 UNION ALL SELECT seller_id, 'run', rn, day::TIMESTAMP, status FROM (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY day DESC) AS rn FROM rs) WHERE rn <= 10
+    UNION ALL SELECT page_id % 100, 'page', row_number() OVER (PARTITION BY page_id % 100 ORDER BY u), NULL, u FROM (SELECT page_id, url || '#' || page_id AS u FROM pages)""")
 def event_feed(spark, d):
-    return O.event_feed(events(spark, d), "seller_id").select("seller_id", "event_id", F.col("rn").cast("long").alias("rn"))
+    p = read(spark, d, "pages").select((F.col("page_id") % 100).alias("seller_id"), F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"))
+    return O.event_feed(events(spark, d), "seller_id", runs=runs(spark, d), pages=p)

@@ -69,7 +69,10 @@ def signal_demand_anomaly(spark, d):
     return O.demand_signals(demand_obs(spark, d), "day", z={"least_z": 0.5, "least_value": 2, "least_mean": 1}).filter("finding_type = 'anomaly'").withColumn("size", F.bround("size", 5))
 
 
-@query("signal_category_growth", "{demand_obs} , " + RECENT + " SELECT category, round_even(median(change), 6) AS change, count(*) AS terms, CASE WHEN category < 'l' THEN 'existing' ELSE 'gap' END AS kind FROM recent GROUP BY 1 HAVING count(*) >= 3 AND median(change) >= -0.5")
+GROWTH = "SELECT category, round_even(median(change), 6) AS change, count(*) AS terms, CASE WHEN category < 'l' THEN 'existing' ELSE 'gap' END AS kind FROM recent GROUP BY 1 HAVING count(*) >= 3 AND median(change) >= -0.5"
+
+
+@query("signal_category_growth", "{demand_obs} , " + RECENT + " " + GROWTH)
 def signal_category_growth(spark, d):
     own = read(spark, d, "events").select(F.col("event_type").alias("category")).filter("category < 'l'").distinct()
     return O.category_growth(demand_obs(spark, d), "day", own, change=-0.5).withColumn("change", F.bround("change", 6))
@@ -116,14 +119,21 @@ REASONS = """peer AS (SELECT category, kind, max(price / capacity) AS dear FROM
 MULTI = "SELECT brand, model_key, count(DISTINCT seller_group) AS sellers FROM offers JOIN sellers USING (seller_id) JOIN rs USING (brand, model_key) WHERE (brand, model_key) NOT IN (SELECT brand, model_key FROM catalog WHERE item_id % 2 = 0) GROUP BY 1, 2 HAVING count(DISTINCT seller_group) >= 2"
 
 
-@query("signal_multi_seller_model", "{catalog sellers offers} , " + REASONS + " " + MULTI)
-def signal_multi_seller_model(spark, d):
+MULTI_REASONS = MULTI.replace("count(DISTINCT seller_group) AS sellers", "count(DISTINCT seller_group) AS sellers, ['cheaper per unit'] AS reasons")
+
+
+def multi_models(spark, d):
     c, o = catalog(spark, d), offers(spark, d)
     peer = c.groupBy("category", "kind").agg(F.max(F.col("price") / F.col("capacity")).alias("dear"))
     r = o.join(peer, ["category", "kind"]).groupBy("brand", "model_key").agg(F.min(F.col("price") / F.col("capacity")).alias("unit"), F.max("dear").alias("dear"))
     reasons = r.select("brand", "model_key", F.array_compact(F.array(F.when(F.col("unit") <= 0.75 * F.col("dear"), "cheaper per unit"))).alias("reasons"))
     own = c.filter("item_id % 2 = 0").select("brand", "model_key").distinct()
-    return O.multi_seller_signals(o, sellers(spark, d), own, reasons).select("brand", "model_key", "sellers")
+    return O.multi_seller_signals(o, sellers(spark, d), own, reasons).select("brand", "model_key", "sellers").join(reasons, ["brand", "model_key"])
+
+
+@query("signal_multi_seller_model", "{catalog sellers offers} , " + REASONS + " " + MULTI)
+def signal_multi_seller_model(spark, d):
+    return multi_models(spark, d).drop("reasons")
 
 
 @query("run_signals", "{catalog sellers offers price_obs demand_obs matches} , " + ", ".join((MOVES, RECENT, ZSCORE, REASONS, USE_CASES)) + """ , e AS (SELECT 'price:' || offer_id AS dedupe_key, 'price_change' AS finding_type FROM (""" + PRICE_SIG + """) UNION SELECT 'cat:' || category || ':' || seller_id, 'new_category' FROM offers WHERE category NOT IN (SELECT category FROM catalog WHERE category > 'M')

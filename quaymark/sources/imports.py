@@ -46,18 +46,34 @@ def wide_series_to_long(df: DataFrame, at: str) -> DataFrame:
     return long.select(at, F.lower("term").alias("term"), value.alias("value")).filter("value IS NOT NULL")
 
 
-REGISTRY = "name string, website string, types array<string>, pages array<struct<url:string,products:array<struct<name:string,price:double>>>>"
+REGISTRY = (
+    "name string, website string, types array<string>, pages array<struct<url:string,products:array<struct<name:string,price:double>>>>,"
+    " tenders array<struct<number:string,subject:string,customer:string,price:double,day:string,url:string>>, listings array<struct<product:string,marketplace:string,seller:string,price:double,url:string>>"
+)
 
 
 def explode_registry(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Sellers, pages and offers from a nested JSON registry."""
+    """Sellers, pages, offers and market observations from a nested JSON registry."""
     return registry_tables(spark.read.schema(REGISTRY).option("multiLine", True).json(path))
 
 
-def registry_tables(raw: DataFrame) -> dict[str, DataFrame]:
+def registry_tables(raw: DataFrame, catalogue: str = "/(?:catalog|rent|shop|products)/?$") -> dict[str, DataFrame]:
+    """The four tables of a registry; a page with several products, or with a catalogue's address, is a catalogue.
+
+    Observations are tenders and marketplace listings, each once by its key.
+    """
     p = raw.select("website", F.explode_outer("pages").alias("p")).filter("p IS NOT NULL")
     offers = p.select("website", F.col("p.url").alias("url"), F.explode("p.products").alias("o")).select("website", "url", "o.name", "o.price")
-    return {"sellers": raw.select("name", "website", "types").dropDuplicates(["website"]), "pages": p.select("website", F.col("p.url").alias("url")).distinct(), "offers": offers}
+    pages = p.groupBy("website", F.col("p.url").alias("url")).agg(F.sum(F.size("p.products")).alias("_n"))
+    pages = pages.select("website", "url", F.when((F.col("_n") > 1) | F.col("url").rlike(catalogue), "catalog").otherwise("product").alias("page_kind"))
+    text = lambda *parts: F.concat_ws(":", *parts)
+    t = raw.select(F.explode("tenders").alias("t")).select(
+        F.lit("tender").alias("kind"), F.col("t.subject").alias("title"), F.col("t.customer").alias("party"), F.col("t.price").alias("price"), F.col("t.day").alias("day"), F.col("t.url").alias("url"), text(F.lit("tender"), F.coalesce("t.number", "t.url", "t.subject")).alias("key"))
+    m = raw.select(F.explode("listings").alias("m")).select(
+        F.lit("listing").alias("kind"), F.col("m.product").alias("title"), F.concat_ws(": ", "m.marketplace", "m.seller").alias("party"), F.col("m.price").alias("price"), F.lit(None).cast("string").alias("day"), F.col("m.url").alias("url"), text(F.lit("mp"), F.coalesce("m.url", "m.product")).alias("key"))
+    seen = t.unionByName(m)
+    observations = seen.groupBy("key").agg(F.min(F.struct(*(c for c in seen.columns if c != "key"))).alias("o")).select("key", "o.*")
+    return {"sellers": raw.select("name", "website", "types").dropDuplicates(["website"]), "pages": pages, "offers": offers, "observations": observations}
 
 
 def page_kind_from_multiplicity(df: DataFrame, url: str, ending: str) -> DataFrame:
@@ -135,6 +151,20 @@ def write_delimited(df: DataFrame, path: str, sep: str = ";") -> None:
     flat.write.mode("overwrite").option("sep", sep).option("header", True).csv(path)
 
 
+def export_views(
+    catalog: DataFrame, sellers: DataFrame, offers: DataFrame, matches: DataFrame, findings: DataFrame, actions: DataFrame, ideas: DataFrame, demand: DataFrame, history: DataFrame, matrix: DataFrame, audit: DataFrame,
+) -> dict[str, DataFrame]:
+    """The twelve named exports, each a table with the names that its ids stand for."""
+    o = offers.select("offer_id", F.col("name").alias("offer"), "seller_id")
+    who = sellers.select("seller_id", "seller")
+    item = catalog.select("item_id", F.col("name").alias("item"))
+    return {
+        "competitor_matrix": matrix, "site_audit": audit, "signals": findings.join(item, "item_id", "left").join(who, "seller_id", "left"), "recommendations": actions, "matrix": catalog, "competitors": sellers,
+        "competitor_products": offers.join(who, "seller_id"), "matches": matches.join(o, "offer_id").join(who, "seller_id").join(item, "item_id", "left"), "queries": demand.select("term", "category").distinct(), "demand": demand, "hypotheses": ideas,
+        "price_history": history.select("offer_id", "price", "availability", "observed_at").join(o, "offer_id").join(who, "seller_id").drop("seller_id", "offer_id"),
+    }
+
+
 def dump_tables(frames: dict[str, tuple[DataFrame, Sequence[str]]], path: str) -> None:
     """Tables as JSON lines with natural keys only."""
     for name, (df, drop) in frames.items():

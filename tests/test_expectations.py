@@ -83,6 +83,31 @@ def test_upsert_is_idempotent_and_history_grows_on_change(spark):
     assert changes.price_history(obs, "k", ["t"]).count() == 2
 
 
+def test_upsert_falls_back_to_the_url(spark):
+    """A renamed offer keeps its row; a worse name does not replace the stored one; content counts as a change."""
+    import datetime as dt
+
+    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    schema = "seller_id long, url string, name string, price double, availability string, content_hash string, first_seen timestamp, last_seen timestamp, is_active boolean"
+    long = "Radio guide system with twenty receivers"
+    old = spark.createDataFrame([(1, "u", "Guide old", 5.0, "a", "h", t0, t0, True), (1, "v", long, 6.0, "a", "h", t0, t0, True), (1, "w", "Same", 7.0, "a", "h", t0, t0, True), (1, "x", "Same", 8.0, "a", "h", t0, t0, True), (1, "y", "Gone guide", 9.0, "a", "h", t0, t0, True)], schema)
+    new = spark.createDataFrame([(1, "u", "Guide new", 5.0, "a", "h", t1), (1, "v", "Short", 6.0, "a", "h", t1), (1, "w", "Same", 7.0, "a", "h2", t1), (1, "x", "Same", 8.0, "a", "h", t1), (2, "u", "Guide new", 5.0, "a", "h", t1)], "seller_id long, url string, name string, price double, availability string, content_hash string, seen timestamp")
+    out = changes.upsert_offers(old, new, ["seller_id", "url", "name"], "seen", url="url")
+    got = {(r.seller_id, r.url, r.name): (r.first_seen == t0, r.last_seen == t1, r.changed) for r in out.collect()}
+    assert got == {(1, "u", "Guide new"): (True, True, False), (1, "v", long): (True, True, False), (1, "w", "Same"): (True, True, True), (1, "x", "Same"): (True, True, False), (1, "y", "Gone guide"): (True, False, False), (2, "u", "Guide new"): (False, True, True)}
+    assert changes.upsert_offers(old, new, ["seller_id", "url", "name"], "seen").count() == 8
+
+
+def test_disappearance_by_sitemap(spark):
+    import datetime as dt
+
+    t0, t1, t2 = (dt.datetime(2024, 1, d) for d in (1, 2, 3))
+    items = spark.createDataFrame([(1, "/a#1", t0, True), (2, "/b", t0, True), (3, "/c", t0, False), (4, "/d", t2, True), (5, "/e", None, True)], "i long, url string, fetched_at timestamp, is_active boolean")
+    pages_ = lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
+    run = lambda seen: {r.i for r in changes.gone_from_sitemap(items, pages_("/a"), pages_("/c"), F.lit(t1), seen).filter("is_active").collect()}
+    assert run(11) == {1, 3, 4} and run(10) == {1, 2, 4, 5}
+
+
 def test_findings_emit_once(spark):
     stored = spark.createDataFrame([], "dedupe_key string, fact double, status string")
     e = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "dedupe_key string, fact double")
