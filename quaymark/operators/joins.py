@@ -20,6 +20,13 @@ def capacity_close(a: Column, b: Column, share: float = 0.2, least: int = 2) ->
     return F.abs(a - b) <= F.greatest(F.lit(least), share * a)
 
 
+def near_capacity(items: DataFrame, others: DataFrame, keys: Sequence[str], capacity: str = "capacity", other: str = "other_capacity", share: float = 0.2, least: int = 2) -> DataFrame:
+    """Rows of others (keys and a whole capacity called ``other``) whose capacity is close to an item's: an equi join on each whole capacity in reach."""
+    reach = F.floor(F.greatest(F.lit(float(least)), share * F.col(capacity)))
+    wide = items.filter(F.col(capacity).isNotNull()).withColumn(other, F.explode(F.sequence((F.col(capacity) - reach).cast("long"), (F.col(capacity) + reach).cast("long"))))
+    return wide.join(others.withColumn(other, F.col(other).cast("long")), [*keys, other])
+
+
 def spec_penalty(a: str, b: str) -> tuple[Column, Column]:
     """(penalty, reasons) of two spec structs with two_way, band and range_m; a missing value never counts."""
     x, y = (lambda n: F.col(f"{a}.{n}")), (lambda n: F.col(f"{b}.{n}"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as O
-from .bindings import catalog, demand_obs, findings, matches, offers, page_versions, pages, price_obs, read, run_log, sellers
+from .bindings import catalog, demand_obs, findings, matches, offers, pages, price_obs, read, run_log, sellers
 from .registry import query
 
 CATS = ["ECONOMY", "PROMO", "STANDARD"]

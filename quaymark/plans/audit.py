@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import audit as O
 from ..operators.aggregates import dominant_spelling
 from ..operators.joins import twins
-from .bindings import catalog, offers, price_obs, read
+from .bindings import catalog, price_obs, read
 from .joins import SITES, sites
 from .registry import query
 

@@ -140,13 +140,16 @@ PAGES = r"""page AS (SELECT page_id, url, html, regexp_extract(url, '^[a-z]+://(
 
 
 def page_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page versions: text lines are the sentences of a conversation turn."""
+    """Page versions: text lines are the sentences of a conversation turn; links follow from its number."""
     c = read(spark, sf_dir, "conversations")
     lines = F.array_distinct(F.filter(F.transform(F.split("text", r"[.!?\n]+"), lambda x: F.trim(x)), lambda x: F.length(x) > 1))
-    return c.select(F.col("conv_id").alias("page_id"), F.col("turn").alias("version"), lines.alias("lines"))
+    link = lambda k: F.struct(F.concat(F.lit("item name "), k.cast("string")).alias("t"), F.concat(F.lit("/"), k.cast("string")).alias("u"))
+    items = F.transform(F.sequence(F.lit(0), (F.col("turn") % 5).cast("int")), link)
+    kind = F.element_at(F.array(F.lit("catalog"), F.lit("news"), F.lit("blog")), (F.col("conv_id") % 3 + 1).cast("int"))
+    return c.select(F.col("conv_id").alias("page_id"), F.col("turn").alias("version"), lines.alias("lines"), items.alias("items"), kind.alias("kind"), F.concat(F.lit("/page/"), F.col("conv_id").cast("string")).alias("url"))
 
 
-PAGE_VERSIONS = r"""page_versions AS (SELECT conv_id AS page_id, turn AS version, lines FROM (SELECT *, list_filter(list_transform(string_split_regex(text, '[.!?\n]+'), lambda x: trim(x, ' ')), lambda x: length(x) > 1) AS l0 FROM conversations),
+PAGE_VERSIONS = r"""page_versions AS (SELECT conv_id AS page_id, turn AS version, lines, list_transform(range(0, turn % 5 + 1), lambda k: {'t': 'item name ' || k, 'u': '/' || k}) AS items, ['catalog', 'news', 'blog'][(conv_id % 3 + 1)::INT] AS kind, '/page/' || conv_id AS url FROM (SELECT *, list_filter(list_transform(string_split_regex(text, '[.!?\n]+'), lambda x: trim(x, ' ')), lambda x: length(x) > 1) AS l0 FROM conversations),
     LATERAL (SELECT list_filter(l0, lambda x, i: list_position(l0, x) = i) AS lines))"""
 
 

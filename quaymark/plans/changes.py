@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import changes as O
-from .bindings import OBS_ORDER, catalog, demand_obs, findings, matches, offers, page_versions, price_obs, read, run_log
+from .bindings import OBS_ORDER, catalog, demand_obs, findings, matches, offers, price_obs, read, run_log
 from .registry import query
 
 NEW_OFFERS = """nw AS (SELECT item_id, seller_id, name || '!' AS name, CASE WHEN offer_id % 3 = 0 THEN price * 1.1::DOUBLE ELSE price END AS price, availability, DATE '2005-01-01' AS seen FROM offers WHERE offer_id % 4 < 2), od AS (SELECT * FROM offers WHERE offer_id % 4 > 0)"""

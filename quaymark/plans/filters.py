@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..operators import filters as O
-from .bindings import catalog, findings, offers, pages, read, sellers
+from .bindings import catalog, findings, offers, read, sellers
 from .registry import query
 
 AS_OF = date(2000, 1, 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as O
-from .bindings import catalog, findings, matches, offers, pages, price_obs, read, run_log, sellers, signatures
+from .bindings import catalog, findings, matches, offers, read, run_log, sellers, signatures
 from .registry import query
 
 
@@ -105,7 +105,7 @@ def spec_compat(spark, d):
 def capacity_range_join(spark, d):
     c = catalog(spark, d)
     peer = c.select("category", "brand", F.col("item_id").alias("peer_id"), F.col("capacity").alias("peer_capacity"))
-    return c.join(peer, ["category", "brand"]).filter((F.col("item_id") != F.col("peer_id")) & O.capacity_close(F.col("capacity"), F.col("peer_capacity"))).select("item_id", "peer_id")
+    return O.near_capacity(c, peer, ["category", "brand"], other="peer_capacity").filter("item_id <> peer_id").select("item_id", "peer_id")
 
 
 @query("reconcile_by_key", "{catalog} , " + SITES + """ SELECT upper(trim(o.sku, ' ')) AS k, 'kind' AS field, o.kind AS "left", t.kind || CASE WHEN t.item_id % 9 = 0 THEN '!' ELSE '' END AS "right" FROM one o JOIN two t USING (sku) WHERE t.item_id % 9 = 0

@@ -27,22 +27,37 @@ def admit_discovered(spark, d):
     return O.admit_discovered(lk, pages(spark, d).select("url", "host"), 6, F.when(F.col("kind") == "catalog", 2).otherwise(1)).select("page_id", "host", "url")
 
 
-DIFF = """v AS (SELECT page_id, version, lines, lag(lines) OVER (PARTITION BY page_id ORDER BY version) AS old FROM page_versions), a AS (SELECT page_id, version, list_filter(lines, lambda l: NOT list_contains(old, l)) AS plus, list_filter(old, lambda l: NOT list_contains(lines, l)) AS minus FROM v WHERE old IS NOT NULL),
-    df AS (SELECT page_id, version, list_filter(plus, lambda a: len(list_filter(minus, lambda b: abs(length(a) - length(b)) < 30 AND levenshtein(a, b) <= greatest(length(a), length(b)) * 0.1)) = 0) AS added, list_filter(minus, lambda b: len(list_filter(plus, lambda a: abs(length(a) - length(b)) < 30 AND levenshtein(a, b) <= greatest(length(a), length(b)) * 0.1)) = 0) AS removed FROM a)"""
+DIFF = """v AS (SELECT page_id, version, lines, items, kind, url, lag(lines) OVER w AS old, lag(items) OVER w AS was FROM page_versions WINDOW w AS (PARTITION BY page_id ORDER BY version)), a AS (SELECT *, list_filter(lines, lambda l: NOT list_contains(old, l)) AS plus, list_filter(old, lambda l: NOT list_contains(lines, l)) AS minus,
+        list_filter(items, lambda i: NOT list_contains(list_transform(was, lambda k: k.u), i.u)) AS items_added, list_filter(was, lambda i: NOT list_contains(list_transform(items, lambda k: k.u), i.u)) AS items_removed FROM v WHERE old IS NOT NULL),
+    d0 AS (SELECT *, list_filter(plus, lambda a: len(list_filter(minus, lambda b: abs(length(a) - length(b)) < 30 AND levenshtein(a, b) <= greatest(length(a), length(b)) * 0.1)) = 0) AS added, list_filter(minus, lambda b: len(list_filter(plus, lambda a: abs(length(a) - length(b)) < 30 AND levenshtein(a, b) <= greatest(length(a), length(b)) * 0.1)) = 0) AS removed FROM a),
+    df AS (SELECT *, coalesce(list_sum(list_transform(added, lambda x: length(x))), 0) AS chars, NOT (coalesce(list_sum(list_transform(added, lambda x: length(x))), 0) >= 60 OR len(removed) >= 3 OR len(items_added) >= 1 OR len(items_removed) >= 3) AS noise FROM d0)"""
 
 
-@query("diff_versions", "{page_versions} , " + DIFF + " SELECT page_id, version, len(added) AS n_added, len(removed) AS n_removed, NOT (coalesce(list_sum(list_transform(added, lambda x: length(x))), 0) >= 60 OR len(removed) >= 3) AS noise FROM df")
+def diffs(spark, d):
+    return O.diff_versions(page_versions(spark, d), "page_id", "version", "lines", "items", ["kind", "url"])
+
+
+@query("diff_versions", "{page_versions} , " + DIFF + " SELECT page_id, version, len(added) AS n_added, len(removed) AS n_removed, len(items_added) AS n_items_added, len(items_removed) AS n_items_removed, noise FROM df")
 def diff_versions(spark, d):
-    x = O.diff_versions(page_versions(spark, d), "page_id", "version", "lines")
-    return x.select("page_id", "version", F.size("added").cast("long").alias("n_added"), F.size("removed").cast("long").alias("n_removed"), "noise")
+    return diffs(spark, d).select("page_id", "version", *(F.size(c).cast("long").alias(f"n_{c}") for c in ("added", "removed", "items_added", "items_removed")), "noise")
 
 
 @query("classify_changes", "{page_versions} , " + DIFF + " SELECT page_id, version, CASE WHEN regexp_matches(lower(array_to_string(added, ' ')), 'price|euro') THEN 'price' WHEN regexp_matches(lower(array_to_string(added, ' ')), 'ing the ') THEN 'product' ELSE 'content' END AS event_type, least(5, 1 + len(added))::INT AS importance FROM df WHERE len(added) > 0")
 def classify_changes(spark, d):
-    x = O.diff_versions(page_versions(spark, d), "page_id", "version", "lines").filter(F.size("added") > 0)
+    x = diffs(spark, d).filter(F.size("added") > 0)
     return O.classify_changes(x, [Rule("body", "price|euro", "price"), Rule("body", "ing the ", "product")], "body").select("page_id", "version", "event_type", "importance")
 
 
+@query("classify_links", "{page_versions} , " + DIFF + """ , e AS (SELECT *, CASE WHEN contains(lower(array_to_string(added, ' ')), 'tion') THEN 'PROMOTION' WHEN kind = 'blog' THEN 'COMPANY_NEWS' ELSE 'SITE_CHANGE' END AS ty FROM df WHERE NOT noise),
+    f AS (SELECT *, CASE WHEN ty = 'SITE_CHANGE' THEN 1 ELSE 2 END AS weight, list_filter(items_added, lambda i: regexp_matches(i.t, '[13]$'))[1:8] AS goods, list_filter(items_added, lambda i: regexp_matches(i.t, '2$'))[1:4] AS groups, list_filter(items_added, lambda i: length(i.t) >= 12)[1:5] AS posts FROM e),
+    g AS (SELECT page_id, version, 'NEW_PRODUCT' AS event_type, unnest(goods) AS i, 3 AS importance FROM f WHERE kind = 'catalog' UNION ALL SELECT page_id, version, 'NEW_CATEGORY', unnest(groups), 3 FROM f WHERE kind = 'catalog' UNION ALL SELECT page_id, version, ty, unnest(posts), weight FROM f WHERE kind <> 'catalog')
+    SELECT page_id, version, event_type, i.t AS title, i.u AS link, importance FROM g UNION ALL SELECT page_id, version, 'SITE_CHANGE', left(added[1], 90), url, 1 FROM f WHERE kind = 'catalog' AND len(goods) + len(groups) = 0 AND chars >= 120
+    UNION ALL SELECT page_id, version, ty, left(added[1], 90), url, weight FROM f WHERE kind <> 'catalog' AND len(posts) = 0 AND chars >= 60""")
+def classify_links(spark, d):
+    kind = F.when(F.col("body").contains("tion"), "PROMOTION").when(F.col("kind") == "blog", "COMPANY_NEWS")
+    return O.classify_links(diffs(spark, d), "kind", "url", lambda t: t.rlike("[13]$"), lambda t: t.rlike("2$"), kind).select("page_id", "version", "event_type", "title", "link", "importance")
+
+
 @query("events_from_offers", "{price_obs offers run_log} , " + MOVES + """ , pr AS (SELECT source_id AS seller_id, max(finished_at) - INTERVAL 9000 DAYS AS tm, max(po) - INTERVAL 9000 DAYS AS since FROM (SELECT *, last_value(CASE WHEN ok THEN finished_at END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY finished_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS po FROM run_log) GROUP BY 1 HAVING max(po) IS NOT NULL)
     SELECT seller_id, offer_id, 'new' AS event FROM offers JOIN pr USING (seller_id) WHERE is_active AND first_seen > since UNION SELECT seller_id, offer_id, 'removed' FROM offers JOIN pr USING (seller_id) WHERE NOT is_active AND last_seen < tm - INTERVAL 2 DAYS AND last_seen > since UNION SELECT seller_id, offer_id, 'price' FROM moves JOIN pr USING (seller_id) WHERE observed_at > since""")
 def events_from_offers(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sets as O
-from .bindings import catalog, page_versions, read
+from .bindings import catalog, page_versions
 from .joins import aliases
 from .registry import query
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import changes, decisions
+from ..operators import changes
 from ..operators import joins as J
 from ..operators import signals as O
 from ..operators.sizes import bounded

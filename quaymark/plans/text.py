@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import text as O
 from ..operators.joins import band_class as _band_class
 from ..operators.joins import price_ratio as _price_ratio
-from .bindings import catalog, offers, pages, read
+from .bindings import catalog, offers, read
 from .registry import query
 
 
