@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.changes import upsert_offers
 
+STORE_CLASS = "spark.sql.streaming.stateStore.providerClass"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the session; only a session without one (tests in local mode) gets a folder of its own."""
+    """The shared folder of the session; only a local session without one (tests) gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quaymark-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quaymark-"))
     return sc.getCheckpointDir()
 
 
@@ -31,14 +37,75 @@ def read_observations(spark: SparkSession, path: str, schema, files_per_batch: i
 
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all that is there (availableNow) into a Parquet table of the shared folder and read it."""
+    """Process all that is there (availableNow) into a Parquet table of the shared folder and read it.
+
+    Stateful streams here need the RocksDB store; it is set while the query starts, and the session gets its own setting back.
+    """
     spark = stream.sparkSession
     out = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    before = spark.conf.get(STORE_CLASS, "unset")
+    spark.conf.set(STORE_CLASS, STATE_STORE)
+    try:
+        q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        if before == "unset":
+            spark.conf.unset(STORE_CLASS)
+        else:
+            spark.conf.set(STORE_CLASS, before)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
+class KeyedState:
+    """A Parquet table by buckets of its key, of which a batch rewrites those that it touches.
+
+    Every bucket has a current version; the one before stays until the next batch is done, so that a repeated batch finds it.
+    """
+
+    def __init__(self, start: DataFrame, folder: str, keys: Sequence[str], buckets: int = 64):
+        self.spark, self.folder, self.keys, self.buckets = start.sparkSession, folder, list(keys), buckets
+        self.schema = T.StructType([*start.schema.fields, T.StructField("_bucket", T.IntegerType())])
+        self.now, self.before, self.replaced = dict.fromkeys(range(buckets), -1), {}, []
+        self._write(start, -1)
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def touched(self, batch: DataFrame) -> list[int]:
+        return [r[0] for r in batch.select(self.bucket()).distinct().collect()]  # at most as many as there are buckets
+
+    def _write(self, df: DataFrame, n: int) -> None:
+        df.withColumn("_bucket", self.bucket()).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/v{n}")
+
+    def _read(self, at: dict[int, int]) -> DataFrame:
+        out = None
+        for v in sorted(set(at.values())):
+            x = self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{v}").filter(F.col("_bucket").isin([b for b, n in at.items() if n == v])).drop("_bucket")
+            out = x if out is None else out.unionByName(x)
+        return out
+
+    def read(self, n: int, buckets: Sequence[int]) -> DataFrame:
+        """The rows of some buckets before batch n."""
+        at = {b: self.before[b] if self.now[b] == n else self.now[b] for b in buckets}
+        return self._read(at) if at else self._read({0: self.now[0]}).limit(0)
+
+    def write(self, df: DataFrame, n: int, buckets: Sequence[int]) -> None:
+        """All rows of some buckets after batch n."""
+        self._write(df, n)
+        hadoop, fresh = self.spark._jvm.org.apache.hadoop.fs, []
+        for b in buckets:
+            if self.now[b] != n:
+                self.before[b], self.now[b] = self.now[b], n
+                fresh.append((n, f"{self.folder}/v{self.before[b]}/_bucket={b}"))
+        for _, path in [x for x in self.replaced if x[0] < n]:
+            p = hadoop.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.replaced = [x for x in self.replaced if x[0] >= n] + fresh
+
+    def current(self) -> DataFrame:
+        return self._read(self.now)
+
+
 class PriceChanges(StatefulProcessor):
     """Emits a row when price or availability differs from the last one; rows older than the state are ignored."""
 
@@ -118,7 +185,6 @@ class FailureStreak(StatefulProcessor):
 
 
 def _stateful(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return stream.groupBy(key).transformWithStateInPandas(processor, schema, "Append", time_mode)
 
 
@@ -134,10 +200,11 @@ def price_change_table(stream: DataFrame, key: str, order: Sequence[str]) -> Dat
     spark = stream.sparkSession
     folder = f"{scratch(spark)}/changes-{uuid.uuid4().hex}"
     stream_schema = stream.schema
-    spark.createDataFrame([], stream_schema).write.parquet(f"{folder}/last/v-1")
+    state = KeyedState(spark.createDataFrame([], stream_schema), f"{folder}/last", [key])
 
     def apply(batch: DataFrame, n: int) -> None:
-        last = batch.sparkSession.read.schema(stream_schema).parquet(f"{folder}/last/v{n - 1}")
+        buckets = state.touched(batch)
+        last = state.read(n, buckets)
         gate = last.select(F.col(key), F.struct(*order[:2]).alias("_gate"))
         fresh = batch.join(gate, key, "left").filter(F.col("_gate").isNull() | (F.struct(*order[:2]) >= F.col("_gate"))).drop("_gate")
         both = last.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
@@ -146,7 +213,7 @@ def price_change_table(stream: DataFrame, key: str, order: Sequence[str]) -> Dat
         moved = (F.col("_rn") == 1) | ~F.col("before").eqNullSafe(F.col("price")) | ~F.col("_a").eqNullSafe(F.col("availability"))
         x.filter((F.col("_new") == 1) & moved).drop("_new", "_a", "_rn").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
         newest = both.groupBy(key).agg(F.max(F.struct("_new", *order, *(c for c in stream_schema.names if c not in (key, *order)))).alias("r"))
-        newest.select(*(F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in stream_schema.names)).write.mode("overwrite").parquet(f"{folder}/last/v{n}")
+        state.write(newest.select(*(F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in stream_schema.names)), n, buckets)
 
     q = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -175,16 +242,15 @@ def sliding_counts(stream: DataFrame, kind: str, watermark: str = "1 hour") -> D
 
 
 def upsert_stream(stream: DataFrame, start: DataFrame, keys: list[str], seen_at: str, newest: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Current offers after all batches: each micro-batch is upserted into a new version of the table."""
+    """Current offers after all batches: each micro-batch is upserted into the buckets of the table that its keys touch."""
     spark = stream.sparkSession
     folder = f"{scratch(spark)}/upsert-{uuid.uuid4().hex}"
-    start.write.parquet(f"{folder}/v-1")
+    state = KeyedState(start, f"{folder}/state", keys)
 
     def apply(batch: DataFrame, n: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{folder}/v{n - 1}")
-        upsert_offers(old, newest(batch), keys, seen_at).drop("changed").write.mode("overwrite").parquet(f"{folder}/v{n}")
+        buckets = state.touched(batch)
+        state.write(upsert_offers(state.read(n, buckets), newest(batch), keys, seen_at).drop("changed").select(start.columns), n, buckets)
 
     q = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else -1
-    return spark.read.parquet(f"{folder}/v{last}")
+    return state.current()

@@ -222,6 +222,20 @@ def test_streams_over_two_file_drops(spark, tmp_path):
     assert {(1, 1, None, 10.0), (2, 2, None, 5.0), (2, 4, 5.0, 6.0)} == {g for g in got if g[1] > 0}
 
 
+def test_keyed_state_rewrites_touched_buckets_only(spark, tmp_path):
+    start = spark.range(200).select("id", F.lit(0).alias("v"))
+    state = jobs.KeyedState(start, f"{tmp_path}/s", ["id"], buckets=8)
+    for n in range(3):
+        for _ in range(2):  # a batch that is repeated finds the rows from before it
+            batch = spark.createDataFrame([(7, n), (1000 + n, n)], "id long, v int")
+            touched = state.touched(batch)
+            old = state.read(n, touched)
+            new = old.join(batch.withColumnRenamed("v", "w"), "id", "full_outer").select("id", F.coalesce("w", "v").alias("v"))
+            state.write(new.withColumn("v", F.when(F.col("id") == 7, F.coalesce(F.lit(n), "v")).otherwise(F.col("v"))), n, touched)
+    got = {r.id: r.v for r in state.current().collect()}
+    assert got == {**dict.fromkeys(range(200), 0), 7: 2, 1000: 0, 1001: 1, 1002: 2} and len(set(state.now.values())) > 1
+
+
 @pytest.mark.parametrize("field, a, b, want", [("price", 5, 7, 1), ("range_m", 5, 7, -1), ("price", 5, 5, 0)])
 def test_better_value(spark, field, a, b, want):
     assert column(spark, [a], text.better_value(field, F.col("v"), F.lit(b)), "int") == [want]
