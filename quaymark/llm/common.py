@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that the cluster names."""
     shared_folder(df.sparkSession)
@@ -68,6 +74,13 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, hot
     return deal.join(again, [*keys, "_salt"], how).drop("_salt")
 
 
+def first_of_groups(df: DataFrame, group: list[str], order: list[Column], n: int, by: str) -> DataFrame:
+    """The first n rows of each group, numbered by _rn; a task gets n rows of each of 256 buckets at most, however large the group is."""
+    cut = lambda x, w: x.withColumn("_rn", F.row_number().over(w.orderBy(*order))).filter(F.col("_rn") <= n)
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(by), F.lit(256)))
+    return cut(cut(dealt, Window.partitionBy(*group, "_bucket")).drop("_bucket", "_rn"), Window.partitionBy(*group))
+
+
 def integral(df: DataFrame, column: str) -> None:
     """Refuse ids of another type: the smaller of two ids decides."""
     if not isinstance(df.schema[column].dataType, T.IntegralType):

@@ -18,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import replaced, small_batches, with_column
-from .common import fold_remainder
+from .common import first_of_groups, fold_remainder
 
 #: Bounds of the training sample for each language: documents, and symbols that whole documents may sum to.
 TRAIN_DOCS, TRAIN_SYMBOLS = 64, 32_768
@@ -242,12 +242,12 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     one of them if there is no other.  Of rows that share id and language the smallest text counts.  Null ids, texts and
     languages are not learned from; without rows there are no languages.
     """
-    named = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = named.groupBy(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).agg((F.max(F.length(text_col)) > TRAIN_SYMBOLS).alias("_long"))
-    rank = Window.partitionBy("_lang").orderBy("_long", F.xxhash64("_id"), "_id")
-    chosen = ids.withColumn("_rn", F.row_number().over(rank)).filter((F.col("_rn") <= TRAIN_DOCS) & (~F.col("_long") | (F.col("_rn") == 1))).drop("_long")
+    named = df.select(F.col(id_col).alias("_did"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).dropna()
+    ids = named.groupBy(F.col("_did").alias("_id"), "_lang").agg((F.max(F.length("_text")) > TRAIN_SYMBOLS).alias("_long"))
+    ranked = first_of_groups(ids, ["_lang"], [F.asc("_long"), F.asc(F.xxhash64("_id")), F.asc("_id")], TRAIN_DOCS, "_id")
+    chosen = ranked.filter(~F.col("_long") | (F.col("_rn") == 1)).drop("_long")
     wanted = F.broadcast(chosen.withColumnRenamed("_lang", "_of"))  # at most TRAIN_DOCS ids a language
-    rows = named.join(wanted, (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_of"))).groupBy("_of", "_rn").agg(F.min(text_col).alias("_text"))
+    rows = named.join(wanted, (F.col("_did") == F.col("_id")) & (F.col("_lang") == F.col("_of"))).groupBy("_of", "_rn").agg(F.min("_text").alias("_text"))
     found = rows.toArrow().to_pylist()  # at most TRAIN_DOCS texts of TRAIN_SYMBOLS characters, or one longer text, a language
     texts: dict[str, list[str]] = {}
     for r in sorted(found, key=lambda r: (r["_of"], r["_rn"])):

@@ -163,7 +163,7 @@ def test_languages_with_large_alphabets_and_uneven_training(spark):
     sentence = scripts(8)
     train = [(i, sentence[lang](2000 if lang == "x1" else 150), lang) for i, lang in enumerate(["x1", "x1", "x1", "x2", "old"])]
     train += [(5, None, "x1"), (None, "zzz", "x1"), (6, "zzz", None), (3, train[3][1], "x2"), (7, "1 2 3", "digits")]
-    model = langid.learn(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    model = langid.learn(spark.createDataFrame([(*t, 1, "x", "y") for t in train], "doc_id long, text string, lang string, _id int, _lang string, _of string"))
     assert model.languages == ["digits", "old", "x1", "x2"] and "z" not in model.letters
     asked = [(i, sentence[lang](40), lang) for i, lang in enumerate(["x1", "x2", "old"] * 10)]
     odd = [(100, None, "a"), (100, "", "a"), (101, "12 -", "b"), (102, "Ж", "c"), (103, "z" * 3000, "c"), (None, asked[0][1], "d"), (None, asked[0][1], "d"), (104, sentence["x2"](20_000), "x2")]
