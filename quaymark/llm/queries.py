@@ -81,6 +81,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL = {
+    # windows come from blocks of 1,000 starts, as a substring costs its distance from the start
+    "op1_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+        b AS (SELECT doc_id, lo, substr(h, 2 * lo + 1, 2198) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99, 1000)) AS lo FROM d)),
+        w AS (SELECT doc_id, lo + i AS pos, md5(substr(part, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, lo, part, unnest(range(0, least(1000, length(part) // 2 - 99))) AS i FROM b)),
+        f AS (SELECT k, min(struct_pack(doc_id, pos)) AS first FROM w GROUP BY k HAVING count(*) > 1),
+        again AS (SELECT w.doc_id, w.pos FROM w JOIN f USING (k) WHERE struct_pack(doc_id := w.doc_id, pos := w.pos) > f.first),
+        o AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 100 THEN 0 ELSE 1 END AS fresh FROM again)),
+        r AS (SELECT doc_id, run, min(pos) AS lo, max(pos) + 100 AS hi FROM o GROUP BY 1, 2),
+        g AS (SELECT doc_id, run, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY run), 0) AS from_, lo AS to_, hi - lo AS gone FROM r UNION ALL SELECT doc_id, 1e9, max(hi), 1e9, 0 FROM r GROUP BY doc_id),
+        c AS (SELECT d.doc_id, sum(gone)::BIGINT AS n_removed, count(*) - 1 AS n_spans, string_agg(substr(h, (2 * from_ + 1)::BIGINT, (2 * (to_ - from_))::BIGINT), '' ORDER BY run) AS kept FROM d JOIN g ON d.doc_id = g.doc_id GROUP BY d.doc_id)
+        SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN c ON d.doc_id = c.doc_id""",
+    "op9_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: md5(array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END) AS k FROM d)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id, min(c) = r.doc_id AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm, length(coalesce(text, '')) AS n FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
