@@ -171,8 +171,9 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         .select(*same, "term", F.explode("_entities").alias("entity"))
     )
     pairs = materialise(uses.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= LEAST_SUPPORT))
-    # a word counts once for each different text; the sum over texts is made per task before it is sent
-    n_t = read.select("_th", F.explode(words(F.col("_text"))).alias("term")).groupBy("term", "_th").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= LEAST_SUPPORT)
+    # a word counts once for each different text; copies collapse in each task before one of them is sent
+    texts = read.groupBy(*same).agg(F.first("_text").alias("_text"))
+    n_t = texts.select(F.explode(words(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= LEAST_SUPPORT)
     shares = spread_join(pairs, n_t, ["term"], "entity", frequent(pairs.groupBy("term").count(), ["term"])).filter(F.col("n_te") >= LEAST_SHARE * F.col("n_t"))
     telling = materialise(
         shares.join(entity_docs, "entity")
