@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 from .grams import parts, prefix_sums, substring_hashes
-from .repeats import COUNTS, anchor_counts, column, dealt, grouped, ids_of, is_first, looked_up, member, places_of_least, shared_anchors, split_seeds
+from .repeats import COUNTS, anchor_counts, column, dealt, firsts, ids_of, is_first, looked_up, member, places_of_least, shared_anchors, split_seeds
 from .suffix import common_prefixes, suffix_array
 
 LENGTH, SEED = 100, 32
@@ -102,18 +102,17 @@ def _contexts(key: tuple[pa.Scalar, ...], docs: pa.Table, seeds: pa.Table) -> pa
         raw, c, o = r.flat.tobytes(), r.contexts()[on], r.owner[on]
         a, n = r.at[on], r.size[on]
         at = a - r.starts[o]
-        first = np.flatnonzero(is_first(r.anchor[on], c, ids[o], at, np.arange(len(on))))
+        first = firsts(r.anchor[on], c, ids[o], at)
         found.append((r.anchor[on][first], c[first], ids[o][first], at[first], n[first]))
         body += [raw[x : x + m + LENGTH - 1] for x, m in zip(a[first].tolist(), n[first].tolist())]
         if alone.any():
             starts, h, k, o = r.windows(np.flatnonzero(alone))
             at = starts - r.starts[o]
-            first = np.flatnonzero(is_first(h, k, ids[o], at, np.arange(len(h))))
+            first = firsts(h, k, ids[o], at)
             found.append((h[first], k[first], ids[o][first], at[first], np.ones(len(first), np.int64)))
             body += [raw[x : x + LENGTH] for x in starts[first].tolist()]
     k, c, i, at, n = (column(found, j) for j in range(5))
-    order = np.lexsort((at, i, c, k))
-    order = order[grouped(k, c)[1]]
+    order = firsts(k, c, i, at)
     return pa.table({
         "key": pa.array(k[order]), "context": pa.array(c[order]), "group": pa.array(np.full(len(order), key[0].as_py(), np.int32)),
         "id": pa.array(i[order]), "at": pa.array(at[order]), "size": pa.array(n[order].astype(np.int32)), "body": pa.array([body[x] for x in order.tolist()], pa.binary())})
@@ -141,16 +140,16 @@ def repeated_windows(bodies: list[bytes], ids: np.ndarray, ats: np.ndarray, size
     inside = np.arange(total) - first[owner]
     start = inside < sizes[owner]
     start[-1] = False
-    start_at, document = inside + ats[owner], ids[owner]
-    place = np.lexsort((start_at, document))
-    rank = np.empty(total, np.int64)  # by (document, start); ties share a rank
-    rank[place] = np.cumsum(np.append(0, (np.diff(start_at[place]) != 0) | (np.diff(document[place]) != 0)))
+    # (document, start) as one number, which fits: documents are numbered in order
+    start_at, document = inside + ats[owner], np.unique(ids, return_inverse=True)[1][owner]
+    rank = document * (int(start_at.max()) + 1) + start_at
+    never = np.iinfo(np.int64).max
     joined = np.cumsum(plcp[sa] < LENGTH) - 1
-    key = np.where(start[sa], rank[sa], total)
+    key = np.where(start[sa], rank[sa], never)
     cuts = np.flatnonzero(np.append(True, joined[1:] != joined[:-1]))
     least = np.minimum.reduceat(key, cuts)
     again = np.zeros(total, bool)
-    again[sa] = (key < total) & (key > least[joined])
+    again[sa] = (key < never) & (key > least[joined])
     return [again[f : f + n] for f, n in zip(first.tolist(), sizes.tolist())]
 
 

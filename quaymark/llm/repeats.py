@@ -104,21 +104,32 @@ def member(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_keys[at] == x
 
 
-def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by the keys (the first one leads) and where a new combination of them begins in it."""
-    order = np.lexsort(keys[::-1])
+def changes(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Where, in this order, a new combination of the keys begins."""
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
         s = k[order]
         new[1:] |= s[1:] != s[:-1]
-    return order, new
+    return new
+
+
+def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the keys (the first one leads) and where a new combination of them begins in it."""
+    order = np.lexsort(keys[::-1])
+    return order, changes(order, *keys)
+
+
+def firsts(a: np.ndarray, b: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """One row with the least place for each key (a, b)."""
+    order = np.lexsort((*place[::-1], b, a))
+    return order[changes(order, a, b)]
 
 
 def is_first(a: np.ndarray, b: np.ndarray, *place: np.ndarray) -> np.ndarray:
     """Whether each row has the least place of all rows with its key (a, b); equal places are all first."""
-    order, new = grouped(a, b)
     order = np.lexsort((*place[::-1], b, a))
+    new = changes(order, a, b)
     head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     out = np.ones(len(a), bool)
     for p in place:
@@ -190,7 +201,7 @@ def _occurrences(key: tuple[pa.Scalar, ...], docs: pa.Table, seeds: pa.Table) ->
         on = member(shared, o.anchor)
         alone = on & member(hot, o.anchor)
         on = np.flatnonzero(on & ~alone)
-        on = on[is_first(o.anchor[on], o.context[on], o.id[on], on)]
+        on = on[firsts(o.anchor[on], o.context[on], o.id[on])]
         found.append((o.anchor[on], o.context[on], o.id[on], o.left[on], o.size[on]))
         body += o.bodies(t, on)
         if alone.any():
@@ -198,8 +209,7 @@ def _occurrences(key: tuple[pa.Scalar, ...], docs: pa.Table, seeds: pa.Table) ->
             found.append((h, a, i, np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)))
             body += [b""] * len(h)
     k, c, i, left, size = (column(found, j) for j in range(5))
-    order = np.lexsort((i, c, k))
-    order = order[grouped(k, c)[1]]
+    order = firsts(k, c, i)
     return pa.table({
         "key": pa.array(k[order]), "context": pa.array(c[order]), "group": pa.array(np.full(len(order), key[0].as_py(), np.int32)), "id": pa.array(i[order]),
         "left": pa.array(left[order].astype(np.int32)), "size": pa.array(size[order].astype(np.int32)), "body": pa.array([body[x] for x in order.tolist()], pa.binary())})
@@ -225,7 +235,7 @@ def repeated_words(key: np.ndarray, context: np.ndarray, ids: np.ndarray, left:
     """For occurrences of whole anchors, a bit for each of their words that also stands, in a long enough match, in an earlier document."""
     whole = np.where(size > 0, (np.int64(1) << (size + WINDOW - 1)) - 1, (1 << WINDOW) - 1)
     order = np.lexsort((ids, context, key))
-    new = grouped(key, context)[1]
+    new = changes(order, key, context)
     head = order[np.flatnonzero(new)]
     of = np.empty(len(order), np.int64)
     of[order] = head[np.cumsum(new) - 1]

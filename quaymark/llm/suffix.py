@@ -89,7 +89,6 @@ def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> np.nd
 
 def induce_singly(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
     """The same order for strings of many symbols: two linear passes that place one suffix at a time."""
-    symbol, is_smaller = s.tolist(), smaller.tolist()
     bounds = np.concatenate(([0], np.cumsum(np.bincount(s, minlength=k))))
     order = np.argsort(s[lms], kind="stable")
     placed = lms[order]
@@ -98,19 +97,24 @@ def induce_singly(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, k: int) -
     within = np.arange(len(placed)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = np.full(len(s), -1, np.int64)
     start[bounds[1:][c] - counts[c] + within] = placed
+    # for each suffix the bucket of the one before it, if that is of the kind that a pass places; no suffix is -1
+    before = np.full((2, len(s) + 1), -1, np.int64)
+    for kind in (0, 1):
+        of = np.flatnonzero(smaller[:-1] == bool(kind))
+        before[kind, of + 1] = s[of]
+    larger, less = before.tolist()
     sa, head, tail = start.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()
-    for i in range(len(sa)):
-        j = sa[i] - 1
-        if j >= 0 and not is_smaller[j]:
-            b = symbol[j]
-            sa[head[b]] = j
-            head[b] += 1
-    for i in range(len(sa) - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and is_smaller[j]:
-            b = symbol[j]
-            tail[b] -= 1
-            sa[tail[b]] = j
+    for j in sa:  # what is placed ahead is met later
+        c = larger[j]
+        if c >= 0:
+            sa[head[c]] = j - 1
+            head[c] += 1
+    for j in reversed(sa):
+        c = less[j]
+        if c >= 0:
+            at = tail[c] - 1
+            tail[c] = at
+            sa[at] = j - 1
     return np.array(sa, np.int64)
 
 
@@ -151,25 +155,25 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     n = len(s)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    wide = np.zeros(n + most + 8, np.uint64)
-    bytes_ = np.zeros(n + most + 16, np.uint64)
-    bytes_[:n] = s
-    wide = np.zeros(n + most + 8, np.uint64)
-    for j in range(4):  # four 16-bit symbols to a word
-        wide |= bytes_[j : j + len(wide)] << np.uint64(16 * j)
+    bits = 8 if s.max() < 256 else 16  # as many symbols to a 64-bit word as fit
+    per = 64 // bits
+    padded = np.zeros(n + most + 2 * per, np.uint64)
+    padded[:n] = s
+    wide = np.zeros(n + most + per, np.uint64)
+    for j in range(per):
+        wide |= padded[j : j + len(wide)] << np.uint64(bits * j)
     plcp = np.zeros(n, np.int32)
     alive, d = np.flatnonzero(before >= 0), 0
+    other = before[alive]
     while len(alive) and d < most:
-        x, y = alive + d, before[alive] + d
-        equal = wide[x] == wide[y]
-        stop = np.flatnonzero(~equal)
+        differ = wide[alive + d] ^ wide[other + d]
+        stop = np.flatnonzero(differ)
         if len(stop):
-            p, q = x[stop], y[stop]
-            extra, going = np.zeros(len(stop), np.int32), np.ones(len(stop), bool)
-            for j in range(4):
-                going &= bytes_[p + j] == bytes_[q + j]
-                extra += going
-            plcp[alive[stop]] = np.minimum(d + extra, most)
-        alive, d = alive[equal], d + 4
+            x = differ[stop]
+            equal = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) // bits  # symbols below the lowest bit that differs
+            plcp[alive[stop]] = np.minimum(d + equal.astype(np.int32), most)
+            go = differ == 0
+            alive, other = alive[go], other[go]
+        d += per
     plcp[alive] = most
     return plcp
