@@ -31,7 +31,7 @@ def exact_groups(df: DataFrame, carry: Sequence[str] = (), id_col: str = "doc_id
 
     Of equal texts the row with the most code points in the original text stays, then
     the smallest id (a null id comes last).  A null text counts as empty, so null,
-    empty and all-white-space texts form one group.  Repeated rows are one group of
+    empty and all-white-space texts form one group; texts of any length are compared whole.  Repeated rows are one group of
     which one row stays.  An empty table gives an empty result; other columns of
     the input are ignored unless carried.
     """

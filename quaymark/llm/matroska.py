@@ -215,8 +215,8 @@ def features(found: dict, payload: bytes) -> str:
 def mux(df: DataFrame, text_col: str = "text", to: str = "media") -> DataFrame:
     """The input with a binary column holding each text's UTF-8 bytes, padded with zeros to a positive multiple of 64, as Matroska.
 
-    A null text is stored as an empty one.  Equal texts give equal files; repeated rows are stored alike;
-    an empty table gives an empty result; a column that has the name ``to`` is replaced.
+    A null text is stored as an empty one, a text of any length whole.  Equal texts give equal files, so repeated rows and ties are stored
+    alike; an empty table gives an empty result; a column that has the name ``to`` is replaced.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +232,8 @@ def mux(df: DataFrame, text_col: str = "text", to: str = "media") -> DataFrame:
 def read_back(df: DataFrame, media_col: str = "media") -> DataFrame:
     """The input with ``payload`` (the bytes of all packets in file order) and ``feature``; both null for null media.
 
-    A damaged file gives a null payload and the feature ``error: <why>``.
+    A damaged file gives a null payload and the feature ``error: <why>``, an empty one an empty payload.  Equal files, repeated rows among them,
+    give equal values; an empty table gives an empty result; columns with these two names are replaced.
     """
     schema = with_column(with_column(df.schema, "payload", T.BinaryType()), "feature", T.StringType())
 

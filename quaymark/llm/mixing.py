@@ -89,11 +89,11 @@ def thresholds(rows: DataFrame) -> tuple[DataFrame, bool]:
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) for every row.
 
-    copies is 0, 1 or 2, taken is copies times size.  Null text has size 0; a null
+    copies is 0, 1 or 2, taken is copies times size.  Null and empty texts have size 0, a text of any length is counted whole; a null
     source is a source of its own, ordered last.  The place of a row is a hash of its id and
     text, so reruns agree and rows equal in both are taken together.  Each source's taken
     words differ from its target by at most half the boundary document.  An
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns, whatever their names, are ignored.
     """
     source, place = placed(df, id_col, text_col, source_col)
     rows = materialise(df.select(df[id_col].alias("id"), source.alias("source"), words(text_col).alias("size"), place.alias("h")))

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quaymark.llm import pii, queries
+from quaymark.llm import matroska, pii, queries
 from tests.llm.test_native import brute_pii, brute_spans
 from tests.llm.test_repeats import brute_bytes, brute_near, brute_words
 
@@ -85,6 +85,11 @@ def test_op8(spark, docs):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-64:]))
         assert r.media_bytes > len(payload) and re.fullmatch("[0-9a-f]{64}", r.media_sha256)
+        media = matroska.mux_bytes(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(media), sha(media)) and payload[:64] in media  # samples lie in the file as they are
+        facts = dict(x.split("=", 1) for x in r.feature.split(";") if "=" in x)
+        assert (int(facts["min"]), int(facts["max"]), facts["bad_cues"]) == (min(payload), max(payload), "0") and int(facts["ms"]) == round(len(payload) * 1000 / matroska.SAMPLE_RATE)
+        assert int(facts["clusters"]) >= 1 and int(facts["packets"]) >= len(payload) / 65_536
 
 
 def test_op9_and_op10(spark, docs):
