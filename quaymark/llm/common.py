@@ -54,8 +54,11 @@ def frequent(counted: DataFrame, keys: list[str], count: str = "count", least: i
 
     They are fewer than SHARES, so the table may be broadcast.
     """
+    many = counted.filter(F.col(count) > least)
+    if not many.limit(1).count():
+        return None
     total = counted.agg(F.sum(count)).first()[0] or 0
-    hot = materialise(counted.filter(F.col(count) > max(least, total / SHARES)).select(*keys, F.lit(True).alias("_hot")))
+    hot = materialise(many.filter(F.col(count) > total / SHARES).select(*keys, F.lit(True).alias("_hot")))
     return hot if hot.limit(1).count() else None
 
 
@@ -74,11 +77,31 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, hot
     return deal.join(again, [*keys, "_salt"], how).drop("_salt")
 
 
-def first_of_groups(df: DataFrame, group: list[str], order: list[Column], n: int, by: str) -> DataFrame:
-    """The first n rows of each group, numbered by _rn; a task gets n rows of each of 256 buckets at most, however large the group is."""
-    cut = lambda x, w: x.withColumn("_rn", F.row_number().over(w.orderBy(*order))).filter(F.col("_rn") <= n)
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(by), F.lit(256)))
-    return cut(cut(dealt, Window.partitionBy(*group, "_bucket")).drop("_bucket", "_rn"), Window.partitionBy(*group))
+def smallest_hashes(df: DataFrame, group: list[str], by: str, n: int) -> DataFrame:
+    """The n rows of each group whose ``by`` has the smallest hashes, numbered by _rn.
+
+    Rows over a hash below which a group of its size has 40 n rows are left out before any sort, so one task gets few
+    however large a group is; that fewer than n of them remain is as good as impossible.
+    """
+    h = F.xxhash64(by)
+    share = F.least(F.lit(1.0), F.lit(40.0 * n) / F.col("_size"))
+    near = df.join(df.groupBy(*group).agg(F.count("*").alias("_size")), group).filter(h.cast("double") / 2.0**64 + 0.5 <= share).drop("_size")
+    return near.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(h, by))).filter(F.col("_rn") <= n)
+
+
+def settled() -> None:
+    """Give freed memory back to the system: the driver's after training, a worker's at a task's end (glibc only)."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return
 
 
 def integral(df: DataFrame, column: str) -> None:

@@ -18,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import replaced, small_batches, with_column
-from .common import first_of_groups, fold_remainder
+from .common import fold_remainder, smallest_hashes
 
 #: Bounds of the training sample for each language: documents, and symbols that whole documents may sum to.
 TRAIN_DOCS, TRAIN_SYMBOLS = 64, 32_768
@@ -244,8 +244,10 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     named = df.select(F.col(id_col).alias("_did"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).dropna()
     ids = named.groupBy(F.col("_did").alias("_id"), "_lang").agg((F.max(F.length("_text")) > TRAIN_SYMBOLS).alias("_long"))
-    ranked = first_of_groups(ids, ["_lang"], [F.asc("_long"), F.asc(F.xxhash64("_id")), F.asc("_id")], TRAIN_DOCS, "_id")
-    chosen = ranked.filter(~F.col("_long") | (F.col("_rn") == 1)).drop("_long")
+    ranked = smallest_hashes(ids, ["_lang", "_long"], "_id", TRAIN_DOCS)
+    # documents that are not too long come first
+    order = Window.partitionBy("_lang").orderBy("_long", "_rn")
+    chosen = ranked.withColumn("_rn", F.row_number().over(order)).filter((F.col("_rn") <= TRAIN_DOCS) & (~F.col("_long") | (F.col("_rn") == 1))).drop("_long")
     wanted = F.broadcast(chosen.withColumnRenamed("_lang", "_of"))  # at most TRAIN_DOCS ids a language
     rows = named.join(wanted, (F.col("_did") == F.col("_id")) & (F.col("_lang") == F.col("_of"))).groupBy("_of", "_rn").agg(F.min("_text").alias("_text"))
     found = rows.toArrow().to_pylist()  # at most TRAIN_DOCS texts of TRAIN_SYMBOLS characters, or one longer text, a language

@@ -117,21 +117,25 @@ def sketch(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text"
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, whole binary, sketch binary")
 
 
-def with_sides(pairs: DataFrame, side_a: DataFrame, side_b: DataFrame) -> DataFrame:
-    """Pairs (a, b) with what belongs to a and to b; a member of very many pairs (a leader) is dealt over all partitions."""
-    hot = {c: frequent(pairs.groupBy(c).count(), [c], least=LEADER_PAIRS) for c in "ab"}
+def leaders(pairs: DataFrame) -> dict[str, DataFrame | None]:
+    """The members a and b of very many pairs."""
+    return {c: frequent(pairs.groupBy(c).count(), [c], least=LEADER_PAIRS) for c in "ab"}
+
+
+def with_sides(pairs: DataFrame, side_a: DataFrame, side_b: DataFrame, hot: dict[str, DataFrame | None]) -> DataFrame:
+    """Pairs (a, b) with what belongs to a and to b; leaders are dealt over all partitions."""
     return spread_join(spread_join(pairs, side_a, ["a"], "b", hot["a"]), side_b, ["b"], "a", hot["b"])
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+def likely(pairs: DataFrame, sketches: DataFrame, threshold: float, hot: dict[str, DataFrame | None]) -> DataFrame:
     """The pairs (a, b) that the joint likelihood does not rule out."""
     side = lambda c: sketches.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     margin = ERRORS * float(np.sqrt(threshold * (1 - threshold) / REGISTERS))
-    sized = materialise(
-        with_sides(pairs, side("a").drop("s_a"), side("b").drop("s_b"))
+    sized = (
+        with_sides(pairs, side("a").drop("s_a"), side("b").drop("s_b"), hot)
         .filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).select("a", "b")
     )
-    both = with_sides(sized, side("a"), side("b"))
+    both = with_sides(sized, side("a"), side("b"), hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -145,7 +149,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, df: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def confirmed(pairs: DataFrame, df: DataFrame, k: int, percent: int, id_col: str, text_col: str, hot: dict[str, DataFrame | None]) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     pairs = materialise(pairs)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -158,7 +162,7 @@ def confirmed(pairs: DataFrame, df: DataFrame, k: int, percent: int, id_col: str
 
     items = texts.mapInArrow(sets, "id long, items binary")
     side = lambda c: items.select(F.col("id").alias(c), F.col("items").alias(f"i_{c}"))
-    both = with_sides(pairs, side("a"), side("b"))
+    both = with_sides(pairs, side("a"), side("b"), hot)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +257,8 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         return x.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     stars = materialise(ordered(members.select(F.col("id").alias("x"), F.explode(F.array("l1", "l3")).alias("y"))))
-    links = materialise(confirmed(likely(stars, sketches, threshold), df, k, percent, id_col, text_col))
+    hot = leaders(stars)
+    links = materialise(confirmed(likely(stars, sketches, threshold, hot), df, k, percent, id_col, text_col, hot))
     labels = components(links)
 
     placed = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
@@ -279,7 +284,9 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     other = few.select("key", F.col("id").alias("y"), F.col("label").alias("ly"))
     crossing = crossing.union(few.select("key", F.col("id").alias("x"), F.col("label").alias("lx")).join(other, "key").filter("x < y and lx <> ly").select("x", "y"))
     more = ordered(crossing).join(stars, ["a", "b"], "left_anti")
-    extra = materialise(confirmed(likely(materialise(more), sketches, threshold), df, k, percent, id_col, text_col))
+    more = materialise(more)
+    hot = leaders(more)
+    extra = materialise(confirmed(likely(more, sketches, threshold, hot), df, k, percent, id_col, text_col, hot))
     if extra.limit(1).count():
         labels = components(links.union(extra))
 
