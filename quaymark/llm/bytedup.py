@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions
-from .grams import parts, prefix_sums, substring_hashes
+from .grams import fixed_hashes, parts, prefix_sums, substring_hashes
 from .repeats import COUNTS, anchor_counts, column, dealt, firsts, ids_of, is_first, looked_up, member, places_of_least, shared_anchors, split_seeds
 from .suffix import common_prefixes, suffix_array
 
@@ -30,6 +30,9 @@ LENGTH, SEED = 100, 32
 CHUNK = 500_000
 #: Anchors with more contexts than this (different ones of each group, summed over groups) send single windows.
 HOT = 5_000
+#: Windows of a context at most, rounded up to whole bytes: every mask has this many bits.
+WIDE = -(-(LENGTH - SEED + 1) // 8) * 8
+FULL = [np.packbits(np.arange(WIDE) < n).tobytes() for n in range(WIDE + 1)]
 #: Bytes of contexts to a suffix array; anchors are never split.
 SHARD = 1_000_000
 
@@ -53,8 +56,7 @@ class Runs:
         if n <= 0:
             self.anchor = self.at = self.size = self.owner = np.zeros(0, np.int64)
             return
-        at = np.arange(len(self.flat) - SEED + 1)
-        seeds = substring_hashes(self.sums, self.down, at, at + SEED)
+        seeds = fixed_hashes(self.sums, self.down, SEED)
         pos = places_of_least(seeds, LENGTH - SEED + 1)
         valid = np.zeros(n + 1, bool)
         edge = np.zeros(n + 1, np.int32)
@@ -118,8 +120,8 @@ def _contexts(key: tuple[pa.Scalar, ...], docs: pa.Table, seeds: pa.Table) -> pa
         "id": pa.array(i[order]), "at": pa.array(at[order]), "size": pa.array(n[order].astype(np.int32)), "body": pa.array([body[x] for x in order.tolist()], pa.binary())})
 
 
-def repeated_windows(bodies: list[bytes], ids: np.ndarray, ats: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """For different contexts, which of their windows also start earlier in another one."""
+def repeated_windows(bodies: list[bytes], ids: np.ndarray, ats: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For different contexts, which of their windows (WIDE columns) also start earlier in another one."""
     total = sum(map(len, bodies)) + len(bodies) + 1
     s = np.ones(total, np.int64)
     first = np.zeros(len(bodies), np.int64)
@@ -150,14 +152,15 @@ def repeated_windows(bodies: list[bytes], ids: np.ndarray, ats: np.ndarray, size
     least = np.minimum.reduceat(key, cuts)
     again = np.zeros(total, bool)
     again[sa] = (key < never) & (key > least[joined])
-    return [again[f : f + n] for f, n in zip(first.tolist(), sizes.tolist())]
+    column = np.arange(WIDE)
+    return again[np.minimum(first[:, None] + column, total - 1)] & (column < sizes[:, None])
 
 
 MARKS = "group int, key long, context long, mask binary"
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted contexts of a shard -> for every (group, context) with repeats a bit for each window."""
+    """Sorted contexts of a shard -> for every (group, context) with repeats a bit for each window (WIDE bits)."""
     pending: list[tuple] = []  # different contexts of anchors not yet decided: (rows of one anchor)
     size, rows, last = 0, [], None
 
@@ -171,7 +174,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     heads.append(r)
             for r in rows:
                 if r[3:5] != heads[distinct[r[6]]][3:5]:
-                    out.append((r[2], r[0], r[1], np.packbits(np.ones(r[5], bool)).tobytes()))
+                    out.append((r[2], r[0], r[1], FULL[r[5]]))
             if len(heads) > 1:
                 pending.extend(heads)
                 size += sum(len(h[6]) for h in heads)
@@ -181,7 +184,8 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal size
         if pending:
             found = repeated_windows([p[6] for p in pending], np.array([p[3] for p in pending]), np.array([p[4] for p in pending]), np.array([p[5] for p in pending]))
-            out.extend((p[2], p[0], p[1], np.packbits(m).tobytes()) for p, m in zip(pending, found) if m.any())
+            on = np.flatnonzero(found.any(1))
+            out.extend((pending[i][2], pending[i][0], pending[i][1], m.tobytes()) for i, m in zip(on.tolist(), np.packbits(found[on], axis=1)))
             pending.clear()
             size = 0
 
@@ -213,7 +217,8 @@ def _cut(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table) -> pa.Tabl
     is_hot = np.array([m is None for m in mask], bool)
     hot = np.unique(mk[is_hot])
     at = np.flatnonzero(~is_hot)
-    mk, mc, mask = mk[at], mc[at], [mask[x] for x in at.tolist()]
+    mk, mc = mk[at], mc[at]
+    mask = np.unpackbits(np.frombuffer(b"".join(mask[x] for x in at.tolist()), np.uint8).reshape(-1, WIDE // 8), axis=1)
     runs, single, held = [], [], []
     for rows, ids, texts in chunks(docs):
         r = Runs(texts)
@@ -235,10 +240,11 @@ def _cut(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table) -> pa.Tabl
         cover = np.zeros(len(flat) + 1, np.int32)
         np.add.at(cover, at[~first], 1)  # a context that occurs before in this group: all of its windows repeat
         np.add.at(cover, at[~first] + size[~first] + LENGTH - 1, -1)
-        for x in np.flatnonzero(first & (mark > 0)).tolist():
-            bad = at[x] + np.flatnonzero(np.unpackbits(np.frombuffer(mask[mark[x] - 1], np.uint8))[: size[x]])
-            np.add.at(cover, bad, 1)
-            np.add.at(cover, bad + LENGTH, -1)
+        told = np.flatnonzero(first & (mark > 0))
+        which, window = np.nonzero(mask[mark[told] - 1])
+        bad = at[told][which] + window
+        np.add.at(cover, bad, 1)
+        np.add.at(cover, bad + LENGTH, -1)
         bad = s[4][~first_single[base_w : base_w + len(s[4])] | (mark_single[base_w : base_w + len(s[4])] > 0)]
         np.add.at(cover, bad, 1)
         np.add.at(cover, bad + LENGTH, -1)
@@ -248,10 +254,9 @@ def _cut(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table) -> pa.Tabl
         out, upto = flat[stay].tobytes(), np.append(0, np.cumsum(stay))
         for d in range(len(rows)):
             a, e = int(starts[d]), int(ends[d])
-            edges = np.flatnonzero(np.diff(gone[a:e].view(np.int8), prepend=np.int8(0), append=np.int8(0))) if e > a else np.zeros(0, np.int64)
             n_bytes.append(e - a)
             n_removed.append(int(e - a - (upto[e] - upto[a])))
-            spans.append(edges.tolist())
+            spans.append(np.flatnonzero(np.diff(gone[a:e].view(np.int8), prepend=np.int8(0), append=np.int8(0))).tolist() if n_removed[-1] else [])
             kept.append(out[int(upto[a]) : int(upto[e])])
     return pa.table({"id": docs["id"], "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())})
 

@@ -50,6 +50,14 @@ def substring_hashes(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, end
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * BASE)
 
 
+def fixed_hashes(sums: np.ndarray, down: np.ndarray, size: int) -> np.ndarray:
+    """``substring_hashes`` of all substrings of one length, by slices."""
+    h = sums[size:] - sums[:-size]
+    h *= down[: len(h)]
+    h += U(size * int(BASE) % (1 << 64))
+    return mix(h)
+
+
 class Texts:
     """Texts as one byte array, each followed by a space: words with their places and hashes."""
 
