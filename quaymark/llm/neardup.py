@@ -16,7 +16,7 @@ these pairs are never made.  A last pass over the components gives each document
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +117,17 @@ def sketch(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text"
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, whole binary, sketch binary")
 
 
+def one_text(texts: DataFrame, every: DataFrame, make: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Texts (id, text) and their sets (id, ..., whole) with one text for each id that is not null: where an id's sets differ, its smallest text."""
+    full = every.filter("id is not null")
+    differ = materialise(full.groupBy("id").agg(F.min("whole").alias("x"), F.max("whole").alias("y")).filter("x <> y").select("id"))
+    if not differ.limit(1).count():
+        return texts, full
+    chosen = materialise(texts.join(differ, "id", "left_semi").groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
+    rest = lambda df: df.join(differ, "id", "left_anti")
+    return rest(texts).unionByName(chosen), rest(full).unionByName(make(chosen).select(full.columns))
+
+
 def leaders(pairs: DataFrame) -> dict[str, DataFrame | None]:
     """The members a and b of very many pairs."""
     return {c: frequent(pairs.groupBy(c).count(), [c], least=LEADER_PAIRS) for c in "ab"}
@@ -229,13 +240,15 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     The smallest id of a component is kept, so there are no ties.  Null, empty and white-space texts have no
     shingles, are linked with nothing and stay; a text of any length is read whole.  Rows that repeat an id are one
-    document for links as long as their texts agree; every row is returned.  Ids are integers (another type raises TypeError); a row
+    document; where their texts differ, the smallest text stands for it (each row keeps its own n_shingles); every row is returned.  Ids are integers (another type raises TypeError); a row
     with a null id links with nothing and stays.  An empty table gives an empty result; other columns are ignored.
     """
     integral(df, id_col)
     threshold = percent / 100
     every = materialise(sketch(df, k, id_col, text_col))
-    full = every.filter("n_shingles > 0 and id is not null")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts, full = one_text(texts, every, lambda t: sketch(t, k, "id"))
+    full = full.filter("n_shingles > 0")
     same = ["n_shingles", "whole"]
     classes = full.groupBy(*same).agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("n"))
     repeated = full.groupBy("id").count().filter("count > 1").limit(1).count() > 0
@@ -245,27 +258,28 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("sketch"), i * 2 * ROWS + 1, F.lit(2 * ROWS)))).alias("band", "part")
     keyed = sketches.select("id", band).select("id", F.xxhash64("band", "part").alias("key"))
-    met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("l1"), F.max("id").alias("l2")).filter("l1 < l2").drop("l2")
-    shared = materialise(keyed.join(met, "key"))
+    met = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("l1"), F.max("id").alias("l2")).filter("l1 < l2").drop("l2"))
+    crowded = frequent(met, ["key"], "n")
+    shared = materialise(spread_join(keyed, met, ["key"], "id", crowded))
     # whoever shares bands with most others is nearest to the middle of its group, so it leads its buckets
     fame = shared.groupBy("id").agg(F.sum("n").alias("fame"))
     placed_by_fame = shared.join(fame, "id")
     chief = placed_by_fame.groupBy("key").agg(F.max_by("id", F.struct(F.col("fame"), -F.col("id"))).alias("l3"))
-    members = materialise(shared.drop("n").join(chief, "key"))
+    members = materialise(spread_join(shared.drop("n"), chief, ["key"], "id", crowded))
 
     def ordered(x: DataFrame) -> DataFrame:
         return x.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     stars = materialise(ordered(members.select(F.col("id").alias("x"), F.explode(F.array("l1", "l3")).alias("y"))))
     hot = leaders(stars)
-    links = materialise(confirmed(likely(stars, sketches, threshold, hot), df, k, percent, id_col, text_col, hot))
+    links = materialise(confirmed(likely(stars, sketches, threshold, hot), texts, k, percent, "id", "text", hot))
     labels = components(links)
 
     placed = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     per_label = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
     main = per_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("size")).filter("labels > 1 and size > 2")
-    open_ = materialise(placed.join(main.select("key", "main", "size"), "key").withColumn("big", F.col("label") == F.col("main")))
-    sized = open_.join(shared_sizes(open_.filter(F.col("size") > FEW), sketches, df, k, id_col, text_col, repeated), "id")
+    open_ = materialise(spread_join(placed, main.select("key", "main", "size"), ["key"], "id", crowded).withColumn("big", F.col("label") == F.col("main")))
+    sized = open_.join(shared_sizes(open_.filter(F.col("size") > FEW), sketches, texts, k, "id", "text", repeated), "id")
     # |x ∩ y| is at most what of each is not its own alone, so similarity t needs t / (1 + t) * (n_x + n_y) <= common + rare of both
     step, need = float(np.log(1.02)), threshold / (1 + threshold)
     low = F.ceil(threshold * F.col("n"))
@@ -286,7 +300,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     more = ordered(crossing).join(stars, ["a", "b"], "left_anti")
     more = materialise(more)
     hot = leaders(more)
-    extra = materialise(confirmed(likely(more, sketches, threshold, hot), df, k, percent, id_col, text_col, hot))
+    extra = materialise(confirmed(likely(more, sketches, threshold, hot), texts, k, percent, "id", "text", hot))
     if extra.limit(1).count():
         labels = components(links.union(extra))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import bpe, bytedup, exact, langid, matroska, mixing, neardup, pii, repeats, toxicity
+from . import align, bpe, bytedup, countjoin, exact, langid, matroska, mixing, neardup, pii, prefixes, repeats, toxicity
 from .common import table
 
 
@@ -18,6 +18,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bytedup.remove_repeated_bytes(table(ship(spark), sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -75,9 +81,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(ship(spark), sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_count_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return countjoin.similar_sets(table(ship(spark), sf_dir, "documents"), k=4, percent=85)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = align.align(table(ship(spark), sf_dir, "documents"), vocabulary(), pieces(), digest=True)
+    return made.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_language_id, op3_exact_dedup, op4_pii, op5_toxicity, op6_bpe, op7_mixing, op8_matroska, op9_near_dedup, op10_substring_dedup)
+    for f in (op1_suffix_dedup, op2_language_id, op3_exact_dedup, op4_pii, op5_toxicity, op6_bpe, op7_mixing, op8_matroska, op9_near_dedup, op10_substring_dedup, op11_prefix_trie, op12_count_join, op13_token_alignment)
 }
 
 SQL = {
@@ -102,6 +121,31 @@ SQL = {
         e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
         r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
         SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id, min(c) = r.doc_id AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op12_count_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: md5(array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END) AS k FROM d)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op11_prefix_trie": r"""
+        WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (SELECT c, count(*) AS n, list_reduce([4294967295::UBIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::UBIGINT),
+                lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda u, v: xor(u >> 1, 3988292384::UBIGINT * (u & 1)))) AS crc FROM t GROUP BY c),
+        h AS (SELECT a.c, a.c - a.c % 20 AS base, a.n, (xor(crc, 4294967295::UBIGINT) % 4)::BIGINT AS h, coalesce((SELECT n FROM ids b WHERE b.c = a.c - a.c % 20), 0) AS nb FROM ids a),
+        r AS (SELECT h.c, t.pos AS d, role, text FROM h JOIN t ON t.c = h.base AND t.pos <= h.h UNION ALL SELECT h.c, t.pos - h.h + least(h.h, nb), role, text FROM h JOIN t ON t.c = h.c AND t.pos > h.h),
+        p AS (SELECT c, d, string_agg(md5(role) || md5(text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d) AS raw, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM r),
+        q AS (SELECT c, d, md5(raw) AS k, w FROM p UNION ALL SELECT c, 0, '', 0 FROM h),
+        f AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, max(d) OVER (PARTITION BY c) = d AS final FROM q),
+        nodes AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, any_value(up) AS up, any_value(w) AS w, string_agg(CASE WHEN final THEN c::VARCHAR END, ',' ORDER BY c) AS ends FROM f GROUP BY d, k),
+        kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+        full_ AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, k)),
+        reach AS (SELECT DISTINCT a.d, a.k, b.d AS d2, b.k AS k2 FROM f a JOIN f b ON a.c = b.c AND a.d <= b.d),
+        below AS (SELECT reach.d, reach.k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * w) AS saved FROM reach JOIN full_ v ON v.d = reach.d2 AND v.k = reach.k2 GROUP BY 1, 2)
+        SELECT a.conv_id, a.d AS depth, u.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
+        FROM full_ a JOIN below USING (d, k) LEFT JOIN full_ u ON u.d = a.d - 1 AND u.k = a.up""",
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm, length(coalesce(text, '')) AS n FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
