@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import bounded
+from .terms import find_terms
 
 
 def offers_with_seller(offers: DataFrame, sellers: DataFrame) -> DataFrame:
@@ -139,20 +138,6 @@ def reconcile_by_key(left: DataFrame, right: DataFrame, key: str, fields: Sequen
     return x.select("k", F.explode(pairs).alias("p")).select("k", "p.*").filter(~F.col("left").eqNullSafe(F.col("right")))
 
 
-def token_jaccard(a: Column, b: Column) -> Column:
-    x, y = F.array_distinct(F.split(F.lower(a), r"[^\p{L}\p{N}]+")), F.array_distinct(F.split(F.lower(b), r"[^\p{L}\p{N}]+"))
-    return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-
-
-def reconcile_by_similarity(left: DataFrame, right: DataFrame, keys: Sequence[str], least: float = 0.5) -> DataFrame:
-    """For each left row the right row of the same keys with the most similar name, unless one has the same price."""
-    r = right.select(*keys, F.col("item_id").alias("other_id"), F.col("name").alias("other_name"), F.col("price").alias("other_price"))
-    x = left.join(r, list(keys)).withColumn("similarity", token_jaccard(F.col("name"), F.col("other_name")))
-    w = Window.partitionBy("item_id")
-    x = x.withColumn("twin", F.max((F.abs(F.col("price") - F.col("other_price")) < 0.01).cast("int")).over(w)).filter((F.col("twin") == 0) & (F.col("similarity") >= least))
-    return x.withColumn("rn", F.row_number().over(w.orderBy(F.desc("similarity"), "other_id"))).filter("rn = 1")
-
-
 def price_gaps(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs whose prices differ by at least 1, not by under 500 and 1 % at once, and not by over five times."""
     gap = F.abs(F.col(a) - F.col(b))
@@ -185,45 +170,6 @@ def step_signature(vector: Column, bits: int = 63) -> Column:
     return sign_signature(F.zip_with(F.slice(vector, 2, bits), F.slice(vector, 1, bits), lambda a, b: a - b), bits)
 
 
-def hamming_pairs(left: DataFrame, right: DataFrame, most: int, bands: int = 4, sig: str = "sig", id_col: str = "vec_id", second: str | None = None) -> DataFrame:
-    """Pairs of 64-bit signatures within ``most`` differing bits, by a multi-index join.
-
-    The bits fall into bands.  A pair within ``most`` bits differs in at most most // bands of them in some band, so each right
-    signature asks for every value that near to its own in each band (697 of 65,536 values for up to 15 bits in 4 bands).
-    The smaller side should be the right one.  A ``second`` signature goes along and gives distance2.
-    """
-    if 64 % bands or most < 0:
-        raise ValueError("bands must divide 64")
-    width, flips = 64 // bands, most // bands
-    mask = (1 << width) - 1
-    near = [sum(1 << b for b in c) for k in range(flips + 1) for c in combinations(range(width), k)]
-    if len(near) > 20_000:
-        raise ValueError("too many near values: take more bands")
-    part = lambda x, b: F.shiftrightunsigned(x, b * width).bitwiseAND(F.lit(mask))
-    banded = lambda df, id_, sig_, second_: df.select(F.col(id_col).alias(id_), F.col(sig).alias(sig_), *([F.col(second).alias(second_)] if second else []), F.posexplode(F.array(*(part(F.col(sig), b) for b in range(bands)))).alias("band", "value"))
-    flipped = F.explode(F.expr(f"array({', '.join(map(str, near))})")).alias("flip")
-    probes = banded(right, "id2", "sig2", "second2").select("*", flipped).withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
-    bits = F.col("sig").bitwiseXOR(F.col("sig2"))
-    pairs = banded(left, "id", "sig", "second").join(probes, ["band", "value"]).withColumn("distance", F.bit_count(bits)).filter((F.col("id") != F.col("id2")) & (F.col("distance") <= most))
-    # the first band that is near speaks for a pair
-    first = F.coalesce(*(F.when(F.bit_count(part(bits, b)) <= flips, b) for b in range(bands)))
-    apart = [F.bit_count(F.col("second").bitwiseXOR(F.col("second2"))).alias("distance2")] if second else []
-    return pairs.filter(F.col("band") == first).select("id", "id2", "distance", *apart)
-
-
-def signature_levels(
-    left: DataFrame, right: DataFrame, sig: str = "sig", step: str = "step", id_col: str = "vec_id", same: tuple[int, int] = (6, 10), similar: tuple[int, int] = (12, 16), bands: int = 4,
-) -> DataFrame:
-    """Pairs near in both signatures, with a level: ``same`` or ``similar`` by the most bits that the first and the second may differ in.
-
-    The first signature finds the candidates; a pair that is far in the second one is no match.
-    """
-    x = hamming_pairs(left, right, max(same[0], similar[0]), bands, sig, id_col, step)
-    within = lambda most: (F.col("distance") <= most[0]) & (F.col("distance2") <= most[1])
-    level = F.when(within(same), "same").when(within(similar), "similar")
-    return x.withColumn("level", level).filter("level IS NOT NULL").select("id", "id2", "distance", "distance2", "level")
-
-
 def reuse_by_url(wanted: DataFrame, done: DataFrame, url: str, value: str) -> DataFrame:
     """Rows not done yet, with the value of another row that has the same url."""
     known = done.groupBy(url).agg(F.min(value).alias(value))
@@ -274,11 +220,12 @@ def previous_ok_run(runs: DataFrame) -> DataFrame:
 
 
 def mentions_gap(texts: DataFrame, own: DataFrame, terms: DataFrame, text: str, who: str, least: int = 2) -> DataFrame:
-    """Terms that texts of several sellers hold and own texts lack; ``terms`` is a rule table, broadcast after a check of its size."""
-    t = bounded(terms.select("term").distinct())
-    hits = texts.join(t, F.contains(F.lower(F.col(text)), F.lower("term"))).groupBy("term").agg(F.countDistinct(who).alias("sellers"), F.count("*").alias("texts"))
-    mine = own.join(t, F.contains(F.lower(F.col(text)), F.lower("term"))).select("term").distinct()
-    return hits.filter(F.col("sellers") >= least).join(mine, "term", "left_anti")
+    """Terms that texts of several sellers hold and own texts lack, from one pass over all texts whatever the number of terms."""
+    t = terms.select("term").distinct().withColumn("_t", F.lower("term"))
+    held = find_terms(texts.select(who, text), t, text, "_t", "_terms").select(who, F.explode("_terms").alias("_t"))
+    hits = held.groupBy("_t").agg(F.countDistinct(who).alias("sellers"), F.count("*").alias("texts")).filter(F.col("sellers") >= least)
+    mine = find_terms(own.select(text), t, text, "_t", "_terms").select(F.explode("_terms").alias("_t")).distinct()
+    return hits.join(mine, "_t", "left_anti").join(t, "_t").select("term", "sellers", "texts")
 
 
 def fill_from_detail(listing: DataFrame, detail: DataFrame, url: str, fields: Sequence[str], per_page: int = 40) -> DataFrame:

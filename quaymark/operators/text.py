@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .sizes import bounded
+from .terms import find_terms
 
 #: Spaces other than U+0020, and characters without width, that titles carry (fixed values).
 ODD_SPACES = "      "
@@ -60,8 +61,10 @@ def first_label(rules: Sequence[Rule], otherwise: Column | None = None) -> Colum
 
 
 def first_label_by_table(df: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
-    """The same for long lists: rules(ord, pattern, label) join by containment, the least ord wins."""
-    hit = df.join(bounded(rules), F.contains(F.lower(F.col(text)), F.col("pattern"))).groupBy(key).agg(F.min_by("label", "ord").alias("label"))
+    """The same for lists of any length, rules(ord, pattern, label): one pass finds all patterns that a text holds, the least ord wins."""
+    r = rules.select(F.lower("pattern").alias("_pattern"), "ord", "label")
+    held = find_terms(df.select(key, text), r, text, "_pattern", "_held").select(key, F.explode("_held").alias("_pattern"))
+    hit = held.join(bounded(r), "_pattern").groupBy(key).agg(F.min_by("label", "ord").alias("label"))
     return df.join(hit, key, "left")
 
 

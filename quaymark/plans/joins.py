@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as O
+from ..operators.names import reconcile_by_similarity as by_similarity
+from ..operators.signatures import signature_levels
 from .bindings import catalog, findings, matches, offers, read, run_log, sellers, signatures
 from .registry import query
 
@@ -120,7 +122,7 @@ def reconcile_by_key(spark, d):
     FROM one o JOIN two t USING (brand, capacity, kind)) SELECT item_id, other_id, round_even(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, other_id) AS rn FROM (SELECT *, bool_or(eq) OVER (PARTITION BY item_id) AS twin FROM x) WHERE NOT twin AND similarity >= 0.5) WHERE rn = 1""")
 def reconcile_by_similarity(spark, d):
     one, two = sites(spark, d)
-    return O.reconcile_by_similarity(one, two, ["brand", "capacity", "kind"]).select("item_id", "other_id", F.bround("similarity", 6).alias("similarity"))
+    return by_similarity(one, two, ["brand", "capacity", "kind"]).select("item_id", "other_id", F.bround("similarity", 6).alias("similarity"))
 
 
 @query("price_gap_rules", "{catalog} , " + SITES + """ SELECT item_id, round_even(abs(o.price - t.price), 6) AS gap, CASE WHEN abs(o.price - t.price) / least(o.price, t.price) >= 0.03 THEN 'medium' ELSE 'low' END AS severity FROM one o JOIN two t USING (item_id)
@@ -142,7 +144,7 @@ LEVELS = "lv AS (SELECT * FROM (SELECT a.vec_id AS id, b.vec_id AS id2, bit_coun
 
 def levels(spark, d):
     s = signatures(spark, d)
-    return O.signature_levels(s.filter("side = 0"), s.filter("side = 1"), same=(17, 26), similar=(19, 30))
+    return signature_levels(s.filter("side = 0"), s.filter("side = 1"), same=(17, 26), similar=(19, 30))
 
 
 @query("hamming_join", "{sigs} , " + LEVELS + " SELECT * FROM lv")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quaymark.operators import changes, decisions, joins, pages, signals, text
+from quaymark.operators import changes, decisions, joins, names, pages, series, signals, signatures, terms, text
 from quaymark.sources import imports
 from quaymark.streaming import jobs
 
@@ -119,11 +119,99 @@ def test_findings_emit_once(spark):
 def test_banded_join_equals_all_pairs(spark):
     df = spark.range(300).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.xxhash64(F.col("id") % 20)).bitwiseXOR(F.col("id") * 7).alias("sig"))
     a, b = df.filter("vec_id % 2 = 0"), df.filter("vec_id % 2 = 1")
-    got = joins.hamming_pairs(a, b, 12).collect()
+    got = signatures.hamming_pairs(a, b, 12).collect()
     every = a.crossJoin(b.select(F.col("vec_id").alias("v2"), F.col("sig").alias("s2"))).filter(F.bit_count(F.col("sig").bitwiseXOR(F.col("s2"))) <= 12).count()
     assert len(got) == len({(r.id, r.id2) for r in got}) == every > 0
 
 
+@pytest.mark.parametrize("most", [6, 12])
+def test_few_pairs_become_candidates(spark, most):
+    """With bands dealt for a million rows on each side under 1 % of random pairs are compared, and no near pair is lost."""
+    bands = signatures.deal_bits(10**6, 10**6, [0.5] * 64, most)
+    assert sum(b.most + 1 for b in bands) == most + 1 and sum(len(b.bits) for b in bands) <= 64
+    df = spark.range(2000).select(F.col("id").alias("vec_id"), F.xxhash64("id").alias("sig"))
+    noise = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("id", k), F.lit(64)).cast("int"))))
+    right = spark.range(2000).select(F.col("id").alias("vec_id"), F.xxhash64("id").bitwiseXOR(noise).alias("sig"))
+    found = signatures.hamming_candidates(df, right, most, "sig", "vec_id", None, bands, True).select("id", "id2").distinct()
+    assert found.count() < 0.01 * 2000 * 2000
+    assert found.filter("id = id2").count() == 2000
+
+
+def test_bits_that_tell_nothing_get_no_threshold(spark):
+    bands = signatures.deal_bits(10**6, 10**6, [0.5] * 32 + [0.0] * 32, 6)
+    assert sum(b.most + 1 for b in bands) == 7
+    assert all(signatures.within([0.5 if i < 32 else 0.0 for i in b.bits])[b.most] < 0.05 for b in bands)
+
+
+def test_signatures_of_all_signs(spark):
+    rows = [(1, -1), (2, 0), (3, 1 << 62), (4, -(1 << 63)), (5, None), (6, -1)]
+    df = spark.createDataFrame(rows, "vec_id long, sig long")
+    got = {(r.id, r.id2): r.distance for r in signatures.hamming_pairs(df, df, 2).collect()}
+    want = {(i, j): bin((a ^ b) & (1 << 64) - 1).count("1") for i, a in rows for j, b in rows if i != j and a is not None and b is not None}
+    assert got == {k: v for k, v in want.items() if v <= 2}
+    assert signatures.hamming_pairs(df.limit(0), df, 3).count() == 0
+
+
+def test_names_meet_on_rare_words(spark):
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    name = lambda: " ".join(rng.choices(words, weights=range(1, 41), k=rng.randint(1, 7)))
+    schema = "item_id int, name string, price double, k int"
+    left = [(i, name(), float(rng.randint(1, 400)), rng.randint(0, 1)) for i in range(150)] + [(150, None, 1.0, 0), (151, "W1 w2", 0.5, None), (152, "?!", 0.1, 0)]
+    right = [(i, name(), float(rng.randint(1, 400)), rng.randint(0, 1)) for i in range(150)] + [(500, None, 1.0, 0), (501, "w2, w1", 0.3, None), (502, "!!", 0.2, 0)]
+    for least in (0.34, 0.5, 0.75, 1.0):
+        got = {r.item_id: (r.other_id, round(r.similarity, 9)) for r in names.reconcile_by_similarity(*(spark.createDataFrame(x, schema) for x in (left, right)), ["k"], least).collect()}
+        want = {}
+        tokens = lambda s: set("".join(c if c.isalnum() else " " for c in s.lower()).split()) if any(map(str.isalnum, s)) else {""}
+        for (i, a, p, k), (j, b, q, m) in itertools.product(left, right):
+            if k == m and k is not None and a is not None and b is not None:
+                x, y = tokens(a), tokens(b)
+                s = len(x & y) / len(x | y)
+                if s >= least and (i not in want or (-s, j) < want[i]):
+                    want[i] = (-s, j)
+        same = {i for (i, _, p, k), (_, _, q, m) in itertools.product(left, right) if k == m and k is not None and abs(p - q) < 0.01}
+        assert got == {i: (j, round(-s, 9)) for i, (s, j) in want.items() if i not in same}
+
+
+def test_one_group_of_many_names(spark):
+    """Fifty thousand names with one key on each side: words, not the key, bring them together."""
+    n = 50_000
+    base = lambda shift: spark.range(n).select((F.col("id") + shift).alias("item_id"), F.concat_ws(" ", F.lit("guide set"), F.hex(F.xxhash64("id")), F.hex(F.xxhash64(F.col("id") % 25_000))).alias("name"), (F.col("id") + 0.5 * F.sign(F.lit(shift))).alias("price"), F.lit(1).alias("k"))
+    out = names.reconcile_by_similarity(base(0), base(n), ["k"], 0.8)
+    assert out.count() == n and out.filter(F.col("other_id") != F.col("item_id") + n).count() == 0
+
+
+def test_many_terms_in_one_pass(spark):
+    import random
+
+    rng = random.Random(4)
+    letters = "abcdefghij"
+    many = ["".join(rng.choices(letters, k=rng.randint(5, 9))) for _ in range(100_000)]
+    many += ["he", "she", "his", "hers", "É", "🙂", "a b"]
+    texts = ["uSHErs", "", None, "xé 🙂", "a b" * 400] + [" ".join(rng.choice(many) + "x" for _ in range(30)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    listed = spark.createDataFrame([(t,) for t in [*many, "", None]], "term string")
+    wanted = {t.lower() for t in many}
+    longest = max(map(len, wanted))
+    inside = lambda s: {s[i:j] for i in range(len(s)) for j in range(i + 1, min(len(s), i + longest) + 1)} & wanted
+    for limit in (1_000_000, 30_000):  # one automaton, and several
+        got = {r.i: set(r.terms) for r in terms.find_terms(df, listed, "t", limit=limit).collect()}
+        assert got == {i: inside((t or "").lower()) for i, t in enumerate(texts)}
+    assert [set(r.terms) for r in terms.find_terms(df, listed.limit(0), "t").collect()] == [set()] * len(texts)
+
+
+def test_term_plans_join_no_text_with_a_term(spark):
+    docs = spark.createDataFrame([("s1", "blue rings"), ("s2", "Blue bolts"), ("s3", "bolts"), ("own", "bolts")], "who string, t string")
+    listed = spark.createDataFrame([("Blue",), ("bolts",), ("ring",)], "term string")
+    out = joins.mentions_gap(docs.filter("who <> 'own'"), docs.filter("who = 'own'"), listed, "t", "who")
+    assert [tuple(r) for r in out.collect()] == [("Blue", 2, 2)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 HTML = """<html><head><title>T</title><script type="application/ld+json">{"@graph": [{"@type": ["Thing", "Product"], "name": "Guide", "sku": 7,
 "image": ["a.jpg"], "brand": {"name": "B"}, "offers": [{"price": "32500", "priceCurrency": "RUB", "availability": "http://schema.org/InStock"}]}]}</script></head>
 <body><header>skip</header><nav><a href="/x">x</a></nav><p>One &amp; two</p><p>12:30</p><p>One &amp; two</p><a href="/p">Link</a><table><tr><td>Range</td><td>100 m</td></tr></table><dl><dt>Weight</dt><dd>20 g</dd></dl></body></html>"""
