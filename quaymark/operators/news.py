@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .text import Rule, first_label
 
 
@@ -103,38 +105,87 @@ def events_from_offers(offers: DataFrame, runs: DataFrame, moves: DataFrame, day
     return new.unionByName(gone).unionByName(price).distinct()
 
 
+class KeptKeys:
+    """Name keys of kept events of the last days, by what they hold: finds a key that equals, holds or is held by another in time linear in its length."""
+
+    def __init__(self, span: int, least: int):
+        self.span, self.least = span, least
+        self.at: OrderedDict[str, int] = OrderedDict()  # the oldest first
+        self.by_first: dict[str, set[str]] = {}  # keys by their first ``least`` characters, or whole if shorter
+        self.by_gram: dict[str, set[str]] = {}  # keys by each run of ``least`` characters
+
+    def grams(self, key: str) -> set[str]:
+        return {key[i : i + self.least] for i in range(len(key) - self.least + 1)}
+
+    def forget(self, now: int) -> None:
+        while self.at and now - next(iter(self.at.values())) > self.span:
+            key, _ = self.at.popitem(last=False)
+            self.by_first[key[: self.least]].discard(key)
+            for g in self.grams(key):
+                self.by_gram[g].discard(key)
+                if not self.by_gram[g]:
+                    del self.by_gram[g]
+            if not self.by_first[key[: self.least]]:
+                del self.by_first[key[: self.least]]
+
+    def keep(self, key: str, now: int) -> None:
+        self.at[key] = now
+        self.by_first.setdefault(key[: self.least], set()).add(key)
+        for g in self.grams(key):
+            self.by_gram.setdefault(g, set()).add(key)
+
+    def repeats(self, key: str) -> bool:
+        if key in self.at:
+            return True
+        if len(key) < self.least:
+            return False
+        holding = min((self.by_gram.get(g, ()) for g in self.grams(key)), key=len)  # whoever holds the key holds all its runs
+        if any(key in k for k in holding):
+            return True
+        starts = (key[i : i + n] for n in range(1, self.least + 1) for i in range(len(key) - n + 1))
+        return any(key.find(k) >= 0 for s in starts for k in self.by_first.get(s, ()))
+
+
+def quiet_cuts(events: DataFrame, who: Sequence[str], days: int) -> DataFrame:
+    """(who, day, segment): the days on which there are events, cut where none follows for over ``days`` days.
+
+    A segment holds no event that may repeat one of another.  Only the days of a group are sorted, not its events.
+    """
+    w = Window.partitionBy(*who).orderBy("_day")
+    seen = events.select(*who, "_day").distinct()
+    fresh = (F.datediff("_day", F.lag("_day").over(w)) > days + 1).cast("long")
+    return seen.withColumn("_fresh", fresh).select(*who, "_day", F.coalesce(F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("_segment"))
+
+
 def dedupe_events(events: DataFrame, days: int = 14, least: int = 8) -> DataFrame:
     """Events without those that repeat a kept one of the same seller and type within some days.
 
     An event repeats a kept one with an equal name key, or, where its own key has ``least`` characters, with a key that
-    holds or is held by its own.  Each (seller, type) is read once in time order; only kept events of the last days are
-    remembered.  Events without a seller, type, name key or time are kept and not compared.
+    holds or is held by its own.  Events of a (seller, type) are cut where over ``days`` days have none; each segment is read once in time
+    order, with an index over the keys of the last days.  Events without a seller, type, name key or time are kept and not compared.
     """
-    who, span = ["seller_id", "event_type"], days * 86_400_000_000
-    columns = events.columns
-    x = events.withColumn("_us", F.unix_micros(F.col("at").cast("timestamp"))).repartition(*who).sortWithinPartitions(*who, "_us", "event_id")
+    ship(events.sparkSession)
+    who, span, columns = ["seller_id", "event_type"], days * 86_400_000_000, events.columns
+    x = events.withColumn("_us", F.unix_micros(F.col("at").cast("timestamp"))).withColumn("_day", F.to_date("at"))
+    able = F.col("seller_id").isNotNull() & F.col("event_type").isNotNull() & F.col("_us").isNotNull() & (F.coalesce(F.length("name_key"), F.lit(0)) > 0)
+    compared, free = x.filter(able), x.filter(~able).select(columns)
+    cut = compared.join(quiet_cuts(compared, who, days), [*who, "_day"])
+    cut = cut.repartition(*who, "_segment").sortWithinPartitions(*who, "_segment", "_us", "event_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import OrderedDict
-
-        group, kept = None, OrderedDict()  # name keys by the time of their kept event, the oldest first
+        segment, kept = None, None
         for b in batches:
             keep = []
-            for seller, kind, key, at in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (*who, "name_key", "_us"))):
-                if (seller, kind) != group:
-                    group, kept = (seller, kind), OrderedDict()
-                if seller is None or kind is None or not key or at is None:
-                    keep.append(True)
-                    continue
-                while kept and at - next(iter(kept.values())) > span:
-                    kept.popitem(last=False)
-                again = key in kept or (len(key) >= least and any(key in k or k in key for k in kept))
-                keep.append(not again)
-                if not again:
-                    kept[key] = at
+            for *now_in, key, at in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (*who, "_segment", "name_key", "_us")), strict=True):
+                if now_in != segment:
+                    segment, kept = now_in, KeptKeys(span, least)
+                kept.forget(at)
+                keep.append(not kept.repeats(key))
+                if keep[-1]:
+                    kept.keep(key, at)
             yield b.filter(pa.array(keep, pa.bool_())).select(columns)
 
-    return x.mapInArrow(run, events.schema)
+    return cut.mapInArrow(run, events.schema).unionByName(free)
 
 
 def run_status(runs: DataFrame) -> DataFrame:

@@ -57,13 +57,6 @@ def latest_value(df: DataFrame, key: Sequence[str], at: str, value: str = "value
     return df.groupBy(*key).agg(F.max_by(value, at).alias(value), F.max(at).alias(at))
 
 
-def nearest_by_value(df: DataFrame, targets: DataFrame, keys: Sequence[str], value: str, target: str, tie: str, n: int = 4) -> DataFrame:
-    """For each target row the n rows of the same keys whose value is nearest."""
-    x = targets.join(df, list(keys)).withColumn("gap", F.abs(F.col(value) - F.col(target)))
-    w = Window.partitionBy(*targets.columns).orderBy("gap", tie)
-    return x.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
-
-
 def collapse_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[Column], collapsible: Column, url: str) -> DataFrame:
     """The first row of each key with the number of rows and their urls; other rows pass through unchanged."""
     w = Window.partitionBy(*keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import series as O
+from ..operators.sweep import nearest_by_value as nearest
 from .bindings import OBS_ORDER, catalog, demand_obs, findings, offers, page_versions, price_obs, run_log, sellers
 from .registry import query
 
@@ -80,7 +81,7 @@ def first_per_key_by_price(spark, d):
 def nearest_by_value(spark, d):
     c = catalog(spark, d)
     t = c.filter("capacity = 7").select("category", "brand", F.col("item_id").alias("target_id"), F.col("price").alias("target_price"))
-    return O.nearest_by_value(c, t, ["category", "brand"], "price", "target_price", "item_id").select("target_id", "item_id", F.col("rn").cast("long").alias("rn"))
+    return nearest(c, t, ["category", "brand"], "price", "target_price", "item_id").select("target_id", "item_id", F.col("rn").cast("long").alias("rn"))
 
 
 @query("collapse_duplicates", """{offers} , x AS (SELECT *, lower(replace(name, ' ', '')) AS nk, round_even(price, -2) AS rp, 'u' || (item_id % 50) AS url FROM offers)

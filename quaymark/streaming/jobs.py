@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -14,22 +12,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.changes import upsert_offers
+from ..shared import shared_folder
 
 STORE_CLASS = "spark.sql.streaming.stateStore.providerClass"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of the session; only a local session without one (tests) gets a folder of its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None and not re.match(r"local($|\[)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quaymark-"))
-    return sc.getCheckpointDir()
-
-
 def read_observations(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """New observation files as a stream."""
     r = spark.readStream.schema(schema)
@@ -42,7 +30,7 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     Stateful streams here need the RocksDB store; it is set while the query starts, and the session gets its own setting back.
     """
     spark = stream.sparkSession
-    out = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     before = spark.conf.get(STORE_CLASS, "unset")
     spark.conf.set(STORE_CLASS, STATE_STORE)
     try:
@@ -198,7 +186,7 @@ def price_change_table(stream: DataFrame, key: str, order: Sequence[str]) -> Dat
     Batches overwrite their own output, so a repeated batch changes nothing; rows older than a key's last one are ignored.
     """
     spark = stream.sparkSession
-    folder = f"{scratch(spark)}/changes-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
     stream_schema = stream.schema
     state = KeyedState(spark.createDataFrame([], stream_schema), f"{folder}/last", [key])
 
@@ -244,7 +232,7 @@ def sliding_counts(stream: DataFrame, kind: str, watermark: str = "1 hour") -> D
 def upsert_stream(stream: DataFrame, start: DataFrame, keys: list[str], seen_at: str, newest: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Current offers after all batches: each micro-batch is upserted into the buckets of the table that its keys touch."""
     spark = stream.sparkSession
-    folder = f"{scratch(spark)}/upsert-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
     state = KeyedState(start, f"{folder}/state", keys)
 
     def apply(batch: DataFrame, n: int) -> None:

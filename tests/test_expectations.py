@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quaymark.operators import changes, decisions, joins, names, pages, series, signals, signatures, terms, text
+from quaymark.operators import changes, decisions, joins, names, news, pages, signals, signatures, sweep, terms, text
 from quaymark.sources import imports
 from quaymark.streaming import jobs
 
@@ -212,6 +212,50 @@ def test_term_plans_join_no_text_with_a_term(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def brute_nearest(items, targets, n):
+    out = []
+    for t, k, v in targets:
+        near = sorted((abs(x - v), i) for i, m, x in items if m == k and m is not None and x is not None and v is not None)
+        out += [(t, i, rn + 1) for rn, (_, i) in enumerate(near[:n])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n", [1, 3, 5])
+def test_nearest_by_value(spark, n):
+    import random
+
+    rng = random.Random(n)
+    items = [(i, rng.choice(["a", "b", "c", None]), rng.choice([None, rng.randint(0, 12), rng.randint(0, 1000)])) for i in range(300)]
+    items += [(1000 + i, "hot", float(i // 3)) for i in range(400)] + [(5000 + i, "same", 7.0) for i in range(100)]
+    targets = [(i, rng.choice(["a", "b", "none", "hot", "same", None]), rng.choice([None, rng.randint(-5, 400)])) for i in range(150)]
+    a = spark.createDataFrame([(i, k, None if v is None else float(v)) for i, k, v in items], "item_id int, k string, value double")
+    b = spark.createDataFrame([(i, k, None if v is None else float(v)) for i, k, v in targets], "target_id int, k string, wanted double")
+    out = sweep.nearest_by_value(a, b, ["k"], "value", "wanted", "item_id", n)
+    assert sorted((r.target_id, r.item_id, r.rn) for r in out.collect()) == brute_nearest(items, targets, n)
+
+
+def test_events_of_one_busy_seller(spark):
+    """Segments and the index of keys give what comparing with every kept event gives."""
+    import datetime
+    import random
+
+    rng = random.Random(8)
+    start = datetime.datetime(2024, 1, 1)
+    names_ = ["abc", "tourguide", "tourguide200", "newtourguide", "guide200x", "xtourguide200y", "longname1", "longname", "ab"]
+    for size in (400, 60):
+        rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice(["new", "gone"]), rng.choice([*names_, "", None]), start + datetime.timedelta(hours=rng.randint(0, 24 * 400))) for i in range(size)]
+        got = {r.event_id for r in news.dedupe_events(spark.createDataFrame(rows, "event_id int, seller_id int, event_type string, name_key string, at timestamp")).collect()}
+        want, kept = set(), []
+        for i, seller, kind, key, at in sorted(rows, key=lambda r: (r[4], r[0])):
+            again = seller is not None and key and any(
+                s == seller and t == kind and at - u <= datetime.timedelta(days=14) and (k == key or len(key) >= 8 and (k in key or key in k)) for s, t, k, u in kept)
+            if not again:
+                want.add(i)
+                if seller is not None and key:
+                    kept.append((seller, kind, key, at))
+        assert got == want
+
+
 HTML = """<html><head><title>T</title><script type="application/ld+json">{"@graph": [{"@type": ["Thing", "Product"], "name": "Guide", "sku": 7,
 "image": ["a.jpg"], "brand": {"name": "B"}, "offers": [{"price": "32500", "priceCurrency": "RUB", "availability": "http://schema.org/InStock"}]}]}</script></head>
 <body><header>skip</header><nav><a href="/x">x</a></nav><p>One &amp; two</p><p>12:30</p><p>One &amp; two</p><a href="/p">Link</a><table><tr><td>Range</td><td>100 m</td></tr></table><dl><dt>Weight</dt><dd>20 g</dd></dl></body></html>"""
