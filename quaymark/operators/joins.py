@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialise
 from .terms import find_terms
 
 
@@ -26,11 +28,15 @@ def near_capacity(items: DataFrame, others: DataFrame, keys: Sequence[str], capa
     return wide.join(others.withColumn(other, F.col(other).cast("long")), [*keys, other])
 
 
-def spec_penalty(a: str, b: str) -> tuple[Column, Column]:
-    """(penalty, reasons) of two spec structs with two_way, band and range_m; a missing value never counts."""
+def spec_penalty(a: str, b: str, classify: bool = True) -> tuple[Column, Column]:
+    """(penalty, reasons) of two spec structs with two_way, band and range_m; a missing value never counts.
+
+    Without ``classify`` the bands are classes already, so that many pairs need not find them again.
+    """
     x, y = (lambda n: F.col(f"{a}.{n}")), (lambda n: F.col(f"{b}.{n}"))
+    kind = band_class if classify else lambda c: c
     two = F.when(x("two_way") & ~y("two_way"), 0.35).when(~x("two_way") & y("two_way"), 0.25).otherwise(0.0)
-    band = F.when(band_class(x("band")) != band_class(y("band")), 0.2).otherwise(0.0)
+    band = F.when(kind(x("band")) != kind(y("band")), 0.2).otherwise(0.0)
     ratio = F.greatest(x("range_m"), y("range_m")) / F.least(x("range_m"), y("range_m"))
     reach = F.when(ratio > 2, 0.1).otherwise(0.0)
     reasons = F.array_compact(F.array(F.when(two > 0, "two-way differs"), F.when(band > 0, "band differs"), F.when(reach > 0, "range differs")))
@@ -71,7 +77,7 @@ def match_exact_model(offers: DataFrame, items: DataFrame, aliases: DataFrame, b
 
 
 def analog_score(df: DataFrame, system: str, spec: bool) -> DataFrame:
-    """Candidates (kind, oc, op, ic, ip and, with ``spec``, two spec structs o_spec and i_spec) with a score."""
+    """Candidates (kind, oc, op, ic, ip and, with ``spec``, two spec structs o_spec and i_spec with classes of bands) with a score."""
     is_system = F.col("kind") == system
     oc, ic = F.col("oc"), F.col("ic")
     score = F.when(is_system, 0.4).otherwise(0.6)
@@ -79,33 +85,68 @@ def analog_score(df: DataFrame, system: str, spec: bool) -> DataFrame:
     ratio = price_ratio(F.col("op"), F.col("ip"))
     score = score + F.when(is_system, F.when(ratio <= 1.3, 0.15).when(ratio <= 2, 0.05).when(ratio > 2, -0.1).otherwise(0.0)).otherwise(F.when(ratio > 3, -0.15).otherwise(0.0))
     if spec:
-        score = score - F.coalesce(spec_penalty("i_spec", "o_spec")[0], F.lit(0.0))
+        score = score - F.coalesce(spec_penalty("i_spec", "o_spec", False)[0], F.lit(0.0))
     return df.withColumn("score", F.bround(score, 4))
 
 
+#: Of systems of another capacity: the highest score with a price ratio up to so much, and the highest beyond it.
+FAR_BOUNDS = ((1.3, 0.3), (2.0, 0.25))
+
+
+def far_systems(rest: DataFrame, items: DataFrame, known: DataFrame, system: str, spec: bool, best: int) -> DataFrame:
+    """The best scored systems of another capacity for offers of known capacity: price bands are read outwards until no further one can enter.
+
+    Candidates meet on price cells in reach of a ratio; an offer that has ``best`` candidates (``known`` ones count) over what any farther
+    price allows is done, and only the others ask the next reach.  Those that remain after the last reach, few where a category has many items, meet all of it.
+    """
+    found = None
+    keys = ["category", "kind"]
+    for reach, beyond in (*FAR_BOUNDS, (None, None)):
+        if reach is None:
+            pairs = rest.join(items, keys)
+        else:
+            cell = lambda c, r=reach: F.floor(F.log(F.when(F.col(c) > 0, F.col(c))) / math.log(r))
+            wide = rest.withColumn("_cell", F.explode(F.array(*(cell("op") + k for k in (-1, 0, 1)))))
+            pairs = wide.join(items.withColumn("_cell", cell("ip")), [*keys, "_cell"]).drop("_cell").filter(price_ratio(F.col("op"), F.col("ip")) <= reach)
+        scored = analog_score(pairs.filter(~capacity_close(F.col("ic"), F.col("oc"))), system, spec)
+        top = scored.withColumn("_rn", F.row_number().over(Window.partitionBy("offer_id").orderBy(F.desc("score"), "item_id"))).filter(F.col("_rn") <= best).drop("_rn")
+        if reach is None:
+            return top if found is None else found.unionByName(top)
+        top = materialise(top)
+        enough = top.select("offer_id", "score").unionByName(known.select("offer_id", "score")).filter(F.col("score") > beyond)
+        done = materialise(enough.groupBy("offer_id").count().filter(F.col("count") >= best).select("offer_id"))
+        kept = top.join(done, "offer_id", "left_semi")
+        found = kept if found is None else found.unionByName(kept)
+        rest = materialise(rest.join(done, "offer_id", "left_anti"))
+        if not rest.limit(1).count():
+            return found
+    return found
+
+
 def match_analogs(offers: DataFrame, items: DataFrame, matched: DataFrame, system: str, best: int = 3, system_best: int = 2, spec: str | None = None, accessories: Sequence[str] = ()) -> DataFrame:
     """For offers without an exact match, items of the same category and kind, scored by capacity, price and specs.
 
     Systems keep the best two within 0.15 of the best; others up to three from 0.55 on.  Candidates meet on category, kind and
     capacity, where an item stands for every whole capacity close to its own; rows of unknown capacity meet all others.
     A different capacity counts 0.15 less, so only systems can match it, with 0.4 at most: those with too few
-    better candidates are compared with all systems of their category.
+    better candidates go through the prices of their category (``far_systems``).
     """
-    more = [] if spec is None else [F.col(spec)]
+    more = lambda to: [] if spec is None else [F.struct(F.col(f"{spec}.two_way").alias("two_way"), band_class(F.col(f"{spec}.band")).alias("band"), F.col(f"{spec}.range_m").alias("range_m")).alias(to)]
     o = offers.join(matched.select("offer_id").distinct(), "offer_id", "left_anti").select(
-        "offer_id", "category", "kind", F.col("capacity").cast("long").alias("oc"), F.col("price").alias("op"), *(c.alias("o_spec") for c in more))
-    i = items.select("item_id", "category", "kind", F.col("capacity").cast("long").alias("ic"), F.col("price").alias("ip"), *(c.alias("i_spec") for c in more))
+        "offer_id", "category", "kind", F.col("capacity").cast("long").alias("oc"), F.col("price").alias("op"), *more("o_spec"))
+    i = items.select("item_id", "category", "kind", F.col("capacity").cast("long").alias("ic"), F.col("price").alias("ip"), *more("i_spec"))
+    o = materialise(o)
     same = ["category", "kind"]
     reach = F.floor(F.greatest(F.lit(2.0), 0.2 * F.col("ic")))
     close = i.filter("ic IS NOT NULL").withColumn("oc", F.explode(F.sequence(F.col("ic") - reach, F.col("ic") + reach)))
     near = o.join(close, [*same, "oc"]).unionByName(o.filter("oc IS NULL").join(i, same)).unionByName(o.filter("oc IS NOT NULL").join(i.filter("ic IS NULL"), same))
-    scored = analog_score(near, system, spec is not None)
-    full = scored.filter((F.col("kind") == system) & (F.col("score") > 0.4)).groupBy("offer_id").count().filter(F.col("count") >= system_best)
-    rest = o.filter((F.col("kind") == system) & F.col("oc").isNotNull()).join(full, "offer_id", "left_anti")
-    far = rest.join(i.filter((F.col("kind") == system) & F.col("ic").isNotNull()), same).filter(~capacity_close(F.col("ic"), F.col("oc")))
-    x = scored.unionByName(analog_score(far, system, spec is not None))
-    w, is_system = Window.partitionBy("offer_id"), F.col("kind") == system
-    x = x.withColumn("rn", F.row_number().over(w.orderBy(F.desc("score"), "item_id"))).filter(F.col("rn") <= max(best, system_best))
+    w, is_system, most = Window.partitionBy("offer_id"), F.col("kind") == system, max(best, system_best)
+    first = lambda x: x.withColumn("rn", F.row_number().over(w.orderBy(F.desc("score"), "item_id"))).filter(F.col("rn") <= most)
+    top = materialise(first(analog_score(near, system, spec is not None)).select("offer_id", "item_id", "kind", "score"))
+    full = top.filter(is_system & (F.col("score") > 0.4)).groupBy("offer_id").count().filter(F.col("count") >= system_best)
+    rest = o.filter(is_system & F.col("oc").isNotNull()).join(full, "offer_id", "left_anti")
+    far = far_systems(rest, i.filter(is_system & F.col("ic").isNotNull()), top.filter(is_system), system, spec is not None, system_best)
+    x = first(top.unionByName(far.select(top.columns)))
     x = x.withColumn("top", F.max("score").over(w))
     keep = F.when(is_system, (F.col("rn") <= system_best) & (F.col("top") - F.col("score") <= 0.15 + 1e-9)).otherwise((F.col("rn") <= best) & (F.col("score") >= 0.55))
     firm = F.when(F.col("kind").isin(*accessories), "accessory").otherwise("direct") if accessories else F.lit("direct")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import audit as A
 from ..operators.text import Rule, first_label
 from ..sources import imports as O
-from ..streaming.jobs import scratch
+from ..shared import shared_folder
 from . import decisions as D
 from .bindings import catalog, demand_obs, findings, matches, offers, pages, price_obs, read, sellers
 from .registry import query
@@ -17,7 +17,7 @@ from .registry import query
 
 @query("read_delimited", "SELECT p_partkey::VARCHAR AS item, p_name AS name, p_retailprice::VARCHAR AS price FROM part")
 def read_delimited(spark, d):
-    path = f"{scratch(spark)}/csv-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     x = read(spark, d, "part").select(F.col("p_partkey").alias(" Item"), F.col("p_name").alias("NAME"), F.col("p_retailprice").alias("Price "))
     O.write_delimited(x, path)
     return O.read_delimited(spark, path)
@@ -59,7 +59,7 @@ def explode_registry(spark, d):
     raw = s.select(
         F.col("s_name").alias("name"), site.alias("website"), F.array(F.lit("shop")).alias("types"), F.when(F.col("s_suppkey") % 3 != 0, F.array(p("/p1", 1), p("/catalog", 2), p("/p3", 3, 4))).alias("pages"), F.array(tender).alias("tenders"),
         F.when(F.col("s_suppkey") % 2 == 0, F.array(listing)).alias("listings"))
-    path = f"{scratch(spark)}/registry-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
     raw.write.json(path)
     t = O.registry_tables(spark.read.schema(O.REGISTRY).json(path))
     form = lambda name, key, value, price=None: t[name].select(F.lit(name).alias("table"), F.col(key).alias("key"), F.col(value).alias("value"), (F.col(price) if price else F.lit(None).cast("double")).alias("price"))
@@ -132,7 +132,7 @@ def sitemap_urls(spark, d):
 
 @query("write_delimited", "{offers} SELECT offer_id::VARCHAR AS offer_id, name, category FROM offers")
 def write_delimited(spark, d):
-    path = f"{scratch(spark)}/out-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/out-{uuid.uuid4().hex}"
     O.write_delimited(offers(spark, d).select("offer_id", "name", "category"), path)
     return spark.read.option("sep", ";").option("header", True).csv(path)
 
@@ -155,7 +155,7 @@ def export_views(spark, d):
 
 @query("dump_load_tables", "SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'inserted' WHEN s_suppkey % 5 = 0 THEN 'updated' ELSE 'unchanged' END AS action, count(*) AS n FROM supplier GROUP BY 1")
 def dump_load_tables(spark, d):
-    path = f"{scratch(spark)}/dump-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/dump-{uuid.uuid4().hex}"
     s = sellers(spark, d)
     O.dump_tables({"sellers": (s, ["seller_id"])}, path)
     loaded = spark.read.schema("seller string, seller_group string, tier string, balance double").json(f"{path}/sellers")
