@@ -5,8 +5,8 @@ common than the sum of the smaller count in each group, so near sets are near po
 
 Points close enough to link coincide in most runs of neighbouring groups: cut into more runs than two linked sets can
 differ in, at least one of the fullest runs is the same in both.  Such a run names a bucket, so buckets are the top of the index and
-an equi join finds them.  In a bucket every member meets two leaders (the smallest id, and the member that meets most others); what they leave open is searched
-with an R-tree: points packed into nodes of FAN entries, level by level, each with the largest count of every group.  A query goes
+an equi join finds them.  In a bucket every member meets two leaders (the smallest id, and the member that meets most others); what has not linked to the bucket's largest component then
+meets further members of it, one a round, as long as that links enough; what is left open is searched with an R-tree: points packed into nodes of FAN entries, level by level, each with the largest count of every group.  A query goes
 down from the root, one join a level, and leaves out nodes whose summed minima are too small or whose points all belong to its own
 component.  The full sets of the pairs that are left confirm every link.
 """
@@ -29,9 +29,12 @@ from .neardup import bounded, components, confirmed, leaders, one_text, shingle_
 
 #: Sizes of sets are cut into classes of this ratio, from this size on.
 RATIO, LEAST = 1.6, 2
-#: Entries of a node, groups of the nodes over the leaves, and members of a group that a point aims at.
-FAN, COARSE, PER_GROUP = 64, 32, 8
-GROUPS = (32, 4096)
+#: Entries of a node, and groups of the nodes over the leaves.
+FAN, COARSE = 64, 32
+#: Least and most groups of a point; between them there are one to two for each shingle, so that two different ones seldom share a group.
+GROUPS = (32, 16_384)
+#: Rounds in which what is left of a bucket meets another member of its largest component, and the share that must link for one more.
+ROUNDS, WORTH = 4, 0.05
 #: Shingles between two yields of keys.
 CHUNK = 300_000
 
@@ -76,10 +79,9 @@ class Sizes:
 
 def group_counts(items: np.ndarray) -> np.ndarray:
     """The point of a set: how many of its hashes fall into each of a power of two of ranges."""
-    groups = 1 << max(0, (len(items) // PER_GROUP).bit_length())
-    groups = min(max(groups, GROUPS[0]), GROUPS[1])
+    groups = min(max(1 << len(items).bit_length(), GROUPS[0]), GROUPS[1])
     shift = U(64 - groups.bit_length() + 1)
-    return np.bincount((items >> shift).astype(np.int64), minlength=groups).astype(np.uint32)
+    return np.bincount((items >> shift).astype(np.int64), minlength=groups).astype(np.uint16)  # 65,535 in a group take a text of over 2 GB
 
 
 def fold(points: np.ndarray, groups: int) -> np.ndarray:
@@ -150,9 +152,9 @@ def within_bound(pairs: DataFrame, at: DataFrame, percent: int, hot: dict[str, D
             for b in small_batches(iter([batch]), "p_a"):
                 overlap = []
                 for x, y in zip(column(b, "p_a"), column(b, "p_b"), strict=True):
-                    p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                    p, q = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
                     groups = min(len(p), len(q))
-                    overlap.append(int(np.minimum(fold(p, groups), fold(q, groups)).sum()))
+                    overlap.append(int(np.minimum(fold(p, groups), fold(q, groups)).sum(dtype=np.int64)))
                 ok = can_link(np.array(overlap, np.int64), np.array(column(b, "n_a"), np.int64), np.array(column(b, "n_b"), np.int64), percent)
                 yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -179,9 +181,9 @@ def pack(dealt: DataFrame, leaf: bool) -> DataFrame:
             nonlocal made
             made += 1
             key, place, entries, lows, highs, labels, raw = zip(*held, strict=True)
-            rows = [np.frombuffer(x, np.uint32) for x in raw]
+            rows = [np.frombuffer(x, np.uint16 if leaf else np.uint32) for x in raw]
             groups = min(map(len, rows)) if leaf else COARSE
-            counts = np.stack([fold(x, groups) for x in rows])
+            counts = np.stack([fold(x, groups) for x in rows]).astype(np.uint16 if leaf else np.uint32)
             long = lambda x: np.array(x, np.int64).tobytes()
             label = labels[0] if len(set(labels)) == 1 else -1
             upper = fold(counts, COARSE).max(0).astype(np.uint32) if leaf else counts.max(0)
@@ -239,7 +241,7 @@ def visit(nodes: DataFrame, queries: DataFrame, percent: int, leaf: bool) -> Dat
                     if kind == 0:
                         size, *parts = (c[i] for c in packed)
                         e, lo, hi, la = (np.frombuffer(x, np.int64) for x in parts[:4])
-                        here = (nodes_[i], e, lo, hi, la, np.frombuffer(parts[4], np.uint32).reshape(size, -1))
+                        here = (nodes_[i], e, lo, hi, la, np.frombuffer(parts[4], np.uint16 if leaf else np.uint32).reshape(size, -1))
                         continue
                     if here is None or here[0] != nodes_[i]:
                         continue  # no node of this level
@@ -249,9 +251,9 @@ def visit(nodes: DataFrame, queries: DataFrame, percent: int, leaf: bool) -> Dat
                     at = np.flatnonzero(ok)
                     if not len(at):
                         continue
-                    mine = np.frombuffer(raw[i], np.uint32)
+                    mine = np.frombuffer(raw[i], np.uint16)
                     groups = min(len(mine), counts.shape[1])
-                    overlap = np.minimum(fold(counts[at], groups), fold(mine, groups)).sum(1)
+                    overlap = np.minimum(fold(counts[at], groups), fold(mine, groups)).sum(1, dtype=np.int64)
                     least = np.maximum(lo[at], -(-percent * x // 100))
                     at = at[can_link(overlap, np.full(len(at), x, np.int64), least, percent)]
                     for k in at.tolist():
@@ -287,6 +289,14 @@ def search(members: DataFrame, percent: int) -> DataFrame:
     return visit(levels[0], asked, percent, True).distinct()
 
 
+def open_members(members: DataFrame, labels: DataFrame, crowded: DataFrame | None) -> DataFrame:
+    """(key, id, label, alone, big) of the buckets whose members have several labels; big ones have the label of most members, alone ones no link yet."""
+    placed = materialise(members.select("key", "id").join(labels.select("id", "label"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"), F.col("label").isNull().alias("alone")))
+    per_label = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
+    main = per_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("size")).filter("labels > 1 and size > 2").select("key", "main")
+    return spread_join(placed, main, ["key"], "id", crowded).withColumn("big", F.col("label") == F.col("main")).drop("main")
+
+
 def similar_sets(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row; documents link from ``percent`` similarity of their shingle sets on.
 
@@ -325,15 +335,25 @@ def similar_sets(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     confirm = lambda pairs, dealt: materialise(confirmed(pairs, texts, k, percent, "id", "text", dealt))
     links = confirm(within_bound(stars, at, percent, hot), hot)
     labels = components(links)
-
-    grouped = labels.groupBy("label").agg(F.count("*").alias("in_label"))
-    many = frequent(grouped, ["label"], "in_label")
-    known = spread_join(labels, grouped, ["label"], "id", many).select("id", "label")
-    placed = materialise(members.select("key", "id").join(known, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"), F.col("label").isNull().alias("alone")))
-    per_label = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
-    main = per_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("size")).filter("labels > 1 and size > 2").select("key", "main")
-    open_ = spread_join(placed, main, ["key"], "id", crowded).withColumn("big", F.col("label") == F.col("main"))
-    crossing = materialise(search(open_.join(at, "id"), percent).join(stars, ["a", "b"], "left_anti"))
+    open_ = materialise(open_members(members, labels, crowded))
+    tested = stars
+    for turn in range(ROUNDS):
+        # what is left meets one more member of the largest component, each time another one
+        lead = open_.filter("big").groupBy("key").agg(F.min_by("id", F.xxhash64(F.lit(turn), "id")).alias("y"))
+        left = open_.filter(~F.col("big")).select("key", "id")
+        meet = spread_join(left, lead, ["key"], "id", crowded)
+        more = materialise(meet.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        hot = leaders(more)
+        new = confirm(within_bound(more, at, percent, hot), hot)
+        tested = tested.unionByName(more)
+        found, asked = new.count(), left.select("id").distinct().count()
+        if found:
+            links = links.union(new)
+            labels = components(links)
+            open_ = materialise(open_members(members, labels, crowded))
+        if found <= WORTH * asked:
+            break
+    crossing = materialise(search(open_.join(at, "id"), percent).join(tested, ["a", "b"], "left_anti"))
     hot = leaders(crossing)
     extra = confirm(within_bound(crossing, at, percent, hot), hot)
     if extra.limit(1).count():
