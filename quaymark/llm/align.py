@@ -15,6 +15,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -121,7 +122,8 @@ class Tokens:
         flat, upto = self.encoder.encode([" " + x for x in new])
         self.a.add(flat, np.diff(upto))
         ids = [x or self.space for x in self.processor.encode(new, num_threads=1)]  # a single space is dropped where nothing follows it
-        self.b.add(np.array([i for x in ids for i in x], np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.b.add(np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum())), lens)
         self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,52 +145,52 @@ class Tokens:
         return tuple(out)
 
 
-def align_window(a: list[int], b: list[int], a_lens: list[int], b_lens: list[int]) -> tuple[list[tuple[int, int]], list[tuple[list[int], list[int]]]]:
-    """The overlapping (a, b) pairs of a window and its groups between shared ends."""
-    links, groups, i, j, x, y = [], [([], [])], 0, 0, a_lens[0], b_lens[0]
-    groups[0][0].append(a[0])
-    groups[0][1].append(b[0])
-    while True:
-        links.append((a[i], b[j]))
-        step_a, step_b = x <= y, y <= x
-        if step_a and step_b:
-            if i + 1 == len(a):
-                return links, groups
-            groups.append(([], []))
-        if step_a:
-            i += 1
-            x += a_lens[i]
-            groups[-1][0].append(a[i])
-        if step_b:
-            j += 1
-            y += b_lens[j]
-            groups[-1][1].append(b[j])
+class Names:
+    """Decimal ids with the sign that follows them in the written form of groups: ``,`` within a side, ``|`` after the ids of A, ``;`` after those of B."""
+
+    def __init__(self, n_a: int, n_b: int):
+        marked = [f"{i}{sign}".encode() for n, end in ((n_a, "|"), (n_b, ";")) for sign in (",", end) for i in range(n)]
+        self.side = Side.of(marked)
+        self.first = {"a,": 0, "a|": n_a, "b,": 2 * n_a, "b;": 2 * n_a + n_b}
+
+    def text(self, pieces: np.ndarray) -> bytes:
+        return self.side.text(pieces)[:-1]
 
 
 class Windows:
-    """Alignments of windows, kept by their ids."""
+    """Alignments of windows, kept by their ids: codes of linked pairs, and the written form of the groups as numbers of ``Names``."""
 
     def __init__(self, pair: Pair):
         self.pair = pair
         self.a = Side(pair.a.byte_pool, pair.a.byte_starts, pair.a.byte_lens)
         self.marks = self.a.spaced(), pair.b.spaced()
+        self.names = Names(len(self.a.lens), len(pair.b.lens))
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
-        self.codes, self.groups, self.text = Growing(self.pair.code), np.zeros(0, np.int64), []
-
-    def learn(self, keys: list[tuple[bytes, bytes]]) -> None:
-        codes, lens, groups = [], [], []
-        for a, b in keys:
-            ids_a, ids_b = np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)
-            links, parts = align_window(ids_a.tolist(), ids_b.tolist(), self.a.lens[ids_a].tolist(), self.pair.b.lens[ids_b].tolist())
-            codes += [(y << self.pair.shift) | x for x, y in links]
-            lens.append(len(links))
-            groups.append(len(parts))
-            self.text.append(";".join(",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in parts))
-        self.codes.add(np.array(codes, self.pair.code), np.array(lens, np.int64))
-        self.groups = np.concatenate([self.groups, np.array(groups, np.int64)])
+        self.known: dict[bytes, int] = {}
+        self.codes, self.pieces, self.groups = Growing(self.pair.code), Growing(np.int32), np.zeros(0, np.int64)
+
+    def learn(self, keys: list[bytes], a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> None:
+        """Align new windows, all at once: both sides of a window cover the same bytes, so ends may be counted through all of them.
+
+        Every end, of either side, closes one link: that of the two tokens which reach it.
+        """
+        end_a, end_b = np.cumsum(self.a.lens[a]), np.cumsum(self.pair.b.lens[b])
+        closes = np.union1d(end_a, end_b)
+        of_a, of_b = np.searchsorted(end_a, closes), np.searchsorted(end_b, closes)
+        window_a, window_b = np.repeat(np.arange(len(a_len)), a_len), np.repeat(np.arange(len(b_len)), b_len)
+        n = len(a_len)
+        self.codes.add((b[of_b].astype(np.int64) << self.pair.shift) | a[of_a], np.bincount(window_a[of_a], minlength=n))
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        same_a, same_b = shared_ends(end_a, end_b)
+        last_a[same_a], last_b[same_b] = True, True
+        self.groups = np.concatenate([self.groups, np.bincount(window_a[same_a], minlength=n)])
+        first = self.names.first
+        named = np.concatenate((np.where(last_a, first["a|"], first["a,"]) + a, np.where(last_b, first["b;"], first["b,"]) + b))
+        group = np.concatenate((np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b))
+        order = np.argsort(2 * group + np.repeat((0, 1), (len(a), len(b))), kind="stable")
+        self.pieces.add(named[order], a_len + b_len)
         self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
 
     def slots(self, a: np.ndarray, b: np.ndarray, a_from: np.ndarray, b_from: np.ndarray) -> np.ndarray:
@@ -201,15 +203,29 @@ class Windows:
         alike = bool((a_len == a_len[of]).all() and (b_len == b_len[of]).all()) and bool((ragged(a, a_from[of], a_len) == a).all() and (ragged(b, b_from[of], b_len) == b).all())
         if not alike:  # two windows with one hash: each stands for itself
             first = which = np.arange(len(a_from))
-        keys = [(a[p : p + m].tobytes(), b[q : q + n].tobytes()) for p, m, q, n in zip(a_from[first].tolist(), a_len[first].tolist(), b_from[first].tolist(), b_len[first].tolist(), strict=True)]
-        new = [k for k in dict.fromkeys(keys) if k not in self.known]
-        if len(self.known) + len(new) > MEMO:
+        # a key holds the number of ids of A, those ids and the ids of B
+        size = 1 + a_len[first] + b_len[first]
+        start = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.int32)
+        flat[start] = a_len[first]
+        spread = lambda at, n: np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        flat[spread(start + 1, a_len[first])] = ragged(a, a_from[first], a_len[first])
+        flat[spread(start + 1 + a_len[first], b_len[first])] = ragged(b, b_from[first], b_len[first])
+        raw, cuts = flat.tobytes(), (4 * start).tolist()
+        keys = [raw[p:q] for p, q in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+        fresh = self.fresh(keys)
+        if len(self.known) + len(fresh) > MEMO:
             self.clear()
-            new = list(dict.fromkeys(keys))
-        if new:
-            self.learn(new)
+            fresh = self.fresh(keys)
+        if fresh:
+            of = first[np.fromiter(fresh.values(), np.int64, len(fresh))]
+            self.learn(list(fresh), ragged(a, a_from[of], a_len[of]), a_len[of], ragged(b, b_from[of], b_len[of]), b_len[of])
         return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which]
 
+    def fresh(self, keys: list[bytes]) -> dict[bytes, int]:
+        """Keys that are not known, each once, with their place in the list."""
+        return {k: i for i, k in enumerate(keys) if k not in self.known}
+
 
 def shared_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the A and B tokens that end at the same offsets."""
@@ -249,12 +265,12 @@ class Aligner:
             counts[0] = np.bincount(owner, self.windows.groups[slot], n)
             flat, lens = self.windows.codes.pick(slot)
             counts[1] = np.bincount(owner, lens, n)
-            at = np.searchsorted(owner, np.arange(n + 1)).tolist()
-            names = self.windows.text
-            for i in np.flatnonzero(ok).tolist():
-                groups[i] = ";".join([names[s] for s in slot[at[i] : at[i + 1]].tolist()])
-                if self.digest:
-                    groups[i] = hashlib.sha256(groups[i].encode()).hexdigest()
+            pieces, lens = self.windows.pieces.pick(slot)
+            ends = np.cumsum(np.bincount(owner, lens, n)).astype(np.int64).tolist()
+            for i, low, high in zip(range(n), [0, *ends], ends, strict=False):
+                if low < high:
+                    text = self.windows.names.text(pieces[low:high])
+                    groups[i] = hashlib.sha256(text).hexdigest() if self.digest else text.decode()
             lists = [np.unique(flat[p:q], return_counts=True) for p, q in zip(np.cumsum(counts[1]) - counts[1], np.cumsum(counts[1]), strict=True)]
             codes, times = np.concatenate([x for x, _ in lists]), np.concatenate([y for _, y in lists]).astype(np.int32)
             upto = np.cumsum([0, *(len(x) for x, _ in lists)])
