@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
+from .lines import without_near
 from .text import Rule, first_label
 
 
@@ -25,35 +27,43 @@ def admit_discovered(links: DataFrame, known: DataFrame, cap: int, per_page: Col
     return new.withColumn("rn", F.row_number().over(Window.partitionBy(seller).orderBy("page_id", "url"))).filter(F.col("rn") <= 2 * cap - F.coalesce("have", F.lit(0)))
 
 
-def near_equal(a: Column, b: Column, share: float = 0.1, most: int = 30) -> Column:
-    """Lines that differ by at most a share of the longer one's characters (Levenshtein) and little in length."""
-    n = F.greatest(F.length(a), F.length(b))
-    return (F.abs(F.length(a) - F.length(b)) < most) & (F.levenshtein(a, b) <= n * share)
+def diff_versions(df: DataFrame, page: str, version: str, lines: str, items: str | None = None, keep: Sequence[str] = (), least: int = 60) -> DataFrame:
+    """Lines that a version adds and removes against the one before; small changes are noise.
 
-
-def diff_versions(df: DataFrame, page: str, version: str, lines: str, items: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """Lines that a version adds and removes against the one before, without near-equal ones; small changes are noise.
-
-    ``items`` names the links, array<struct<t, u>> as ``normalise_page`` gives them: those whose url is new or gone come
-    out as items_added and items_removed, and one new link or three gone ones make a change real whatever its text.
+    An added line counts if no line of the old version, whether it stays or goes, nearly equals it (matching blocks from a ratio of 0.9 on, lengths less than 30 apart), and a
+    removed one if no line of the new version does.  ``items`` names the links, array<struct<t, u>> as ``normalise_page`` gives them: those whose url is new or gone come
+    out as items_added and items_removed.  A change is real with ``least`` characters of added text, one new link or three gone ones.  Null lines and links count as none.
     """
+    ship(df.sparkSession)
     w = Window.partitionBy(page).orderBy(version)
     was = {} if items is None else {"_was": F.lag(items).over(w)}
-    x = df.withColumns({"old": F.lag(lines).over(w)} | was).filter("old IS NOT NULL")
-    plus, minus = F.array_except(lines, "old"), F.array_except("old", lines)
-    x = x.withColumn("plus", plus).withColumn("minus", minus)
-    added = F.filter("plus", lambda a: ~F.exists("minus", lambda b: near_equal(a, b)))
-    removed = F.filter("minus", lambda b: ~F.exists("plus", lambda a: near_equal(a, b)))
-    x = x.withColumn("added", added).withColumn("removed", removed)
-    chars = F.aggregate("added", F.lit(0), lambda s, a: s + F.length(a))
-    real, links = (chars >= 60) | (F.size("removed") >= 3), []
+    x = df.withColumns({"_old": F.lag(lines).over(w), "_nth": F.row_number().over(w)} | was).filter("_nth > 1").drop("_nth")
+    texts = F.array().cast("array<string>")
+    x = x.withColumn("_now", F.coalesce(F.col(lines), texts)).withColumn("_before", F.coalesce("_old", texts))
+    x = x.withColumn("_plus", F.array_except("_now", "_before")).withColumn("_minus", F.array_except("_before", "_now"))
+    links = []
+    real = F.lit(False)
     if items is not None:
         none = F.array().cast("array<struct<t:string,u:string>>")
-        x = x.withColumn("_new", F.coalesce(items, none)).withColumn("_old", F.coalesce("_was", none))
+        x = x.withColumn("_new", F.coalesce(items, none)).withColumn("_was", F.coalesce("_was", none))
         without = lambda a, b: F.array_distinct(F.filter(a, lambda i: ~F.exists(b, lambda k: k["u"].eqNullSafe(i["u"]))))
-        x = x.withColumn("items_added", without("_new", F.col("_old"))).withColumn("items_removed", without("_old", F.col("_new")))
-        real, links = real | (F.size("items_added") >= 1) | (F.size("items_removed") >= 3), ["items_added", "items_removed"]
-    return x.withColumn("noise", ~real).select(page, version, *keep, "added", "removed", *links, "noise")
+        x = x.withColumn("items_added", without("_new", F.col("_was"))).withColumn("items_removed", without("_was", F.col("_new")))
+        real, links = (F.size("items_added") >= 1) | (F.size("items_removed") >= 3), ["items_added", "items_removed"]
+    own = [page, version, *keep]
+    x = x.select(*own, *links, "_plus", "_minus", "_now", "_before")
+    schema = T.StructType([*(x.schema[c] for c in [*own, *links]), *(T.StructField(c, T.ArrayType(T.StringType())) for c in ("added", "removed"))])
+    kept = [*own, *links]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = lambda c, b=b: b.column(b.schema.get_field_index(c))
+            plus, minus, now, before = (at(c).to_pylist() for c in ("_plus", "_minus", "_now", "_before"))
+            near = lambda some, pools: pa.array([without_near([s for s in x if s is not None], [s for s in y if s is not None]) for x, y in zip(some, pools, strict=True)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*map(at, kept), near(plus, before), near(minus, now)], names=[*kept, "added", "removed"])
+
+    found = x.mapInArrow(run, schema)
+    chars = F.aggregate("added", F.lit(0), lambda s, a: s + F.length(a))
+    return found.withColumn("noise", ~((chars >= least) | real)).select(*own, "added", "removed", *links, "noise")
 
 
 def classify_changes(diffs: DataFrame, rules: Sequence[Rule], text: str, most: int = 8) -> DataFrame:

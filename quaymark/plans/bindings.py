@@ -172,4 +172,5 @@ def ctes(sql: str) -> str:
     names = head.split()
     if "matches" in names and "offers" not in names:
         names.insert(names.index("matches"), "offers")
-    return "WITH " + ",\n".join(PARTS[n] for n in names) + "\n" + rest
+    start = "WITH RECURSIVE " if "recursive" in names else "WITH "
+    return start + ",\n".join(PARTS[n] for n in names if n != "recursive") + "\n" + rest

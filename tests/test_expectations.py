@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quaymark.operators import changes, decisions, joins, names, news, pages, signals, signatures, sweep, terms, text
+from quaymark.operators import changes, decisions, joins, lines, names, news, pages, signals, signatures, sweep, terms, text
 from quaymark.sources import imports
 from quaymark.streaming import jobs
 
@@ -256,6 +256,94 @@ def test_events_of_one_busy_seller(spark):
         assert got == want
 
 
+def day_rows(spark, start, n):
+    return spark.range(start, start + n).select(F.col("id").alias("event_id"), F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, cast(id % 10 as int))").alias("ts"), F.col("id").cast("double").alias("value"))
+
+
+def test_observation_folders(spark, tmp_path):
+    from quaymark.sources import observations as S
+
+    path = str(tmp_path / "obs")
+    first = day_rows(spark, 0, 100)
+    first.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(path)
+    (tmp_path / "obs" / "notes").mkdir()
+    x = S.read_observation_folders(spark, path, first.schema)
+    assert x.count() == 100 and x.columns == ["event_id", "ts", "value", "day"]
+    some = x.filter("day >= DATE '2024-01-03' AND day < DATE '2024-01-05' AND value > 20")
+    assert {(r.day.isoformat(), r.event_id % 10) for r in some.collect()} == {("2024-01-03", 2), ("2024-01-04", 3)}
+    reader = S.ObservationReader(path, S.dated(first.schema))
+    from pyspark.sql import datasource as D
+    import datetime
+
+    value = D.GreaterThan(("value",), 20.0)
+    left = list(reader.pushFilters([D.GreaterThanOrEqual(("day",), datetime.date(2024, 1, 9)), value]))
+    assert left == [value] and {f.day for f in reader.partitions()} == {datetime.date(2024, 1, 9), datetime.date(2024, 1, 10)}
+    # a stream goes on behind the files that it has seen, whatever their day
+    stream, out = S.stream_observation_folders(spark, path, first.schema), tmp_path / "out"
+
+    def run():
+        q = stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "seen")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted(r.event_id for r in spark.read.parquet(str(out)).collect())
+
+    assert run() == list(range(100))
+    day_rows(spark, 1000, 10).drop("value").withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+    assert run() == [*range(100), *range(1000, 1010)] and run() == [*range(100), *range(1000, 1010)]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    e = spark.range(60).select(F.col("id").alias("event_id"), F.expr("timestamp '2024-02-01' - make_interval(0, 0, 0, cast(id % 6 as int))").alias("ts"))
+    for k, part in enumerate(("ts >= '2024-02-01'", "ts >= '2024-01-31' AND ts < '2024-02-01'", "ts < '2024-01-31'")):
+        e.filter(part).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    kept, counts = jobs.run_counted(stream, lambda s: jobs.dedupe(s, ["event_id"], "3 days"))
+    assert counts.seen == 60 and counts.late == 30 and kept.count() == 30  # on the watermark or under it
+
+
+def test_near_lines_by_matching_blocks():
+    """The index finds what comparing with every line of the pool finds."""
+    import difflib
+    import random
+
+    rng = random.Random(3)
+    line = lambda n: "".join(rng.choices("abcdef ", k=n))
+
+    def edited(s):
+        s = list(s)
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 8])):
+            at = rng.randrange(len(s) + 1)
+            s[at : at + rng.choice([0, 1])] = rng.choice(["", "a", "x"])
+        return "".join(s)
+
+    near = 0
+    for _ in range(100):
+        pool = [line(rng.choice([1, 2, 3, 5, 8, 12, 20, 40, 90, 150, 250])) for _ in range(12)]
+        some = [edited(rng.choice(pool)) for _ in range(15)] + [""]
+        want = [x for x in some if not any(difflib.SequenceMatcher(None, x, o).ratio() >= 0.9 for o in pool if abs(len(o) - len(x)) < 30)]
+        assert lines.without_near(some, pool) == want
+        near += len(some) - len(want)
+    assert near > 300
+    many = [line(60) for _ in range(3000)]
+    assert lines.without_near([edited(x) + "!" for x in many[:1000]] + many[1000:1100], many).__len__() < 500
+
+
+def test_changes_against_all_lines_of_the_other_version(spark):
+    schema = "page_id int, version int, lines array<string>, items array<struct<t:string,u:string>>"
+    stays = "The tour guide system costs 32 500 roubles for ten people, batteries included."
+    copy = stays.replace("32 500", "33 500")
+    rows = [
+        (1, 1, [stays], []), (1, 2, [stays, copy], []),  # a near copy of a line that stays
+        (2, 1, [stays, "one", "two", "three", "four"], []), (2, 2, [stays], []),  # three lines that go are no change
+        (3, 1, [stays], [("a", "/a"), ("b", "/b"), ("c", "/c")]), (3, 2, [stays], []),  # three links that go are one
+        (4, 1, None, None), (4, 2, ["A whole new paragraph about a system that nobody has seen before now."], None), (4, 3, None, [("a", "/a")]),
+    ]
+    got = {(r.page_id, r.version): (r.added, r.removed, r.noise) for r in news.diff_versions(spark.createDataFrame(rows, schema), "page_id", "version", "lines", "items").collect()}
+    assert got[1, 2] == ([], [], True)
+    assert got[2, 2] == ([], ["one", "two", "three", "four"], True)
+    assert got[3, 2] == ([], [], False)
+    assert (len(got[4, 2][0]), got[4, 2][2]) == (1, False) and got[4, 3] == ([], got[4, 2][0], False)
+
+
 HTML = """<html><head><title>T</title><script type="application/ld+json">{"@graph": [{"@type": ["Thing", "Product"], "name": "Guide", "sku": 7,
 "image": ["a.jpg"], "brand": {"name": "B"}, "offers": [{"price": "32500", "priceCurrency": "RUB", "availability": "http://schema.org/InStock"}]}]}</script></head>
 <body><header>skip</header><nav><a href="/x">x</a></nav><p>One &amp; two</p><p>12:30</p><p>One &amp; two</p><a href="/p">Link</a><table><tr><td>Range</td><td>100 m</td></tr></table><dl><dt>Weight</dt><dd>20 g</dd></dl></body></html>"""
@@ -443,7 +531,7 @@ def test_signature_levels_need_both_signatures(spark):
     own = [(i, r.getrandbits(62), r.getrandbits(62)) for i in range(20)]
     found = [(100 + 20 * k + i, flip(a, n), flip(b, m)) for k, (n, m) in enumerate([(0, 0), (6, 10), (7, 10), (6, 11), (12, 16), (12, 17), (13, 0), (3, 40)]) for i, a, b in own]
     frame = lambda rows: spark.createDataFrame(rows, "vec_id long, sig long, step long")
-    pairs = joins.signature_levels(frame(own), frame(found))
+    pairs = signatures.signature_levels(frame(own), frame(found))
     want = set()
     for i, a, b in own:
         for j, c, d in found:
