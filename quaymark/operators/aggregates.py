@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import SORTED, medians, with_first_values
+
 
 def coverage_matrix(offers: DataFrame, seller: str, category: str, categories: Sequence[str]) -> DataFrame:
     """Seller by category: offers, priced offers and distinct models, one row per seller with a column set per category."""
@@ -31,9 +33,9 @@ def seller_summary(offers: DataFrame, matches: DataFrame) -> DataFrame:
 
 def groups_outside(offers: DataFrame, own_keys: DataFrame, keys: Sequence[str], name: str, most: int = 5) -> DataFrame:
     """Groups of offers whose key is not an own key: count, price range and first names."""
-    return offers.join(own_keys, own_keys.columns, "left_anti").groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("price").alias("least"), F.max("price").alias("most"),
-        F.array_join(F.slice(F.array_sort(F.collect_set(name)), 1, most), ", ").alias("names"), F.min("offer_id").alias("first_offer"))
+    x = offers.join(own_keys, own_keys.columns, "left_anti")
+    groups = x.groupBy(*keys).agg(F.count("*").alias("n"), F.min("price").alias("least"), F.max("price").alias("most"), F.min("offer_id").alias("first_offer"))
+    return with_first_values(groups, x, keys, name, most, "names").withColumn("names", F.array_join("names", ", "))
 
 
 def multi_seller_models(offers: DataFrame, sellers: DataFrame, own: DataFrame, least: int = 2, high: int = 3) -> DataFrame:
@@ -43,9 +45,11 @@ def multi_seller_models(offers: DataFrame, sellers: DataFrame, own: DataFrame, l
     return g.filter(F.col("sellers") >= least).join(own, ["brand", "model_key"], "left_anti").withColumn("severity", F.when(F.col("sellers") >= high, "high").otherwise("medium"))
 
 
-def market(comparables: DataFrame, key: str) -> DataFrame:
-    """Median, least and most price, offers and distinct sellers for each key."""
-    return comparables.groupBy(key).agg(F.median("price").alias("median"), F.min("price").alias("least"), F.max("price").alias("most"), F.count("*").alias("n"), F.countDistinct("seller_group").alias("sellers"))
+def market(comparables: DataFrame, key: str, sorted_rows: int = SORTED) -> DataFrame:
+    """Median, least and most price, offers and distinct sellers for each key; the median is exact for keys of any size."""
+    stats = comparables.groupBy(key).agg(F.min("price").alias("least"), F.max("price").alias("most"), F.count("*").alias("n"), F.countDistinct("seller_group").alias("sellers"))
+    middle = medians(comparables, [key], "price", sorted_rows).select(F.col(key).alias("_k"), "median")
+    return stats.join(middle, F.col(key).eqNullSafe(F.col("_k"))).select(key, "median", "least", "most", "n", "sellers")
 
 
 def position_share(offers: DataFrame, own: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -103,9 +107,6 @@ def components_vs_bundle(df: DataFrame, keys: Sequence[str], part: Column, bundl
 
 
 def joined_names(df: DataFrame, keys: Sequence[str], name: str, most: int) -> DataFrame:
-    return df.groupBy(*keys).agg(F.array_join(F.slice(F.array_sort(F.collect_set(name)), 1, most), "; ").alias("names"), F.countDistinct(name).alias("n"))
-
-
-def upper_median(column: str) -> Column:
-    """The upper of the two middle values of an even number of values; partial aggregates hold counts of different values."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column} DESC)")
+    """The first different names of each group in one text, and how many different ones it has."""
+    groups = df.groupBy(*keys).agg(F.countDistinct(name).alias("n"))
+    return with_first_values(groups, df, keys, name, most, "names").select(*keys, F.array_join("names", "; ").alias("names"), "n")

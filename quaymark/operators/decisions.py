@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import upper_median
 from .joins import comparables
+from .ranks import medians, with_first_values
 from .series import first_rows
 from .text import round_retail_price
 
@@ -198,18 +199,36 @@ def generate_actions(multi: DataFrame, new_categories: DataFrame, growth: DataFr
     return a.unionByName(b).unionByName(d).unionByName(u).unionByName(e)
 
 
-def generate_ideas(new_categories: DataFrame, multi: DataFrame, growth: DataFrame, substitutes: DataFrame, offers: DataFrame, least: int = 2) -> DataFrame:
-    """Idea cards (dedupe_key, findings, least, most, upper_median, offers): categories of several sellers, models with a reason, growing gaps, substitutes."""
-    prices = lambda keys: offers.groupBy(*keys).agg(F.min("price").alias("least"), F.max("price").alias("most"), upper_median("price").alias("upper_median"), F.count("price").alias("offers"))
-    none = {"least": F.lit(None).cast("double"), "most": F.lit(None).cast("double"), "upper_median": F.lit(None).cast("double"), "offers": F.lit(0).cast("long")}
-    columns = ["dedupe_key", "findings", "least", "most", "upper_median", "offers"]
-    c = new_categories.groupBy("category").agg(F.count("*").alias("findings")).filter(F.col("findings") >= least).join(prices(["category"]), "category", "left").na.fill(0, ["offers"])
-    m = multi.filter((F.col("sellers") >= least) & (F.size("reasons") > 0)).withColumn("findings", F.col("sellers")).join(prices(["brand", "model_key"]), ["brand", "model_key"], "left")
-    g = growth.filter("kind = 'gap'").select(F.concat(F.lit("growth:"), "category").alias("dedupe_key"), F.col("terms").alias("findings")).withColumns(none)
-    s = substitutes.agg(F.count("*").alias("findings")).filter("findings > 0").select(F.lit("substitutes").alias("dedupe_key"), "findings").withColumns(none)
-    return (
-        c.withColumn("dedupe_key", F.concat(F.lit("category:"), "category")).select(columns).unionByName(m.withColumn("dedupe_key", F.concat_ws(":", F.lit("model"), "brand", "model_key")).select(columns))
-        .unionByName(g.select(columns)).unionByName(s.select(columns)))
+def generate_ideas(
+    new_categories: DataFrame, multi: DataFrame, growth: DataFrame, substitutes: DataFrame, offers: DataFrame, sellers: DataFrame, demand: DataFrame, least: int = 2, top: int = 5, names: int = 8,
+) -> DataFrame:
+    """Idea cards: categories of several sellers, models with a reason, growing gaps, substitutes.
+
+    A card has dedupe_key, findings, least, most and upper_median price, offers, the category's ``top`` demand terms by observations (then by name; demand has term,
+    category and n) and the first names of the sellers who offer it or, for substitutes, are one.
+    """
+    own = ["findings", "least", "most", "upper_median", "offers", "terms", "who"]
+    no_names = F.array().cast("array<string>")
+
+    def prices(keys: list[str]) -> DataFrame:
+        stats = offers.groupBy(*keys).agg(F.min("price").alias("least"), F.max("price").alias("most"), F.count("price").alias("offers"))
+        middle = medians(offers, keys, "price").drop("median")
+        return stats.join(middle.withColumnsRenamed({k: f"_{k}" for k in keys}), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))).drop(*(f"_{k}" for k in keys))
+
+    none = {"least": F.lit(None).cast("double"), "most": F.lit(None).cast("double"), "upper_median": F.lit(None).cast("double"), "offers": F.lit(0).cast("long"), "terms": no_names}
+    ranked = demand.withColumn("_rn", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), "term"))).filter(F.col("_rn") <= top)
+    terms = ranked.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "term"))), lambda s: s["term"]).alias("terms"))
+    named = sellers.select("seller_id", "seller")
+    c = new_categories.groupBy("category").agg(F.count("*").alias("findings")).filter(F.col("findings") >= least)
+    c = with_first_values(c, new_categories.join(named, "seller_id"), ["category"], "seller", names, "who")
+    c = c.join(prices(["category"]), "category", "left").join(terms, "category", "left").na.fill(0, ["offers"]).withColumn("terms", F.coalesce("terms", no_names))
+    m = multi.filter((F.col("sellers") >= least) & (F.size("reasons") > 0)).select("brand", "model_key", F.col("sellers").alias("findings"))
+    m = with_first_values(m, offers.join(named, "seller_id"), ["brand", "model_key"], "seller", names, "who").join(prices(["brand", "model_key"]), ["brand", "model_key"], "left").withColumn("terms", no_names)
+    g = growth.filter("kind = 'gap'").select(F.concat(F.lit("growth:"), "category").alias("dedupe_key"), F.col("terms").alias("findings")).withColumns(none).withColumn("who", no_names)
+    s = substitutes.agg(F.count("*").alias("findings")).filter("findings > 0").withColumn("dedupe_key", F.lit("substitutes"))
+    s = with_first_values(s, substitutes.withColumn("dedupe_key", F.lit("substitutes")), ["dedupe_key"], "seller", names, "who").withColumns(none)
+    cards = [c.withColumn("dedupe_key", F.concat(F.lit("category:"), "category")), m.withColumn("dedupe_key", F.concat_ws(":", F.lit("model"), "brand", "model_key")), g, s]
+    return reduce(DataFrame.unionByName, (x.select("dedupe_key", *own) for x in cards)).withColumnRenamed("who", "sellers")
 
 
 def report_sections(findings: DataFrame, since: Column, kinds: dict[str, Sequence[str]], review: DataFrame, actions: DataFrame, ideas: DataFrame) -> dict[str, tuple[DataFrame, Sequence[Column], int]]:

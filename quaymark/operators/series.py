@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import same_keys, with_first_values
+
 
 def asc(cols: Sequence[str]) -> list[Column]:
     return [F.asc_nulls_first(c) for c in cols]
@@ -57,12 +59,15 @@ def latest_value(df: DataFrame, key: Sequence[str], at: str, value: str = "value
     return df.groupBy(*key).agg(F.max_by(value, at).alias(value), F.max(at).alias(at))
 
 
-def collapse_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[Column], collapsible: Column, url: str) -> DataFrame:
-    """The first row of each key with the number of rows and their urls; other rows pass through unchanged."""
-    w = Window.partitionBy(*keys)
+def collapse_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[Column], collapsible: Column, url: str, most: int | None = None) -> DataFrame:
+    """The first row of each key with the number of rows and their urls (the first ``most``, or all); other rows pass through unchanged."""
+    keys = list(keys)
     own = df.filter(collapsible)
-    kept = own.withColumn("rn", F.row_number().over(w.orderBy(*order))).withColumn("copies", F.count("*").over(w)).withColumn("urls", F.array_sort(F.collect_set(url).over(w))).filter("rn = 1").drop("rn")
-    rest = df.filter(~collapsible).withColumn("copies", F.lit(1).cast("long")).withColumn("urls", F.array(url))
+    first = own.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
+    counts = own.groupBy(*keys).agg(F.count("*").alias("copies"), *([F.array_sort(F.collect_set(url)).alias("urls")] if most is None else []))
+    counts = counts if most is None else with_first_values(counts, own, keys, url, most, "urls")
+    kept = first.join(counts, same_keys(first, counts, keys)).select(*(first[c] for c in first.columns), counts["copies"], counts["urls"])
+    rest = df.filter(~F.coalesce(collapsible, F.lit(False))).withColumn("copies", F.lit(1).cast("long")).withColumn("urls", F.array(url))
     return kept.unionByName(rest)
 
 

@@ -246,10 +246,12 @@ def rental_and_category(page_kind: Column, url: Column, own: Column, page: Colum
     return F.coalesce((page_kind == "rental") | F.lower(url).rlike(words), F.lit(False)), F.coalesce(own, page)
 
 
-def normalise_offers(df: DataFrame, rules: Sequence[Rule], brands: Sequence[str], patterns: Sequence[str], stop: str) -> DataFrame:
-    """All normalised columns of offers(name, sku, price_text) in one projection."""
+def normalise_offers(df: DataFrame, rules: Sequence[Rule], brands: Sequence[str], patterns: Sequence[str], stop: str, compatibility: bool = True) -> DataFrame:
+    """All normalised columns of offers(name, sku, price_text) in one projection; names are read in their compatibility form (NFKC), so that wide letters and raised digits count."""
+    df = df.withColumn("_name", clean_text(F.col("name"), compatibility))
+    name = F.col("_name")
     return df.withColumns({
-        "clean_name": clean_text(F.col("name")), "price": parse_price(F.col("price_text")), "brand_found": detect_brand(F.col("name"), brands),
-        "code": model_key(F.col("name"), F.col("sku"), patterns, stop), "label": first_label(rules), "pack": pack_qty(F.col("name")),
+        "clean_name": name, "price": parse_price(F.col("price_text")), "brand_found": detect_brand(name, brands),
+        "code": model_key(name, F.col("sku"), patterns, stop), "label": first_label(rules), "pack": pack_qty(name),
         "hash": content_hash(F.col("name"), F.col("sku"), F.col("price_text")),
-    })
+    }).drop("_name")

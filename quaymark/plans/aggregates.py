@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as O
+from ..operators.ranks import medians
 from .bindings import catalog, demand_obs, findings, matches, offers, pages, price_obs, read, run_log, sellers
 from .registry import query
 
@@ -170,4 +171,4 @@ def item_counters(spark, d):
 
 @query("upper_median", "{offers} SELECT item_id, list_sort(list(price))[(len(list(price)) // 2 + 1)::INT] AS price FROM offers GROUP BY item_id")
 def upper_median(spark, d):
-    return offers(spark, d).groupBy("item_id").agg(O.upper_median("price").alias("price"))
+    return medians(offers(spark, d), ["item_id"], "price").select("item_id", F.col("upper_median").alias("price"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import changes as O
+from ..sources.tables import KeyedTable
 from .bindings import OBS_ORDER, catalog, demand_obs, findings, matches, offers, price_obs, read, run_log
 from .registry import query
 
@@ -33,6 +34,21 @@ def upsert_keyed(spark, d):
     return O.upsert_keyed(old, new, ["term", "day"], ["value"])
 
 
+UPSERT_TABLE = """{demand_obs} , o AS (SELECT term, day, value FROM demand_obs WHERE day < DATE '2024-01-20'), n AS (SELECT term, day, value + (CASE WHEN term LIKE '%1' THEN 1 ELSE 0 END) AS value FROM demand_obs WHERE day >= DATE '2024-01-10'),
+    m AS (SELECT term, day, coalesce(n.value, o.value) AS value FROM o FULL JOIN n USING (term, day)) SELECT term, day, CASE WHEN day = DATE '2024-01-02' THEN 0 ELSE value END::DOUBLE AS value FROM m"""
+
+
+@query("upsert_keyed_table", UPSERT_TABLE)
+def upsert_keyed_table(spark, d):
+    """Two upserts in a row into a table kept by buckets of its key."""
+    x = demand_obs(spark, d).select("term", "day", "value")
+    keys = ["term", "day"]
+    stored = KeyedTable(x.filter("day < DATE '2024-01-20'"), keys, 16)
+    merge = lambda old, new: O.upsert_keyed(old, new, keys).drop("action")
+    stored.upsert(x.filter("day >= DATE '2024-01-10'").withColumn("value", F.col("value") + F.when(F.col("term").endswith("1"), 1).otherwise(0)), merge)
+    return stored.upsert(x.filter("day = DATE '2024-01-02'").withColumn("value", F.lit(0.0)), merge)
+
+
 @query("append_price_if_changed", "{price_obs} SELECT offer_id, observed_at, seq, price FROM (SELECT *, lag(price) OVER w AS p, lag(availability) OVER w AS a, row_number() OVER w AS rn FROM price_obs WINDOW w AS (PARTITION BY offer_id ORDER BY observed_at, seq, qty, price)) WHERE rn = 1 OR p IS DISTINCT FROM price OR a IS DISTINCT FROM availability")
 def append_price_if_changed(spark, d):
     return O.price_history(price_obs(spark, d), "offer_id", OBS_ORDER).select("offer_id", "observed_at", "seq", "price")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import decisions as O
-from .bindings import catalog, findings, matches, offers, read, sellers
+from .bindings import catalog, demand_obs, findings, matches, offers, read, sellers
 from . import signals as S
 from .registry import query
 from .series import MOVES, RECENT
@@ -142,9 +143,12 @@ ACTIONS = """ac AS (SELECT 'model:' || brand || ':' || model_key AS dedupe_key,
     UNION ALL SELECT 'growth:' || category, CASE WHEN kind = 'existing' THEN 'marketing' ELSE 'product' END, 'P2', terms, 0.5, [change::VARCHAR] FROM gr
     UNION ALL SELECT 'usecases', 'marketing', 'P2', count(*), 0.6, list_sort(list(term))[1:8] FROM g HAVING count(*) > 0
     UNION ALL SELECT 'drop:' || family, 'pricing', CASE WHEN bool_or(severity = 'high') THEN 'P2' ELSE 'P3' END, count(*), max(confidence), """ + BEST.format(id="offer_id", n=6) + """ FROM dr GROUP BY family)"""
-IDEAS = """id AS (SELECT 'category:' || category AS dedupe_key, findings, least, most, upper_median, coalesce(offers, 0) AS offers FROM (SELECT category, count(*) AS findings FROM nc GROUP BY 1 HAVING count(*) >= 2) LEFT JOIN (SELECT category, min(price) AS least, max(price) AS most, list_sort(list(price))[(len(list(price)) // 2 + 1)::INT] AS upper_median, count(price) AS offers FROM offers GROUP BY 1) USING (category)
-    UNION ALL SELECT 'model:' || brand || ':' || model_key, sellers, least, most, upper_median, offers FROM ml JOIN (SELECT brand, model_key, min(price) AS least, max(price) AS most, list_sort(list(price))[(len(list(price)) // 2 + 1)::INT] AS upper_median, count(price) AS offers FROM offers GROUP BY 1, 2) USING (brand, model_key) WHERE sellers >= 2 AND len(reasons) > 0
-    UNION ALL SELECT 'growth:' || category, terms, NULL, NULL, NULL, 0 FROM gr WHERE kind = 'gap' UNION ALL SELECT 'substitutes', count(*), NULL, NULL, NULL, 0 FROM sellers WHERE tier = 'C' HAVING count(*) > 0)"""
+NAMES = "list_sort(list_distinct(list(seller)))[1:8]"
+IDEAS = """cats AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS k, count(*) OVER () AS m FROM (SELECT DISTINCT category FROM catalog)), dm AS (SELECT term, cats.category, count(*) AS n FROM demand_obs JOIN cats ON k = right(term, 1)::INT % m GROUP BY 1, 2),
+    tm AS (SELECT category, list(term ORDER BY n DESC, term)[1:5] AS terms FROM dm GROUP BY 1), id AS (SELECT 'category:' || category AS dedupe_key, findings, least, most, upper_median, coalesce(offers, 0) AS offers, coalesce(terms, []) AS terms, who AS sellers
+        FROM (SELECT category, count(*) AS findings, """ + NAMES + """ AS who FROM nc JOIN sellers USING (seller_id) GROUP BY 1 HAVING count(*) >= 2) LEFT JOIN (SELECT category, min(price) AS least, max(price) AS most, list_sort(list(price))[(len(list(price)) // 2 + 1)::INT] AS upper_median, count(price) AS offers FROM offers GROUP BY 1) USING (category) LEFT JOIN tm USING (category)
+    UNION ALL SELECT 'model:' || brand || ':' || model_key, ml.sellers, least, most, upper_median, offers, [], who FROM ml JOIN (SELECT brand, model_key, min(price) AS least, max(price) AS most, list_sort(list(price))[(len(list(price)) // 2 + 1)::INT] AS upper_median, count(price) AS offers, """ + NAMES + """ AS who FROM offers JOIN sellers USING (seller_id) GROUP BY 1, 2) USING (brand, model_key) WHERE ml.sellers >= 2 AND len(reasons) > 0
+    UNION ALL SELECT 'growth:' || category, terms, NULL, NULL, NULL, 0, [], [] FROM gr WHERE kind = 'gap' UNION ALL SELECT 'substitutes', count(*), NULL, NULL, NULL, 0, [], """ + NAMES + """ FROM sellers WHERE tier = 'C' HAVING count(*) > 0)"""
 
 
 def actions(spark, d):
@@ -153,7 +157,10 @@ def actions(spark, d):
 
 def ideas(spark, d):
     multi, new, growth, _, _ = detected(spark, d)
-    return O.generate_ideas(new, multi, growth, sellers(spark, d).filter("tier = 'C'"), offers(spark, d))
+    cats = catalog(spark, d).select("category").distinct()
+    cats = cats.withColumn("k", F.row_number().over(Window.orderBy("category")) - 1).withColumn("m", F.count("*").over(Window.partitionBy(F.lit(1))))  # a few kinds of categories
+    demand = demand_obs(spark, d).groupBy("term").agg(F.count("*").alias("n")).join(cats, F.substring("term", -1, 1).cast("int") % F.col("m") == F.col("k"))
+    return O.generate_ideas(new, multi, growth, sellers(spark, d).filter("tier = 'C'"), offers(spark, d), sellers(spark, d), demand)
 
 
 @query("generate_actions", "{catalog sellers offers price_obs demand_obs matches} , " + DETECTED + ", " + ACTIONS + " SELECT dedupe_key, owner, priority, n::BIGINT AS n, round_even(confidence, 6) AS confidence, CASE WHEN dedupe_key LIKE 'growth%' THEN [] ELSE evidence END AS evidence FROM ac")

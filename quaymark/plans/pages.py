@@ -50,6 +50,13 @@ def normalise_page(spark, d):
     return O.normalise_page(made_pages(spark, d)).select("page_id", "title", "text", F.size("items").alias("links"), F.col("items")[0]["t"].alias("t"), F.col("items")[0]["u"].alias("u"))
 
 
+@query("site_lines", "{page} , " + LINES + """ , x AS (SELECT page_id, host, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS at FROM ln), n AS (SELECT host, count(*) AS pages FROM page GROUP BY 1 HAVING count(*) >= 3), c AS (SELECT host, line FROM x JOIN n USING (host) GROUP BY host, line, pages HAVING count(DISTINCT page_id) > 0.3 * pages)
+    SELECT ln.page_id, coalesce(string_agg(x.line, chr(10) ORDER BY x.at), '') AS text FROM ln LEFT JOIN (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.host = x.host AND c.line = x.line)) x USING (page_id) GROUP BY 1""")
+def site_lines(spark, d):
+    p = pages(spark, d).select("page_id", "host", F.array_join(O.page_lines(F.col("html")), "\n").alias("text"))
+    return O.drop_site_lines(p, least=3, share=0.3).select("page_id", "text")
+
+
 @query("page_hash", "{page} , " + LINES + ", " + LINKS + " SELECT page_id, sha1(array_to_string(list_sort(list_distinct(lines)), chr(10)) || chr(1) || array_to_string(list_sort(list_distinct(us)), chr(10))) AS hash FROM ln JOIN (SELECT page_id, list(url) AS us FROM lk GROUP BY 1) USING (page_id)".replace("sha1(", "sha1("))
 def page_hash(spark, d):
     p = pages(spark, d).select("page_id", O.page_lines(F.col("html")).alias("lines"))

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quaymark.operators import changes, decisions, joins, lines, names, news, pages, signals, signatures, sweep, terms, text
-from quaymark.sources import imports
+from quaymark.operators import changes, decisions, joins, lines, names, news, pages, ranks, series, signals, signatures, sweep, terms, text
+from quaymark.sources import imports, tables
 from quaymark.streaming import jobs
 
 
@@ -344,6 +344,38 @@ def test_changes_against_all_lines_of_the_other_version(spark):
     assert (len(got[4, 2][0]), got[4, 2][2]) == (1, False) and got[4, 3] == ([], got[4, 2][0], False)
 
 
+def test_medians_of_large_groups_are_exact(spark):
+    import random
+    import statistics
+
+    rng = random.Random(6)
+    kinds = {
+        "even": [float(i) for i in range(500)], "odd": [rng.gauss(0, 1) for _ in range(501)], "steep": [10.0 ** rng.uniform(-300, 300) * rng.choice([-1, 1]) for _ in range(400)],
+        "equal": [7.5] * 300, "two": [1.0] * 200 + [2.0] * 200, "wide": [-1.7e308, 1.7e308] * 100 + [0.0], "close": [1.0 + i * 2.0**-52 for i in range(300)], "few": [3.0, 1.0, 2.0], None: [float(i % 9) for i in range(200)],
+    }
+    rows = [(k, v) for k, values in kinds.items() for v in values] + [("few", None), ("none", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, v double")
+    for most in (50, 10_000):
+        got = {r.k: (r.median, r.upper_median) for r in ranks.medians(df, ["k"], "v", most).collect()}
+        assert got.pop("none") == (None, None)
+        for k, values in kinds.items():
+            s = sorted(values)
+            assert got[k][1] == s[len(s) // 2]
+            assert got[k][0] == pytest.approx(statistics.median(s), rel=1e-12), (k, most)
+
+
+def test_first_values(spark):
+    df = spark.createDataFrame([("a", x) for x in "dbcabdd"] + [("b", None), (None, "z"), (None, "y")], "k string, v string")
+    got = {r.k: r.vs for r in ranks.with_first_values(df.groupBy("k").count(), df, ["k"], "v", 2, "vs").collect()}
+    assert got == {"a": ["a", "b"], "b": [], None: ["y", "z"]}
+    plan = ranks.first_values(df, ["k"], "v", 2, "vs")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan  # each task sends n values of a group
+    x = spark.createDataFrame([(1, "a", "u2"), (2, "a", "u1"), (3, "a", "u3"), (4, None, "u9")], "id int, k string, u string")
+    out = {r.id: (r.copies, r.urls) for r in series.collapse_duplicates(x, ["k"], [F.asc("id")], F.lit(True), "u", 2).collect()}
+    assert out == {1: (3, ["u1", "u2"]), 4: (1, ["u9"])}
+
+
 HTML = """<html><head><title>T</title><script type="application/ld+json">{"@graph": [{"@type": ["Thing", "Product"], "name": "Guide", "sku": 7,
 "image": ["a.jpg"], "brand": {"name": "B"}, "offers": [{"price": "32500", "priceCurrency": "RUB", "availability": "http://schema.org/InStock"}]}]}</script></head>
 <body><header>skip</header><nav><a href="/x">x</a></nav><p>One &amp; two</p><p>12:30</p><p>One &amp; two</p><a href="/p">Link</a><table><tr><td>Range</td><td>100 m</td></tr></table><dl><dt>Weight</dt><dd>20 g</dd></dl></body></html>"""
@@ -412,6 +444,52 @@ def test_a_moved_counter_is_no_change(spark):
     assert h[0].h == h[1].h != h[2].h and [i.u for i in h[2].items] == ["http://h/g1", "http://h/g2"]
 
 
+def test_upserts_move_only_new_rows(spark):
+    import os
+
+    old = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 3).cast("string").alias("s"), F.col("id").cast("double").alias("v"))
+    new = spark.range(1990, 2010).select(F.col("id").alias("k"), (F.col("id") % 3).cast("string").alias("s"), F.lit(-1.0).alias("v"))
+    stored = tables.KeyedTable(old, ["k", "s"], 8)
+    merged = changes.upsert_keyed(stored.current(), new.repartition(8, "k", "s"), ["k", "s"]).collect()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = changes.upsert_keyed(stored.current(), new.repartition(8, "k", "s"), ["k", "s"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan  # that of the new rows
+    merge = lambda a, b: changes.upsert_keyed(a, b, ["k", "s"]).drop("action")
+    for _ in range(3):
+        out = stored.upsert(new, merge)
+    assert sorted((r.k, r.v) for r in out.collect()) == sorted((r.k, r.v) for r in merged) == [(k, -1.0 if k >= 1990 else float(k)) for k in range(2010)]
+    files = [f for f in out.inputFiles() if os.path.getsize(f.removeprefix("file://").removeprefix("file:"))]
+    assert len(files) <= 8
+
+
+def test_wide_letters_in_offers(spark):
+    df = spark.createDataFrame([("\uff21\uff22-12 guide\u3000x\u00b2", None, "12 EUR")], "name string, sku string, price_text string")
+    r = text.normalise_offers(df, [], ["guide"], [r"\b([A-Z]{2}-[0-9]+)\b"], "^USB").first()
+    assert (r.clean_name, r.code, r.brand_found) == ("AB-12 guide x2", "AB12", "guide")
+
+
+def test_noise_by_structure(spark):
+    html = (
+        '<main><div role="navigation">roles</div><div aria-hidden="true">unseen</div><div class="siteMenu">camel</div><div id="share-box">shared</div><p>Count of guests: 17</p><p>Channels: 16 and more</p><p>12.05.2024 10:30</p>'
+        '<p>Seen on 12.05.2024 by us</p><p>We use cookies</p><p>One <b>bold</b> line</p><a href="/file.pdf">A file</a><a href="?sort=price">Sorted</a><a href="/v1.5">Version</a><a href="/page.html">A page</a><a href="/account/me">Mine</a></main>')
+    r = pages.normalise_page(page(spark, html)).first()
+    assert r.text.split("\n") == ["Channels: 16 and more", "Seen on by us", "One bold line", "A file", "Sorted", "Version", "A page", "Mine"]
+    assert [i.u for i in r["items"]] == ["http://h/v1.5", "http://h/page.html"]
+    own = pages.normalise_page(page(spark, html), pages.Noise(words=("bold",), areas=())).first().text
+    assert "camel" in own and "We use cookies" in own and "bold" not in own
+
+
+def test_lines_that_a_site_repeats(spark):
+    rows = [(i, "a" if i < 6 else "b", f"Same on all\nOwn {i}" + ("\nOn some" if i % 3 == 0 else "")) for i in range(8)] + [(8, "a", "Same on all"), (9, None, None)]
+    got = {r.page_id: r.text for r in pages.drop_site_lines(spark.createDataFrame(rows, "page_id int, host string, text string")).collect()}
+    assert got[0] == "Own 0\nOn some" and got[1] == "Own 1" and got[8] == "" and got[9] == ""
+    assert got[6] == "Same on all\nOwn 6\nOn some"  # a site of two pages
+
+
 def test_typed_specs(spark):
     df = spark.createDataFrame([("range 100 m, 20 h, 30 g", {"Range": "80 m"}, None), ("charging case for 20 receivers 5 h 90 g", None, None), ("x", {}, 12)], "t string, specs map<string,string>, n int")
     got = [r.s for r in df.select(text.typed_specs(F.col("t"), [("uhf", "UHF")], F.col("specs"), F.col("n")).alias("s")).collect()]
