@@ -47,6 +47,8 @@ def materialise(df: DataFrame) -> DataFrame:
 
 #: A key is frequent from this many rows on, and from this share of all rows on (so at most SHARES - 1 keys are).
 HOT_ROWS, SHARES = 100_000, 65_536
+#: Groups up to which their sizes are broadcast.
+FEW_GROUPS = 10_000
 
 
 def frequent(counted: DataFrame, keys: list[str], count: str = "count", least: int = HOT_ROWS) -> DataFrame | None:
@@ -85,7 +87,9 @@ def smallest_hashes(df: DataFrame, group: list[str], by: str, n: int) -> DataFra
     """
     h = F.xxhash64(by)
     share = F.least(F.lit(1.0), F.lit(40.0 * n) / F.col("_size"))
-    near = df.join(df.groupBy(*group).agg(F.count("*").alias("_size")), group).filter(h.cast("double") / 2.0**64 + 0.5 <= share).drop("_size")
+    sizes = materialise(df.groupBy(*group).agg(F.count("*").alias("_size")))
+    # labels and languages are few, and a join by one would send all rows to as many tasks
+    near = df.join(F.broadcast(sizes) if sizes.count() <= FEW_GROUPS else sizes, group).filter(h.cast("double") / 2.0**64 + 0.5 <= share).drop("_size")
     return near.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(h, by))).filter(F.col("_rn") <= n)
 
 
