@@ -61,7 +61,7 @@ NATIVE = {
 
 @pandas_udf(T.DoubleType())
 def upper_median(v: pd.Series) -> float:
-    """For groups of bounded size; ``aggregates.upper_median`` takes groups of any size."""
+    """For groups of bounded size, which it holds whole; ``ranks.medians`` takes groups of any size."""
     x = v.dropna().sort_values()
     return float(x.iloc[len(x) // 2]) if len(x) else None
 
