@@ -472,6 +472,26 @@ def test_wide_letters_in_offers(spark):
     assert (r.clean_name, r.code, r.brand_found) == ("AB-12 guide x2", "AB12", "guide")
 
 
+def test_measures_agree_with_texts():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(50):
+        html = "".join(rng.choice(["<div>", "</div>", "<p>", "</p>", '<a href="/x">', "</a>", "<script>", "</script>", "<b>", "</b>", " word ", "12 EUR", "a  b", "\n"]) for _ in range(80))
+        root = pages._Tree(html).root
+        measure = pages._Measure(root)
+        for n in root.walk():
+            if n.tag not in ("script", "style", "noscript", "template"):
+                assert measure.size[n] == len(n.text()) and (n in measure.digit) == any(map(str.isdigit, n.text()))
+            assert (n in measure.linked) == bool(pages.select(n, "a[href]"))
+
+
+def test_a_long_listing(spark):
+    cards = "".join(f'<div><div><a href="/p{i}">Guide number {i}</a></div><span><b>{100 + i} EUR</b></span></div>' for i in range(5000))
+    got = pages.catalog_page_offers(page(spark, f"<html><body><div>{cards}</div></body></html>")).collect()
+    assert len(got) == 5000 and {(r.name, r.price) for r in got} == {(f"Guide number {i}", 100.0 + i) for i in range(5000)}
+
+
 def test_noise_by_structure(spark):
     html = (
         '<main><div role="navigation">roles</div><div aria-hidden="true">unseen</div><div class="siteMenu">camel</div><div id="share-box">shared</div><p>Count of guests: 17</p><p>Channels: 16 and more</p><p>12.05.2024 10:30</p>'
