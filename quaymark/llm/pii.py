@@ -146,7 +146,8 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     ``sanitised`` is the text with base spans and secrets as [KIND] and telling words as [TERM], or, from REMOVE_BITS on,
     removed; it is null where nothing changes.  Statistics count different texts, so that copies and
     repeated rows are no evidence, and rows with equal texts get equal spans whatever their ids (null ones too).
-    A null text counts as empty; rows without spans have empty arrays; work in a text grows little faster than its length.
+    A null text counts as empty; rows without spans have empty arrays.  Words and entities that stand in the same texts are counted as one class each, so a text's work grows
+    with its length and with the product of its classes of both, not of its words and entities.
     Spans with one start are in the order of KINDS.  An empty table gives an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -164,23 +165,29 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     counted = named.groupBy("entity").agg(F.count("*").alias("n_e"))
     # n(t, e) <= n(t) bounds the bits by log2(N / n(e)): other entities, and those of one text, have no telling word
     entity_docs = materialise(counted.filter((F.col("n_e") >= LEAST_SUPPORT) & (F.log2(F.lit(n_docs) / F.col("n_e")) >= LEAST_BITS)))
-    held = spread_join(named, entity_docs, ["entity"], "_th", frequent(entity_docs, ["entity"], "n_e")).groupBy(*same).agg(F.collect_list("entity").alias("_entities"))
-    read_again = docs.join(held, same)
-    uses = (
-        read_again.select(*same, "_entities", F.explode(words(F.col("_text"))).alias("term"))
-        .select(*same, "term", F.explode("_entities").alias("entity"))
-    )
-    pairs = materialise(uses.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= LEAST_SUPPORT))
+    entities = materialise(spread_join(named, entity_docs, ["entity"], "_th", frequent(entity_docs, ["entity"], "n_e")))
+    # entities of one set of texts share all counts, and so do words: classes of both stand for them
+    mark = lambda: [F.bit_xor(F.xxhash64(*(F.lit(k), *same))) for k in (1, 2)]
+    e1, e2 = mark()
+    classes = materialise(entities.groupBy("entity").agg(F.count("*").alias("n_e"), e1.alias("e1"), e2.alias("e2")))
+    classed = spread_join(entities.drop("n_e"), classes, ["entity"], "_th", frequent(classes, ["entity"], "n_e")).select(*same, "e1", "e2", "n_e").distinct()
+    read_again = docs.join(entities.select(*same).distinct(), same)
     # a word counts once for each different text; copies collapse in each task before one of them is sent
     texts = read.groupBy(*same).agg(F.first("_text").alias("_text"))
     n_t = texts.select(F.explode(words(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= LEAST_SUPPORT)
-    shares = spread_join(pairs, n_t, ["term"], "entity", frequent(pairs.groupBy("term").count(), ["term"])).filter(F.col("n_te") >= LEAST_SHARE * F.col("n_t"))
-    telling = materialise(
-        shares.join(entity_docs, "entity")
-        .withColumn("bits", F.log2(F.col("n_te") * F.lit(n_docs) / (F.col("n_t") * F.col("n_e"))))
-        .filter(F.col("bits") >= LEAST_BITS).select("entity", "term", "bits", "n_te")
-    )
-    told = spread_join(uses, telling.drop("n_te"), ["entity", "term"], "_th", frequent(telling, ["entity", "term"], "n_te")).groupBy(*same, "term").agg(F.max("bits").alias("bits"))
+    spoken = read_again.select(*same, F.explode(words(F.col("_text"))).alias("term"))
+    t1, t2 = mark()
+    near = spoken.groupBy("term").agg(F.count("*").alias("n_h"), t1.alias("t1"), t2.alias("t2")).filter(F.col("n_h") >= LEAST_SUPPORT)
+    # n(t, e) is at most the number of these texts with the word
+    terms = materialise(near.join(n_t, "term").filter(F.col("n_h") >= LEAST_SHARE * F.col("n_t")))
+    kept = materialise(spread_join(spoken, terms, ["term"], "_th", frequent(terms, ["term"], "n_h")))
+    pair = ["t1", "t2", "e1", "e2"]
+    meet = kept.select(*same, "t1", "t2").distinct().join(classed, same)
+    pairs = materialise(meet.groupBy(*pair).agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= LEAST_SUPPORT))
+    choice = spread_join(meet, pairs, pair, "_th", frequent(pairs, pair, "n_te")).groupBy(*same, "t1", "t2", "n_te").agg(F.min("n_e").alias("n_e"))
+    bits = F.log2(F.col("n_te") * F.lit(n_docs) / (F.col("n_t") * F.col("n_e")))
+    told = kept.join(choice, [*same, "t1", "t2"]).filter(F.col("n_te") >= LEAST_SHARE * F.col("n_t")).withColumn("bits", bits).filter(F.col("bits") >= LEAST_BITS)
+    told = told.groupBy(*same, "term").agg(F.max("bits").alias("bits"))
     places = read_again.select(*same, F.explode(placed_words(F.col("_text"))).alias("w")).select(*same, "w.*")
     added = places.join(told, [*same, "term"]).groupBy(*same).agg(F.collect_list(F.struct("start", F.lit(TERM_KIND).alias("kind"), "end", "bits")).alias("_added"))
     joined = spread_join(spotted, added, same, "_id", frequent(holding.groupBy(*same).count(), same), "left")

@@ -1,5 +1,6 @@
 """Exact dedup, mixing and personal data against brute force."""
 
+import math
 import hashlib
 import random
 import re
@@ -203,3 +204,15 @@ def test_pii_in_one_long_text(spark):
     x = pii.find(frame(spark, [(1, text, "s"), (2, "p1@list.org person1", "s"), (3, "p1@list.org person1 again", "s")] + [(10 + i, f"other {i}", "s") for i in range(40)])).filter("doc_id = 1").first()
     assert sum(s.kind == 0 for s in x.spans) == 50_000 and x.sanitised.count("[EMAIL]") == 50_000
     assert sum(s.kind == 5 for s in x.spans) == 1 and time.time() - began < 100
+
+
+def test_pii_in_two_versions_of_a_list(spark):
+    """Twenty thousand addresses that stand in the same two texts are one class, so words and addresses do not meet one by one."""
+    listed = [f"person{i} <p{i}@list.org>" for i in range(20_000)]
+    rows = [(1, " ".join(listed), "s"), (2, " ".join(listed[::-1]), "s"), (3, "p1@list.org person1", "s")] + [(10 + i, f"other {i}", "s") for i in range(60)]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.find(frame(spark, rows)).filter("doc_id < 4").collect()}
+    assert time.time() - began < 60
+    assert all(sum(s.kind == 5 for s in got[i].spans) == 20_000 for i in (1, 2)) and sum(s.kind == 5 for s in got[3].spans) == 1
+    # a word of both lists tells of any address: one of n texts that hold both
+    assert {s.bits for s in got[1].spans if s.kind == 5} == {math.log2(2 * 63 / (2 * 2)), math.log2(3 * 63 / (3 * 3))}
