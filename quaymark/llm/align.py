@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Encoder, as_lists, ragged, read_vocabulary, small_batches
-from .common import frequent, materialise, shared_folder, spread_join
+from .common import frequent, materialise, settled, shared_folder, spread_join
 from .grams import U, mix
 
 #: Units and windows that a task remembers.
-MEMO = 200_000
+MEMO = 100_000
+#: Bytes of texts that a task aligns at a time.
+BATCH = 750_000
 #: Distinct id pairs up to which their counts are broadcast (about 100 MB in an executor); more are joined by shuffles.
 BROADCAST_PAIRS = 1_000_000
 SPACE_MARK = "▁"
@@ -60,6 +62,18 @@ class Side:
         return ragged(self.pool, self.starts[ids], self.lens[ids]).tobytes()
 
 
+class Names:
+    """Decimal ids with the sign that follows them in the written form of groups: ``,`` within a side, ``|`` after the ids of A, ``;`` after those of B."""
+
+    def __init__(self, n_a: int, n_b: int):
+        marked = [f"{i}{sign}".encode() for n, end in ((n_a, "|"), (n_b, ";")) for sign in (",", end) for i in range(n)]
+        self.side = Side.of(marked)
+        self.first = {"a,": 0, "a|": n_a, "b,": 2 * n_a, "b;": 2 * n_a + n_b}
+
+    def text(self, pieces: np.ndarray) -> bytes:
+        return self.side.text(pieces)[:-1]
+
+
 class Pair:
     """Two tokenizers as they travel to the tasks: the arrays of A and the model file of B."""
 
@@ -75,6 +89,7 @@ class Pair:
         if any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in pieces):
             raise ValueError("pieces reach over the start of a word")
         self.b = Side.of([piece_bytes(p) for p in pieces])
+        self.names = Names(len(self.a.byte_lens), len(pieces))
         #: A pair's code is its B id, shifted, and its A id.
         self.shift = 16 if len(self.a.byte_lens) <= 1 << 16 and len(pieces) <= 1 << 15 else 32
         self.code = np.int32 if self.shift == 16 else np.int64
@@ -145,18 +160,6 @@ class Tokens:
         return tuple(out)
 
 
-class Names:
-    """Decimal ids with the sign that follows them in the written form of groups: ``,`` within a side, ``|`` after the ids of A, ``;`` after those of B."""
-
-    def __init__(self, n_a: int, n_b: int):
-        marked = [f"{i}{sign}".encode() for n, end in ((n_a, "|"), (n_b, ";")) for sign in (",", end) for i in range(n)]
-        self.side = Side.of(marked)
-        self.first = {"a,": 0, "a|": n_a, "b,": 2 * n_a, "b;": 2 * n_a + n_b}
-
-    def text(self, pieces: np.ndarray) -> bytes:
-        return self.side.text(pieces)[:-1]
-
-
 class Windows:
     """Alignments of windows, kept by their ids: codes of linked pairs, and the written form of the groups as numbers of ``Names``."""
 
@@ -164,7 +167,7 @@ class Windows:
         self.pair = pair
         self.a = Side(pair.a.byte_pool, pair.a.byte_starts, pair.a.byte_lens)
         self.marks = self.a.spaced(), pair.b.spaced()
-        self.names = Names(len(self.a.lens), len(pair.b.lens))
+        self.names = pair.names
         self.clear()
 
     def clear(self) -> None:
@@ -298,9 +301,11 @@ def align(df: DataFrame, vocabulary_file: str, piece_file: str, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(shared.value, digest)
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", BATCH):
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *aligner.batch(b.column(2).to_pylist())], names=schema.names)
+        del aligner
+        settled()  # the worker waits for later tasks without it
 
     path = f"{shared_folder(spark)}/alignment-{uuid.uuid4().hex}"
     df.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).write.parquet(path)
