@@ -14,6 +14,7 @@ component.  The full sets of the pairs that are left confirm every link.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ FAN, COARSE = 64, 32
 #: Least and most groups of a point; between them there are one to two for each shingle, so that two different ones seldom share a group.
 GROUPS = (32, 16_384)
 #: Rounds in which what is left of a bucket meets another member of its largest component, and the share that must link for one more.
-ROUNDS, WORTH = 4, 0.05
+ROUNDS, WORTH = 2, 0.2
 #: Shingles between two yields of keys.
 CHUNK = 300_000
 
@@ -84,6 +85,15 @@ def group_counts(items: np.ndarray) -> np.ndarray:
     return np.bincount((items >> shift).astype(np.int64), minlength=groups).astype(np.uint16)  # 65,535 in a group take a text of over 2 GB
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as compressed bytes: most are 0 or 1."""
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.uint16)
+
+
 def fold(points: np.ndarray, groups: int) -> np.ndarray:
     """Rows of counts with neighbouring groups added up."""
     return points if points.shape[-1] == groups else points.reshape(*points.shape[:-1], groups, -1).sum(-1, dtype=np.uint32)
@@ -133,7 +143,7 @@ def points(texts: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
             sets = list(shingle_sets(b.column(1).to_pylist(), k))
-            made = pa.array([group_counts(s).tobytes() for s in sets], pa.binary())
+            made = pa.array([packed(group_counts(s)) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), made], names=["id", "n", "point"])
 
     return texts.mapInArrow(run, "id long, n long, point binary")
@@ -152,7 +162,7 @@ def within_bound(pairs: DataFrame, at: DataFrame, percent: int, hot: dict[str, D
             for b in small_batches(iter([batch]), "p_a"):
                 overlap = []
                 for x, y in zip(column(b, "p_a"), column(b, "p_b"), strict=True):
-                    p, q = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+                    p, q = unpacked(x), unpacked(y)
                     groups = min(len(p), len(q))
                     overlap.append(int(np.minimum(fold(p, groups), fold(q, groups)).sum(dtype=np.int64)))
                 ok = can_link(np.array(overlap, np.int64), np.array(column(b, "n_a"), np.int64), np.array(column(b, "n_b"), np.int64), percent)
@@ -181,13 +191,13 @@ def pack(dealt: DataFrame, leaf: bool) -> DataFrame:
             nonlocal made
             made += 1
             key, place, entries, lows, highs, labels, raw = zip(*held, strict=True)
-            rows = [np.frombuffer(x, np.uint16 if leaf else np.uint32) for x in raw]
+            rows = [unpacked(x) if leaf else np.frombuffer(x, np.uint32) for x in raw]
             groups = min(map(len, rows)) if leaf else COARSE
             counts = np.stack([fold(x, groups) for x in rows]).astype(np.uint16 if leaf else np.uint32)
             long = lambda x: np.array(x, np.int64).tobytes()
             label = labels[0] if len(set(labels)) == 1 else -1
             upper = fold(counts, COARSE).max(0).astype(np.uint32) if leaf else counts.max(0)
-            return (key[0], base + made, base + made if leaf else place[0], len(held), long(entries), long(lows), long(highs), long(labels), counts.tobytes(), min(lows), max(highs), label, upper.tobytes())
+            return (key[0], base + made, base + made if leaf else place[0], len(held), long(entries), long(lows), long(highs), long(labels), packed(counts), min(lows), max(highs), label, upper.tobytes())
 
         held: list[tuple] = []
         names = [c.split()[0] for c in NODE.split(", ")]
@@ -232,7 +242,7 @@ def visit(nodes: DataFrame, queries: DataFrame, percent: int, leaf: bool) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: tuple | None = None
         for batch in batches:
-            for b in small_batches(small_batches(iter([batch]), "point"), "counts", 20_000_000):
+            for b in small_batches(small_batches(iter([batch]), "point"), "counts", 5_000_000):
                 found: list[tuple] = []
                 kinds = column(b, "kind")
                 nodes_, ids, ns, labels, bigs, raw = (column(b, c) for c in ("node", "id", "n", "label", "big", "point"))
@@ -241,7 +251,7 @@ def visit(nodes: DataFrame, queries: DataFrame, percent: int, leaf: bool) -> Dat
                     if kind == 0:
                         size, *parts = (c[i] for c in packed)
                         e, lo, hi, la = (np.frombuffer(x, np.int64) for x in parts[:4])
-                        here = (nodes_[i], e, lo, hi, la, np.frombuffer(parts[4], np.uint16 if leaf else np.uint32).reshape(size, -1))
+                        here = (nodes_[i], e, lo, hi, la, np.frombuffer(zlib.decompress(parts[4]), np.uint16 if leaf else np.uint32).reshape(size, -1))
                         continue
                     if here is None or here[0] != nodes_[i]:
                         continue  # no node of this level
@@ -251,7 +261,7 @@ def visit(nodes: DataFrame, queries: DataFrame, percent: int, leaf: bool) -> Dat
                     at = np.flatnonzero(ok)
                     if not len(at):
                         continue
-                    mine = np.frombuffer(raw[i], np.uint16)
+                    mine = unpacked(raw[i])
                     groups = min(len(mine), counts.shape[1])
                     overlap = np.minimum(fold(counts[at], groups), fold(mine, groups)).sum(1, dtype=np.int64)
                     least = np.maximum(lo[at], -(-percent * x // 100))
