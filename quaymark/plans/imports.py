@@ -137,7 +137,7 @@ def write_delimited(spark, d):
     return spark.read.option("sep", ";").option("header", True).csv(path)
 
 
-EXPORTS = {"competitor_matrix": 3, "site_audit": 6, "signals": 12, "recommendations": 6, "matrix": 8, "competitors": 5, "competitor_products": 15, "matches": 8, "queries": 2, "demand": 4, "hypotheses": 6, "price_history": 5}
+EXPORTS = {"competitor_matrix": 3, "site_audit": 6, "signals": 12, "recommendations": 6, "matrix": 8, "competitors": 5, "competitor_products": 15, "matches": 8, "queries": 2, "demand": 4, "hypotheses": 8, "price_history": 5}
 
 
 @query("export_views", "{catalog sellers offers price_obs demand_obs matches findings} , " + D.DETECTED + ", " + D.ACTIONS + ", " + D.IDEAS + ", ex AS (SELECT 'competitor_matrix' AS view, count(*) AS n FROM (SELECT DISTINCT seller_id, category FROM offers) UNION ALL SELECT 'site_audit', count(*) FROM catalog WHERE length(name) < 12 UNION ALL SELECT 'signals', count(*) FROM findings UNION ALL SELECT 'recommendations', count(*) FROM ac UNION ALL SELECT 'matrix', count(*) FROM catalog UNION ALL SELECT 'competitors', count(*) FROM sellers UNION ALL SELECT 'competitor_products', count(*) FROM offers UNION ALL SELECT 'matches', count(*) FROM matches UNION ALL SELECT 'queries', count(DISTINCT term) FROM demand_obs UNION ALL SELECT 'demand', count(*) FROM demand_obs UNION ALL SELECT 'hypotheses', count(*) FROM id UNION ALL SELECT 'price_history', count(*) FROM price_obs) SELECT view, n, CASE view " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in EXPORTS.items()) + " END::BIGINT AS columns FROM ex")
