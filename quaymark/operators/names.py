@@ -13,6 +13,12 @@ def name_tokens(name: Column) -> Column:
     return F.array_sort(F.array_distinct(F.split(F.lower(name), r"[^\p{L}\p{N}]+")))
 
 
+def token_jaccard(a: Column, b: Column) -> Column:
+    """The share of the different words of two names that both have."""
+    x, y = name_tokens(a), name_tokens(b)
+    return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+
+
 def rare_first(sets: DataFrame, counts: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
     """(keys, tokens, n, token) for the rarest words of each set, as many as one of them must be shared from ``least`` similarity on.
 

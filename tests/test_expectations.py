@@ -33,7 +33,7 @@ def test_sql_functions_agree_with_the_columns(spark):
     values = ["32 500 ₽", "32500,00", "от 4 500 руб.", "12.500 руб", "1 500 ₽ за шт", "нет", "", None, "0 руб", "only 7,50 of 9 eur", "UG-10 set", "ТТ106 с кейсом", "USB2 hub", "HDE 2020-D"]
     df = spark.createDataFrame([(i, v, values[-i]) for i, v in enumerate(values)], "i int, t string, u string")
     pairs = [
-        ("parse_price(t)", text.parse_price(F.col("t"))), ("model_key(t)", text.model_key(F.col("t"), F.lit(None).cast("string"), [CODE], NO_CODE)), ("name_similarity(t, u)", joins.token_jaccard(F.col("t"), F.col("u"))),
+        ("parse_price(t)", text.parse_price(F.col("t"))), ("model_key(t)", text.model_key(F.col("t"), F.lit(None).cast("string"), [CODE], NO_CODE)), ("name_similarity(t, u)", names.token_jaccard(F.col("t"), F.col("u"))),
         ("round_retail_price(i * 377.5D)", text.round_retail_price(F.col("i") * 377.5)), ("calibration_factor(i, 20)", signals.calibration_factor(F.col("i"), F.lit(20))),
         ("unit_price(i * 50.0D, i)", text.unit_price(F.col("i") * 50.0, F.col("i"), F.lit(None).cast("int"), F.lit(True), F.lit(False))),
         ("unit_price(i * 90.0D, 3, i, false, true)", text.unit_price(F.col("i") * 90.0, F.lit(3), F.col("i"), F.lit(False), F.lit(True))),
