@@ -30,7 +30,7 @@ def alike(spark, n, name):
     return spark.range(n).select(F.col("id").alias(name), F.lit("11-5").alias("model_key"), F.lit("b").alias("brand"), F.lit(5).alias("capacity"), F.when(F.col("id") % 2 == 0, "ring").otherwise("rod").alias("kind"))
 
 
-@pytest.mark.parametrize("best_only", [False])
+@pytest.mark.parametrize("best_only", [False, True])
 def test_offers_of_one_code_do_not_meet_all_its_items(spark, best_only):
     offers, items = alike(spark, 600, "offer_id"), alike(spark, 500, "item_id")
     aliases = spark.createDataFrame([("11-5", "11-5")], "alias_code string, own_code string")
