@@ -105,7 +105,7 @@ def spec_compat(spark, d):
 
 @query("capacity_range_join", "{catalog} SELECT a.item_id, b.item_id AS peer_id FROM catalog a JOIN catalog b USING (category, brand) WHERE a.item_id <> b.item_id AND abs(a.capacity - b.capacity) <= greatest(2, 0.2 * a.capacity)")
 def capacity_range_join(spark, d):
-    c = catalog(spark, d)
+    c = catalog(spark, d).select("item_id", "category", "brand", "capacity")
     peer = c.select("category", "brand", F.col("item_id").alias("peer_id"), F.col("capacity").alias("peer_capacity"))
     return O.near_capacity(c, peer, ["category", "brand"], other="peer_capacity").filter("item_id <> peer_id").select("item_id", "peer_id")
 

@@ -51,3 +51,17 @@ def test_missing_facts_of_offers_keep_their_matches(spark):
     aliases = spark.createDataFrame([("X1", "11-5"), ("X1", "11-6")], "alias_code string, own_code string")
     got = sorted((r.offer_id, r.item_id, r.confidence, r.match_type, r.rn) for r in joins.match_exact_model(offers, alike(spark, 2, "item_id"), aliases).collect())
     assert got == [(1, 0, 0.55, "kit", 1), (1, 1, 0.55, "kit", 2), (3, 0, 0.98, "exact", 1), (3, 1, 0.4, "functional", 2)]
+
+
+def cards(spark, n):
+    return alike(spark, n, "item_id").withColumns({"category": F.lit("c"), "sku": F.when(F.col("item_id") % 2 == 0, "s")})
+
+
+def test_pairs_of_close_capacity_stay_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(joins, "DEALT", 7)
+    monkeypatch.setattr(joins, "PAIRS", 100)
+    c = cards(spark, 60).withColumn("capacity", (F.col("item_id") % 9).cast("int")).select("item_id", "category", "capacity")
+    x = joins.near_capacity(c, c.select("category", F.col("item_id").alias("peer_id"), F.col("capacity").alias("peer_capacity")), ["category"], other="peer_capacity")
+    assert sorted((r.item_id, r.peer_id) for r in x.collect()) == sorted((a, b) for a in range(60) for b in range(60) if abs(a % 9 - b % 9) <= 2)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [" in plan and "_piece" in plan
