@@ -65,3 +65,11 @@ def test_pairs_of_close_capacity_stay_off_the_driver(spark, monkeypatch):
     assert sorted((r.item_id, r.peer_id) for r in x.collect()) == sorted((a, b) for a in range(60) for b in range(60) if abs(a % 9 - b % 9) <= 2)
     plan = x._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [" in plan and "_piece" in plan
+
+
+def test_twins_make_each_pair_once_without_a_shuffle_of_pairs(spark):
+    x = joins.twins(cards(spark, 50).unionByName(cards(spark, 4)))
+    assert sorted(map(tuple, x.collect())) == [(a, b) for a in range(50) for b in range(50) if a != b and a % 2 == b % 2]
+    assert "twin_id" not in "".join(line for line in x._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(item_id" in line)
+    odd = spark.createDataFrame([(1, "s", "k", None, "ring"), (1, "t", "k", 3, "ring"), (2, "s", "k", None, "ring"), (3, "t", "k", 3, "ring"), (4, None, None, 3, "ring")], "item_id long, sku string, model_key string, capacity int, kind string")
+    assert sorted(map(tuple, joins.twins(odd).collect())) == [(1, 2), (1, 3), (2, 1), (3, 1)]
