@@ -67,6 +67,16 @@ def test_pairs_of_close_capacity_stay_off_the_driver(spark, monkeypatch):
     assert "SortMergeJoin [" in plan and "_piece" in plan
 
 
+def test_pairs_of_specs_classify_an_item_once(spark, monkeypatch):
+    monkeypatch.setattr(joins, "DEALT", 7)
+    c = cards(spark, 40).withColumn("spec", F.struct((F.col("item_id") % 2 == 0).alias("two_way"), F.when(F.col("item_id") % 3 == 0, "2.4 GHz").when(F.col("item_id") % 3 == 1, "IR").alias("band"), (F.col("item_id") % 5 + 1).alias("range_m")))
+    x = joins.spec_pairs(c, ["brand", "category"], "spec")
+    s = c.alias("a").join(c.alias("b"), F.col("a.item_id") < F.col("b.item_id")).select(F.col("a.item_id"), F.col("b.item_id").alias("other_id"), F.col("a.spec").alias("s1"), F.col("b.spec").alias("s2"))
+    penalty, reasons = joins.spec_penalty("s1", "s2")
+    want = s.select("item_id", "other_id", F.bround(penalty, 4).alias("penalty"), reasons.alias("reasons"))
+    assert sorted(map(tuple, x.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_twins_make_each_pair_once_without_a_shuffle_of_pairs(spark):
     x = joins.twins(cards(spark, 50).unionByName(cards(spark, 4)))
     assert sorted(map(tuple, x.collect())) == [(a, b) for a in range(50) for b in range(50) if a != b and a % 2 == b % 2]
