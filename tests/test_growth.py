@@ -83,3 +83,13 @@ def test_twins_make_each_pair_once_without_a_shuffle_of_pairs(spark):
     assert "twin_id" not in "".join(line for line in x._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(item_id" in line)
     odd = spark.createDataFrame([(1, "s", "k", None, "ring"), (1, "t", "k", 3, "ring"), (2, "s", "k", None, "ring"), (3, "t", "k", 3, "ring"), (4, None, None, 3, "ring")], "item_id long, sku string, model_key string, capacity int, kind string")
     assert sorted(map(tuple, joins.twins(odd).collect())) == [(1, 2), (1, 3), (2, 1), (3, 1)]
+
+
+def test_offers_alike_leave_out_analogs_together(spark):
+    facts = lambda n, name: alike(spark, n, name).withColumns({"category": F.lit("c"), "kind": F.lit("rod"), "price": 100.0 + F.col(name) % 3})
+    offers, items = facts(500, "offer_id"), facts(400, "item_id")
+    x = joins.match_analogs(offers, items, offers.filter("offer_id < 0"), "ring")
+    assert sorted((r.offer_id, r.item_id, r.confidence, r.rn) for r in x.collect()) == [(o, k, 0.8, k + 1) for o in range(500) for k in range(3)]
+    i = items.select("item_id", "category", "kind", F.col("capacity").cast("long").alias("ic"), F.col("price").alias("ip"))
+    o = offers.select("offer_id", "category", "kind", F.col("capacity").cast("long").alias("oc"), F.col("price").alias("op"))
+    assert joins.candidates(o, joins.near_items(i), "ring", False, 3).count() == 500 * 3
