@@ -176,7 +176,7 @@ def apply_signature_matches(spark, d):
 
 @query("best_match_per_offer", "{catalog offers} , " + MARKET + ", " + EXACT + " SELECT offer_id, item_id, confidence FROM ex WHERE rn = 1")
 def best_match_per_offer(spark, d):
-    return O.best_match(O.match_exact_model(market_offers(spark, d), catalog(spark, d), aliases(spark, d))).select("offer_id", "item_id", "confidence")
+    return O.best_match(O.match_exact_model(market_offers(spark, d), catalog(spark, d), aliases(spark, d), best=1), ranked=True).select("offer_id", "item_id", "confidence")
 
 
 @query("comparables", "{sellers offers matches} SELECT m.item_id, offer_id, seller_group, price, confidence FROM matches m JOIN offers o USING (offer_id) JOIN sellers USING (seller_id) WHERE is_active AND price >= 10 AND confidence >= 0.7 AND match_type IN ('exact', 'identical', 'direct')")

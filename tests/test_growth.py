@@ -93,3 +93,22 @@ def test_offers_alike_leave_out_analogs_together(spark):
     i = items.select("item_id", "category", "kind", F.col("capacity").cast("long").alias("ic"), F.col("price").alias("ip"))
     o = offers.select("offer_id", "category", "kind", F.col("capacity").cast("long").alias("oc"), F.col("price").alias("op"))
     assert joins.candidates(o, joins.near_items(i), "ring", False, 3).count() == 500 * 3
+
+
+def shuffles(df):
+    """The lines of a plan that deal rows out anew."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
+
+
+def test_offers_are_dealt_once_and_best_matches_do_not_meet_by_offer_again(spark, sf):
+    from quaymark.plans import bindings
+    from quaymark.plans.joins import best_match_per_offer
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(shuffles(bindings.offers(spark, sf))) == 2  # observations and items
+        best = shuffles(best_match_per_offer(spark, sf))
+        assert sum("l_partkey" in line for line in best) == 2 and not any("offer_id" in line for line in best)  # once for the profiles, once for their offers: Spark reuses it
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
