@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as O
 from ..operators.names import reconcile_by_similarity as by_similarity
 from ..operators.signatures import signature_levels
+from ..shared import materialise
 from .bindings import catalog, findings, matches, offers, read, run_log, sellers, signatures
 from .registry import query
 
@@ -144,6 +145,13 @@ def levels(spark, d):
     return signature_levels(s.filter("side = 0"), s.filter("side = 1"), same=(17, 26), similar=(19, 30))
 
 
+def signature_pairs(spark, d, ids):
+    """The levels of those left signatures that ``ids`` (id) ask for: no others are compared."""
+    s = signatures(spark, d)
+    asked = s.filter("side = 0").join(materialise(ids.distinct()), F.col("vec_id") == F.col("id"), "left_semi")
+    return signature_levels(asked, s.filter("side = 1"), same=(17, 26), similar=(19, 30))
+
+
 @query("hamming_join", "{sigs} , " + LEVELS + " SELECT * FROM lv")
 def hamming_join(spark, d):
     return levels(spark, d)
@@ -170,7 +178,8 @@ def reuse_by_url(spark, d):
 def apply_signature_matches(spark, d):
     m = matches(spark, d).withColumn("reasons", F.when(F.col("offer_id") % 2 == 0, F.array(F.lit("code")))).withColumn("review", F.when(F.col("offer_id") % 11 == 0, "rejected"))
     o = offers(spark, d).select("offer_id", "item_id", (F.col("offer_id") % 500).alias("id"), (F.col("item_id") % 5).alias("k"))
-    p = o.join(levels(spark, d).withColumn("k", F.col("id2") % 5), ["id", "k"]).groupBy("offer_id", (F.col("item_id") + F.col("offer_id") % 2).alias("item_id")).agg(F.min("level").alias("level"))
+    p = O.offers_by_level(o, signature_pairs(spark, d, o.select("id")).withColumn("k", F.col("id2") % 5), ["id", "k"])
+    p = p.groupBy("offer_id", (F.col("item_id") + F.col("offer_id") % 2).alias("item_id")).agg(F.min("level").alias("level"))
     return O.apply_signature_matches(m, p)
 
 

@@ -112,3 +112,11 @@ def test_offers_are_dealt_once_and_best_matches_do_not_meet_by_offer_again(spark
         assert sum("l_partkey" in line for line in best) == 2 and not any("offer_id" in line for line in best)  # once for the profiles, once for their offers: Spark reuses it
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_signature_pairs_are_summed_up_before_offers_meet_them(spark):
+    offers = spark.range(90).select(F.col("id").alias("offer_id"), (F.col("id") % 3).alias("id"))
+    pairs = spark.range(300).select((F.col("id") % 4).alias("id"), F.when(F.col("id") % 4 == 0, "similar").when(F.col("id") == 1, "same").otherwise("similar").alias("level"))
+    x = joins.offers_by_level(offers, pairs, ["id"])
+    assert joined_rows(x) == 90
+    assert {(r.offer_id, r.level) for r in x.collect()} == {(i, "same" if i % 3 == 1 else "similar") for i in range(90)}
