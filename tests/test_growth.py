@@ -120,3 +120,11 @@ def test_signature_pairs_are_summed_up_before_offers_meet_them(spark):
     x = joins.offers_by_level(offers, pairs, ["id"])
     assert joined_rows(x) == 90
     assert {(r.offer_id, r.level) for r in x.collect()} == {(i, "same" if i % 3 == 1 else "similar") for i in range(90)}
+
+
+@pytest.mark.parametrize("name", ["generate_ideas", "generate_actions", "run_signals", "export_views", "periodic_report"])
+def test_offers_that_are_read_several_times_are_sorted_out_once(spark, sf, name):
+    from quaymark import plans
+
+    plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct(l_shipdate" not in plan  # the newest observation of an offer comes from the stored table
