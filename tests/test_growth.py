@@ -128,3 +128,12 @@ def test_offers_that_are_read_several_times_are_sorted_out_once(spark, sf, name)
 
     plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "struct(l_shipdate" not in plan  # the newest observation of an offer comes from the stored table
+
+
+def test_first_names_and_their_number_come_from_one_sort(spark):
+    from quaymark.operators.aggregates import joined_names
+
+    rows = [("a", 1, n) for n in ("x", "b", "b", None, "c", "d", "e")] + [("a", None, "z"), ("a", None, "z"), ("b", 1, None)]
+    x = joined_names(spark.createDataFrame(rows, "category string, seller_id long, name string"), ["category", "seller_id"], "name", 4)
+    assert len(shuffles(x)) == 1
+    assert {tuple(r) for r in x.collect()} == {("a", 1, "b; c; d; e", 5), ("a", None, "z", 1), ("b", 1, "", 0)}
