@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as O
 from ..operators.names import reconcile_by_similarity as by_similarity
 from ..operators.signatures import signature_levels
-from ..shared import materialise
+from ..shared import materialise, stored
 from .bindings import catalog, findings, matches, offers, read, run_log, sellers, signatures
 from .registry import query
 
@@ -81,9 +81,9 @@ def with_spec(df, id_col, reach):
 
 @query("match_analogs", "{catalog offers} , " + MARKET + ", " + EXACT + ", " + ANALOG + " SELECT offer_id, item_id, confidence, match_type, rn FROM an")
 def match_analogs(spark, d):
-    o, c = market_offers(spark, d), catalog(spark, d)
-    matched = O.match_exact_model(o, c, aliases(spark, d))
-    return O.match_analogs(with_spec(o, "offer_id", 12), with_spec(c, "item_id", 10), matched, "ring", spec="spec", accessories=["bolt"]).withColumn("rn", F.col("rn").cast("long"))
+    o, c = stored(market_offers(spark, d).select("offer_id", "model_key", "brand", "category", "kind", "capacity", "price")), catalog(spark, d)  # read for profiles and for analogs
+    rest = O.without_exact_match(o, c, aliases(spark, d))
+    return O.match_analogs(with_spec(rest, "offer_id", 12), with_spec(c, "item_id", 10), None, "ring", spec="spec", accessories=["bolt"]).withColumn("rn", F.col("rn").cast("long"))
 
 
 @query("match_fallbacks", "{catalog offers} , " + MARKET + """ , i AS (SELECT * FROM catalog WHERE category NOT IN ('PROMO', 'SMALL') AND NOT (category = 'LARGE' AND kind = 'ring')), x AS (SELECT mo.*, EXISTS (SELECT 1 FROM i WHERE i.category = mo.category) AS hc, EXISTS (SELECT 1 FROM i WHERE i.category = mo.category AND i.kind = mo.kind) AS hk FROM mo WHERE offer_id % 2 = 1 AND brand <> 'Brand#9')

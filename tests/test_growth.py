@@ -1,5 +1,7 @@
 """What grows with the tables: rows that joins make, and plans that keep large tables off the driver."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,44 @@ def test_offers_alike_leave_out_analogs_together(spark):
     assert joins.candidates(o, joins.near_items(i), "ring", False, 3).count() == 500 * 3
 
 
+def test_items_alike_meet_offers_together_and_stay_off_the_driver(spark):
+    facts = lambda n, name: alike(spark, n, name).withColumns({"category": F.lit("c"), "kind": F.lit("rod"), "oc": F.lit(5).cast("long"), "ic": F.lit(5).cast("long"), "price": 100.0 + F.col(name) % 3})
+    i = facts(4000, "item_id").select("item_id", "category", "kind", "ic", F.col("price").alias("ip"))
+    o = facts(10, "offer_id").select("offer_id", "category", "kind", "oc", F.col("price").alias("op"))
+    x = joins.candidates(o, joins.near_items(i), "ring", False, 3)
+    assert not re.search(r"BroadcastHashJoin \[[^\]]*\boc#", x._jdf.queryExecution().executedPlan().toString())
+    assert joined_rows(x) == 30
+
+
+def test_analogs_of_divided_classes_and_odd_facts(spark):
+    price = lambda name, k: F.when(F.col(name) % 29 == 0, None).when(F.col(name) % 31 == 0, 0.0).when(F.col(name) % 37 == 0, float("nan")).when(F.col(name) % 41 == 0, -5.0).otherwise(100.0 + F.col(name) * k % 260)
+    spec = lambda name: F.struct((F.col(name) % 2 == 0).alias("two_way"), F.when(F.col(name) % 5 > 0, "IR").alias("band"), F.col("capacity").alias("range_m"))
+    facts = lambda n, name, k: alike(spark, n, name).withColumns({"category": F.lit("c"), "capacity": F.when(F.col(name) % 23 > 0, (F.col(name) * k % 4 * 5 + 3).cast("int")), "price": price(name, k)}).withColumn("spec", spec(name))
+    offers, items = facts(300, "offer_id", 7.3), facts(500, "item_id", 11.7)
+    got = joins.match_analogs(offers, items, None, "ring", spec="spec", accessories=["rod"])
+    classed = lambda df, name: F.struct(F.col(f"{df}.spec.two_way").alias("two_way"), joins.band_class(F.col(f"{df}.spec.band")).alias("band"), F.col(f"{df}.spec.range_m").alias("range_m")).alias(name)
+    pairs = offers.alias("o").join(items.alias("i"), ["category", "kind"]).select(
+        "offer_id", "item_id", "kind", F.col("o.capacity").alias("oc"), F.col("i.capacity").alias("ic"), F.col("o.price").alias("op"), F.col("i.price").alias("ip"), classed("o", "o_spec"), classed("i", "i_spec"))
+    best = {}
+    for r in joins.analog_score(pairs, "ring", True).collect():
+        best.setdefault((r.offer_id, r.kind), []).append((-r.score, r.item_id))
+    want = []
+    for (offer, kind), rows in best.items():
+        rows.sort()
+        for rn, (s, item) in enumerate(rows[:3], 1):
+            if rn <= 2 and s - rows[0][0] <= 0.15 + 1e-9 if kind == "ring" else -s >= 0.55:
+                firm = "accessory" if kind == "rod" else "direct"
+                want.append((offer, item, min(max(-s, 0.2), 0.8), firm if -s >= (0.55 if kind == "rod" else 0.6) else "functional", rn))
+    assert sorted((r.offer_id, r.item_id, r.confidence, r.match_type, r.rn) for r in got.collect()) == sorted(want) and len(want) > 600
+
+
+def test_offers_without_an_exact_match_are_found_by_their_profile(spark):
+    offers = spark.createDataFrame([(1, "11-5", None, None, None), (2, None, "b", 5, "ring"), (3, "X1", "b", 5, "ring"), (4, "X2", "b", 5, "ring"), (5, "1-5", None, 5, "rod")], "offer_id long, model_key string, brand string, capacity int, kind string")
+    aliases = spark.createDataFrame([("X1", "11-5"), ("X2", "12-5")], "alias_code string, own_code string")
+    rest = joins.without_exact_match(offers, alike(spark, 2, "item_id"), aliases)
+    assert sorted(r.offer_id for r in rest.collect()) == [2, 4, 5] and rest.columns == offers.columns
+
+
 def shuffles(df):
     """The lines of a plan that deal rows out anew."""
     return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
