@@ -79,6 +79,40 @@ def test_pairs_of_specs_classify_an_item_once(spark, monkeypatch):
     assert sorted(map(tuple, x.collect())) == sorted(map(tuple, want.collect()))
 
 
+def shuffled_rows(df):
+    """Rows that the shuffles of an executed query wrote."""
+    df.collect()
+    todo, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.finalPhysicalPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        else:
+            rows += p.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+            todo += [p.children().apply(k) for k in range(p.children().size())]
+    return rows
+
+
+@pytest.mark.parametrize("n, m", [(300, 300), (1, 900), (900, 1)])
+def test_copies_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch, n, m):
+    monkeypatch.setattr(joins, "DEALT", 1)
+    monkeypatch.setattr(joins, "PAIRS", 100)
+    rows = lambda n, name: spark.range(n).select(F.lit("g").alias("k"), F.col("id").alias(name)).unionByName(spark.createDataFrame([(None, -1), ("g", 0), ("h", 7)], f"k string, {name} long"))
+    x = joins.pairs_within(rows(n, "a"), rows(m, "b"), ["k"])
+    assert shuffled_rows(x) <= 20 * (n + m + 10)
+    side = lambda n: [*range(n), 0]
+    assert sorted(map(tuple, x.select("a", "b").collect())) == sorted([(a, b) for a in side(n) for b in side(m)] + [(7, 7)])
+
+
+def test_pairs_of_equal_specs_come_as_one_row_until_the_last_step(spark):
+    c = cards(spark, 400).withColumn("spec", F.struct((F.col("item_id") % 2 == 0).alias("two_way"), F.lit("IR").alias("band"), F.lit(3).alias("range_m")))
+    x = joins.spec_pairs(c, ["brand", "category"], "spec")
+    assert joined_rows(x) == 400 * 2 and x.count() == 400 * 399 / 2
+
+
 def test_twins_make_each_pair_once_without_a_shuffle_of_pairs(spark):
     x = joins.twins(cards(spark, 50).unionByName(cards(spark, 4)))
     assert sorted(map(tuple, x.collect())) == [(a, b) for a in range(50) for b in range(50) if a != b and a % 2 == b % 2]
