@@ -121,6 +121,12 @@ def test_twins_make_each_pair_once_without_a_shuffle_of_pairs(spark):
     assert sorted(map(tuple, joins.twins(odd).collect())) == [(1, 2), (1, 3), (2, 1), (3, 1)]
 
 
+def test_twins_are_sorted_out_once_and_come_as_one_row_until_the_last_step(spark):
+    x = joins.twins(cards(spark, 400))
+    assert "hashpartitioning(item_id" not in x._jdf.queryExecution().executedPlan().toString()
+    assert joined_rows(x) <= 400 * 3 and x.count() == 200 * 199 * 2
+
+
 def test_offers_alike_leave_out_analogs_together(spark):
     facts = lambda n, name: alike(spark, n, name).withColumns({"category": F.lit("c"), "kind": F.lit("rod"), "price": 100.0 + F.col(name) % 3})
     offers, items = facts(500, "offer_id"), facts(400, "item_id")
